@@ -17,6 +17,7 @@ import base64
 import functools
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,7 +64,7 @@ class Codec:
         self.length = np.zeros(max(self.bytes_of) + 1, np.int64)
         for rank, token in self.bytes_of.items():
             self.length[rank] = len(token)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         found = self.split(text)
@@ -75,11 +76,8 @@ class Codec:
                 new = list(dict.fromkeys(found))
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
-                known.update((x, tuple(e.ids)) for x, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        ids: list[int] = []
-        for x in found:
-            ids += known[x]
-        return np.array(ids, np.uint32)
+                known.update((x, array("I", e.ids).tobytes()) for x, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        return np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32)
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each token in characters; a split character belongs to all its tokens."""
