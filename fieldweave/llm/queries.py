@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.llm import attribution, bpe, quality, repeats
+from fieldweave.llm import attribution, bpe, nearcopies, quality, repeats
 from fieldweave.llm.shared import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +20,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -28,5 +32,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_quality_rules, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op4_quality_rules, op6_near_copies, op9_token_counts, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
