@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldweave.llm import attribution, bpe, decontaminate, nearcopies, quality, repeats
+from fieldweave.llm import attribution, bpe, decontaminate, nearcopies, quality, repeats, secret_scan
 from fieldweave.llm.shared import read
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -36,5 +40,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_suffix_dedup, op4_quality_rules, op6_near_copies, op9_token_counts, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_suffix_dedup, op4_quality_rules, op6_near_copies, op9_token_counts, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
