@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldweave.llm import attribution, bpe, decontaminate, nearcopies, quality, repeats, secret_scan
-from fieldweave.llm.shared import read
+from fieldweave.llm import attribution, bpe, decontaminate, license_scan, nearcopies, quality, repeats, secret_scan, url_filter, warc
+from fieldweave.llm.shared import read, scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -28,10 +29,51 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+#: Fixed entries of the dated list: pattern, action, entry_id, day.
+FIXED_ENTRIES = [
+    ("casino-win.example.com", "block", "f1", 100), ("free-bets.example.com", "block", "f2", 400),
+    ("cheap-pills.example.com", "block", "f3", 0), ("cheap-pills.example.com", "remove", "f4", 900), ("example.org", "block", "f5", 1200),
+]
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list by rule, as the tables have none: days from each host's and directory's least page_id."""
+    at = pages.select("page_id", url_filter.host_of(F.col("url")).alias("host"), F.element_at(F.split(url_filter.path_of(F.col("url")), "/"), 1).alias("dir")).where("host <> ''")
+    hosts = at.groupBy("host").agg(F.min("page_id").alias("m"))
+    dirs = at.where("dir <> ''").groupBy(F.concat_ws("/", "host", "dir").alias("pattern")).agg(F.min("page_id").alias("m"))
+    own = [
+        hosts.where("m % 2 = 0").selectExpr("host AS pattern", "'block' AS action", "concat('h', host) AS entry_id", "m * 37 % 1461 AS day"),
+        hosts.where("m % 2 = 0").selectExpr("host AS pattern", "'remove' AS action", "concat('r', host) AS entry_id", "m * 37 % 1461 + 30 + m % 400 AS day"),
+        hosts.where("m % 6 = 0").selectExpr("host AS pattern", "'block' AS action", "concat('a', host) AS entry_id", "m * 37 % 1461 + 500 + m % 100 AS day"),
+        dirs.where("m % 5 = 0").selectExpr("pattern", "'allow' AS action", "concat('p', pattern) AS entry_id", "m * 11 % 1461 AS day"),
+    ]
+    out = pages.sparkSession.createDataFrame(FIXED_ENTRIES, "pattern string, action string, entry_id string, day long")
+    for part in own:
+        out = out.unionByName(part)
+    return out
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    captures = pages.selectExpr("page_id", "url", "page_id * 7919 % 1461 AS day")
+    return url_filter.judge(captures, dated_list(pages))
+
+
 def op6_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.classes(read(spark, sf_dir, "documents"))
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the tables have no fetch time: seconds of 2024 from the page_id
+    date = "date_format(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, coalesce(pmod(page_id, 31536000), 0)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS date"
+    captures = read(spark, sf_dir, "pages").selectExpr("page_id", "url", "html", date)
+    return warc.histories(captures, scratch(spark)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
@@ -40,5 +82,47 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_decontamination, op3_suffix_dedup, op4_quality_rules, op6_near_copies, op9_token_counts, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scans, op2_decontamination, op3_suffix_dedup, op4_quality_rules, op5_url_filters,
+        op6_near_copies, op7_license_scans, op8_warc, op9_token_counts, op10_byte_bpe,
+    )
+}
+
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1))"
+_DIR = "split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)', 1), '/', 1)"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filters": f"""
+WITH at AS (SELECT page_id, url, page_id * 7919 % 1461 AS day, coalesce({_HOST}, '') AS host, coalesce({_DIR}, '') AS dir FROM pages),
+hosts AS (SELECT host, min(page_id) AS m FROM at WHERE host <> '' GROUP BY host),
+dirs AS (SELECT host || '/' || dir AS pattern, min(page_id) AS m FROM at WHERE host <> '' AND dir <> '' GROUP BY 1),
+entries AS (
+  SELECT * FROM (VALUES {", ".join(str(e) for e in FIXED_ENTRIES)}) AS v(pattern, action, entry_id, day)
+  UNION ALL SELECT host, 'block', 'h' || host, m * 37 % 1461 FROM hosts WHERE m % 2 = 0
+  UNION ALL SELECT host, 'remove', 'r' || host, m * 37 % 1461 + 30 + m % 400 FROM hosts WHERE m % 2 = 0
+  UNION ALL SELECT host, 'block', 'a' || host, m * 37 % 1461 + 500 + m % 100 FROM hosts WHERE m % 6 = 0
+  UNION ALL SELECT pattern, 'allow', 'p' || pattern, m * 11 % 1461 FROM dirs WHERE m % 5 = 0),
+one AS (SELECT pattern, day, max({{'action': action, 'entry_id': entry_id}}) AS e FROM entries GROUP BY pattern, day),
+held AS (SELECT pattern, e.action AS action, e.entry_id AS entry_id, day AS valid_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS valid_to FROM one),
+met AS (
+  SELECT a.page_id, a.url, a.day, h.*, row_number() OVER (PARTITION BY a.page_id, a.url, a.day ORDER BY length(h.pattern) DESC, h.valid_from DESC) AS k
+  FROM (SELECT DISTINCT * FROM at) a JOIN held h ON (a.host = h.pattern OR ends_with(a.host, '.' || h.pattern) OR (a.dir <> '' AND a.host || '/' || a.dir = h.pattern))
+   AND h.action <> 'remove' AND h.valid_from <= a.day AND (h.valid_to IS NULL OR a.day < h.valid_to))
+SELECT a.page_id, a.url, CAST(a.day AS BIGINT) AS day, a.host, coalesce(m.action, 'none') AS verdict, m.pattern, m.entry_id, CAST(m.valid_from AS BIGINT) AS valid_from
+FROM (SELECT DISTINCT * FROM at) a LEFT JOIN met m ON m.k = 1 AND m.page_id IS NOT DISTINCT FROM a.page_id AND m.url IS NOT DISTINCT FROM a.url
+""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits FROM p),
+e AS (
+  SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY html) AS last,
+    array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
+      + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1) FOR i IN range(32)], '') AS payload_digest
+  FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to
+FROM e
+""",
+}
