@@ -95,9 +95,9 @@ _DIR = "split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filters": f"""
-WITH at AS (SELECT page_id, url, page_id * 7919 % 1461 AS day, coalesce({_HOST}, '') AS host, coalesce({_DIR}, '') AS dir FROM pages),
-hosts AS (SELECT host, min(page_id) AS m FROM at WHERE host <> '' GROUP BY host),
-dirs AS (SELECT host || '/' || dir AS pattern, min(page_id) AS m FROM at WHERE host <> '' AND dir <> '' GROUP BY 1),
+WITH cap AS (SELECT page_id, url, page_id * 7919 % 1461 AS day, coalesce({_HOST}, '') AS host, coalesce({_DIR}, '') AS dir FROM pages),
+hosts AS (SELECT host, min(page_id) AS m FROM cap WHERE host <> '' GROUP BY host),
+dirs AS (SELECT host || '/' || dir AS pattern, min(page_id) AS m FROM cap WHERE host <> '' AND dir <> '' GROUP BY 1),
 entries AS (
   SELECT * FROM (VALUES {", ".join(str(e) for e in FIXED_ENTRIES)}) AS v(pattern, action, entry_id, day)
   UNION ALL SELECT host, 'block', 'h' || host, m * 37 % 1461 FROM hosts WHERE m % 2 = 0
@@ -108,10 +108,10 @@ one AS (SELECT pattern, day, max({{'action': action, 'entry_id': entry_id}}) AS
 held AS (SELECT pattern, e.action AS action, e.entry_id AS entry_id, day AS valid_from, lead(day) OVER (PARTITION BY pattern ORDER BY day) AS valid_to FROM one),
 met AS (
   SELECT a.page_id, a.url, a.day, h.*, row_number() OVER (PARTITION BY a.page_id, a.url, a.day ORDER BY length(h.pattern) DESC, h.valid_from DESC) AS k
-  FROM (SELECT DISTINCT * FROM at) a JOIN held h ON (a.host = h.pattern OR ends_with(a.host, '.' || h.pattern) OR (a.dir <> '' AND a.host || '/' || a.dir = h.pattern))
+  FROM (SELECT DISTINCT * FROM cap) a JOIN held h ON (a.host = h.pattern OR ends_with(a.host, '.' || h.pattern) OR (a.dir <> '' AND a.host || '/' || a.dir = h.pattern))
    AND h.action <> 'remove' AND h.valid_from <= a.day AND (h.valid_to IS NULL OR a.day < h.valid_to))
 SELECT a.page_id, a.url, CAST(a.day AS BIGINT) AS day, a.host, coalesce(m.action, 'none') AS verdict, m.pattern, m.entry_id, CAST(m.valid_from AS BIGINT) AS valid_from
-FROM (SELECT DISTINCT * FROM at) a LEFT JOIN met m ON m.k = 1 AND m.page_id IS NOT DISTINCT FROM a.page_id AND m.url IS NOT DISTINCT FROM a.url
+FROM (SELECT DISTINCT * FROM cap) a LEFT JOIN met m ON m.k = 1 AND m.page_id IS NOT DISTINCT FROM a.page_id AND m.url IS NOT DISTINCT FROM a.url
 """,
     "op8_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
