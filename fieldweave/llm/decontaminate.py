@@ -144,7 +144,7 @@ class Index:
         for bit, c in enumerate(self.classes):
             own = place[(mask >> bit) & 1 == 1]
             k = max(c["hits"], 1) - 1
-            first, last = own[: len(own) - k], own[k:]
+            first, last = own[: max(len(own) - k, 0)], own[k:]
             near = (last - first <= c["span"]) & (doc[first] == doc[last])
             change = np.zeros(len(h) + 1, np.int64)
             begin = np.searchsorted(doc, doc[first[near]])
