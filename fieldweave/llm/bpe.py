@@ -162,3 +162,21 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def tokenise(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids`` and ``exact``: do the ids decode to the text's bytes?"""
+
+    def run(batches):
+        c, held, size = codec(path, pattern), [], 0
+        names, types = ["doc_id", "n_tokens", "ids", "exact"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_()]
+        for key, text, ids in _rows(batches, path, pattern):
+            held.append((key, len(ids), ids.astype(np.int32), c.decode(ids.tolist()) == text.encode()))
+            size += len(ids)
+            if size > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, exact boolean")
