@@ -264,7 +264,8 @@ def classes(docs: DataFrame) -> DataFrame:
     signed = shared.materialize(signatures(docs, idf))
     texts = shared.materialize(signed.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     to_verify = shared.materialize(units(texts))
-    edges = verify(to_verify.join(docs, "doc_id").select("unit", "doc_id", "text"), idf)
+    # the same join at every size: what is verified grows with the corpus and is never broadcast
+    edges = verify(to_verify.hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf)
     # rows that share a doc_id are one document, whatever their texts
     same = signed.join(texts.select("words", F.col("doc_id").alias("first")), "words").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     roots = components(edges.unionAll(same.where("u <> v").distinct()))
