@@ -1,4 +1,674 @@
-"""All queries of the field operators, and the same in SQL."""
+"""All queries of the field operators over the driver's tables, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Fields: ``R`` is a raster of 100 columns from the events' running number, ``S`` the series
+of each user's events, ``P`` points from the first two embedding numbers, ``M`` the raster
+with an order line's quantity beside it, ``ST`` a cube of eight times.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fieldweave.domains import GridDomain, RasterDomain
+from fieldweave.functions import windows as win
+from fieldweave.operators import aggregations as agg
+from fieldweave.operators import geometry as geo
+from fieldweave.operators import matched as mat
+from fieldweave.operators import samplers as smp
+from fieldweave.operators import spacetime as st
+from fieldweave.operators import temporal as tmp
+from fieldweave.plans import policy
+from fieldweave.plans.patcher import SpatialPatcher, parallel_map
+from fieldweave.sources import fields as fld
+from fieldweave.sources import tiles
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+WIDTH, PATCH, STEP = 100, 16, 8
+CLASSES = ["click", "error", "purchase", "signup", "view"]
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLE_SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def r6(name: str, alias: str | None = None):
+    return F.round(F.col(name), 6).alias(alias or name)
+
+
+# ---------------------------------------------------------------- fields
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet")
+
+
+def klass() -> F.Column:
+    return F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("event_type")) - 1
+
+
+def raster(spark, sf, nodata: bool = False) -> fld.Field:
+    value = F.when(F.col("event_type") != "error", F.col("value")) if nodata else F.col("value")
+    return fld.from_flat(events(spark, sf).select("event_id", value.alias("value"), klass().alias("k")), "event_id", WIDTH, ("value", "k"))
+
+
+def patcher(window: win.Window | None = None, aggregation: agg.Aggregation | None = None, size=PATCH, step=STEP, boundary="drop") -> SpatialPatcher:
+    return SpatialPatcher(geo.Rectangular(size, boundary), smp.RegularStride(step), window or win.Boxcar(), aggregation or agg.OverlapAdd())
+
+
+def user_series(spark, sf) -> fld.Field:
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return fld.series(events(spark, sf).select("user_id", (F.row_number().over(order) - 1).cast("long").alias("t"), "value"), ("user_id",))
+
+
+def whole_series(spark, sf) -> fld.Field:
+    own = events(spark, sf)
+    return fld.series(own.select(F.col("event_id").alias("t"), "value"), length=(own.agg(F.max("event_id")).first()[0] or 0) + 1)
+
+
+def points(spark, sf) -> fld.Field:
+    own = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return fld.points(own.select(F.col("vec_id").alias("pid"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y")), "pid")
+
+
+def lonlat(field: fld.Field) -> DataFrame:
+    return field.df.select("pid", (F.col("x") * 180).alias("x"), (F.col("y") * 90).alias("y"))
+
+
+def anchors_at(points_: DataFrame, every: int) -> DataFrame:
+    """Every so many-th point as an anchor: the operator's own choice of anchors."""
+    return points_.where(F.col("pid") % every == 0).select(F.col("pid").alias("seq"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+
+
+def quantity(spark, sf) -> fld.Field:
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_quantity").alias("value"))
+    return fld.from_flat(lines, "l_orderkey", WIDTH, height=1)
+
+
+def matched(spark, sf) -> mat.MatchedField:
+    return mat.MatchedField(raster(spark, sf, True), {"quantity": quantity(spark, sf)}, {"quantity": lambda q, p: q * 2})
+
+
+def cube(spark, sf) -> fld.Field:
+    own = events(spark, sf)
+    height = ((own.agg(F.max("event_id")).first()[0] or 0) // 8) // 25 + 1
+    cells = own.select((F.col("event_id") % 8).alias("t"), F.floor(F.floor(F.col("event_id") / 8) / 25).cast("long").alias("r"), (F.floor(F.col("event_id") / 8) % 25).cast("long").alias("c"), "value")
+    return fld.Field(cells, RasterDomain(height, 25), ("t", "r", "c"))
+
+
+def polygons(spark) -> DataFrame:
+    """Fixed rings: a triangle, a square and a concave arrow in the raster's plane."""
+    rings = [(0, [(2.0, 1.0), (40.0, 3.0), (20.0, 9.5)]), (1, [(50.0, 0.0), (60.0, 0.0), (60.0, 30.0), (50.0, 30.0)]), (2, [(5.0, 20.0), (30.0, 50.0), (55.0, 20.0), (30.0, 90.0)])]
+    return spark.createDataFrame(rings, "seq long, ring array<struct<x:double,y:double>>")
+
+
+# ---------------------------------------------------------------- SQL of the fields
+def _lattice(d: str, size: int = PATCH, step: int = STEP, extent: str = "(SELECT max(event_id) // 100 + 1 FROM events)") -> str:
+    return f"SELECT CAST(x AS BIGINT) AS {d} FROM range(0, greatest({extent} - {size} + 1, 1), {step}) t(x)"
+
+
+def _rows(nodata: bool = False) -> str:
+    value = "CASE WHEN event_type <> 'error' THEN value END" if nodata else "value"
+    names = " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(CLASSES))
+    return f"SELECT CAST(event_id // 100 AS BIGINT) AS r, CAST(event_id % 100 AS BIGINT) AS c, {value} AS value, CASE event_type {names.replace(',', '')} END AS k FROM events"
+
+
+def _patches(nodata: bool = False, size: int = PATCH, step: int = STEP) -> str:
+    """CTEs r (cells), pc (patch cells with seq and offsets)."""
+    return f"""WITH r AS ({_rows(nodata)}), ar AS ({_lattice("ar", size, step)}), ac AS ({_lattice("ac", size, step, "100")}),
+pc AS (SELECT r.*, ar, ac, r.r - ar AS i, r.c - ac AS j, (ar // {step}) * (SELECT count(*) FROM ac) + ac // {step} AS seq
+  FROM r JOIN ar ON r.r >= ar AND r.r < ar + {size} JOIN ac ON r.c >= ac AND r.c < ac + {size})"""
+
+
+_HANN = f"(0.5 - 0.5 * cos(2 * pi() * i / {PATCH - 1})) * (0.5 - 0.5 * cos(2 * pi() * j / {PATCH - 1}))"
+_GAUSS = f"exp(-0.5 * power((i - {(PATCH - 1) / 2}) / {0.5 * PATCH / 2}, 2)) * exp(-0.5 * power((j - {(PATCH - 1) / 2}) / {0.5 * PATCH / 2}, 2))"
+#: A value that differs from patch to patch, so that merges have something to merge.
+_SHIFTED = "(value + (ar + 2 * ac) % 5)"
+
+
+def shifted(x) -> F.Column:
+    return F.col("value") + (x["ar"] + 2 * x["ac"]) % 5
+
+
+def _merged(columns: str, weight: str = "1.0", nodata: bool = True, extra: str = "", defaults: str = "") -> str:
+    """Dense merge of shifted values: ``v`` and ``w`` in ``columns``."""
+    return f"""{_patches(nodata)}, p AS (SELECT *, {_SHIFTED} AS v, {weight} AS w FROM pc){extra},
+m AS (SELECT r, c, {columns} FROM p GROUP BY r, c)
+SELECT r.r, r.c, {defaults} FROM r LEFT JOIN m ON r.r = m.r AND r.c = m.c"""
+
+
+def _merge_query(name: str, aggregation, sql: str, window=None, nodata=True, value=shifted):
+    def run(spark, sf):
+        out = patcher(window, aggregation).merge_cells(raster(spark, sf, nodata), value)
+        kinds = dict(out.dtypes)
+        return out.select("r", "c", *[r6(c) if kinds[c] == "double" else F.col(c) for c in aggregation.outputs])
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+def _value(default: str, expr: str = "m.value") -> str:
+    return f"round(coalesce({expr}, {default}), 6) AS value"
+
+
+_OVERLAP = "CASE WHEN sum(CASE WHEN v IS NOT NULL THEN w ELSE 0 END) > 0 THEN sum(v * w) / sum(CASE WHEN v IS NOT NULL THEN w ELSE 0 END) ELSE 0 END AS value"
+_merge_query("overlap_add_hann", agg.OverlapAdd(), _merged(_OVERLAP, _HANN, defaults=_value("0")), win.Hann())
+_merge_query("overlap_add_boxcar", agg.OverlapAdd(), _merged(_OVERLAP, defaults=_value("0")))
+_merge_query("overlap_add_raw", agg.OverlapAdd(normalize=False), _merged("sum(v * w) AS value", _HANN, defaults=_value("0")), win.Hann())
+_merge_query("agg_sum", agg.Sum(), _merged("sum(v) AS value", defaults=_value("0")))
+_merge_query("agg_max", agg.Max(), _merged("max(v) AS value", defaults="coalesce(round(m.value, 6), '-infinity'::DOUBLE) AS value"))
+_merge_query("agg_min", agg.Min(), _merged("min(v) AS value", defaults="coalesce(round(m.value, 6), 'infinity'::DOUBLE) AS value"))
+_merge_query("agg_weighted_sum", agg.WeightedSum(), _merged("sum(v * w) AS value", _GAUSS, defaults=_value("0")), win.Gaussian())
+_merge_query("agg_mean", agg.Mean(), _merged("avg(v) AS value", defaults=_value("0")))
+_merge_query("agg_variance", agg.Variance(), _merged("CASE WHEN count(v) > 1 THEN var_samp(v) ELSE 0 END AS value", defaults=_value("0")))
+_merge_query("agg_median", agg.Median(), _merged("median(v) AS value", defaults="coalesce(round(m.value, 6), 'nan'::DOUBLE) AS value"))
+_merge_query(
+    "agg_invvar", agg.InvVarWeightedMean(),
+    _merged("sum(w * v / var) AS top, sum(w / var) AS p", _HANN, False, ", q AS (SELECT * FROM p)",
+            "round(CASE WHEN p > 0 THEN top / p ELSE 0 END, 6) AS mu, CASE WHEN p > 0 THEN round(1 / p, 6) ELSE 'infinity'::DOUBLE END AS var").replace("FROM p GROUP", "FROM (SELECT *, 1.0 + (i + j) % 3 AS var FROM p) GROUP").replace(", q AS (SELECT * FROM p)", ""),
+    win.Hann(), False, lambda x: F.struct(shifted(x).alias("mu"), (F.lit(1.0) + (x["o_r"] + x["o_c"]) % 3).alias("var")),
+)
+_VOTED = ", n AS (SELECT r, c, cls, count(*) AS n FROM p WHERE cls BETWEEN 0 AND 4 GROUP BY r, c, cls), b AS (SELECT r, c, cls FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY n DESC, cls) AS x FROM n) WHERE x = 1)"
+_merge_query(
+    "agg_hard_vote", agg.HardVote(5),
+    f"{_patches()}, p AS (SELECT *, (k + (ar // 8) * (ac // 8)) % 6 AS cls FROM pc){_VOTED} SELECT r.r, r.c, CAST(coalesce(cls, 0) AS BIGINT) AS value FROM r LEFT JOIN b ON r.r = b.r AND r.c = b.c",
+    None, False, lambda x: (F.col("k") + F.floor(x["ar"] / 8) * F.floor(x["ac"] / 8)) % 6,
+)
+_merge_query(
+    "agg_mode", agg.Mode(),
+    f"{_patches(True)}, p AS (SELECT *, CAST(trunc(value) AS BIGINT) % 3 + (ar // 8 + ac // 8) % 2 AS cls FROM pc), n AS (SELECT r, c, cls, count(*) AS n FROM p WHERE cls IS NOT NULL GROUP BY r, c, cls), "
+    "b AS (SELECT r, c, cls FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY n DESC, cls) AS x FROM n) WHERE x = 1) SELECT r.r, r.c, CAST(coalesce(cls, 0) AS BIGINT) AS value FROM r LEFT JOIN b ON r.r = b.r AND r.c = b.c",
+    None, True, lambda x: F.col("value").cast("long") % 3 + (F.floor(x["ar"] / 8) + F.floor(x["ac"] / 8)) % 2,
+)
+_merge_query(
+    "agg_soft_vote", agg.SoftVote(3),
+    f"{_patches()}, p AS (SELECT *, (k + ar // 8) % 4 AS a, (k + ac // 8) % 4 AS b FROM pc), s AS (SELECT r, c, sum(a) AS s0, sum(b) AS s1, sum(2) AS s2 FROM p GROUP BY r, c) "
+    "SELECT r.r, r.c, CAST(CASE WHEN s0 IS NULL THEN 0 WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS BIGINT) AS value FROM r LEFT JOIN s ON r.r = s.r AND r.c = s.c",
+    None, False, lambda x: F.array(((F.col("k") + F.floor(x["ar"] / 8)) % 4).cast("double"), ((F.col("k") + F.floor(x["ac"] / 8)) % 4).cast("double"), F.lit(2.0)),
+)
+
+
+@query(f"{_patches(True)} SELECT seq % 7 AS key, CAST(arg_max(i * 16 + j, seq * 256 + i * 16 + j) AS BIGINT) AS last, count(*) AS n FROM pc GROUP BY 1")
+def agg_by_index(spark, sf):
+    cells = patcher().split(raster(spark, sf, True)).select((F.col("seq") % 7).alias("key"), (F.col("o_r") * 16 + F.col("o_c")).alias("at"), (F.col("seq") * 256 + F.col("o_r") * 16 + F.col("o_c")).alias("seq"))
+    counts = cells.groupBy("key").agg(F.count("*").alias("n"))
+    return agg.by_index(cells, ["key"], ["at"]).withColumnRenamed("at", "last").join(counts, "key")
+
+
+@query()
+def agg_learned(spark, sf):
+    cells = patcher().split(raster(spark, sf)).select("seq", "value")
+    model = agg.Learned(lambda pdf: pdf.groupby("seq", as_index=False).agg(top=("value", "max")), "seq long, top double")
+    return model.merge(cells, ["seq"])
+
+
+@query("SELECT q, CAST(CASE WHEN q = 0.25 THEN (SELECT quantile_disc(value, 0.25) FROM events) WHEN q = 0.5 THEN (SELECT quantile_disc(value, 0.5) FROM events) ELSE (SELECT quantile_disc(value, 0.9) FROM events) END AS DOUBLE) AS value FROM (VALUES (0.25::DOUBLE), (0.5), (0.9)) t(q)")
+def sketch_quantile(spark, sf):
+    # accurate enough here to be exact
+    return agg.ApproxQuantile((0.25, 0.5, 0.9), 20_000).reduce(events(spark, sf))
+
+
+@query()
+def sketch_cardinality(spark, sf):
+    return agg.ApproxCardinality(12).reduce(events(spark, sf), "user_id")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY n DESC) - 1 AS INTEGER) AS rank, CAST(k AS BIGINT) AS item, n FROM (SELECT CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS k, count(*) AS n FROM events GROUP BY 1)")
+def sketch_mode(spark, sf):
+    return agg.ApproxMode(16).reduce(events(spark, sf).select(klass().alias("value")))
+
+
+@query()
+def sketch_histogram(spark, sf):
+    return agg.StreamingHistogram(32).reduce(events(spark, sf))
+
+
+@query()
+def sketch_reservoir(spark, sf):
+    return agg.Reservoir(50, 1).reduce(events(spark, sf).select("event_id", "value"), key=("event_id",))
+
+
+# ---------------------------------------------------------------- windows
+def _window_query(name: str, window: win.Window, sql: str | None):
+    def run(spark, sf):
+        at = spark.range(PATCH * PATCH).select(F.floor(F.col("id") / PATCH).alias("i"), (F.col("id") % PATCH).alias("j"))
+        return at.select("i", "j", F.round(window.weight([F.col("i"), F.col("j")], [PATCH, PATCH]), 6).alias("w"))
+
+    run.__name__ = name
+    query(f"SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS j, round(CAST({sql} AS DOUBLE), 6) AS w FROM (SELECT a, b, a AS i, b AS j FROM range(16) x(a), range(16) y(b))" if sql else None)(run)
+
+
+_TUKEY = "(CASE WHEN {x} <= 4 THEN 0.5 * (1 + cos(pi() * (2.0 * {x} / 8 - 1))) WHEN {x} >= 12 THEN 0.5 * (1 + cos(pi() * (2.0 * {x} / 8 - 4 + 1))) ELSE 1 END)"
+_window_query("w_boxcar", win.Boxcar(), "1.0")
+_window_query("w_hann", win.Hann(), _HANN)
+_window_query("w_gaussian", win.Gaussian(), _GAUSS)
+_window_query("w_tukey", win.Tukey(0.5), f"{_TUKEY.format(x='i')} * {_TUKEY.format(x='j')}")
+_window_query("w_custom", win.Custom(lambda shape: np.add.outer(*(np.arange(n) for n in shape)) / 10), "(i + j) / 10.0")
+
+
+# ---------------------------------------------------------------- patches, boundaries, anchors
+@query(f"{_patches(True)} SELECT seq, ar, ac, count(*) AS n, count(value) AS n_valid, round(sum(value), 6) AS total FROM pc GROUP BY seq, ar, ac")
+def rect_patches(spark, sf):
+    return patcher().split(raster(spark, sf, True)).groupBy("seq", "ar", "ac").agg(F.count("*").alias("n"), F.count("value").alias("n_valid"), F.round(F.sum("value"), 6).alias("total"))
+
+
+def _boundary_sql(extent_r: str, condition: str) -> str:
+    return f"""WITH r AS ({_rows()}), ar AS (SELECT CAST(x AS BIGINT) AS ar FROM range(0, {extent_r}, 13) t(x)), ac AS (SELECT CAST(x AS BIGINT) AS ac FROM range(0, 100, 13) t(x)),
+b AS (SELECT ar, ac, (ar // 13) * (SELECT count(*) FROM ac) + ac // 13 AS seq FROM ar, ac)
+SELECT seq, ar, ac, {condition} AS n, count(value) AS n_valid, round(coalesce(sum(value), 0), 6) AS total FROM b LEFT JOIN r ON r.r >= ar AND r.r < ar + 16 AND r.c >= ac AND r.c < ac + 16 GROUP BY seq, ar, ac"""
+
+
+def _boundary(spark, sf, boundary):
+    cells = patcher(size=16, step=13, boundary=boundary).split(raster(spark, sf))
+    return cells.groupBy("seq", "ar", "ac").agg(F.count("*").alias("n"), F.count("value").alias("n_valid"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 6).alias("total"))
+
+
+@query(f"{_patches(size=16, step=13)} SELECT seq, ar, ac, count(*) AS n, count(value) AS n_valid, round(coalesce(sum(value), 0), 6) AS total FROM pc GROUP BY seq, ar, ac")
+def boundary_drop(spark, sf):
+    return _boundary(spark, sf, "drop")
+
+
+@query(_boundary_sql("(SELECT max(event_id) // 100 + 1 FROM events)", "CAST(256 AS BIGINT)"))
+def boundary_pad(spark, sf):
+    return _boundary(spark, sf, "pad")
+
+
+@query(_boundary_sql("(SELECT max(event_id) // 100 + 1 FROM events)", "count(value)"))
+def boundary_shrink(spark, sf):
+    return _boundary(spark, sf, "shrink")
+
+
+@query(f"WITH ar AS ({_lattice('ar')}), ac AS ({_lattice('ac', extent='100')}) SELECT (ar // 8) * (SELECT count(*) FROM ac) + ac // 8 AS seq, ar, ac FROM ar, ac")
+def stride_anchors(spark, sf):
+    return patcher().anchors(raster(spark, sf))
+
+
+@query(f"WITH ar AS ({_lattice('ar')}), ac AS ({_lattice('ac', extent='100')}) SELECT count(*) AS n FROM ar, ac")
+def n_anchors(spark, sf):
+    return spark.createDataFrame([(patcher().n_anchors(raster(spark, sf)),)], "n long")
+
+
+@query("SELECT CAST(seq AS BIGINT) AS seq, CAST(ar AS BIGINT) AS ar, CAST(ac AS BIGINT) AS ac FROM (VALUES (0, 3, 5), (1, 0, 80), (2, 3, 5)) t(seq, ar, ac)")
+def explicit_anchors(spark, sf):
+    return SpatialPatcher(geo.Rectangular(4), smp.Explicit(((3, 5), (0, 80), (3, 5)))).anchors(raster(spark, sf))
+
+
+@query(f"WITH r AS ({_rows()}), a AS (SELECT * FROM (VALUES (0, 3, 5), (1, 0, 80), (2, 3, 5), (3, 8, 97)) t(seq, ar, ac)) SELECT CAST(seq AS BIGINT) AS seq, count(*) AS n, round(sum(value), 6) AS total FROM a JOIN r ON r.r >= ar AND r.r < ar + 4 AND r.c >= ac AND r.c < ac + 4 GROUP BY seq")
+def explicit_patches(spark, sf):
+    own = SpatialPatcher(geo.Rectangular(4), smp.Explicit(((3, 5), (0, 80), (3, 5), (8, 97))))
+    return own.split(raster(spark, sf)).groupBy("seq").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+def _grid(spark, sf) -> fld.Field:
+    own = raster(spark, sf)
+    return fld.grid(own.df.withColumnsRenamed({"r": "lat", "c": "lon"}), {"lat": [-45 + 0.05 * i for i in range(own.domain.height)], "lon": [-100 + 2.0 * i for i in range(WIDTH)]})
+
+
+@query(f"WITH ar AS ({_lattice('a_lat', 5, 4)}), ac AS ({_lattice('a_lon', 20, 10, '100')}) SELECT (a_lat // 4) * (SELECT count(*) FROM ac) + a_lon // 10 AS seq, a_lat, a_lon FROM ar, ac")
+def grid_anchors(spark, sf):
+    return SpatialPatcher(geo.Rectangular({"lat": 5, "lon": 20}), smp.RegularStride({"lat": 4, "lon": 10})).anchors(_grid(spark, sf))
+
+
+@query(f"WITH r AS ({_rows()}), ar AS ({_lattice('a_lat', 5, 4)}), ac AS ({_lattice('a_lon', 20, 10, '100')}) SELECT (a_lat // 4) * (SELECT count(*) FROM ac) + a_lon // 10 AS seq, count(*) AS n, round(sum(value), 6) AS total FROM r JOIN ar ON r.r >= a_lat AND r.r < a_lat + 5 JOIN ac ON r.c >= a_lon AND r.c < a_lon + 20 GROUP BY 1")
+def grid_rect_patches(spark, sf):
+    own = SpatialPatcher(geo.Rectangular({"lat": 5, "lon": 20}), smp.RegularStride({"lat": 4, "lon": 10}))
+    return own.split(_grid(spark, sf)).groupBy("seq").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query()
+def jittered_anchors(spark, sf):
+    return SpatialPatcher(geo.Rectangular(PATCH), smp.JitteredStride(STEP, 0.5, 7)).anchors(raster(spark, sf))
+
+
+@query()
+def random_anchors(spark, sf):
+    return SpatialPatcher(geo.Rectangular(PATCH), smp.RandomAnchors(40, 7)).anchors(raster(spark, sf))
+
+
+@query()
+def poisson_anchors(spark, sf):
+    return SpatialPatcher(geo.Rectangular(4), smp.PoissonDisk(6.0, seed=7)).anchors(raster(spark, sf))
+
+
+# ---------------------------------------------------------------- points and polygons
+_POINTS = "p AS (SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), g AS (SELECT pid, x * 180 AS x, y * 90 AS y FROM p)"
+_DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+_HAV = "2 * 6371.0 * asin(least(sqrt(power(sin((radians(b.y) - radians(a.y)) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * power(sin((radians(b.x) - radians(a.x)) / 2), 2)), 1.0))"
+
+
+def _knn_sql(table: str, distance: str, every: int = 10) -> str:
+    return f"WITH {_POINTS}, d AS (SELECT a.pid AS seq, b.pid AS pid, {distance} AS distance FROM {table} a, {table} b WHERE a.pid % {every} = 0), n AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY distance, pid) AS rank FROM d) SELECT seq, pid, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM n WHERE rank <= 5"
+
+
+def _near_sql(table: str, distance: str, radius: float, every: int) -> str:
+    return f"WITH {_POINTS} SELECT a.pid AS seq, b.pid AS pid, round({distance}, 6) AS distance FROM {table} a, {table} b WHERE a.pid % {every} = 0 AND {distance} <= {radius}"
+
+
+@query(_knn_sql("p", _DIST))
+def knn_euclid(spark, sf):
+    own = points(spark, sf).df
+    return geo.KNNGraph(5).neighbours(anchors_at(own, 10), own).select("seq", "pid", "rank", r6("distance"))
+
+
+@query(_knn_sql("g", _HAV))
+def knn_haversine(spark, sf):
+    own = lonlat(points(spark, sf))
+    return geo.KNNGraph(5, "haversine").neighbours(anchors_at(own, 10), own).select("seq", "pid", "rank", r6("distance"))
+
+
+@query(_knn_sql("q", _DIST).replace("WITH p AS", "WITH q AS (SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) + 0.5 AS x, CAST(embedding[2] AS DOUBLE) + 0.5 AS y FROM embeddings), p AS"))
+def knn_centroid(spark, sf):
+    """Features are unit squares; their area centroids are compared."""
+    own = points(spark, sf).df
+    ring = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))])
+    centres = own.select("pid", geo.centroid(ring).alias("p")).select("pid", "p.x", "p.y")
+    return geo.KNNGraph(5).neighbours(anchors_at(centres, 10), centres).select("seq", "pid", "rank", r6("distance"))
+
+
+@query(_near_sql("p", _DIST, 0.1, 1))
+def radius_euclid(spark, sf):
+    own = points(spark, sf).df
+    return geo.RadiusGraph(0.1).neighbours(anchors_at(own, 1), own).select("seq", "pid", r6("distance"))
+
+
+@query(_near_sql("g", _HAV, 500, 1))
+def radius_haversine(spark, sf):
+    own = lonlat(points(spark, sf))
+    return geo.RadiusGraph(500.0, "haversine").neighbours(anchors_at(own, 1), own).select("seq", "pid", r6("distance"))
+
+
+@query(_near_sql("g", _HAV, 2000, 50))
+def spherical_cap_point(spark, sf):
+    own = lonlat(points(spark, sf))
+    return geo.SphericalCap(2000.0).neighbours(anchors_at(own, 50), own).select("seq", "pid", r6("distance"))
+
+
+@query("WITH b AS (SELECT CAST(i AS BIGINT) AS lat, CAST(j AS BIGINT) AS lon, -10 + 1.0 * i AS y, -20 + 2.0 * j AS x FROM range(21) s(i), range(21) t(j)), "
+       "a AS (SELECT * FROM (VALUES (0, 0.0, 0.0), (1, 5.0, -20.0)) v(seq, y, x)) "
+       f"SELECT CAST(seq AS BIGINT) AS seq, lat, lon, round({_HAV}, 6) AS distance FROM a, b WHERE {_HAV} <= 400")
+def spherical_cap_grid(spark, sf):
+    domain = GridDomain({"lat": tuple(-10 + 1.0 * i for i in range(21)), "lon": tuple(-20 + 2.0 * j for j in range(21))})
+    anchors = spark.createDataFrame([(0, 0.0, 0.0), (1, 5.0, -20.0)], "seq long, a_lat double, a_lon double")
+    return geo.SphericalCap(400.0).on_grid(anchors, spark, domain).select("seq", "lat", "lon", r6("distance"))
+
+
+_EDGES = """e AS (SELECT * FROM (VALUES (0, 2.0, 1.0, 40.0, 3.0), (0, 40.0, 3.0, 20.0, 9.5), (0, 20.0, 9.5, 2.0, 1.0), (1, 50.0, 0.0, 60.0, 0.0), (1, 60.0, 0.0, 60.0, 30.0), (1, 60.0, 30.0, 50.0, 30.0), (1, 50.0, 30.0, 50.0, 0.0),
+  (2, 5.0, 20.0, 30.0, 50.0), (2, 30.0, 50.0, 55.0, 20.0), (2, 55.0, 20.0, 30.0, 90.0), (2, 30.0, 90.0, 5.0, 20.0)) v(seq, x1, y1, x2, y2))"""
+_ODD = "sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1"
+
+
+@query(f"WITH {_EDGES}, r AS (SELECT event_id // 100 AS r, event_id % 100 AS c, value, event_id % 100 + 0.5 AS x, event_id // 100 + 0.5 AS y FROM events) SELECT CAST(seq AS BIGINT) AS seq, CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, value FROM e, r GROUP BY seq, r, c, value HAVING {_ODD}")
+def polygon_mask(spark, sf):
+    return geo.PolygonIntersection().mask(polygons(spark), raster(spark, sf).df).select("seq", "r", "c", "value")
+
+
+@query(f"WITH {_EDGES}, {_POINTS}, s AS (SELECT pid, (x + 1) * 40 AS x, (y + 1) * 40 AS y FROM p) SELECT CAST(seq AS BIGINT) AS seq, pid FROM e, s GROUP BY seq, pid, x, y HAVING {_ODD}")
+def polygon_features(spark, sf):
+    scaled = points(spark, sf).df.select("pid", ((F.col("x") + 1) * 40).alias("x"), ((F.col("y") + 1) * 40).alias("y"))
+    return geo.PolygonIntersection(16).points_in(polygons(spark), scaled).select("seq", "pid")
+
+
+# ---------------------------------------------------------------- tiles
+_TILE = "greatest({s}, 0) AS lo_{a}, least({s} + {n}, {e}) AS hi_{a}"
+
+
+@query("WITH w AS (SELECT event_id AS seq, event_id * 7 % 140 - 20 AS r0, event_id * 11 % 150 - 25 AS c0, 5 + event_id % 40 AS h, 5 + event_id % 30 AS w FROM events), "
+       f"x AS (SELECT seq, {_TILE.format(s='r0', n='h', e='100', a='r')}, {_TILE.format(s='c0', n='w', e='100', a='c')} FROM w) "
+       "SELECT seq, CAST(CASE WHEN ok THEN lo_r // 16 ELSE 0 END AS BIGINT) AS ty0, CAST(CASE WHEN ok THEN (hi_r - 1) // 16 ELSE -1 END AS BIGINT) AS ty1, CAST(CASE WHEN ok THEN lo_c // 16 ELSE 0 END AS BIGINT) AS tx0, CAST(CASE WHEN ok THEN (hi_c - 1) // 16 ELSE -1 END AS BIGINT) AS tx1 "
+       "FROM (SELECT *, lo_r < hi_r AND lo_c < hi_c AS ok FROM x)")
+def tile_range(spark, sf):
+    asked = events(spark, sf).selectExpr("event_id AS seq", "event_id * 7 % 140 - 20 AS r0", "event_id * 11 % 150 - 25 AS c0", "5 + event_id % 40 AS h", "5 + event_id % 30 AS w")
+    return tiles.TiledRaster(RasterDomain(100, 100), 16, 16).ranges(asked).selectExpr("seq", "cast(ty0 AS bigint) ty0", "cast(ty1 AS bigint) ty1", "cast(tx0 AS bigint) tx0", "cast(tx1 AS bigint) tx1")
+
+
+@query(f"WITH r AS ({_rows()}), w AS (SELECT * FROM (VALUES (0, -2, 3, 6, 5), (1, 4, 90, 5, 20), (2, 500000, 0, 2, 2)) v(seq, r0, c0, h, w)), f AS (SELECT seq, i, j, r0 + i AS r, c0 + j AS c FROM w, range(6) s(i), range(20) t(j) WHERE i < h AND j < w) "
+       "SELECT CAST(seq AS BIGINT) AS seq, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, coalesce(value, 0) AS value FROM f LEFT JOIN r ON f.r = r.r AND f.c = r.c")
+def tile_select_many(spark, sf):
+    own = raster(spark, sf)
+    image = tiles.TiledRaster(own.domain, 16, 16)
+    asked = spark.createDataFrame([(0, -2, 3, 6, 5), (1, 4, 90, 5, 20), (2, 500000, 0, 2, 2)], "seq long, r0 long, c0 long, h long, w long")
+    return image.select_many(image.tiles(own.df), asked).select("seq", "i", "j", "value")
+
+
+# ---------------------------------------------------------------- time
+_S = "s AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS t, value FROM events), n AS (SELECT user_id, max(t) + 1 AS length FROM s GROUP BY user_id)"
+
+
+def _time_sql(before: str, after: str, anchors: str, out: str = "count(*) AS n, round(avg(value), 6) AS mean", extra: str = "") -> str:
+    """Patches of every user's series; ``a`` lists (user_id, length, t_anchor, scale)."""
+    return f"""WITH {_S}, a AS ({anchors}), p AS (SELECT a.user_id, t_anchor, scale, greatest(0, t_anchor - ({before})) AS start, least(length, t_anchor + ({after}) + 1) AS stop FROM a),
+pc AS (SELECT p.*, s.t, s.value FROM p JOIN s ON s.user_id = p.user_id AND s.t >= p.start AND s.t < p.stop){extra}
+SELECT user_id, t_anchor, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, {out} FROM pc GROUP BY user_id, t_anchor, scale, start, stop"""
+
+
+def _steps(step: int, first: int = 0) -> str:
+    return f"SELECT user_id, length, CAST(x AS BIGINT) AS t_anchor, 0 AS scale FROM n, (SELECT unnest(range({first}, (SELECT CAST(max(length) AS BIGINT) FROM n), {step})) AS x) WHERE x < length"
+
+
+def _patches_of(spark, sf, geometry, sampler, window=None, anchors=None) -> DataFrame:
+    return tmp.TemporalPatcher(geometry, sampler, window or win.CausalBoxcar()).split(user_series(spark, sf), anchors)
+
+
+def _digest(cells: DataFrame, *more) -> DataFrame:
+    return cells.groupBy("user_id", "t_anchor", "scale", "start", "stop").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), *more).drop("scale")
+
+
+@query(_time_sql("4", "0", _steps(3)))
+def t_lookback(spark, sf):
+    return _digest(_patches_of(spark, sf, tmp.FixedLookback(5), smp.TemporalStride(3)))
+
+
+@query(_time_sql("11", "6", _steps(5)))
+def t_lookback_horizon(spark, sf):
+    return _digest(_patches_of(spark, sf, tmp.LookbackHorizon(12, 6), smp.TemporalStride(5)))
+
+
+@query(_time_sql("CASE scale WHEN 0 THEN 1 WHEN 1 THEN 4 ELSE 9 END", "0", "SELECT user_id, length, t_anchor, k AS scale FROM (" + _steps(4) + ") b(user_id, length, t_anchor, z), range(3) q(k)"))
+def t_multiscale(spark, sf):
+    return _digest(_patches_of(spark, sf, tmp.MultiScale((2, 5, 10)), smp.TemporalStride(4)))
+
+
+@query(_time_sql("2", "2", _steps(3)))
+def t_phase(spark, sf):
+    return _digest(_patches_of(spark, sf, tmp.PhaseWindow(24, 2), smp.TemporalStride(3)))
+
+
+@query("SELECT CAST(x // 7 AS BIGINT) AS seq, CAST(x AS BIGINT) AS t_anchor FROM range(0, (SELECT max(event_id) + 1 FROM events), 7) t(x)")
+def t_stride(spark, sf):
+    return smp.TemporalStride(7).table(spark, whole_series(spark, sf).domain.length)
+
+
+@query("SELECT CAST((x - 10) // 4 AS BIGINT) AS seq, CAST(x AS BIGINT) AS t_anchor FROM range(10, (SELECT max(event_id) + 1 FROM events), 4) t(x)")
+def t_causal(spark, sf):
+    return smp.CausalRolling(4, 10).table(spark, whole_series(spark, sf).domain.length)
+
+
+_EVENT = "SELECT n.user_id, length, t AS t_anchor, 0 AS scale FROM n JOIN (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS t, event_type FROM events) e ON e.user_id = n.user_id WHERE event_type = 'purchase'"
+
+
+@query(_time_sql("2", "1", _EVENT))
+def t_events(spark, sf):
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    at = events(spark, sf).select("user_id", "event_type", (F.row_number().over(order) - 1).cast("long").alias("t_anchor")).where("event_type = 'purchase'")
+    anchors = at.select("user_id", "t_anchor", F.col("t_anchor").alias("seq"))
+    return _digest(_patches_of(spark, sf, tmp.LookbackHorizon(3, 1), smp.EventTriggered(()), anchors=anchors))
+
+
+@query(_time_sql("2", "0", "SELECT user_id, length, t_anchor, 0 AS scale FROM n, (VALUES (0), (3), (7), (900000)) v(t_anchor) WHERE t_anchor < length").replace("user_id, t_anchor, CAST(start", "user_id, CAST(t_anchor AS BIGINT) AS t_anchor, CAST(start"))
+def t_explicit(spark, sf):
+    return _digest(_patches_of(spark, sf, tmp.FixedLookback(3), smp.TemporalExplicit((0, 3, 7, 900_000))))
+
+
+@query()
+def t_random(spark, sf):
+    return smp.TemporalRandom(25, 3).table(spark, whole_series(spark, sf).domain.length)
+
+
+@query(_time_sql("4", "0", _steps(3), "count(*) AS n, round(avg(value), 6) AS mean, round(sum(value * exp(-(stop - 1 - t) / 2.0)), 6) AS weighted"))
+def t_expdecay(spark, sf):
+    return _digest(_patches_of(spark, sf, tmp.FixedLookback(5), smp.TemporalStride(3), win.ExponentialDecay(2.0)), F.round(F.sum(F.col("value") * F.col("w")), 6).alias("weighted"))
+
+
+@query(_time_sql("7", "0", _steps(3), "count(*) AS n, round(avg(value), 6) AS mean, round(sum(value * w), 6) AS weighted",
+       ", pw AS (SELECT *, t - start AS k, stop - start AS m FROM pc), pz AS (SELECT *, CASE WHEN m <= 1 THEN 1 WHEN k <= floor(0.25 * m) THEN 0.5 * (1 + cos(pi() * (4.0 * k / m - 1))) WHEN k >= m - floor(0.25 * m) THEN 0.5 * (1 + cos(pi() * (4.0 * k / m - 3))) ELSE 1 END AS w FROM pw)").replace("FROM pc GROUP", "FROM pz GROUP"))
+def t_tukey(spark, sf):
+    return _digest(_patches_of(spark, sf, tmp.FixedLookback(8), smp.TemporalStride(3), win.TaperedTukey(0.5)), F.round(F.sum(F.col("value") * F.col("w")), 6).alias("weighted"))
+
+
+def _packed(spark, sf, geometry, step, first=0) -> DataFrame:
+    return tmp.TemporalPatcher(geometry, smp.TemporalStride(step, first)).packed(user_series(spark, sf))
+
+
+@query(f"WITH {_S}, a AS ({_steps(4)}), q AS (SELECT a.user_id, t_anchor, sum(value) AS total FROM a JOIN s ON s.user_id = a.user_id AND s.t > a.t_anchor - 4 AND s.t <= a.t_anchor GROUP BY a.user_id, t_anchor) SELECT user_id, round(list_reduce(list_prepend(0::DOUBLE, list(total ORDER BY t_anchor)), lambda x, y: x * 0.5 + y), 6) AS state FROM q GROUP BY user_id")
+def t_fold_sum(spark, sf):
+    packed = _packed(spark, sf, tmp.FixedLookback(4), 4)
+    folded = tmp.fold(packed, ["user_id"], F.lit(0.0), lambda a, data: a * 0.5 + F.aggregate(data, F.lit(0.0), lambda s, x: s + x))
+    return folded.select("user_id", r6("state"))
+
+
+@query(f"WITH {_S}, a AS ({_steps(3, 4)}) SELECT a.user_id, CAST(s.t - a.t_anchor + 4 AS INTEGER) AS pos, round(avg(value), 6) AS value FROM a JOIN s ON s.user_id = a.user_id AND s.t > a.t_anchor - 5 AND s.t <= a.t_anchor GROUP BY 1, 2")
+def t_mean(spark, sf):
+    return tmp.mean(_packed(spark, sf, tmp.FixedLookback(5), 3, 4), ["user_id"]).select("user_id", "pos", r6("value"))
+
+
+@query(f"WITH {_S}, a AS (SELECT user_id, length, t_anchor, k AS scale FROM ({_steps(6)}) b(user_id, length, t_anchor, z), range(2) q(k)) SELECT a.user_id, t_anchor, CASE scale WHEN 0 THEN '2' ELSE '6' END AS key, count(*) AS n, round(sum(value), 6) AS total FROM a JOIN s ON s.user_id = a.user_id AND s.t > a.t_anchor - CASE scale WHEN 0 THEN 2 ELSE 6 END AND s.t <= a.t_anchor GROUP BY 1, 2, 3")
+def t_hier(spark, sf):
+    out = tmp.hierarchical(_packed(spark, sf, tmp.MultiScale((2, 6)), 6), ["user_id"], (2, 6))
+    return out.select("user_id", "t_anchor", "key", F.size("data").cast("long").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(f"WITH {_S}, a AS ({_steps(5)}), p AS (SELECT a.user_id, t_anchor, list(value ORDER BY t) AS d FROM a JOIN s ON s.user_id = a.user_id AND s.t > a.t_anchor - 3 AND s.t <= least(a.t_anchor + 2, length - 1) GROUP BY 1, 2), "
+       "b AS (SELECT user_id, t_anchor, d, CASE WHEN len(d) >= 2 THEN len(d) - 2 ELSE greatest(0, 2 * len(d) - 2) END AS first FROM p) SELECT user_id, t_anchor, CAST(pos AS INTEGER) AS pos, d[first + pos + 1] AS value FROM b, range(2) r(pos) WHERE first + pos < len(d)")
+def t_forecast(spark, sf):
+    out = tmp.forecast(_packed(spark, sf, tmp.LookbackHorizon(3, 2), 5), ["user_id"], 2)
+    return out.select("user_id", "t_anchor", F.posexplode("data").alias("pos", "value"))
+
+
+@query("WITH a AS (SELECT x AS t_anchor FROM range(0, (SELECT max(event_id) + 1 FROM events), 50) t(x)) SELECT CAST(t_anchor // 50 AS BIGINT) AS seq, CAST(t_anchor AS BIGINT) AS t_anchor, count(*) AS n, round(sum(value), 6) AS total FROM a JOIN events ON event_id > t_anchor - 20 AND event_id <= t_anchor GROUP BY t_anchor")
+def t_split(spark, sf):
+    own = tmp.TemporalPatcher(tmp.FixedLookback(20), smp.TemporalStride(50)).split(whole_series(spark, sf))
+    return own.groupBy("seq", "t_anchor").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+# ---------------------------------------------------------------- space and time
+_ST = "u AS (SELECT event_id % 8 AS t, (event_id // 8) // 25 AS r, (event_id // 8) % 25 AS c, value FROM events), ar AS (SELECT x AS ar FROM range(0, greatest((SELECT max(r) + 1 FROM u) - 8 + 1, 1), 8) t(x)), ac AS (SELECT x AS ac FROM range(0, 18, 8) t(x)), tt AS (SELECT x AS t_anchor, greatest(0, x - 2) AS start, least(8, x + 1) AS stop FROM range(0, 8, 3) t(x))"
+_STC = "pc AS (SELECT ar, ac, t_anchor, start, u.r - ar AS i, u.c - ac AS j, u.t, value FROM u JOIN ar ON r >= ar AND r < ar + 8 JOIN ac ON c >= ac AND c < ac + 8 JOIN tt ON t >= start AND t < stop)"
+
+
+def _spacetime(coupling="product", pairs=()) -> st.SpatioTemporalPatcher:
+    return st.SpatioTemporalPatcher(patcher(size=8, step=8), tmp.TemporalPatcher(tmp.FixedLookback(3), smp.TemporalStride(3)), coupling, pairs)
+
+
+@query(f"WITH {_ST}, {_STC} SELECT CAST(ar AS BIGINT) AS ar, CAST(ac AS BIGINT) AS ac, CAST(t_anchor AS BIGINT) AS t_anchor, count(*) AS n, round(sum(value), 6) AS total FROM pc GROUP BY 1, 2, 3")
+def st_product(spark, sf):
+    return _spacetime().split(cube(spark, sf), 8).groupBy("ar", "ac", "t_anchor").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("WITH u AS (SELECT event_id % 8 AS t, (event_id // 8) // 25 AS r, (event_id // 8) % 25 AS c, value FROM events), a AS (SELECT * FROM (VALUES (0, 0, 0, 0), (1, 0, 8, 4), (2, 1, 3, 7)) v(seq, ar, ac, t_anchor)) SELECT CAST(seq AS BIGINT) AS seq, CAST(t_anchor AS BIGINT) AS t_anchor, count(*) AS n, round(sum(value), 6) AS total FROM a JOIN u ON r >= ar AND r < ar + 8 AND c >= ac AND c < ac + 8 AND t > t_anchor - 3 AND t <= t_anchor GROUP BY 1, 2")
+def st_coupled(spark, sf):
+    out = _spacetime("coupled", (((0, 0), 0), ((0, 8), 4), ((1, 3), 7))).split(cube(spark, sf), 8)
+    return out.groupBy("seq", "t_anchor").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query(f"WITH {_ST}, {_STC} SELECT CAST(ar AS BIGINT) AS ar, CAST(ac AS BIGINT) AS ac, CAST(i AS BIGINT) AS o_r, CAST(j AS BIGINT) AS o_c, CAST(t - start AS BIGINT) AS o_t, round(avg(value), 6) AS value FROM pc GROUP BY 1, 2, 3, 4, 5")
+def st_merge_mean(spark, sf):
+    own, plan = cube(spark, sf), _spacetime()
+    return plan.merge_mean(plan.split(own, 8), own).select("ar", "ac", "o_r", "o_c", "o_t", r6("value"))
+
+
+# ---------------------------------------------------------------- matched sources
+_M = f"q AS (SELECT l_orderkey // 100 AS r, l_orderkey % 100 AS c, 2 * min(l_quantity) AS quantity FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey), r0 AS ({_rows(True)}), r AS (SELECT r0.r, r0.c, r0.value AS primary_, q.quantity FROM r0 LEFT JOIN q ON q.r = r0.r AND q.c = r0.c)"
+_MP = f"{_M}, ar AS ({_lattice('ar')}), ac AS ({_lattice('ac', extent='100')}), pc AS (SELECT r.*, ar, ac, r.r - ar AS i, r.c - ac AS j FROM r JOIN ar ON r.r >= ar AND r.r < ar + 16 JOIN ac ON r.c >= ac AND r.c < ac + 16)"
+
+
+@query(f'WITH {_M} SELECT r, c, primary_ AS "primary", quantity FROM r WHERE r >= 2 AND r < 9 AND c >= 10 AND c < 60')
+def matched_select(spark, sf):
+    return matched(spark, sf).select((slice(2, 9), slice(10, 60)))
+
+
+@query(f"""WITH {_MP}, m AS (SELECT r, c, sum(CASE WHEN primary_ IS NOT NULL THEN {_HANN} ELSE 0 END) AS d, sum(primary_ * {_HANN}) AS n, max(quantity) AS quantity FROM pc GROUP BY r, c)
+SELECT r.r, r.c, round(CASE WHEN d > 0 THEN n / d ELSE 0 END, 6) AS "primary", coalesce(m.quantity, '-infinity'::DOUBLE) AS quantity FROM r LEFT JOIN m ON m.r = r.r AND m.c = r.c""")
+def matched_merge(spark, sf):
+    own, plan = matched(spark, sf), mat.MatchedSpatialPatcher(patcher(win.Hann()), {"quantity": agg.Max()})
+    return plan.merge(plan.split(own), own).select("r", "c", r6("primary"), "quantity")
+
+
+@query(f"WITH {_MP} SELECT ar, ac, count(*) AS n, count(primary_) AS n_primary, count(quantity) AS n_quantity FROM pc GROUP BY ar, ac")
+def matched_valid_mask(spark, sf):
+    cells = mat.MatchedSpatialPatcher(patcher()).split(matched(spark, sf))
+    return cells.groupBy("ar", "ac").agg(F.count("*").alias("n"), F.count_if("primary_valid").alias("n_primary"), F.count_if("quantity_valid").alias("n_quantity"))
+
+
+@query("WITH o AS (SELECT o_orderkey AS t, o_totalprice * 2 AS price FROM orders), a AS (SELECT x AS t_anchor FROM range(0, (SELECT max(event_id) + 1 FROM events), 40) t(x)) SELECT CAST(t_anchor AS BIGINT) AS t_anchor, count(*) AS n, round(sum(value), 6) AS total, round(sum(price), 6) AS price FROM a JOIN events e ON event_id > t_anchor - 15 AND event_id <= t_anchor LEFT JOIN o ON o.t = e.event_id GROUP BY t_anchor")
+def matched_temporal(spark, sf):
+    own = whole_series(spark, sf)
+    price = fld.series(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("t"), F.col("o_totalprice").alias("value")), length=own.domain.length)
+    plan = mat.MatchedTemporalPatcher(tmp.TemporalPatcher(tmp.FixedLookback(15), smp.TemporalStride(40)))
+    cells = plan.split(mat.MatchedField(own, {"price": price}, {"price": lambda p, v: p * 2}))
+    return cells.groupBy("t_anchor").agg(F.count("*").alias("n"), F.round(F.sum("primary"), 6).alias("total"), F.round(F.sum("price"), 6).alias("price"))
+
+
+@query(f"WITH {_ST}, {_STC} SELECT CAST(ar AS BIGINT) AS ar, CAST(ac AS BIGINT) AS ac, CAST(i AS BIGINT) AS o_r, CAST(j AS BIGINT) AS o_c, CAST(t - start AS BIGINT) AS o_t, round(avg(value), 6) AS value, round(avg(value * 10 - value), 6) AS other FROM pc GROUP BY 1, 2, 3, 4, 5")
+def matched_st(spark, sf):
+    own = cube(spark, sf)
+    both = mat.MatchedField(own, {"other": own.with_data(own.df.withColumn("value", F.col("value") * 10))}, {"other": lambda o, p: o - p})
+    plan = mat.MatchedSpatioTemporalPatcher(_spacetime())
+    merged = plan.merge_mean(plan.split(both, 8), both)
+    at = ["ar", "ac", "o_r", "o_c", "o_t"]
+    return merged["primary"].select(*at, r6("value")).join(merged["other"].select(*at, r6("value", "other")), at)
+
+
+# ---------------------------------------------------------------- whole-field statistics and runtime
+@query(f"{_patches()} SELECT count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM pc")
+def reduce_mean_std(spark, sf):
+    return patcher().reduce(raster(spark, sf), agg.MeanStd()).select("n", r6("mean"), r6("std"))
+
+
+@query(f"{_patches(True, 3, 2)}, s AS (SELECT seq, count(*) FILTER (WHERE value IS NULL) AS gaps, min(value) AS low, max(value) AS high FROM pc GROUP BY seq) SELECT coalesce(min(low), 'infinity'::DOUBLE) AS min, coalesce(max(high), '-infinity'::DOUBLE) AS max FROM s WHERE gaps = 0")
+def reduce_min_max(spark, sf):
+    return patcher(size=3, step=2).reduce(raster(spark, sf, True), agg.MinMax())
+
+
+@query(f"{_patches()}, s AS (SELECT avg(value) AS mean, stddev_samp(value) AS std FROM pc), m AS (SELECT r, c, avg((value - mean) / std) AS value FROM pc, s GROUP BY r, c) SELECT r.r, r.c, round(coalesce(m.value, 0), 6) AS value FROM r LEFT JOIN m ON m.r = r.r AND m.c = r.c")
+def two_pass_zscore(spark, sf):
+    out = patcher(aggregation=agg.Mean()).two_pass(raster(spark, sf), agg.MeanStd(), lambda v, stat: (v - stat("mean")) / stat("std"))
+    return out.select("r", "c", r6("value"))
+
+
+@query(f"{_patches()} SELECT seq, count(*) AS n, round(sum(value * 2), 6) AS total FROM pc GROUP BY seq")
+def parallel_map_double(spark, sf):
+    out = parallel_map(patcher(), raster(spark, sf), lambda values: values * 2)
+    return out.select("seq", F.size("data").cast("long").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(f"WITH ar AS ({_lattice('ar')}), ac AS ({_lattice('ac', extent='100')}), a AS (SELECT (ar // 8) * (SELECT count(*) FROM ac) + ac // 8 AS seq, ar, ac FROM ar, ac) SELECT seq, ar, ac FROM a WHERE NOT (seq % 3 = 0 AND seq % 2 = 0)")
+def journal_pending(spark, sf):
+    """Every third anchor was done; every second of those has a later failure, if it is odd."""
+    anchors = patcher().anchors(raster(spark, sf))
+    rows = anchors.where("seq % 3 = 0").select(policy.anchor_key("ar", "ac").alias("anchor"), F.lit("ok").alias("status"), F.lit(1).alias("written"), "seq")
+    later = rows.where("seq % 2 = 1").select("anchor", F.lit("error").alias("status"), F.lit(2).alias("written"), "seq")
+    done = policy.latest_ok(rows.unionByName(later)).select(F.col("anchor").alias("_done"))
+    return anchors.join(done, policy.anchor_key("ar", "ac") == F.col("_done"), "left_anti")
+
+
+@query(f"{_patches(size=4, step=4)} SELECT CAST(seq AS BIGINT) AS slot, round(sum(value), 6) AS total FROM pc WHERE r < 8 GROUP BY seq")
+def stack_patches(spark, sf):
+    own = raster(spark, sf)
+    first = fld.raster(own.df.where("r < 8"), 8, WIDTH)  # two rows of patches: a stack is one row
+    out = policy.stack_patches(patcher(size=4, step=4).packed(first))
+    return out.select(F.posexplode("stacked").alias("slot", "data")).select(F.col("slot").cast("long").alias("slot"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query(f"{_patches(size=10, step=10)}, p AS (SELECT seq, sum(value) AS total FROM pc GROUP BY seq), n AS (SELECT count(*) AS n FROM p), s AS (SELECT x AS seq FROM range(0, (SELECT CAST((n + 6) // 7 * 7 AS BIGINT) FROM n)) t(x)) SELECT CAST(s.seq // 7 AS BIGINT) AS batch, CAST(s.seq % 7 AS BIGINT) AS slot, total IS NOT NULL AS valid, round(coalesce(total, 0), 6) AS total FROM s LEFT JOIN p ON p.seq = s.seq")
+def batch_split(spark, sf):
+    out = policy.batch_split(patcher(size=10, step=10).packed(raster(spark, sf)), 7)
+    return out.select("batch", "slot", "valid", F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
