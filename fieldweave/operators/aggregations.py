@@ -319,7 +319,8 @@ class ApproxCardinality(Configured):
             raise ValueError("p must lie in 4..16")
 
     def sketch(self, df: DataFrame, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
-        return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.hll_sketch_agg(value, self.p).alias("sketch"))
+        own = F.col(value).cast("string") if dict(df.dtypes)[value] in ("double", "float", "boolean") else F.col(value)
+        return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.hll_sketch_agg(own, self.p).alias("sketch"))
 
     @staticmethod
     def merge(sketches: DataFrame) -> DataFrame:

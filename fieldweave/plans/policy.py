@@ -79,11 +79,11 @@ class Journal(Configured):
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
             return spark.createDataFrame([], JOURNAL + ", written long")
-        parsed = spark.read.schema(JOURNAL + ", written long, _bad string").option("columnNameOfCorruptRecord", "_bad").json(self.path).persist()
-        if n := parsed.where("_bad is not null").count():
-            warnings.warn(f"{n} malformed journal rows", RuntimeWarning, stacklevel=2)
-        out = parsed.where("_bad is null").drop("_bad")
-        return out
+        parsed = spark.read.schema(JOURNAL + ", written long, _bad string").option("columnNameOfCorruptRecord", "_bad").json(self.path)
+        bad, _ = parsed.agg(F.count("_bad"), F.count("anchor")).first()  # a scan of the bad rows alone isn't allowed
+        if bad:
+            warnings.warn(f"{bad} malformed journal rows", RuntimeWarning, stacklevel=2)
+        return parsed.where("_bad is null").drop("_bad")
 
     def done(self, spark: SparkSession) -> DataFrame:
         return latest_ok(self.read(spark))
