@@ -275,7 +275,8 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the documents that are near copies of one that stays."""
     found = shared.materialize(classes(docs))
-    losers = found.where("doc_id <> class_id").distinct().select(F.col("doc_id").alias("_loser"))
+    # never a broadcast: the losers grow with the corpus
+    losers = found.where("doc_id <> class_id").distinct().select(F.col("doc_id").alias("_loser")).hint("merge")
     kept = docs.join(losers, docs["doc_id"] == losers["_loser"], "left_anti")
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
