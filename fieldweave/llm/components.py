@@ -11,14 +11,15 @@ from fieldweave.llm import shared
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's least neighbour."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = shared.materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    # both sides of the join are read from tables, so that Spark can split a node with many neighbours
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, are linked to the least of them (edges go from large to small)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    far = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = shared.materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
+    far = edges.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return far.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -38,5 +39,5 @@ def components(edges: DataFrame) -> DataFrame:
         if seen[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, old = seen, now
-        now = shared.materialize(_small_star(_large_star(now)))
+        now = shared.materialize(_small_star(shared.materialize(_large_star(now))))
         shared.discard(old)

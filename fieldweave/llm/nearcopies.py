@@ -15,8 +15,12 @@ Texts with equal word sequences are one node from the start.  The members of a b
 bucket are verified together, as one unit, without making pairs of rows; a unit is
 compared from one member to all others at once, and only across what isn't linked yet,
 which finds exactly the components of all pairs.  A bucket of more than ``UNIT`` texts
-or ``UNIT_BYTES`` is dealt into several units that all hold the bucket's first text, by a
-hash that differs from band to band, so that its parts meet in other bands too.
+or ``UNIT_BYTES`` is dealt into several units that all hold the bucket's first text.  If that
+leaves its texts in several classes, the pairs that no unit held are looked for exactly:
+of two texts as similar as THRESHOLD, the rarest shingles that make up just over
+1 - THRESHOLD of their weights have one in common (prefix filter, rarest in the bucket
+first).  Texts meet again by these shingles; where such a group is still too large for one
+unit, every two of its parts meet.  Groups whose texts are one class by then are left out.
 
 Defined results: null, empty and blank texts have equal (empty) word sequences and so are
 one class; rows that share a doc_id are one document; rows with a null doc_id are left
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.llm import shared
@@ -69,10 +73,10 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, idf: np.ndarray) -> tu
         begin = np.concatenate([[0], np.cumsum(count)])
         keys, tops = [], []
         for i in short:
-            value = np.uint64(count[i])
+            value = np.array([count[i]], np.uint64)
             for x in h[begin[i] : begin[i + 1]]:
-                value = shared.mix(np.array([value * np.uint64(shared.BASE) + x]))[0]
-            keys.append(value)
+                value = shared.mix(value * np.uint64(shared.BASE) + x)
+            keys.append(value[0])
             tops.append(rare[begin[i] : begin[i + 1]].max())
         key, owner, best = np.append(key, np.array(keys, np.uint64)), np.append(owner, short), np.append(best, tops)
     order = np.lexsort((key, owner))
@@ -161,8 +165,11 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.mapInArrow(sign, "doc_id long, words binary, size long, bands array<long>")
 
 
-def units(texts: DataFrame) -> DataFrame:
-    """``unit, doc_id``: what is to be verified together; ``texts`` has doc_id, size and bands."""
+def units(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``unit, doc_id``: what is to be verified together; and the members of buckets in several units.
+
+    ``texts`` has doc_id, size and bands.
+    """
     members = texts.select(F.col("doc_id"), "size", F.posexplode("bands").alias("band", "key"))
     hashed = F.xxhash64("doc_id").cast("decimal(20,0)")
     buckets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("doc_id").alias("hub"), F.sum(hashed).alias("mark")).where("n > 1")
@@ -170,10 +177,59 @@ def units(texts: DataFrame) -> DataFrame:
     parts = F.greatest(F.ceil(F.col("n") / UNIT), F.ceil(F.col("bytes") / UNIT_BYTES))
     own = buckets.groupBy("n", "hub", "mark").agg(F.min(F.struct("band", "key", "bytes")).alias("b")).select("b.*", "n", "hub").withColumn("parts", parts)
     own = shared.materialize(own)
-    part = F.pmod(F.xxhash64("doc_id", "band"), F.col("parts"))
+    part = _part("doc_id", "band")
     dealt = members.join(own, ["band", "key"]).where("parts = 1 or doc_id <> hub").select(F.xxhash64("band", "key", part).alias("unit"), "doc_id")
     hubs = own.where("parts > 1").select("band", "key", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    return dealt.unionAll(hubs.select(F.xxhash64("band", "key", "part").alias("unit"), F.col("hub").alias("doc_id")))
+    large = members.join(own.where("parts > 1").select("band", "key"), ["band", "key"]).select("band", "key", "doc_id")
+    return dealt.unionAll(hubs.select(F.xxhash64("band", "key", "part").alias("unit"), F.col("hub").alias("doc_id"))), large
+
+
+def _part(*by: str):
+    return F.pmod(F.xxhash64(*by), F.col("parts"))
+
+
+def _several(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Groups whose members (with ``root``) are in more than one class."""
+    return rows.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("low <> high").drop("low", "high")
+
+
+def rest_units(large: DataFrame, docs: DataFrame, roots: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``unit, doc_id`` that bring together all similar texts of large buckets that aren't in one class yet.
+
+    ``large`` has band, key and doc_id; ``roots`` the class of each document that isn't its class's first.
+    """
+    held = large.sparkSession.sparkContext.broadcast(idf)
+    placed = large.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    open_ = _several(placed.withColumn("size", F.lit(0).cast("long")), ["band", "key"]).select("band", "key")
+    rows = placed.join(open_, ["band", "key"]).join(docs, "doc_id").select("band", "key", "doc_id", "root", "text")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = _lower(batch)
+            for b in shared.blocks(text):
+                owner, key, weight = shingles(*_words(b), b.n, held.value)
+                at = pa.array(owner + b.first)
+                own = [batch.column(c).take(at) for c in ("band", "key", "doc_id", "root")]
+                size = pa.array(np.diff(b.offs)[owner])
+                yield pa.RecordBatch.from_arrays([*own, size, pa.array(shared.signed(key)), pa.array(weight)], names=["band", "key", "doc_id", "root", "size", "shingle", "weight"])
+
+    exploded = rows.mapInArrow(spread, "band int, key long, doc_id long, root long, size long, shingle long, weight double")
+    cells = shared.materialize(exploded)
+    often = cells.groupBy("band", "key", "shingle").agg(F.count("*").alias("often")).where("often > 1")
+    # a shingle of one text alone can't be shared, but its weight counts towards the prefix
+    ranked = cells.join(often, ["band", "key", "shingle"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    order = Window.partitionBy("band", "key", "doc_id").orderBy("often", "shingle")
+    whole = Window.partitionBy("band", "key", "doc_id")
+    before = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("weight")
+    first = ranked.withColumns({"before": before, "total": F.sum("weight").over(whole)}).where((F.col("before") <= (1 - THRESHOLD) * F.col("total") + 1e-9) & (F.col("often") > 1))
+    by = ["band", "key", "shingle"]
+    first = shared.materialize(first.select(*by, "doc_id", "root", "size"))
+    groups = _several(first, by).withColumn("parts", F.greatest(F.ceil(F.col("n") / UNIT), F.ceil(F.col("bytes") / UNIT_BYTES))).select(*by, "parts")
+    met = first.join(groups, by).withColumn("part", _part("doc_id", "shingle"))
+    alone = met.where("parts = 1").select(F.xxhash64(*by).alias("unit"), "doc_id")
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: q != F.col("part")))
+    pairs = met.where("parts > 1").withColumn("other", others).select(F.xxhash64(*by, F.least("part", "other"), F.greatest("part", "other")).alias("unit"), "doc_id")
+    return alone.unionAll(pairs)
 
 
 def linked(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
@@ -263,12 +319,16 @@ def classes(docs: DataFrame) -> DataFrame:
     idf = document_frequencies(docs)
     signed = shared.materialize(signatures(docs, idf))
     texts = shared.materialize(signed.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    to_verify = shared.materialize(units(texts))
+    to_verify, large = units(texts)
+    to_verify, large = shared.materialize(to_verify), shared.materialize(large)
     # the same join at every size: what is verified grows with the corpus and is never broadcast
     edges = verify(to_verify.hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf)
     # rows that share a doc_id are one document, whatever their texts
     same = signed.join(texts.select("words", F.col("doc_id").alias("first")), "words").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     roots = components(edges.unionAll(same.where("u <> v").distinct()))
+    if not large.isEmpty():
+        more = verify(shared.materialize(rest_units(large, docs, roots, idf)).hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf)
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
     return signed.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
 

@@ -23,7 +23,13 @@ BLOCK = 1 << 20
 
 # ---------------------------------------------------------------- tables
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of fewer splits than half the cores (one small file) to more tasks; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, 32)) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def scratch(spark: SparkSession) -> str:

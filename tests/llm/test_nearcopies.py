@@ -74,6 +74,29 @@ def test_large_bucket_in_several_units(spark, monkeypatch):
     assert all(got[1000 + i] == 1000 + i for i in range(20))
 
 
+def test_pairs_that_no_unit_held(spark, monkeypatch):
+    """One bucket of three kinds of texts that share a passage: only likeness within a kind counts."""
+    rng = np.random.default_rng(8)
+    passage, docs = " ".join(f"p{i}" for i in range(40)), []
+    for i in range(90):
+        words = [f"k{i % 3}_{j}" for j in range(80)]
+        words[rng.integers(0, 80)] = f"edit{i}"
+        docs.append((i, passage + " " + " ".join(words)))
+    docs += [(200 + i, passage + " " + " ".join(f"z{i}_{j}" for j in range(80))) for i in range(30)]
+    own = spark.createDataFrame(docs, "doc_id long, text string")
+    idf = nc.document_frequencies(own)
+    large = own.selectExpr("1 AS band", "7L AS key", "doc_id")
+    nobody = spark.createDataFrame([], "node long, root long")
+    for size in (1024, 12):
+        monkeypatch.setattr(nc, "UNIT", size)
+        met = nc.rest_units(large, own, nobody, idf)
+        edges = nc.verify(met.join(own, "doc_id").select("unit", "doc_id", "text"), idf)
+        roots = {r.node: r.root for r in components(edges).collect()}
+        assert roots == {d: c for d, c in brute(docs).items() if d != c}
+        done = spark.createDataFrame([(d, 0) for d, _ in docs if d], "node long, root long")
+        assert nc.rest_units(large, own, done, idf).count() == 0
+
+
 def test_edges_of_the_input(spark):
     docs = [(5, None), (6, ""), (7, " \n\t"), (8, "one two"), (9, "One  two"), (10, "one"), (11, "x y z " * 50_000), (12, "x y z " * 50_000)]
     assert classes(spark, docs) == {5: 5, 6: 5, 7: 5, 8: 8, 9: 8, 10: 10, 11: 11, 12: 11}
