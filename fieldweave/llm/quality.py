@@ -188,7 +188,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 80, dept
 def sample_features(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids, features and qualities of at most ``max_rows`` labelled documents, by hash order of the id."""
     chosen = (
-        labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+        labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     names = list(FEATURES)
@@ -197,7 +197,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAI
         return pa.RecordBatch.from_arrays([ids, *(pa.array(features[:, j]) for j in range(len(names)))], names=["doc_id", *names])
 
     # at most max_rows ids are broadcast
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    own = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     rows = own.mapInArrow(lambda it: _batches(it, "doc_id", each), "doc_id long, " + ", ".join(f"{x} double" for x in names))
     got = rows.join(F.broadcast(chosen), "doc_id").toPandas().sort_values(["doc_id", *names], kind="stable")
     return got["doc_id"].to_numpy(), got[names].to_numpy(float), got["quality"].to_numpy(float)

@@ -93,7 +93,104 @@ QUERIES = {
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1))"
 _DIR = "split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)', 1), '/', 1)"
 
+
+
+def _erfc(x: str) -> str:
+    t = f"(1 / (1 + ({x}) / 2))"
+    fit = f"({secret_scan.ERFC[-1]})"
+    for c in reversed(secret_scan.ERFC[:-1]):
+        fit = f"({fit} * {t} + ({c}))"
+    return f"({t} * exp(-({x}) * ({x}) + {fit}))"
+
+
+def _tail(z: str) -> str:
+    root = "1.4142135623730951"
+    return f"(CASE WHEN {z} < 0 THEN {_erfc(f'-({z}) / {root}')} / 2 ELSE 1 - {_erfc(f'({z}) / {root}')} / 2 END)"
+
+
+def _two_sided(z: str) -> str:
+    return f"least(1.0, {_erfc(f'abs({z}) / 1.4142135623730951')})"
+
+
+def _sql_spans(kind: int, pattern: str, keep: str = "true", value: int = 0) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, n, {kind} AS kind, list_sum([length(g[j]) FOR j IN range(1, i + 1)]) + coalesce(list_sum([length(m[j]) FOR j IN range(1, i)]), 0) AS s, m[i] AS tok
+  FROM (SELECT doc_id, n, string_split_regex(t, '{quoted}') AS g, regexp_extract_all(t, '{quoted}') AS m, regexp_extract_all(t, '{quoted}', {value}) AS v FROM d) z, unnest(range(1, len(m) + 1)) u(i) WHERE {keep}"""
+
+
+def _by_encoding(values: dict) -> str:
+    return "CASE enc " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in values.items()) + " END"
+
+
+_B64 = f"string_split('{secret_scan.ALPHABETS['base64']}', '')"
+_LEAST = " ".join(f"WHEN n_ >= {n} THEN {i + 1}" for i, n in reversed(list(enumerate(secret_scan.LENGTHS[1:]))))
+
+
+
+def _license_sql() -> str:
+    model = license_scan.train()
+    words = "|".join(sorted(set(license_scan.ANCHORS), key=lambda w: (-len(w), w)))
+    weights = ", ".join(f"('{g}', {list(w)!r}::DOUBLE[])" for g, w in model.weights.items())
+    templates = ", ".join(f"('{f}', {sorted(set(t.split()))!r})" for f, ts in license_scan.NOTICES.items() for t in ts)
+    logits = ", ".join(f"{b!r} + coalesce(sum(w[{i + 1}]), 0)" for i, b in enumerate(model.bias))
+    return f"""
+WITH m(gram, w) AS (VALUES {weights}), tpl(family, words) AS (VALUES {templates}),
+d AS (SELECT doc_id, row_number() OVER () AS n, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, n, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM d),
+a AS (SELECT doc_id, n, line, regexp_extract_all(lower(t), '{license_scan.WORD}') AS words FROM l WHERE regexp_matches(t, '(?i)(^|[^a-z0-9])({words})($|[^a-z0-9])')),
+g AS (SELECT n, line, unnest(list_distinct(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))])) AS gram FROM a),
+z AS (SELECT a.n, a.line, [{logits}] AS z FROM a LEFT JOIN g ON g.n = a.n AND g.line = a.line LEFT JOIN m ON m.gram = g.gram GROUP BY a.n, a.line),
+e AS (SELECT n, line, [exp((v - list_max(z)) / {model.temperature!r}) FOR v IN z] AS e FROM z),
+p AS (SELECT n, line, list_max(e) / list_sum(e) AS probability, list_position(e, list_max(e)) AS top FROM e),
+f AS (SELECT *, CASE WHEN probability >= {license_scan.CERTAIN} THEN {[*model.families, "unknown"]!r}[top] ELSE 'unknown' END AS family FROM p),
+k AS (SELECT a.doc_id, a.line, f.family, f.probability, coalesce((SELECT max(len(list_intersect(list_distinct(a.words), tpl.words)) / len(tpl.words)) FROM tpl WHERE tpl.family = f.family), 0) AS likeness FROM a JOIN f ON f.n = a.n AND f.line = a.line)
+SELECT doc_id, CAST(line AS BIGINT) AS line, family, round(probability, 6) AS probability, round(likeness, 6) AS likeness, family <> 'unknown' AND round(likeness, 6) >= {license_scan.ALIKE} AS confirmed FROM k
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scans": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
+base AS ({_sql_spans(0, secret_scan.ASSIGN, "length(v[i]) >= 6", 2)}
+  UNION ALL {_sql_spans(1, secret_scan.ACCESS)}
+  UNION ALL {_sql_spans(2, secret_scan.HEX)}),
+tok AS (SELECT *, CASE WHEN regexp_full_match(tok, '[0-9a-f]+|[0-9A-F]+') THEN 'hex' WHEN regexp_full_match(tok, '[A-Z2-7]+') THEN 'base32' ELSE 'base64' END AS enc
+  FROM ({_sql_spans(3, secret_scan.TOKEN.split(")", 1)[1])}) WHERE regexp_matches(tok, '[0-9]') AND regexp_matches(tok, '[A-Za-z]')),
+norm AS (SELECT *, CASE enc WHEN 'hex' THEN lower(tok) WHEN 'base32' THEN tok ELSE translate(tok, '-_', '+/') END AS x, CAST(length(tok) AS DOUBLE) AS n_,
+  {_by_encoding(secret_scan.ALPHABETS)} AS a, {_by_encoding(secret_scan.EXCESS)} AS excess, {_by_encoding(secret_scan.KEEPS)} AS keeps FROM tok),
+chars AS (SELECT *, CAST(length(a) AS DOUBLE) AS k, list_sum([power(length(x) - length(replace(x, c, '')), 2) FOR c IN {_B64}]) AS squares,
+  [CAST(instr(a, c) AS DOUBLE) FOR c IN string_split(x, '')] AS place FROM norm),
+mid AS (SELECT *, list_sum(place) / n_ AS m, [CASE WHEN p > k / 2 THEN 1 ELSE 0 END FOR p IN place] AS b FROM chars),
+sums AS (SELECT *, CAST(list_sum(b) AS DOUBLE) AS ones, 1 + list_sum([CASE WHEN b[i] <> b[i + 1] THEN 1.0 ELSE 0.0 END FOR i IN range(1, len(b))]) AS runs,
+  list_sum([(place[i] - m) * (place[i + 1] - m) FOR i IN range(1, len(place))]) AS top, list_sum([(p - m) * (p - m) FOR p IN place]) AS var FROM mid),
+stats AS (SELECT *, k / n_ * squares - n_ AS chi, 2 * ones * (n_ - ones) / n_ + 1 AS mu, CASE WHEN var > 0 THEN top / var * sqrt(n_) END AS zs FROM sums),
+zed AS (SELECT *, (runs - mu) / sqrt(greatest((mu - 1) * (mu - 2) / (n_ - 1), 1e-9)) AS zr, (chi - (k - 1)) / sqrt(2 * (k - 1)) AS ze,
+  (chi - (k - 1 + n_ * excess)) / sqrt(2 * (k - 1) + 4 * n_ * excess) AS zo FROM stats),
+tested AS (SELECT *, 3 * least(CASE WHEN ones = 0 OR ones = n_ THEN 0.0 ELSE {_two_sided("zr")} END, coalesce({_two_sided("zs")}, 0.0), {_tail("ze")}) < {secret_scan.VETO} AS fails,
+  greatest({_tail("zo")} * power(keeps, n_), 1e-300) AS q FROM zed),
+binned AS (SELECT *, enc || ':' || CASE {_LEAST} ELSE 0 END AS class, least(floor(-10 * log10(CASE WHEN fails THEN 1.0 ELSE least(1.0, q * (1 - ln(q))) END)), {secret_scan.BINS}) AS bin FROM tested),
+ranked AS (SELECT class, bin, count(*) OVER (PARTITION BY class) AS total, count(*) OVER (PARTITION BY class ORDER BY bin DESC RANGE UNBOUNDED PRECEDING) AS above FROM binned),
+least_ AS (SELECT class, min(bin) AS bin FROM ranked WHERE power(10, -bin / 10) <= {secret_scan.RATE} * above / total GROUP BY class),
+found AS (SELECT b.doc_id, b.n, b.kind, b.s, b.tok FROM binned b JOIN least_ l ON l.class = b.class AND b.bin >= l.bin
+  WHERE NOT EXISTS (SELECT 1 FROM base x WHERE x.n = b.n AND x.s <= b.s AND x.s + length(x.tok) >= b.s + length(b.tok))),
+spans AS (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || CAST(s AS VARCHAR) || ':' || CAST(s + length(tok) AS VARCHAR) AS label FROM (SELECT doc_id, n, kind, s, tok FROM base UNION ALL SELECT * FROM found)),
+each AS (SELECT n, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE kind = 3) AS n_random,
+  string_agg(label, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg(label, ',' ORDER BY s, kind) AS spans FROM spans GROUP BY n)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_random, 0) AS n_random
+FROM d LEFT JOIN each ON each.n = d.n
+""",
+    "op3_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, unnest(range(0, octet_length(b) - 99)) AS i, unnest([b[j + 1:j + 100] FOR j IN range(0, octet_length(b) - 99)]) AS s FROM d),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+starts AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM again),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM starts) GROUP BY doc_id, g),
+kept AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS z FROM runs
+  UNION ALL SELECT d.doc_id, coalesce(max(r.z), 0), any_value(octet_length(b)) FROM d LEFT JOIN runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id),
+rest AS (SELECT d.doc_id, string_agg(hex(b[k.a + 1:k.z]), '' ORDER BY k.a) AS h, count(*) - 1 AS n_spans, sum(k.z - k.a) AS n_kept FROM d JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(octet_length(b) - n_kept AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN rest t ON t.doc_id = d.doc_id
+""",
     "op5_url_filters": f"""
 WITH cap AS (SELECT page_id, url, page_id * 7919 % 1461 AS day, coalesce({_HOST}, '') AS host, coalesce({_DIR}, '') AS dir FROM pages),
 hosts AS (SELECT host, min(page_id) AS m FROM cap WHERE host <> '' GROUP BY host),
@@ -126,3 +223,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 're
 FROM e
 """,
 }
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of all queries that have one; that of the licence scan holds its fitted weights."""
+    return ORACLE_SQL | {"op7_license_scans": _license_sql()}

@@ -49,6 +49,8 @@ LENGTHS = [20, 32, 48, 80]
 RATE, VETO, BINS = 0.01, 0.001, 3000
 MASK = "[SECRET]"
 _STEP = 256
+# Fixed coefficients of a published fit to the complementary error function.
+ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
 
 def let(value: Column, body) -> Column:
@@ -94,12 +96,10 @@ def _spans(kind: int, matches: Column) -> Column:
 # ---------------------------------------------------------------- tests
 def _erfc(x: Column) -> Column:
     """Complementary error function for x >= 0, by a rational Chebyshev fit of relative error 1.2e-7."""
-    # Fixed coefficients of the published fit.
-    c = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
     def fit(t: Column) -> Column:
-        s = F.lit(c[-1])
-        for k in reversed(c[:-1]):
+        s = F.lit(ERFC[-1])
+        for k in reversed(ERFC[:-1]):
             s = s * t + F.lit(k)
         return t * F.exp(-x * x + s)
 

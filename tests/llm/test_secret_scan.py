@@ -99,6 +99,21 @@ def test_equals_brute_force(spark):
     assert found > 30
 
 
+def test_equals_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from fieldweave.llm.queries import ORACLE_SQL
+
+    texts = [*made(4), None, "", "token=abcdef " * 3]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = con.sql(ORACLE_SQL["op1_secret_scans"]).fetchall()
+    got = run(spark, list(enumerate(texts)))
+    assert sorted(want) == sorted((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans, r.n_random) for r in got.values())
+    assert sum(r[-1] for r in want) > 10
+
+
 def test_random_tokens_are_found_and_ordinary_ones_left(spark):
     r = random.Random(3)
     keys = [base64.b64encode(r.randbytes(30)).decode() for _ in range(40)]
