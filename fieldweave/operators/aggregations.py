@@ -27,6 +27,23 @@ def known(xs: Column) -> Column:
     return F.filter(xs, lambda x: x["v"].isNotNull())
 
 
+def plus(columns: list[Column]) -> Column:
+    """Sum of columns, NULL as 0."""
+    out = F.lit(0.0)
+    for c in columns:
+        out = out + F.coalesce(c, F.lit(0.0))
+    return out
+
+
+def count_of(terms: list[tuple[Column, Column]]) -> Column:
+    return plus([F.when(v.isNotNull(), F.lit(1.0)) for v, _ in terms])
+
+
+def extreme(f: Callable, terms, empty: float) -> Column:
+    vs = [v for v, _ in terms]
+    return F.coalesce(f(*vs) if len(vs) > 1 else vs[0], F.lit(empty))
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.try_divide(a, b)).otherwise(F.lit(0.0))
 
@@ -48,6 +65,14 @@ class Aggregation(Configured):
         """Result from an array of structs (v, w)."""
         raise NotImplementedError
 
+    def prepared(self, terms: list[tuple[Column, Column]]) -> dict[str, Column]:
+        """Columns that :meth:`unrolled` uses more than once, so that they are computed once."""
+        return {}
+
+    def unrolled(self, terms: list[tuple[Column, Column]]) -> dict[str, Column]:
+        """Result from a fixed list of (v, w), v NULL where there is none; plain arithmetic where the aggregation has it."""
+        return self.local(F.array(*[F.struct(v.alias("v"), w.alias("w")) for v, w in terms]))
+
     def untouched(self) -> dict[str, Column]:
         """What a cell without any covering value has."""
         return {"value": F.lit(0.0)}
@@ -58,6 +83,9 @@ class Sum(Aggregation):
     def grouped(self, v, w):
         return {"value": F.coalesce(F.sum(v), F.lit(0.0))}
 
+    def unrolled(self, terms):
+        return {"value": plus([v for v, _ in terms])}
+
     def local(self, xs):
         return {"value": total(xs, lambda x: x["v"])}
 
@@ -67,6 +95,9 @@ class Max(Aggregation):
     def grouped(self, v, w):
         return {"value": F.coalesce(F.max(v), F.lit(-INF))}
 
+    def unrolled(self, terms):
+        return {"value": extreme(F.greatest, terms, -INF)}
+
     def local(self, xs):
         return {"value": F.coalesce(F.array_max(F.transform(xs, lambda x: x["v"])), F.lit(-INF))}
 
@@ -79,6 +110,9 @@ class Min(Aggregation):
     def grouped(self, v, w):
         return {"value": F.coalesce(F.min(v), F.lit(INF))}
 
+    def unrolled(self, terms):
+        return {"value": extreme(F.least, terms, INF)}
+
     def local(self, xs):
         return {"value": F.coalesce(F.array_min(F.transform(xs, lambda x: x["v"])), F.lit(INF))}
 
@@ -93,6 +127,9 @@ class WeightedSum(Aggregation):
     def grouped(self, v, w):
         return {"value": F.coalesce(F.sum(v * w), F.lit(0.0))}
 
+    def unrolled(self, terms):
+        return {"value": plus([v * w for v, w in terms])}
+
     def local(self, xs):
         return {"value": total(xs, lambda x: x["v"] * x["w"])}
 
@@ -104,6 +141,9 @@ class Mean(Aggregation):
     def grouped(self, v, w):
         return {"value": F.coalesce(F.avg(v), F.lit(0.0))}
 
+    def unrolled(self, terms):
+        return {"value": ratio(plus([v for v, _ in terms]), count_of(terms))}
+
     def local(self, xs):
         return {"value": ratio(total(xs, lambda x: x["v"]), F.size(known(xs)).cast("double"))}
 
@@ -115,6 +155,15 @@ class Variance(Aggregation):
     def grouped(self, v, w):
         return {"value": F.when(F.count(v) > 1, F.var_samp(v)).otherwise(F.lit(0.0))}
 
+    def prepared(self, terms):
+        return {"_near": F.coalesce(*[v for v, _ in terms])}
+
+    def unrolled(self, terms):
+        # differences from one of the values keep the sums small
+        n, ds = count_of(terms), [v - F.col("_near") for v, _ in terms]
+        spread = plus([d * d for d in ds]) - F.try_divide(plus(ds) * plus(ds), n)
+        return {"value": F.when(n > 1, F.greatest(F.lit(0.0), F.try_divide(spread, n - 1))).otherwise(F.lit(0.0))}
+
     def local(self, xs):
         vs = F.transform(known(xs), lambda x: x["v"])
         n = F.size(vs)
@@ -135,6 +184,10 @@ class OverlapAdd(Aggregation):
     def finish(self, df):
         return df.withColumn("value", ratio(F.col("value"), F.col("_weight"))).drop("_weight") if self.normalize else df
 
+    def unrolled(self, terms):
+        top = plus([v * w for v, w in terms])
+        return {"value": ratio(top, plus([F.when(v.isNotNull(), w) for v, w in terms])) if self.normalize else top}
+
     def local(self, xs):
         top = total(xs, lambda x: x["v"] * x["w"])
         return {"value": ratio(top, total(known(xs), lambda x: x["w"])) if self.normalize else top}
@@ -157,6 +210,10 @@ class InvVarWeightedMean(Aggregation):
         ok = (precision > 0) & ~F.isnan(precision)
         return {"mu": F.when(ok, F.try_divide(top, precision)).otherwise(F.lit(0.0)), "var": F.when(ok, F.try_divide(F.lit(1.0), precision)).otherwise(F.lit(INF))}
 
+    def unrolled(self, terms):
+        own = terms
+        return self._fused(plus([F.try_divide(w * v["mu"], v["var"]) for v, w in own]), plus([F.try_divide(w, v["var"]) for v, w in own]))
+
     def local(self, xs):
         return self._fused(total(xs, lambda x: F.try_divide(x["w"] * x["v"]["mu"], x["v"]["var"])), total(xs, lambda x: F.try_divide(x["w"], x["v"]["var"])))
 
@@ -182,6 +239,10 @@ class HardVote(Aggregation):
         names = [f"_n{k}" for k in range(self.n_classes)]
         return df.withColumn("value", _first_largest(F.array(*names))).drop(*names)
 
+    def unrolled(self, terms):
+        own = terms
+        return {"value": _first_largest(F.array(*[plus([F.when(v == k, F.lit(1.0)) for v, _ in own]) for k in range(self.n_classes)]))}
+
     def local(self, xs):
         votes = [F.size(F.filter(xs, self._is(k))) for k in range(self.n_classes)]
         return {"value": _first_largest(F.array(*votes))}
@@ -207,6 +268,10 @@ class SoftVote(Aggregation):
         names = [f"_p{k}" for k in range(self.n_classes)]
         return df.withColumn("value", _first_largest(F.array(*names))).drop(*names)
 
+    def unrolled(self, terms):
+        own = terms
+        return {"value": _first_largest(F.array(*[plus([F.get(v, F.lit(k)) for v, _ in own]) for k in range(self.n_classes)]))}
+
     def local(self, xs):
         return {"value": _first_largest(F.array(*[total(xs, lambda x, k=k: F.get(x["v"], F.lit(k))) for k in range(self.n_classes)]))}
 
@@ -223,12 +288,21 @@ class Median(Aggregation):
     def grouped(self, v, w):
         return {"value": F.coalesce(F.percentile(v, F.lit(0.5)), F.lit(float("nan")))}
 
-    def local(self, xs):
-        vs = F.array_sort(F.transform(known(xs), lambda x: x["v"]))
+    def prepared(self, terms):
+        return {"_sorted": F.sort_array(F.array_compact(F.array(*[v for v, _ in terms])))}
+
+    def unrolled(self, terms):
+        return self._middle(F.col("_sorted"))
+
+    @staticmethod
+    def _middle(vs: Column) -> dict[str, Column]:
         n = F.size(vs)
         low, high = F.get(vs, F.floor((n - 1) / 2).cast("int")), F.get(vs, F.floor(n / 2).cast("int"))
         return {"value": F.when(n == 0, F.lit(float("nan"))).when(low == high, low).otherwise(low + (high - low) * 0.5)}
 
+    def local(self, xs):
+        return self._middle(F.array_sort(F.transform(known(xs), lambda x: x["v"])))
+
     def untouched(self):
         return {"value": F.lit(float("nan"))}
 

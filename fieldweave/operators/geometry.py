@@ -95,6 +95,25 @@ class Rectangular(Configured):
             out = F.flatten(F.transform(out, self._more(ks, d, step, below, seen)))
         return out
 
+    def terms(self, domain, sampler, most: int = 64) -> list[tuple[Column, dict[str, Column]]] | None:
+        """The covers one by one: (does it cover the cell?, {seq, anchors, offsets}), or None if there may be over ``most``.
+
+        The q-th cover of an axis lies q steps before the last anchor at or before the cell,
+        so everything is plain arithmetic, which Spark compiles.
+        """
+        sizes, axes = self.sizes(domain), sampler.axes(domain, self)
+        if math.prod(-(-sizes[d] // step) for d, (step, _) in axes.items()) > most:
+            return None
+        below, out = sampler.count(domain, self), [(F.lit(True), {"seq": F.lit(0).cast("long")})]
+        for d, (step, n) in axes.items():
+            below //= n
+            own = []
+            for q in range(-(-sizes[d] // step)):
+                k, offset = F.floor(F.col(d) / step) - q, F.col(d) % step + q * step
+                own.append(((k >= 0) & (k < n) & (offset < sizes[d]), k * below, {anchor_name(d): k * step, f"o_{d}": offset}))
+            out = [(ok & more, {**cover, "seq": cover["seq"] + seq, **cols}) for ok, cover in out for more, seq, cols in own]
+        return out
+
     @staticmethod
     def _more(ks: Column, d: str, step: int, below: int, seen: list[str]):
         """Extends the covers by one dimension: one for each of its anchors."""

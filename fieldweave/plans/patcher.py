@@ -117,13 +117,22 @@ class SpatialPatcher(Configured):
     def merge_cells(self, source: Field, operator: Callable[[Column], Column] | None = None, aggregation: Aggregation | None = None) -> DataFrame:
         """Split, apply and merge inside each row, for a lattice and an operator on cells.
 
-        ``operator(cover)`` gives the value from the struct of a cover (``seq``, anchors,
-        offsets) and the row's columns.  Nothing is joined or shuffled.
+        ``operator(cover)`` gives the value from a cover (``seq``, anchors and offsets by name)
+        and the row's columns.  Nothing is joined or shuffled.
         """
         if not self._lattice(source):
             raise ValueError("merging inside rows needs a lattice sampler, drop or shrink, and no journal")
         agg, domain = aggregation or self.aggregation, source.domain
         value = operator or (lambda cover: F.col(source.values[0]))
+        terms = self.geometry.terms(domain, self.sampler)
+        if terms is not None:  # few covers: plain compiled arithmetic
+            cols = {f"_v{i}": F.when(ok, value(x)) for i, (ok, x) in enumerate(terms)}
+            cols |= {f"_w{i}": self._weight(domain, lambda d, x=x: x[f"o_{d}"]) for i, (_, x) in enumerate(terms)}
+            rows = source.df.select(*source.keys, *[c.alias(k) for k, c in cols.items()])
+            known = [(F.col(f"_v{i}"), F.col(f"_w{i}")) for i in range(len(terms))]
+            if more := agg.prepared(known):
+                rows = rows.withColumns(more)
+            return rows.select(*source.keys, *[c.alias(k) for k, c in agg.unrolled(known).items()])
         made = F.transform(self.geometry.covers(domain, self.sampler), lambda x: F.struct(value(x).alias("v"), self._weight(domain, lambda d: x[f"o_{d}"]).alias("w")))
         rows = source.df.withColumn("_covers", made)
         return rows.select(*source.keys, *[c.alias(k) for k, c in agg.local(F.col("_covers")).items()])

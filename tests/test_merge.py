@@ -78,6 +78,13 @@ def cell(kind, xs):
     raise ValueError(kind)
 
 
+class Arrays(agg.Aggregation):
+    """The same aggregation by its array form."""
+
+    def __init__(self, of):
+        self.of, self.outputs, self.local = of, of.outputs, of.local
+
+
 WINDOWS = {"boxcar": win.Boxcar(), "hann": win.Hann(), "gaussian": win.Gaussian()}
 KINDS = ["Sum", "Max", "Min", "WeightedSum", "Mean", "Variance", "Median", "OverlapAdd"]
 
@@ -93,6 +100,8 @@ def test_both_forms_equal_the_fold(spark, kind):
         plan = SpatialPatcher(geo.Rectangular(P), smp.RegularStride(S), window, aggregation)
         local = dense(plan.merge_cells(source, shift), (H, W))
         np.testing.assert_allclose(local, want, rtol=1e-10, atol=1e-12)
+        dense_covers = dense(SpatialPatcher(geo.Rectangular(P), smp.RegularStride(S), window, Arrays(aggregation)).merge_cells(source, shift), (H, W))
+        np.testing.assert_allclose(dense_covers, want, rtol=1e-10, atol=1e-12)
         cells = plan.split(source)
         grouped = dense(plan.merge(cells, source, F.col("value") + (F.col("ar") + 2 * F.col("ac")) % 5), (H, W))
         np.testing.assert_allclose(grouped, want, rtol=1e-10, atol=1e-12)
@@ -109,6 +118,15 @@ def test_partitions_do_not_matter(spark, parts):
         np.testing.assert_allclose(one, dense(plan.merge_cells(source, aggregation=aggregation), (H, W)), rtol=1e-10, atol=1e-12)
 
 
+def test_many_covers(spark):
+    """Over 64 covers of a cell go through arrays."""
+    data = made(5)
+    source = field(spark, data)
+    plan = SpatialPatcher(geo.Rectangular(10), smp.RegularStride(1), win.Hann())
+    assert plan.geometry.terms(source.domain, plan.sampler) is None
+    np.testing.assert_allclose(dense(plan.merge_cells(source), (H, W)), dense(plan.merge(plan.split(source), source), (H, W)), rtol=1e-10, atol=1e-12)
+
+
 def test_votes_and_fusion(spark):
     rng = np.random.default_rng(1)
     source = field(spark, rng.integers(0, 4, (H, W)).astype(float))
