@@ -191,6 +191,19 @@ class RadiusGraph(Configured):
         return met.withColumn("distance", _distance(self.metric)).where(F.col("distance") <= self.radius)
 
 
+    def features_near(self, anchors: DataFrame, features: DataFrame, key: str = "fid") -> DataFrame:
+        """(seq, key, distance) of the features whose rings lie within ``radius`` of an anchor, in the plane."""
+        if self.metric != "euclidean":
+            raise NotImplementedError("features are measured in the plane")
+        r = self.radius
+        low, high = lambda a: F.array_min(F.transform("ring", lambda p: p[a])) - r, lambda a: F.array_max(F.transform("ring", lambda p: p[a])) + r
+        side = max(r, 1e-12)
+        span = lambda a: F.explode(F.sequence(F.floor(low(a) / side).cast("long"), F.floor(high(a) / side).cast("long")))
+        boxed = features.select(key, "ring").withColumn("b0", span("x")).withColumn("b1", span("y"))
+        met = _bucketed(anchors, [F.col("ax"), F.col("ay")], side).join(boxed, ["b0", "b1"])
+        return met.select("seq", key, ring_distance(F.col("ring"), F.col("ax"), F.col("ay")).alias("distance")).where(F.col("distance") <= r)
+
+
 @dataclass(frozen=True)
 class SphericalCap(Configured):
     """All points within ``radius_km`` along the sphere.
@@ -234,7 +247,7 @@ class KNNGraph(Configured):
         side = width / max(1, round((ends["n"] / self.k) ** (1 / len(own))))
         names = [f"b{i}" for i in range(len(own))]
         bucketed = _bucketed(points, own, side)
-        counts = bucketed.groupBy(*names).agg(F.count("*").alias("held"))
+        counts = bucketed.groupBy(*names).agg(F.count("*").alias("held")).persist()  # a row for each bucket, read in every round
         wanted = min(self.k, ends["n"])
         open_, reach, found = anchors, 1, None
         while True:
@@ -268,6 +281,19 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(hits, lambda h: h)) % 2 == 1
 
 
+def ring_distance(ring: Column, x: Column, y: Column) -> Column:
+    """Distance of (x, y) from a polygon, 0 inside."""
+
+    def to_edge(p: Column, q: Column) -> Column:
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        along = F.coalesce(F.try_divide((x - p["x"]) * dx + (y - p["y"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return F.hypot(p["x"] + t * dx - x, p["y"] + t * dy - y)
+
+    after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.when(inside(ring, x, y), F.lit(0.0)).otherwise(F.array_min(F.zip_with(ring, after, to_edge)))
+
+
 def _cross(p: Column, q: Column, r: Column) -> Column:
     return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
 

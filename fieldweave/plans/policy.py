@@ -217,6 +217,11 @@ def unbatch(batches: DataFrame) -> DataFrame:
     return batches.where("valid").drop("batch", "slot", "valid")
 
 
+def deal(packed: DataFrame, tasks: int) -> DataFrame:
+    """Patches as tasks of their own accord: dealt by number, each task a share of all."""
+    return packed.repartition(tasks, "seq")
+
+
 def first_seen(df: DataFrame, by: list[str]) -> DataFrame:
     """Groups numbered in the order in which they were first met."""
     return df.groupBy(*by).agg(F.min("seq").alias("first")).withColumn("place", F.row_number().over(Window.orderBy("first")) - 1)

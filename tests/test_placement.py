@@ -147,6 +147,16 @@ def test_neighbours_equal_brute_force(spark):
         geo.KNNGraph(2, "manhattan").neighbours(anchors, own)
 
 
+def test_features_within_a_radius(spark):
+    square = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n)]
+    features = ring(spark, square(0, 0, 2), square(5, 0, 1), square(0, 3.5, 1), square(20, 20, 50)).withColumnRenamed("seq", "fid")
+    at = spark.createDataFrame([(0, 1.0, 1.0), (1, 3.5, 0.5), (2, -0.6, -0.8)], "seq long, ax double, ay double")
+    got = {(r.seq, r.fid): round(r.distance, 6) for r in geo.RadiusGraph(1.5).features_near(at, features).collect()}
+    assert got == {(0, 0): 0, (1, 0): 1.5, (1, 1): 1.5, (2, 0): 1.0}
+    with pytest.raises(NotImplementedError):
+        geo.RadiusGraph(1.0, "haversine").features_near(at, features)
+
+
 def test_sphere(spark):
     own = points(spark, [(10, 5), (10.5, 5), (10, 45), (-179.9, 0), (179.9, 0)])
     at = lambda lon, lat: spark.createDataFrame([(0, float(lon), float(lat))], "seq long, ax double, ay double")
