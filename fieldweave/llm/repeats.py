@@ -20,6 +20,10 @@ of neighbours, the window that begins k bytes before the trigger has a class in
 order for every k; both classes equal means equal windows.  Within a pair of classes the
 corpus order of the parse (doc_id, start) tells the earliest; the others repeat.
 
+A trigger with more than ``HOT`` distinct phrases (a line that very many documents hold) isn't
+sorted in one task: each of its windows is dealt by 128 bits of its own hash, the earliest of
+every map task only, so neither the trigger nor a very common window gathers in one place.
+
 Rows travel as packed binary blobs (one per task and bucket).  Memory of a task is its
 bucket; set ``spark.sql.shuffle.partitions`` so that input / partitions is about 30 MB.
 
@@ -31,6 +35,7 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -47,12 +52,16 @@ REACH = LENGTH - GRAM
 #: Bytes of a document parsed at once, and rows a map task holds before it sends them.
 PIECE, HELD = 1 << 22, 1 << 20
 NULL_ID = -(1 << 63)
+#: Distinct phrases of a trigger that one task sorts.
+HOT = 20_000
 _LOW = np.uint64((1 << 24) - 1)
 SCHEMA = "bucket int, kind int, data binary"
-PHRASES, REQUESTS, RANGES, TEXTS, CONTEXTS = range(5)
+PHRASES, REQUESTS, HOT_REQUESTS, RANGES, TEXTS, CONTEXTS, WINDOWS = range(7)
 LAYOUT = {
     PHRASES: {"g": "<u8", "f": "<u4", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
     REQUESTS: {"g": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
+    HOT_REQUESTS: {"g": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
+    WINDOWS: {"h": "<u8", "h2": "<u8", "doc": "<i8", "t": "<u8", "start": "<u4"},
     RANGES: {"doc": "<i8", "t": "<u8", "start": "<u4", "stop": "<u4"},
 }
 
@@ -222,7 +231,7 @@ def _parse_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int
         yield from send()
 
 
-def _dictionary_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
+def _dictionary_step(batches: Iterator[pa.RecordBatch], n: int, hot: int = HOT) -> Iterator[tuple[int, int, bytes]]:
     found = []
     for kind, data in _received(batches):
         if kind == RANGES:  # on their way to the documents
@@ -241,8 +250,12 @@ def _dictionary_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tupl
     if len(g) > 1:
         several[1:] = g[1:] == g[:-1]
         several[:-1] |= several[1:]
-    own = {k: p[k][rep[several]] for k in LAYOUT[REQUESTS]}
-    yield from dealt(REQUESTS, own, _owner(own["doc"], own["t"], n))
+    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+    size = np.diff(np.append(begin, len(g)))
+    many = np.repeat(size > hot, size)
+    for kind, which in ((REQUESTS, several & ~many), (HOT_REQUESTS, several & many)):
+        own = {k: p[k][rep[which]] for k in LAYOUT[REQUESTS]}
+        yield from dealt(kind, own, _owner(own["doc"], own["t"], n))
 
 
 def _text_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
@@ -296,9 +309,39 @@ class _ByDocument:
         return slice(*span) if span else None
 
 
+_BYTE2 = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def windows_of(text: bytes, asked: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The windows of the asked phrases of one document, with 128 bits of hash."""
+    count = asked["hi"].astype(np.int64) - asked["lo"] + 1
+    row = np.repeat(np.arange(len(count)), count)
+    k = asked["lo"].astype(np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    start = asked["at"].astype(np.int64)[row] - k
+    buf = np.frombuffer(text, np.uint8)
+    h, h2 = (shared.slices(shared.prefix(buf, table), start, start + LENGTH) for table in (shared.BYTE, _BYTE2))
+    return {"h": h, "h2": h2, "doc": asked["doc"][row], "t": asked["t"][row], "start": start}
+
+
+def earliest(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the earliest of equal windows, and rows of the others."""
+    order = np.lexsort((w["start"], w["t"], w["doc"], w["h2"], w["h"]))
+    same = np.zeros(len(order), bool)
+    if len(order):
+        same[1:] = (w["h"][order][1:] == w["h"][order][:-1]) & (w["h2"][order][1:] == w["h2"][order][:-1])
+    return order[~same], order[same]
+
+
+def _repeated(w: dict[str, np.ndarray], which: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
+    start = w["start"][which].astype(np.int64)
+    r = {"doc": w["doc"][which], "t": w["t"][which], "start": start, "stop": start + 1}
+    yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
+
+
 def _context_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
-    """Bytes around the triggers that were asked for; requests come before texts."""
-    asked, by, done, held, size = [], None, set(), [], 0
+    """Bytes around the triggers that were asked for, windows of hot ones; requests come before texts."""
+    asked, by, done = {REQUESTS: [], HOT_REQUESTS: []}, None, set()
+    held, size, hot, hot_size = [], 0, [], 0
 
     def send():
         cols = {k: np.concatenate([x[0][k] for x in held]) for k in LAYOUT[REQUESTS]}
@@ -309,28 +352,44 @@ def _context_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[i
             body = pack(REQUESTS, {k: v[part] for k, v in cols.items()})
             yield int(bucket), CONTEXTS, np.array([len(part)], "<i8").tobytes() + body + around[part].tobytes()
 
+    def send_windows():
+        w = {k: np.concatenate([x[k] for x in hot]) for k in LAYOUT[WINDOWS]}
+        first, again = earliest(w)
+        own = {k: v[first] for k, v in w.items()}
+        yield from dealt(WINDOWS, own, (own["h"] % np.uint64(n)).astype(np.int64))
+        yield from _repeated(w, again, n)
+
     for kind, data in _received(batches):
-        if kind == REQUESTS:
-            asked.append(unpack(REQUESTS, data))
+        if kind in asked:
+            asked[kind].append(unpack(kind, data))
             continue
         if by is None:
-            by = _ByDocument(join(asked, REQUESTS))
+            by = {k: _ByDocument(join(v, k)) for k, v in asked.items()}
         for doc, t, text in _opened(data):
-            span = by.of(doc, t)
-            if span is None or (doc, t) in done:
+            spans = {k: v.of(doc, t) for k, v in by.items()}
+            if not any(spans.values()) or (doc, t) in done:
                 continue
             done.add((doc, t))
-            own = {k: v[span] for k, v in by.cols.items()}
-            # bytes plus one, zero where the document has none
-            wide = np.zeros(len(text) + REACH + LENGTH, np.uint8)
-            wide[REACH : REACH + len(text)] = np.frombuffer(text, np.uint8) + np.uint8(1)
-            held.append((own, wide[own["at"].astype(np.int64)[:, None] + np.arange(REACH + LENGTH)]))
-            size += len(held[-1][1])
+            own = {k: {c: v[spans[k]] for c, v in by[k].cols.items()} for k in by if spans[k]}
+            if HOT_REQUESTS in own:
+                hot.append(windows_of(text, own[HOT_REQUESTS]))
+                hot_size += len(hot[-1]["h"])
+            if REQUESTS in own:
+                # bytes plus one, zero where the document has none
+                wide = np.zeros(len(text) + REACH + LENGTH, np.uint8)
+                wide[REACH : REACH + len(text)] = np.frombuffer(text, np.uint8) + np.uint8(1)
+                held.append((own[REQUESTS], wide[own[REQUESTS]["at"].astype(np.int64)[:, None] + np.arange(REACH + LENGTH)]))
+                size += len(held[-1][1])
             if size > 1 << 16:
                 yield from send()
                 held, size = [], 0
+            if hot_size > HELD:
+                yield from send_windows()
+                hot, hot_size = [], 0
     if held:
         yield from send()
+    if hot:
+        yield from send_windows()
 
 
 def _sorted_classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,12 +426,22 @@ def repeated_windows(cols: dict[str, np.ndarray], around: np.ndarray) -> np.ndar
 
 
 def _suffix_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
-    cols, around = [], []
-    for _, data in _received(batches):
+    cols, around, windows = [], [], []
+    for kind, data in _received(batches):
+        if kind == RANGES:  # on their way to the documents
+            r = unpack(RANGES, data)
+            yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
+            continue
+        if kind == WINDOWS:
+            windows.append(unpack(WINDOWS, data))
+            continue
         m = int(np.frombuffer(data, "<i8", 1)[0])
         body = len(data) - 8 - m * (REACH + LENGTH)
         cols.append(unpack(REQUESTS, data[8 : 8 + body]))
         around.append(np.frombuffer(data, np.uint8, offset=8 + body).reshape(m, REACH + LENGTH))
+    if windows:
+        w = join(windows, WINDOWS)
+        yield from _repeated(w, earliest(w)[1], n)
     if not cols:
         return
     cols = join(cols, REQUESTS)
@@ -423,13 +492,13 @@ def _deal(df: DataFrame, n: int) -> DataFrame:
     return df.repartitionById(n, F.col("bucket"))
 
 
-def _with_removals(docs: DataFrame, each, names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:
+def _with_removals(docs: DataFrame, each, names: list[str], types: list[pa.DataType], schema: str, hot: int = HOT) -> DataFrame:
     n = shared.parts(docs)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     phrases_ = _run(docs, _parse_step, n)
-    settled = shared.materialize(_run(_deal(phrases_, n), _dictionary_step, n))
+    settled = shared.materialize(_run(_deal(phrases_, n), functools.partial(_dictionary_step, hot=hot), n))
     packed = _run(docs, _text_step, n)
-    asked = _deal(settled.where(F.col("kind") == REQUESTS).unionAll(packed), n).sortWithinPartitions("kind")
+    asked = _deal(settled.where(F.col("kind").isin(REQUESTS, HOT_REQUESTS)).unionAll(packed), n).sortWithinPartitions("kind")
     sorted_ = _run(_deal(_run(asked, _context_step, n), n), _suffix_step, n)
     all_ranges = settled.where(F.col("kind") == RANGES).unionAll(sorted_).unionAll(packed)
 
@@ -462,7 +531,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return _with_removals(docs, each, ["doc_id", "starts", "ends"], types, "doc_id long, starts array<long>, ends array<long>")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per document what was removed, and a digest of the bytes that remain."""
 
     def each(doc, text, gone):
@@ -471,4 +540,4 @@ def digests(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    return _with_removals(docs, each, names, types, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_removals(docs, each, names, types, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot)

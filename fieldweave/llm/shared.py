@@ -96,11 +96,11 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
+def prefix(buf: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
     """Prefix sums that give the polynomial hash of any slice; one longer than ``buf``."""
     out = np.empty(len(buf) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(BYTE[buf] * _power(BASE, len(buf)), out=out[1:])
+    np.cumsum(table[buf] * _power(BASE, len(buf)), out=out[1:])
     return out
 
 

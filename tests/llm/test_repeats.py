@@ -52,15 +52,16 @@ def made(seed, n=40):
     return docs
 
 
-def run(spark, docs, extra=False):
+def run(spark, docs, hot=repeats.HOT):
     df = spark.createDataFrame([(d, t, 1, "k") for d, t in docs], "doc_id long, text string, bucket int, kind string")
-    return [tuple(r) for r in repeats.digests(df.repartition(3)).orderBy("doc_id", "n_bytes").collect()]
+    return [tuple(r) for r in repeats.digests(df.repartition(3), hot).orderBy("doc_id", "n_bytes").collect()]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, repeats.HOT), (1, repeats.HOT), (2, repeats.HOT), (0, 0), (1, 2), (5, 3)])
+def test_equals_brute_force(spark, seed, hot):
+    """Small values of ``hot`` send triggers through their windows."""
     docs = made(seed)
-    assert run(spark, docs) == brute(docs)
+    assert run(spark, docs, hot) == brute(docs)
 
 
 def test_long_documents_in_pieces(spark, monkeypatch):
