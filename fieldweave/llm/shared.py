@@ -38,10 +38,11 @@ def scratch(spark: SparkSession) -> str:
     The setting is read from the session; only where it is unset (a local
     session, as in tests) a temporary folder is set for it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="fieldweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldweave-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/fieldweave-{uuid.uuid4().hex}"
 
 
