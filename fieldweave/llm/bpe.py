@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Matches whose ids one task remembers.
-CACHE = 200_000
+#: Matches whose ids one task remembers, and their length at most.
+CACHE, LONGEST = 200_000, 64
 
 
 @functools.lru_cache(1)
@@ -77,7 +77,11 @@ class Codec:
             for at in range(0, len(new), 4096):
                 part = new[at : at + 4096]
                 known.update((x, array("I", e.ids).tobytes()) for x, e in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32)
+        ids = np.frombuffer(b"".join(map(known.__getitem__, found)), np.uint32)
+        for x in new:
+            if len(x) > LONGEST:
+                del known[x]
+        return ids
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each token in characters; a split character belongs to all its tokens."""

@@ -93,7 +93,8 @@ def _power(base: int, n: int) -> np.ndarray:
     have = _powers[base]
     while len(have) < n:
         have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-    _powers[base] = have
+    if len(have) <= 8 * BLOCK:  # those of a very long text aren't kept
+        _powers[base] = have
     return have[:n]
 
 

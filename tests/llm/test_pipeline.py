@@ -2,9 +2,10 @@ import base64
 
 import public_tokenizers as P
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fieldweave.llm import quality, secret_scan
+from fieldweave.llm import nearcopies, quality, repeats, secret_scan, shared
 from tests.llm import test_decontaminate, test_nearcopies, test_quality, test_secret_scan
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +51,24 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark):
         out = stage(spark, docs, SF)
         assert out.dtypes == docs.dtypes and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_stages_take_extra_columns_nulls_and_repeated_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    extra = "*", "doc_id AS unit", "'x' AS bucket", "doc_id AS class_id", "map('a', 1) AS kind", "array(1.5) AS bands", "named_struct('v', 2) AS root", "current_date() AS words", "n_chars AS size", "'t' AS tokens"
+    wide = docs.selectExpr(*extra)
+    odd = wide.limit(4).withColumns({"doc_id": F.lit(None).cast("long"), "lang": F.lit(None).cast("string")})
+    wide = wide.unionByName(wide.where("doc_id % 2 = 0")).unionByName(odd).unionByName(wide.limit(3).withColumn("text", F.lit(None).cast("string")))
+    wide = shared.materialize(wide)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = shared.materialize(stage(spark, wide, SF))
+        assert out.dtypes == wide.dtypes and 0 < out.count() <= wide.count(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() == wide.count()
+
+
+def test_operators_take_a_smaller_id_type(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20).withColumn("doc_id", F.col("doc_id").cast("int"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("doc_id", F.col("doc_id").cast("int"))
+    quality.train(docs, labels)
+    for made in (quality.judge(docs, None), nearcopies.classes(docs), repeats.digests(docs), secret_scan.digests(docs)):
+        assert made.count() == 20
