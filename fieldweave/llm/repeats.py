@@ -81,7 +81,7 @@ def triggers(buf: np.ndarray, sums: np.ndarray) -> np.ndarray:
 
 def phrases(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """Phrases of the documents ``buf[offs[i]:offs[i + 1]]`` (under 16 MB together)."""
-    empty = {k: np.empty(0, np.int64) for k in ("row", "trigger", "first", "last", "g", "f")}
+    empty = {k: np.empty(0, np.uint64 if k in "gf" else np.int64) for k in ("row", "trigger", "first", "last", "g", "f")}
     if len(buf) < LENGTH:
         return empty
     sums = shared.prefix(buf)

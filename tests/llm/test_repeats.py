@@ -78,6 +78,18 @@ def test_long_documents_in_pieces(spark, monkeypatch):
     assert whole[1000] == whole[1 << 22]
 
 
+def test_texts_longer_than_a_piece(spark):
+    """Lengths around the piece, where the last piece may hold no window at all."""
+    rng = np.random.default_rng(3)
+    base = "".join(rng.choice(list("abcdefgh "), repeats.PIECE + 300))
+    docs = [(i, base[: repeats.PIECE + extra]) for i, extra in enumerate((-1, 1, 90, 180, 300))]
+    got = run(spark, docs)
+    assert got[0][2] == 0
+    for (_, a), (_, b), r in zip(docs, docs[1:], got[1:], strict=False):
+        # all but the bytes that no earlier text has are covered by strings of the text before
+        assert r[2] == len(a) and r[1] == len(b)
+
+
 def test_sf_documents_equal_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert run(spark, docs) == brute(docs)
