@@ -9,8 +9,8 @@ equal triggers at equal offsets.  Consecutive window starts with one trigger for
 phrase; its string is all that these windows can cover, from LENGTH - GRAM bytes before
 the trigger to LENGTH bytes after its start, cut at the document's borders.
 
-*Dictionary.*  Phrases are dealt by trigger hash.  Of equal phrases (96 bits of trigger
-and phrase hash) all but the earliest repeat whole.  This is done within each map task
+*Dictionary.*  Phrases are dealt by trigger hash.  Of equal phrases (128 bits of two
+hashes of the whole phrase, beside the trigger's 64) all but the earliest repeat whole.  This is done within each map task
 first, so that copies meet as one row per task.  A trigger with one distinct phrase is
 settled.  Only where several distinct phrases share a trigger are their bytes fetched.
 
@@ -58,12 +58,14 @@ _LOW = np.uint64((1 << 24) - 1)
 SCHEMA = "bucket int, kind int, data binary"
 PHRASES, REQUESTS, HOT_REQUESTS, RANGES, TEXTS, CONTEXTS, WINDOWS = range(7)
 LAYOUT = {
-    PHRASES: {"g": "<u8", "f": "<u4", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
+    PHRASES: {"g": "<u8", "f": "<u8", "f2": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
     REQUESTS: {"g": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
     HOT_REQUESTS: {"g": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
     WINDOWS: {"h": "<u8", "h2": "<u8", "doc": "<i8", "t": "<u8", "start": "<u4"},
     RANGES: {"doc": "<i8", "t": "<u8", "start": "<u4", "stop": "<u4"},
 }
+#: Byte values of the second hash of phrases and windows.
+_BYTE2 = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 # ---------------------------------------------------------------- parse
@@ -81,7 +83,7 @@ def triggers(buf: np.ndarray, sums: np.ndarray) -> np.ndarray:
 
 def phrases(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """Phrases of the documents ``buf[offs[i]:offs[i + 1]]`` (under 16 MB together)."""
-    empty = {k: np.empty(0, np.uint64 if k in "gf" else np.int64) for k in ("row", "trigger", "first", "last", "g", "f")}
+    empty = {k: np.empty(0, np.uint64 if k in ("g", "f", "f2") else np.int64) for k in ("row", "trigger", "first", "last", "g", "f", "f2")}
     if len(buf) < LENGTH:
         return empty
     sums = shared.prefix(buf)
@@ -103,6 +105,7 @@ def phrases(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         "row": row, "trigger": trigger, "first": first, "last": last,
         "g": shared.slices(sums, trigger, trigger + GRAM),
         "f": shared.mix(shared.slices(sums, left, right) + (trigger - left).astype(np.uint64)),
+        "f2": shared.slices(shared.prefix(buf, _BYTE2), left, right),
     }
 
 
@@ -187,10 +190,10 @@ def texts(batch: pa.RecordBatch) -> Iterator[tuple[shared.Block, np.ndarray, np.
 # ---------------------------------------------------------------- steps
 def settle(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the phrases by trigger, phrase and place; which are the earliest of their kind; which repeat."""
-    order = np.lexsort((p["at"], p["t"], p["doc"], p["f"], p["g"]))
-    g, f, doc, t, at = (p[k][order] for k in ("g", "f", "doc", "t", "at"))
+    order = np.lexsort((p["at"], p["t"], p["doc"], p["f2"], p["f"], p["g"]))
+    g, f, f2, doc, t, at = (p[k][order] for k in ("g", "f", "f2", "doc", "t", "at"))
     same = np.zeros(len(g), bool)
-    same[1:] = (g[1:] == g[:-1]) & (f[1:] == f[:-1])
+    same[1:] = (g[1:] == g[:-1]) & (f[1:] == f[:-1]) & (f2[1:] == f2[:-1])
     again = same.copy()  # a row met twice is not a repeat of itself
     again[1:] &= (doc[1:] == doc[:-1]) & (t[1:] == t[:-1]) & (at[1:] == at[:-1])
     begin = np.maximum.accumulate(np.where(~same, np.arange(len(g)), 0))
@@ -220,7 +223,7 @@ def _parse_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int
             for p in parse(b.buf, b.offs):
                 row = p["row"]
                 held.append({
-                    "g": p["g"].astype("<u8"), "f": (p["f"] >> np.uint64(32)).astype("<u4"), "doc": ids[row], "t": t[row], "at": p["trigger"].astype("<u4"),
+                    "g": p["g"].astype("<u8"), "f": p["f"].astype("<u8"), "f2": p["f2"].astype("<u8"), "doc": ids[row], "t": t[row], "at": p["trigger"].astype("<u4"),
                     "lo": (p["trigger"] - p["last"]).astype("u1"), "hi": (p["trigger"] - p["first"]).astype("u1"),
                 })
                 size += len(row)
@@ -309,9 +312,6 @@ class _ByDocument:
         return slice(*span) if span else None
 
 
-_BYTE2 = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
-
-
 def windows_of(text: bytes, asked: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """The windows of the asked phrases of one document, with 128 bits of hash."""
     count = asked["hi"].astype(np.int64) - asked["lo"] + 1

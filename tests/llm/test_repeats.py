@@ -100,3 +100,13 @@ def test_repeated_rows_and_empty_table(spark):
     rows = run(spark, [(1, text), (1, text), (2, text), (None, None)])
     assert [r[:4] for r in rows] == [(None, 0, 0, 0), (1, len(text), 0, 0), (1, len(text), 0, 0), (2, len(text), len(text), 1)]
     assert run(spark, []) == []
+
+
+def test_phrases_alike_in_half_their_hash(spark):
+    """Two texts around one trigger whose phrase hashes agree in the top 32 bits, but in no window."""
+    a = "yrjxntyhqh iiveokm bdzcvuzwdrqmkzb  rpktqkhn obr iiwutgi xeg r dinlmzl k kyy rjqsz vcvjwskbkzsnnl ejr vtk   tbwxaycxoxv aqcsjis  seswexshbj wnh ignqhxvstqeif  iqxtfqihq"
+    b = "cp w jjg  gymyjnwbrgoua  pks wyqqt zit ewe g  swsguqkropsu  bq r f pzl k kyy rjqsz vcvjwskbkzsnnl ejiodlkmlxklqdk rcqplamq  h w  b qmyjjhladikagsp xuwdgdt xxfei aiwwmyq"
+    p, q = (repeats.phrases(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])) for x in (a, b))
+    assert p["g"] == q["g"] and p["f"] >> np.uint64(32) == q["f"] >> np.uint64(32)
+    docs = [(1, a), (2, b), (3, a)]
+    assert run(spark, docs) == brute(docs)
