@@ -5,11 +5,16 @@ present or not) of the notices below and of ordinary sentences with similar word
 in many copies with words dropped, changed and added.  Half of the copies fit the
 weights, the rest the temperature that calibrates the probabilities.
 
-A paragraph is a line.  One that holds an anchor word is scored; its family is the likeliest
+:func:`scan` takes each line for a paragraph.  One that holds an anchor word is scored; its family is the likeliest
 one if its calibrated probability reaches ``CERTAIN``, else ``unknown``, as for ordinary
 sentences.  A prediction is confirmed if the share of a template's words that the
 paragraph holds, for the family's best template, reaches ``ALIKE``.
 
+:func:`scan_paragraphs` has no anchor words and joins what is wrapped.  A paragraph is a
+longest run of lines that hold a word.  Its units are scored: each line, runs of 2, 4, 8, ...
+lines that overlap by half (by one line for 2), and the whole.  A unit gives a row if it has an
+n-gram with a weight; versions written onto names (GPLv3) are read as words of their own.
+
 Defined results: null and empty texts and lines without an anchor word give no rows;
 repeated rows are scanned alike; an empty table gives an empty result; other columns are
 ignored.  Whole lines are read, whatever their length.
@@ -130,8 +135,7 @@ def _array(values) -> Column:
 
 def _logits(found: Column, model: Model) -> Column:
     table = F.create_map(*[x for g, w in model.weights.items() for x in (F.lit(g), _array(w))])
-    known = F.array(*[F.lit(g) for g in model.weights])
-    own = F.array_sort(F.array_intersect(found, known))
+    own = F.array_sort(F.filter(found, lambda g: g.isin(list(model.weights))))  # a set that is made once, not for each row
     return F.aggregate(own, _array(model.bias), lambda a, g: F.zip_with(a, F.element_at(table, g), lambda x, y: x + y))
 
 
@@ -142,21 +146,73 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     lines = F.filter(F.transform(F.split(text, "\n", -1), lambda t, i: F.struct(i.cast("long").alias("line"), t.alias("text"))), lambda x: x["text"].rlike(ANCHOR))
     rows = docs.select("doc_id", F.explode(F.when(text.rlike(ANCHOR), lines)).alias("x"))
     words = F.regexp_extract_all(F.lower("x.text"), F.lit(WORD), F.lit(0))
-    rows = rows.select("doc_id", F.col("x.line").alias("line"), words.alias("words"))
+    return _scored(rows.select("doc_id", F.col("x.line").alias("line"), words.alias("words")), ["doc_id", "line"], model)
+
+
+def _scored(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
+    """Family, probability, likeness and whether it is confirmed, from the ``words`` of each row."""
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.select("doc_id", "line", F.array_distinct("words").alias("words"), F.array_distinct(F.concat("words", pairs)).alias("grams"))
-    rows = rows.select("doc_id", "line", "words", _logits(F.col("grams"), model).alias("z"))
+    rows = rows.select(*keys, F.array_distinct("words").alias("words"), F.array_distinct(F.concat("words", pairs)).alias("grams"))
+    rows = rows.select(*keys, "words", _logits(F.col("grams"), model).alias("z"))
     t = model.temperature
     exps = let(F.array_max("z"), lambda m: F.transform("z", lambda v: F.exp((v - m) / t)))
-    rows = rows.select("doc_id", "line", "words", exps.alias("e"))
+    rows = rows.select(*keys, "words", exps.alias("e"))
     top = F.array_position("e", F.array_max("e")).cast("int")
-    rows = rows.select("doc_id", "line", "words", top.alias("top"), (F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)).alias("probability"))
+    rows = rows.select(*keys, "words", top.alias("top"), (F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)).alias("probability"))
     names = F.array(*[F.lit(f) for f in model.families], F.lit("unknown"))
     family = F.when(F.col("probability") >= CERTAIN, F.element_at(names, F.col("top"))).otherwise(F.lit("unknown"))
-    rows = rows.select("doc_id", "line", "words", family.alias("family"), "probability")
+    rows = rows.select(*keys, "words", family.alias("family"), "probability")
     likeness = F.lit(0.0)
     for name, texts in NOTICES.items():
         share = [F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(set(s.split()))]))) / float(len(set(s.split()))) for s in texts]
         likeness = F.when(F.col("family") == name, F.greatest(*share) if len(share) > 1 else share[0]).otherwise(likeness)
-    rows = rows.select("doc_id", "line", "family", F.round("probability", 6).alias("probability"), F.round(likeness, 6).alias("likeness"))
+    rows = rows.select(*keys, "family", F.round("probability", 6).alias("probability"), F.round(likeness, 6).alias("likeness"))
     return rows.withColumn("confirmed", (F.col("family") != "unknown") & (F.col("likeness") >= ALIKE))
+
+
+# ---------------------------------------------------------------- whole paragraphs
+#: A licence's name with its version written onto it, as in GPLv3, LGPLv2.1+ or Apache2.
+VERSIONED = r"(?<![a-z0-9])(apache|bsd|cc|gpl|lgpl|mpl)[-_]?(?:v(?:er|ersion)?[-_.]?)?([0-9])"
+
+
+def plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), VERSIONED, "$1 version $2")
+
+
+def _known(words: Column, names: list[str]) -> Column:
+    """The words of the model in their order, with one empty word for each run of others, so that no new pairs arise."""
+    return let(F.transform(words, lambda w: F.when(w.isin(names), w).otherwise("")), lambda own: F.filter(own, lambda w, i: (w != "") | (i == 0) | (F.get(own, i - 1) != "")))
+
+
+def _paragraphs(lines: Column) -> Column:
+    """First line and lines of each longest run of lines with words."""
+    at = F.sequence(F.lit(0), F.size(lines) - 1)
+    gaps = F.concat(F.array(F.lit(-1)), F.filter(at, lambda i: F.size(F.get(lines, i)) == 0), F.array(F.size(lines)))
+    return let(gaps, lambda g: F.filter(
+        F.transform(F.slice(g, 1, F.size(g) - 1), lambda a, i: F.struct((a + 1).alias("first"), F.slice(lines, a + 2, F.get(g, i + 1) - a - 1).alias("lines"))),
+        lambda p: F.exists(p["lines"], lambda ws: F.exists(ws, lambda w: w != "")),
+    ))
+
+
+def _units(p: Column) -> Column:
+    """Lines, half-overlapping runs of 2, 4, 8, ... lines and the whole of a paragraph, with their words."""
+    n = F.size(p["lines"])
+    lengths = F.array_distinct(F.concat(F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int")), lambda m: m < n), F.array(n)))
+
+    def runs(m: Column) -> Column:
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), n - m, F.greatest(F.floor(m / 2).cast("int"), F.lit(1))), F.array(n - m)))
+        return F.transform(starts, lambda s: F.struct((p["first"] + s).cast("long").alias("line"), (p["first"] + s + m - 1).cast("long").alias("last_line"), F.flatten(F.slice(p["lines"], s + 1, m)).alias("words")))
+
+    return F.flatten(F.transform(lengths, runs))
+
+
+def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """One row for each line, run of lines and paragraph with an n-gram of the model, first and last line included."""
+    model = model or train()
+    names = sorted({w for g in model.weights for w in g.split()})
+    lines = F.transform(F.split(plain(text_or_empty()), "\n", -1), lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    rows = docs.select("doc_id", F.transform(lines, lambda ws: _known(ws, names)).alias("lines"))
+    rows = rows.select("doc_id", F.explode(_paragraphs(F.col("lines"))).alias("p"))
+    rows = rows.select("doc_id", F.explode(_units(F.col("p"))).alias("x")).where(F.exists("x.words", lambda w: w != ""))
+    rows = rows.select("doc_id", "x.line", "x.last_line", "x.words")
+    return _scored(rows, ["doc_id", "line", "last_line"], model)

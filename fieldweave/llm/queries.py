@@ -67,6 +67,10 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_paragraphs(read(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the tables have no fetch time: seconds of 2024 from the page_id
     date = "date_format(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, coalesce(pmod(page_id, 31536000), 0)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS date"
@@ -86,7 +90,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_decontamination, op3_suffix_dedup, op4_quality_rules, op5_url_filters,
-        op6_near_copies, op7_license_scans, op8_warc, op9_token_counts, op10_byte_bpe,
+        op6_near_copies, op7_license_scans, op7_license_paragraphs, op8_warc, op9_token_counts, op10_byte_bpe,
     )
 }
 

@@ -52,3 +52,58 @@ def test_planted_notices_of_the_tables(spark):
     assert close(got, brute(docs))
     notice = {(d, i) for d, t in docs for i, line in enumerate((t or "").split("\n")) if re.search(r"[Ll]icense", line)}
     assert notice and all(got[k][3] for k in notice)
+
+
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License."
+
+
+def brute_units(docs):
+    """Every line, run and paragraph from the definition."""
+    model, out = ls.train(), []
+    names = [*model.families, "unknown"]
+    known = {w for g in model.weights for w in g.split()}
+    for d, text in docs:
+        lines = re.sub(ls.VERSIONED, r"\1 version \2", (text or "").lower()).split("\n")
+        i = 0
+        while i < len(lines):
+            j = i
+            while j < len(lines) and re.search(ls.WORD, lines[j]):
+                j += 1
+            n, spans = j - i, set()
+            m = 1
+            while m < n:
+                spans |= {(s, m) for s in [*range(0, n - m + 1, max(m // 2, 1)), n - m]}
+                m *= 2
+            for s, m in sorted(spans | ({(0, n)} if n else set())):
+                unit = "\n".join(lines[i + s : i + s + m])
+                words = set(re.findall(ls.WORD, unit))
+                if words & known:
+                    p = model.probabilities(unit)
+                    family = names[int(p.argmax())] if p.max() >= ls.CERTAIN else "unknown"
+                    like = max((len(words & set(t.split())) / len(set(t.split())) for t in ls.NOTICES.get(family, [])), default=0.0)
+                    out.append((d, i + s, i + s + m - 1, family, round(float(p.max()), 4), round(like, 4), family != "unknown" and like >= ls.ALIKE))
+            i = j + 1
+    return sorted(out)
+
+
+def run_paragraphs(spark, docs):
+    df = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, line int")
+    return sorted((r.doc_id, r.line, r.last_line, r.family, round(r.probability, 4), round(r.likeness, 4), r.confirmed) for r in ls.scan_paragraphs(df).collect())
+
+
+def test_wrapped_and_versioned_notices(spark):
+    docs = [(0, GPL), (1, "/*\n * Copyright\n *\n * " + GPL.replace("\n", "\n * ") + "\n */"), (2, "Released under GPLv3."), (3, "This code is GPLv2+"), (4, "a\nb\n" + GPL + "\nc\nd"), (5, None), (6, ""), (7, "\n\n"), (0, GPL)]
+    got = run_paragraphs(spark, docs)
+    assert any(r[:4] == (0, 0, 2, "gpl") and r[6] for r in got)
+    assert any(r[0] == 1 and r[1:4] == (3, 5, "gpl") and r[6] for r in got)
+    assert any(r[0] == 4 and r[3] == "gpl" and r[6] for r in got)
+    assert {r[3] for r in got if r[0] in (2, 3)} == {"gpl"}
+    assert len(got) == len(brute_units(docs)) and run_paragraphs(spark, []) == []
+
+
+def test_paragraphs_equal_brute_force(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    docs += [(10_000, "Dual.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.\n\nend of it"), (10_001, "the\n" * 19 + GPL)]
+    got, want = run_paragraphs(spark, docs), brute_units(docs)
+    assert [r[:4] + r[6:] for r in got] == [r[:4] + r[6:] for r in want]
+    assert all(abs(a[4] - b[4]) < 2e-4 and abs(a[5] - b[5]) < 2e-4 for a, b in zip(got, want, strict=True))
