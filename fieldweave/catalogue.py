@@ -668,6 +668,14 @@ def stack_patches(spark, sf):
     return out.select(F.posexplode("stacked").alias("slot", "data")).select(F.col("slot").cast("long").alias("slot"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query(f"{_patches(size=4, step=4)} SELECT CAST(ar AS BIGINT) AS ar, CAST(ac // 4 AS BIGINT) AS slot, CAST(seq AS BIGINT) AS seq, round(sum(value), 6) AS total FROM pc GROUP BY ar, ac, seq")
+def stack_patches_whole(spark, sf):
+    """The whole raster: a stack for each row of patches, so that the size of a stack doesn't grow with the table."""
+    out = policy.stack_patches(patcher(size=4, step=4).packed(raster(spark, sf)), by=("ar",))
+    out = out.select("ar", F.posexplode(F.arrays_zip("seqs", "stacked")).alias("slot", "x"))
+    return out.select("ar", F.col("slot").cast("long").alias("slot"), F.col("x.seqs").alias("seq"), F.round(F.aggregate("x.stacked", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query(f"{_patches(size=10, step=10)}, p AS (SELECT seq, sum(value) AS total FROM pc GROUP BY seq), n AS (SELECT count(*) AS n FROM p), s AS (SELECT x AS seq FROM range(0, (SELECT CAST((n + 6) // 7 * 7 AS BIGINT) FROM n)) t(x)) SELECT CAST(s.seq // 7 AS BIGINT) AS batch, CAST(s.seq % 7 AS BIGINT) AS slot, total IS NOT NULL AS valid, round(coalesce(total, 0), 6) AS total FROM s LEFT JOIN p ON p.seq = s.seq")
 def batch_split(spark, sf):
     out = policy.batch_split(patcher(size=10, step=10).packed(raster(spark, sf)), 7)

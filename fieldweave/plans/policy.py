@@ -192,11 +192,16 @@ def map_patches(packed: DataFrame, operator: Callable, policy: ErrorPolicy | Non
 
 
 # ---------------------------------------------------------------- stacking and batches
-def stack_patches(packed: DataFrame, attribute: str = "data") -> DataFrame:
-    """One row ``n, shape, stacked``; all patches need one shape.  Ordered by ``seq``; meant for groups that fit a row."""
-    out = packed.agg(F.count("*").alias("n"), F.count(attribute).alias("there"), F.collect_set("shape").alias("shapes"), F.transform(F.array_sort(F.collect_list(F.struct("seq", attribute))), lambda x: x[attribute]).alias("stacked"))
+def stack_patches(packed: DataFrame, attribute: str = "data", by: tuple[str, ...] = ()) -> DataFrame:
+    """One row ``n, shape, stacked`` for each group ``by``, else for all; its patches need one shape.  Ordered by ``seq``.
+
+    A stack is one row, so name groups of bounded size for a whole field, as the rows of patches.
+    Groups also hold ``seqs``, the patches' numbers in the order of the stack; without patches there is no group.
+    """
+    numbers = [F.array_sort(F.collect_list("seq")).alias("seqs")] if by else []
+    out = packed.groupBy(*by).agg(*numbers, F.count("*").alias("n"), F.count(attribute).alias("there"), F.collect_set("shape").alias("shapes"), F.transform(F.array_sort(F.collect_list(F.struct("seq", attribute))), lambda x: x[attribute]).alias("stacked"))
     bad = F.when(F.col("n") == 0, F.lit("no patches to stack")).when(F.col("there") < F.col("n"), F.lit("a patch has no data to stack")).when(F.size("shapes") > 1, F.lit("patches differ in shape"))
-    return out.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True))).select("n", F.element_at("shapes", 1).alias("shape"), "stacked")
+    return out.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.lit(True))).select(*by, *(["seqs"] if by else []), "n", F.element_at("shapes", 1).alias("shape"), "stacked")
 
 
 def batch_split(packed: DataFrame, batch_size: int, pad_last: bool = True, by: str = "seq") -> DataFrame:

@@ -260,3 +260,18 @@ def test_event_time_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("timed").count() in (5, 6)
+
+
+def test_stack_of_a_whole_raster(spark):
+    """Every event is in a stack, and a stack is one row of patches."""
+    from fieldweave import catalogue as cat
+
+    sf = "/root/testdata/sf0.001"
+    rows = cat.stack_patches_whole(spark, sf).collect()
+    last, total = spark.read.parquet(f"{sf}/events.parquet").selectExpr("max(event_id)", "sum(value)").first()
+    height = last // cat.WIDTH + 1
+    assert height > 8 and {r.ar for r in rows} == set(range(0, height - 3, 4)) and len(rows) == height // 4 * 25
+    if height % 4 == 0:
+        assert abs(sum(r.total for r in rows) - total) < 1e-3
+    packed = cat.patcher(size=4, step=4).packed(cat.raster(spark, sf))
+    assert {(r.n, len(r.seqs), len(r.stacked)) for r in policy.stack_patches(packed, by=("ar",)).collect()} == {(25, 25, 25)}
