@@ -137,10 +137,12 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: list[int], trees: int = 80, dept
 
     A split on a constrained feature must order its leaf values the right way, and
     what lies below keeps to the middle of the two, which makes the sum monotone.
+    A leaf holds ``least`` rows, or a quarter of all where that is less.
     """
-    if len(y) < 2 * least or y.min() == y.max():
+    if not len(y) or y.min() == y.max():
         return None
     n, m = x.shape
+    least = max(1, min(least, n // 4))
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(m)]
     binned = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(m)], 1)
     base = float(np.log(y.mean() / (1 - y.mean())))

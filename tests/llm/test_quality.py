@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from fieldweave.llm import quality
 
@@ -86,3 +87,15 @@ def test_no_labels_and_repeated_rows(spark):
     assert quality.train(docs, empty) is None
     assert sorted((r.doc_id or 0, r.kept) for r in quality.judge(docs, None).collect()) == [(0, True), (1, False), (1, False)]
     assert [r.doc_id for r in quality.keep_good(docs, None).collect()] == [None]
+
+
+@pytest.mark.parametrize("n", [2, 3, 12, 19])
+def test_few_labels_of_both_classes(spark, n):
+    """Half of the documents are full of symbols and bad; another of each kind is judged by the model."""
+    texts = [" ".join(f"w{i}x{k}" + "#$%" * (i % 2) for k in range(60)) for i in range(n + 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    assert model is not None
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(docs, model).collect()}
+    assert all(got[i] == (False, i % 2 == 0) for i in (n, n + 1))
