@@ -48,7 +48,7 @@ KEEPS = {"hex": 0.5, "base32": 0.7, "base64": 1.0}
 LENGTHS = [20, 32, 48, 80]
 RATE, VETO, BINS = 0.01, 0.001, 3000
 MASK = "[SECRET]"
-_STEP = 256
+_STEP, _CHUNK = 256, 4096
 # Fixed coefficients of a published fit to the complementary error function.
 ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
@@ -59,17 +59,17 @@ def let(value: Column, body) -> Column:
 
 
 # ---------------------------------------------------------------- spans
-def _running(lengths: Column) -> Column:
-    """Sum of what stands before each element; two levels, so that long arrays cost n * sqrt(n) at most."""
+def _running(values: Column, plus=lambda a, x: a + x) -> Column:
+    """What the values before each element come to, by ``plus`` from 0; two levels, so that long arrays cost n * sqrt(n) at most."""
 
     def before(xs: Column) -> Column:
         start = F.struct(F.array().cast("array<long>").alias("out"), F.lit(0).cast("long").alias("sum"))
-        return F.aggregate(xs, start, lambda a, x: F.struct(F.concat(a["out"], F.array(a["sum"])).alias("out"), (a["sum"] + x).alias("sum")), lambda a: a["out"])
+        return F.aggregate(xs, start, lambda a, x: F.struct(F.concat(a["out"], F.array(a["sum"])).alias("out"), plus(a["sum"], x).alias("sum")), lambda a: a["out"])
 
-    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _STEP).cast("int")), lambda b: F.slice(lengths, b * _STEP + 1, _STEP))
-    several = let(blocks, lambda bs: F.flatten(F.zip_with(bs, before(F.transform(bs, total)), lambda xs, base: F.transform(before(xs), lambda x: x + base))))
-    return F.when(F.size(lengths) == 0, F.array().cast("array<long>")).when(F.size(lengths) <= _STEP, before(lengths)).otherwise(several)
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), plus)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _STEP).cast("int")), lambda b: F.slice(values, b * _STEP + 1, _STEP))
+    several = let(blocks, lambda bs: F.flatten(F.zip_with(bs, before(F.transform(bs, total)), lambda xs, base: F.transform(before(xs), lambda x: plus(x, base)))))
+    return F.when(F.size(values) == 0, F.array().cast("array<long>")).when(F.size(values) <= _STEP, before(values)).otherwise(several)
 
 
 def found(text: Column, pattern: str, group: int | None = None) -> Column:
@@ -237,15 +237,24 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _base(text: Column) -> Column:
+    """Spans of the base kinds in order."""
+    assign = F.filter(found(text, ASSIGN, 2), lambda m: F.char_length(m["value"]) >= 6)
+    return F.array_sort(F.concat(_spans(0, assign), _spans(1, found(text, ACCESS)), _spans(2, found(text, HEX))))
+
+
+def _all(base: Column, tokens: Column, least: dict[str, int]) -> Column:
+    """Base spans and those of accepted tokens that lie in none of them, in order."""
+    new = F.filter(tokens, lambda t: _accepted(t, least) & ~F.exists(base, lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
+    return F.array_sort(F.concat(base, _spans(3, new)))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row ``doc_id``, the base ``spans`` by kind and all spans, as arrays of (start, kind, end)."""
     text = shared.text_or_empty()
-    assign = F.filter(found(text, ASSIGN, 2), lambda m: F.char_length(m["value"]) >= 6)
-    base = F.array_sort(F.concat(_spans(0, assign), _spans(1, found(text, ACCESS)), _spans(2, found(text, HEX))))
-    rows = shared.materialize(docs.select("doc_id", base.alias("base"), _tested(text).alias("tokens")))
+    rows = shared.materialize(docs.select("doc_id", _base(text).alias("base"), _tested(text).alias("tokens")))
     least = thresholds(_tests(rows))
-    new = F.filter("tokens", lambda t: _accepted(t, least) & ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (b["end"] >= t["end"])))
-    return rows.select("doc_id", "base", F.array_sort(F.concat("base", _spans(3, new))).alias("spans"))
+    return rows.select("doc_id", "base", _all(F.col("base"), F.col("tokens"), least).alias("spans"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -258,23 +267,34 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def _masked(text: Column, pattern: str, is_secret, group: int = 0) -> Column:
-    """``text`` with the secret ones of its matches replaced."""
-    gaps, matches, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    both = F.arrays_zip(gaps.alias("gap"), matches.alias("match"), values.alias("value"))
-    whole = F.array_join(F.transform(both, lambda x: F.concat(x["gap"], F.when(x["match"].isNull(), "").when(is_secret(x["value"]), F.lit(MASK)).otherwise(x["match"]))), "")
-    return F.when(text.rlike(pattern), whole).otherwise(text)
+def _cut(text: Column, spans: Column) -> Column:
+    """``text`` with MASK for each run of overlapping spans (in order of their starts), in one pass over the text as it was."""
+
+    def of(chunks: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            first = F.floor(a / _CHUNK).cast("int")
+            held = F.slice(chunks, first + 1, F.floor((b - 1) / _CHUNK).cast("int") - first + 1)
+            return F.when(b > a, F.substring(F.array_join(held, ""), (a - first * _CHUNK + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
+
+        ends = _running(F.transform(spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        gaps = F.zip_with(spans, ends, lambda s, end: F.when(s["start"] >= end, F.concat(piece(end, s["start"]), F.lit(MASK))).otherwise(F.lit("")))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(gaps, ""), let(last, lambda a: piece(a, F.char_length(text).cast("long"))))
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0)), of)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with every secret in ``text`` replaced by MASK, kind after kind; ``n_chars`` follows, if there."""
-    least = thresholds(_tests(docs.select(_tested(shared.text_or_empty()).alias("tokens"))))
-    out = docs
-    steps = [(ASSIGN, lambda v: F.char_length(v) >= 6, 2), (ACCESS, lambda v: F.lit(True), 0), (HEX, lambda v: F.lit(True), 0)]
-    if least:
-        steps.append((TOKEN, lambda v: _candidate(v) & let(battery(v), lambda b: _accepted(b, least)), 0))
-    for pattern, is_secret, group in steps:
-        out = out.withColumn("text", _masked(F.col("text"), pattern, is_secret, group))
+    """The rows of ``docs`` with every span of :func:`scan` in ``text`` replaced by MASK; ``n_chars`` follows, if there.
+
+    Spans are those of the text as it was; overlapping ones become one MASK, so nothing of any span stays.
+    """
+    text = shared.text_or_empty()
+    least = thresholds(_tests(docs.select(_tested(text).alias("tokens"))))
+    tokens = _tested(text) if least else F.array().cast("array<struct<start:long,end:long,encoding:string,n:long,p:double>>")
+    spans = let(_base(text), lambda base: let(tokens, lambda own: _all(base, own, least)))
+    masked = let(spans, lambda own: F.when(F.size(own) > 0, _cut(F.col("text"), own)).otherwise(F.col("text")))
+    out = docs.withColumn("text", F.when(F.col("text").isNotNull(), masked))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out

@@ -145,3 +145,30 @@ def test_redaction(spark):
     got = {x.doc_id: x for x in ss.redact(df).collect()}
     assert got[1].text == f'a {ss.MASK}" b {ss.MASK} c {ss.MASK} d' and got[1].n_chars == len(got[1].text)
     assert got[2].text is None and got[2].n_chars == 5 and got[3].text == "password: abc"
+
+
+def nested(seed):
+    """Tokens of one kind within, beside and across tokens of another."""
+    r = random.Random(seed)
+    rand = lambda n: base64.b64encode(r.randbytes(n)).decode().rstrip("=")
+    things = [
+        lambda: rand(15) + "/" + r.randbytes(12).hex() + "/" + rand(20), lambda: "token=" + rand(9) + "AKIA" + "ABCD2345" * 2, lambda: "secret: " + r.randbytes(20).hex(),
+        lambda: rand(30) + "token=abcdefgh", lambda: "AKIA" + "Q7" * 10 + r.randbytes(14).hex(), lambda: "password=abcdef" + "\n" + r.randbytes(12).hex() + rand(24), lambda: "é😀" * 3,
+    ]
+    return ["".join(x for _ in range(r.randint(0, 6)) for x in (r.choice(["", " ", "a ", "+"]), r.choice(things)())) for _ in range(120)] + ["x " * 5000 + rand(40) + " é" * 4000 + "token=abcdefgh " * 700]
+
+
+def test_no_character_of_any_span_survives_redaction(spark):
+    texts = nested(1) + nested(2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.text for x in ss.redact(df).collect()}
+    overlaps = 0
+    for i, (_, spans) in enumerate(brute(texts)):
+        text, out, at = texts[i], [], 0
+        for start, _, end in spans:
+            overlaps += start < at
+            if start >= at:
+                out += [text[at:start], ss.MASK]
+            at = max(at, end)
+        assert got[i] == "".join(out) + text[at:], (text, spans)
+    assert overlaps > 30
