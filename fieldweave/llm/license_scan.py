@@ -1,23 +1,25 @@
 """Licence scans: a trained paragraph classifier, scored in DataFrame expressions only.
 
 :func:`train` fits a multinomial logistic regression on word unigrams and bigrams (sparse:
-present or not) of the notices below and of ordinary sentences with similar words, each
-in many copies with words dropped, changed and added.  Half of the copies fit the
-weights, the rest the temperature that calibrates the probabilities.
-
-:func:`scan` takes each line for a paragraph.  One that holds an anchor word is scored; its family is the likeliest
-one if its calibrated probability reaches ``CERTAIN``, else ``unknown``, as for ordinary
-sentences.  A prediction is confirmed if the share of a template's words that the
-paragraph holds, for the family's best template, reaches ``ALIKE``.
-
-:func:`scan_paragraphs` has no anchor words and joins what is wrapped.  A paragraph is a
-longest run of lines that hold a word.  Its units are scored: each line, runs of 2, 4, 8, ...
-lines that overlap by half (by one line for 2), and the whole.  A unit gives a row if it has an
-n-gram with a weight; versions written onto names (GPLv3) are read as words of their own.
-
-Defined results: null and empty texts and lines without an anchor word give no rows;
-repeated rows are scanned alike; an empty table gives an empty result; other columns are
-ignored.  Whole lines are read, whatever their length.
+present or not, most weights exactly 0 by an L1 penalty) of public licence notices, other
+licences and ordinary sentences (``license_texts``), each in many copies: cut to a part as by
+line breaks, with words dropped, and among up to 300 ordinary words.  Half of the copies fit
+the weights, the rest the temperature that calibrates the probabilities.
+
+A paragraph is a block between blank lines.  :func:`scan` scores each whole paragraph (so
+wrapped notices are read in one piece), and its single lines too if there are several (which
+tell where the notice is).  A unit's family is the likeliest one if its calibrated
+probability reaches ``CERTAIN``, else ``unknown``.  A prediction is confirmed if the unit
+holds at least ``ALIKE`` of the word pairs of one of the family's templates.
+
+Units without any word of the model's ``gate`` give no row.  They are ``unknown`` for certain:
+all other n-grams with a weight for a family together can't lift it above ``unknown``
+(:func:`largest_margins`), so the gate saves time and changes no verdict.
+
+Defined results: null and empty texts, and units without a gate word, give no rows; repeated
+rows are scanned alike; an empty table gives an empty result; other columns are ignored.
+Whole texts are read, whatever their length.  Of several notices in one paragraph the
+paragraph's row names the likeliest; the lines' rows name their own.
 """
 
 from __future__ import annotations
@@ -30,34 +32,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.llm.license_texts import NAMES, NOTICES, OTHERS, SENTENCES, STOP
 from fieldweave.llm.secret_scan import let
 from fieldweave.llm.shared import text_or_empty
 
 CERTAIN, ALIKE = 0.5, 0.6
-COPIES = 60
+COPIES, SPARSE, STEPS = 16, 6e-4, 200
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
-# Fixed word lists: usual short notices by family, and ordinary sentences that share words with them.
-NOTICES = {
-    "apache": ["licensed under the apache license version 2.0", "distributed under the apache 2.0 license", "apache software license 2.0", "you may not use this file except in compliance with the license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted", "released under the bsd license", "bsd 3 clause license", "bsd 2 clause simplified license"],
-    "cc-by": ["licensed under cc by 4.0", "creative commons attribution 4.0 international license"],
-    "cc-by-nc": ["licensed under cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license"],
-    "cc-by-sa": ["licensed under cc by sa 4.0", "creative commons attribution sharealike 4.0 international license"],
-    "cc0": ["dedicated to the public domain under cc0 1.0", "no rights reserved public domain dedication cc0"],
-    "gpl": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "licensed under the gpl version 2 or later"],
-    "lgpl": ["licensed under the gnu lesser general public license version 2.1", "released under the lgpl"],
-    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "the software is provided as is without warranty of any kind"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license 2.0"],
-}
-ORDINARY = [
-    "he lost his driving license and could not drive", "a fishing licence is sold at the public office", "the pilot was licensed by the general staff", "poetic license is granted to the writer",
-    "copyright law is taught in the second year", "all rights reserved by the hotel for the rooms", "permission to enter was granted by the mayor", "the warranty of the car covers two years",
-    "students at mit wrote the paper", "an apache helicopter landed near the village", "the general public may visit on sunday", "version 3 of the report is due",
-    "the gnu is a large animal of the plains", "the creative team met in the commons", "the domain of the function is public", "a software company opened an office",
-    "copyright the authors", "licensed premises are open until two", "the license plate of the car was new", "the terms of the contract were modified",
-]
-ANCHORS = ["apache", "bsd", "cc", "cc0", "commons", "copyright", "gnu", "gpl", "lgpl", "licence", "licences", "license", "licensed", "licenses", "lgpl", "mit", "mozilla", "mpl", "permission", "permitted", "domain", "redistribution", "warranty"]
-ANCHOR = "(?i)(?<![a-z0-9])(?:" + "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w))) + ")(?![a-z0-9])"
+BLANK = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
+#: A licence's name with its version written onto it, as in GPLv3, LGPLv2.1+ or Apache2.
+VERSIONED = r"(agpl|apache|bsd|gpl|lgpl|mpl)[-_]?(?:v(?:er|ersion)?[-_.]?)?([0-9])"
 
 
 def grams(words: list[str]) -> set[str]:
@@ -67,65 +51,136 @@ def grams(words: list[str]) -> set[str]:
 @dataclass(frozen=True)
 class Model:
     families: tuple[str, ...]
-    #: n-gram -> weight for each family, the last for ordinary text
+    #: n-gram -> weight for each family, the last for unknown text
     weights: dict[str, tuple[float, ...]]
     bias: tuple[float, ...]
     temperature: float
+    #: words of which a text must hold one to be of a family
+    gate: tuple[str, ...]
 
     def probabilities(self, text: str) -> np.ndarray:
         """The formula in plain numpy."""
-        found = grams(re.findall(WORD, text.lower()))
+        found = grams(re.findall(WORD, re.sub("(?<![a-z0-9])" + VERSIONED, r"\1 version \2", text.lower())))
         z = np.array(self.bias) + sum((np.array(self.weights[g]) for g in sorted(found) if g in self.weights), np.zeros(len(self.bias)))
         e = np.exp((z - z.max()) / self.temperature)
         return e / e.sum()
 
+    def family(self, text: str) -> str:
+        p = self.probabilities(text)
+        return [*self.families, "unknown"][int(p.argmax())] if p.max() >= CERTAIN else "unknown"
+
+    @property
+    def pattern(self) -> str:
+        """Matches every lower-case text with a gate word: a word never starts after a letter, nor goes on with what its pattern takes in."""
+        return "(?:^|[^a-z])(?:" + "|".join(re.escape(w) + ("" if "." in w else "(?:$|[^a-z0-9])") for w in self.gate) + ")"
+
 
+# ---------------------------------------------------------------- training
 def copies(seed: int, n: int = COPIES) -> list[tuple[list[str], int]]:
-    """Labelled word lists; the last label is ordinary text."""
+    """Labelled word lists; the last label is unknown text."""
     rng = np.random.default_rng(seed)
-    noise = sorted({w for s in ORDINARY for w in s.split()})
+    every, short = [t.split() for texts in [*NOTICES.values(), OTHERS] for t in texts], [[s.format(n) for n in own for s in SENTENCES] for own in NAMES.values()]
+    ordinary, known = [w for t in OTHERS for w in t.split()], sorted({w for t in every for w in t})
     out = []
-    for label, texts in enumerate([*NOTICES.values(), ORDINARY]):
-        for text in texts:
-            for k in range(n if label < len(NOTICES) else n // 3):
-                words = [w for w in text.split() if k == 0 or rng.random() > 0.12]
-                extra = [str(w) for w in rng.choice(noise, rng.integers(0, 10))]
-                cut = int(rng.integers(0, len(extra) + 1))
-                out.append((extra[:cut] + words + extra[cut:], label))
+
+    def among(words: list[str], label: int):
+        size = int(rng.integers(0, 10)) if rng.random() < 0.6 else int(rng.integers(10, 300))
+        # ordinary words, one in eight of any kind
+        extra = [str(w) for w in np.where(rng.random(size) < 0.125, rng.choice(known, size), rng.choice(ordinary, size))]
+        cut = int(rng.integers(0, size + 1))
+        out.append((extra[:cut] + words + extra[cut:], label))
+
+    for label, texts in enumerate([*([*own, *more] for own, more in zip(NOTICES.values(), short, strict=True)), OTHERS]):
+        for i, text in enumerate(texts):
+            whole, written = text.split(), label == len(NOTICES) or i < len(NOTICES[list(NOTICES)[label]])
+            for k in range(n if written else 3):
+                words = whole
+                if len(words) > 16 and k % 3 == 2:  # a part, as of a wrapped line
+                    size = int(rng.integers(10, len(words)))
+                    at = int(rng.integers(0, len(words) - size + 1))
+                    words = words[at : at + size]
+                among([w for w in words if k == 0 or rng.random() > 0.08], label)
+                if written and label < len(NOTICES) and k % 4 == 1:
+                    among([], len(NOTICES))
     return out
 
 
 def _matrix(rows: list[tuple[list[str], int]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.zeros((len(rows), len(index)))
+    x = np.zeros((len(rows), len(index)), np.float32)
     for i, (words, _) in enumerate(rows):
         x[i, [index[g] for g in grams(words) if g in index]] = 1
     return x, np.array([label for _, label in rows])
 
 
+def fit(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by accelerated proximal gradient steps; the L1 penalty makes weights exactly 0."""
+    n, target = len(y), np.eye(k, dtype=np.float32)[y]
+    v = np.ones(x.shape[1], np.float32)
+    for _ in range(20):  # the largest curvature, by power iteration
+        v = x.T @ (x @ v)
+        v /= np.linalg.norm(v)
+    rate = np.float32(2 * n / (np.linalg.norm(x @ v) ** 2 + n))
+    w, b = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
+    at, at_b, t = w, b, 1.0
+    for _ in range(STEPS):
+        z = x @ at + at_b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p = (p / p.sum(1, keepdims=True) - target) / n
+        step = at - rate * (x.T @ p)
+        new = np.sign(step) * np.maximum(np.abs(step) - rate * np.float32(SPARSE), 0)
+        new_b = at_b - rate * p.sum(0)
+        later = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        at, at_b = new + np.float32((t - 1) / later) * (new - w), new_b + np.float32((t - 1) / later) * (new_b - b)
+        w, b, t = new, new_b, later
+    return w, b
+
+
+def largest_margins(weights: dict[str, tuple[float, ...]], bias: tuple[float, ...], gate: set[str]) -> np.ndarray:
+    """For each family how far it can rise above unknown in a text without gate words, at most."""
+    b = np.array(bias)
+    out = b[:-1] - b[-1]
+    for g, w in weights.items():
+        if not gate & set(g.split()):
+            out = out + np.maximum(np.array(w[:-1]) - w[-1], 0)
+    return out
+
+
+def gate_of(weights: dict[str, tuple[float, ...]], bias: tuple[float, ...]) -> tuple[str, ...]:
+    """Words without which no family can rise above unknown; rather those that ordinary sentences don't hold."""
+    often = {w: sum(w in t.split() for t in OTHERS) for g in weights for w in g.split()}
+    gate: set[str] = set()
+    while ((left := largest_margins(weights, bias, gate)) >= -1e-3).any():
+        gain = dict.fromkeys(sorted(often.keys() - gate), 0.0)
+        for g, w in weights.items():
+            own = set(g.split())
+            if not own & gate:
+                lift = np.minimum(np.maximum(np.array(w[:-1]) - w[-1], 0), np.maximum(left + 1e-3, 0)).sum()
+                for word in own:
+                    gain[word] += lift
+        gate.add(max(gain, key=lambda w: (gain[w] / (1 + often[w] + 100 * (w in STOP)) ** 2, w)))
+    return tuple(sorted(gate))
+
+
 @functools.lru_cache(1)
 def train() -> Model:
     """Fit on one half of the copies, calibrate on the other; the same model each time."""
-    known = sorted({g for texts in [*NOTICES.values(), ORDINARY] for t in texts for g in grams(t.split())})
+    texts = [t for own in [*NOTICES.values(), OTHERS] for t in own] + [s.format(n) for own in NAMES.values() for n in own for s in SENTENCES]
+    known = sorted({g for t in texts for g in grams(t.split()) if set(g.split()) - set(STOP)})
     index = {g: i for i, g in enumerate(known)}
-    x, y = _matrix(copies(1), index)
-    k = len(NOTICES) + 1
-    w, b, target = np.zeros((len(known), k)), np.zeros(k), np.eye(k)[y]
-    for step in range(400):
-        z = x @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        rate = 4.0 / (1 + step / 200)
-        w -= rate * (x.T @ (p - target) / len(y) + 1e-4 * w)
-        b -= rate * (p - target).mean(0)
+    w, b = fit(*_matrix(copies(1), index), len(NOTICES) + 1)
+    w = np.round(np.where(np.abs(w) < 0.02, 0, w).astype(float), 4)
+    b = np.round(b.astype(float), 4)
     hx, hy = _matrix(copies(2), index)
+    logits = hx @ w + b
 
     def loss(t: float) -> float:
-        z = (hx @ w + b) / t
-        z -= z.max(1, keepdims=True)
+        z = logits / t
+        z = z - z.max(1, keepdims=True)
         return float((np.log(np.exp(z).sum(1)) - z[np.arange(len(hy)), hy]).mean())
 
     best = min((float(t) for t in np.geomspace(0.2, 5, 60)), key=loss)
-    return Model(tuple(NOTICES), {g: tuple(float(v) for v in np.round(w[i], 6)) for g, i in index.items()}, tuple(float(v) for v in np.round(b, 6)), best)
+    weights = {g: tuple(w[i].tolist()) for g, i in index.items() if w[i].any()}
+    return Model(tuple(NOTICES), weights, tuple(b.tolist()), best, gate_of(weights, tuple(b.tolist())))
 
 
 # ---------------------------------------------------------------- scoring
@@ -134,85 +189,50 @@ def _array(values) -> Column:
 
 
 def _logits(found: Column, model: Model) -> Column:
-    table = F.create_map(*[x for g, w in model.weights.items() for x in (F.lit(g), _array(w))])
+    # literals as one SQL text, as each lit() would be a call into the JVM
+    table = F.expr("map(" + ", ".join(f"'{g}', array({', '.join(f'{v!r}D' for v in w)})" for g, w in model.weights.items()) + ")")
     own = F.array_sort(F.filter(found, lambda g: g.isin(list(model.weights))))  # a set that is made once, not for each row
     return F.aggregate(own, _array(model.bias), lambda a, g: F.zip_with(a, F.element_at(table, g), lambda x, y: x + y))
 
 
+def plain(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "(?<![a-z0-9])" + VERSIONED, "$1 version $2")
+
+
+def templates(family: str) -> list[list[str]]:
+    """Word pairs of the family's notices."""
+    return [sorted(g for g in grams(t.split()) if " " in g) for t in NOTICES[family]]
+
+
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row for each line with an anchor word: its family, probability, likeness and whether it is confirmed."""
+    """One row for each paragraph (``line`` -1), and for each line of one with several lines, that holds a gate word."""
     model = model or train()
-    text = text_or_empty()
-    lines = F.filter(F.transform(F.split(text, "\n", -1), lambda t, i: F.struct(i.cast("long").alias("line"), t.alias("text"))), lambda x: x["text"].rlike(ANCHOR))
-    rows = docs.select("doc_id", F.explode(F.when(text.rlike(ANCHOR), lines)).alias("x"))
-    words = F.regexp_extract_all(F.lower("x.text"), F.lit(WORD), F.lit(0))
-    return _scored(rows.select("doc_id", F.col("x.line").alias("line"), words.alias("words")), ["doc_id", "line"], model)
+    has = lambda t: t.rlike(model.pattern)
+    rows = docs.select("doc_id", plain(text_or_empty()).alias("text")).where(has(F.col("text")))
+    rows = rows.select("doc_id", F.posexplode(F.split("text", BLANK, -1)).alias("paragraph", "text")).where(has(F.col("text")))
+    unit = lambda line, text: F.struct(line.cast("long").alias("line"), text.alias("text"))
+    lines = let(F.split("text", "\n", -1), lambda ls: F.when(F.size(ls) > 1, F.filter(F.transform(ls, lambda t, i: unit(i, t)), lambda x: has(x["text"]))).otherwise(F.array().cast("array<struct<line:long,text:string>>")))
+    rows = rows.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.explode(F.concat(F.array(unit(F.lit(-1), F.col("text"))), lines)).alias("x"))
+    words = F.regexp_extract_all("x.text", F.lit(WORD), F.lit(0))
+    return _scored(rows.select("doc_id", "paragraph", F.col("x.line").alias("line"), words.alias("words")), ["doc_id", "paragraph", "line"], model)
 
 
 def _scored(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
     """Family, probability, likeness and whether it is confirmed, from the ``words`` of each row."""
     pairs = F.zip_with(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))), F.slice("words", 2, F.size("words")), lambda a, b: F.concat_ws(" ", a, b))
-    rows = rows.select(*keys, F.array_distinct("words").alias("words"), F.array_distinct(F.concat("words", pairs)).alias("grams"))
-    rows = rows.select(*keys, "words", _logits(F.col("grams"), model).alias("z"))
+    rows = rows.select(*keys, F.array_distinct(F.concat("words", pairs)).alias("grams"))
+    rows = rows.select(*keys, "grams", _logits(F.col("grams"), model).alias("z"))
     t = model.temperature
     exps = let(F.array_max("z"), lambda m: F.transform("z", lambda v: F.exp((v - m) / t)))
-    rows = rows.select(*keys, "words", exps.alias("e"))
+    rows = rows.select(*keys, "grams", exps.alias("e"))
     top = F.array_position("e", F.array_max("e")).cast("int")
-    rows = rows.select(*keys, "words", top.alias("top"), (F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)).alias("probability"))
+    rows = rows.select(*keys, "grams", top.alias("top"), (F.array_max("e") / F.aggregate("e", F.lit(0.0), lambda a, v: a + v)).alias("probability"))
     names = F.array(*[F.lit(f) for f in model.families], F.lit("unknown"))
     family = F.when(F.col("probability") >= CERTAIN, F.element_at(names, F.col("top"))).otherwise(F.lit("unknown"))
-    rows = rows.select(*keys, "words", family.alias("family"), "probability")
+    rows = rows.select(*keys, "grams", family.alias("family"), "probability")
     likeness = F.lit(0.0)
-    for name, texts in NOTICES.items():
-        share = [F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(set(s.split()))]))) / float(len(set(s.split()))) for s in texts]
+    for name in model.families:
+        share = [F.size(F.array_intersect("grams", F.expr(f"array({', '.join(map(repr, own))})"))) / float(len(own)) for own in templates(name)]
         likeness = F.when(F.col("family") == name, F.greatest(*share) if len(share) > 1 else share[0]).otherwise(likeness)
     rows = rows.select(*keys, "family", F.round("probability", 6).alias("probability"), F.round(likeness, 6).alias("likeness"))
     return rows.withColumn("confirmed", (F.col("family") != "unknown") & (F.col("likeness") >= ALIKE))
-
-
-# ---------------------------------------------------------------- whole paragraphs
-#: A licence's name with its version written onto it, as in GPLv3, LGPLv2.1+ or Apache2.
-VERSIONED = r"(?<![a-z0-9])(apache|bsd|cc|gpl|lgpl|mpl)[-_]?(?:v(?:er|ersion)?[-_.]?)?([0-9])"
-
-
-def plain(text: Column) -> Column:
-    return F.regexp_replace(F.lower(text), VERSIONED, "$1 version $2")
-
-
-def _known(words: Column, names: list[str]) -> Column:
-    """The words of the model in their order, with one empty word for each run of others, so that no new pairs arise."""
-    return let(F.transform(words, lambda w: F.when(w.isin(names), w).otherwise("")), lambda own: F.filter(own, lambda w, i: (w != "") | (i == 0) | (F.get(own, i - 1) != "")))
-
-
-def _paragraphs(lines: Column) -> Column:
-    """First line and lines of each longest run of lines with words."""
-    at = F.sequence(F.lit(0), F.size(lines) - 1)
-    gaps = F.concat(F.array(F.lit(-1)), F.filter(at, lambda i: F.size(F.get(lines, i)) == 0), F.array(F.size(lines)))
-    return let(gaps, lambda g: F.filter(
-        F.transform(F.slice(g, 1, F.size(g) - 1), lambda a, i: F.struct((a + 1).alias("first"), F.slice(lines, a + 2, F.get(g, i + 1) - a - 1).alias("lines"))),
-        lambda p: F.exists(p["lines"], lambda ws: F.exists(ws, lambda w: w != "")),
-    ))
-
-
-def _units(p: Column) -> Column:
-    """Lines, half-overlapping runs of 2, 4, 8, ... lines and the whole of a paragraph, with their words."""
-    n = F.size(p["lines"])
-    lengths = F.array_distinct(F.concat(F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int")), lambda m: m < n), F.array(n)))
-
-    def runs(m: Column) -> Column:
-        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), n - m, F.greatest(F.floor(m / 2).cast("int"), F.lit(1))), F.array(n - m)))
-        return F.transform(starts, lambda s: F.struct((p["first"] + s).cast("long").alias("line"), (p["first"] + s + m - 1).cast("long").alias("last_line"), F.flatten(F.slice(p["lines"], s + 1, m)).alias("words")))
-
-    return F.flatten(F.transform(lengths, runs))
-
-
-def scan_paragraphs(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row for each line, run of lines and paragraph with an n-gram of the model, first and last line included."""
-    model = model or train()
-    names = sorted({w for g in model.weights for w in g.split()})
-    lines = F.transform(F.split(plain(text_or_empty()), "\n", -1), lambda t: F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    rows = docs.select("doc_id", F.transform(lines, lambda ws: _known(ws, names)).alias("lines"))
-    rows = rows.select("doc_id", F.explode(_paragraphs(F.col("lines"))).alias("p"))
-    rows = rows.select("doc_id", F.explode(_units(F.col("p"))).alias("x")).where(F.exists("x.words", lambda w: w != ""))
-    rows = rows.select("doc_id", "x.line", "x.last_line", "x.words")
-    return _scored(rows, ["doc_id", "line", "last_line"], model)

@@ -68,7 +68,7 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_paragraphs(read(spark, sf_dir, "documents"))
+    return license_scan.scan(read(spark, sf_dir, "documents")).where("line = -1").drop("line")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,22 +133,27 @@ _LEAST = " ".join(f"WHEN n_ >= {n} THEN {i + 1}" for i, n in reversed(list(enume
 
 def _license_sql() -> str:
     model = license_scan.train()
-    words = "|".join(sorted(set(license_scan.ANCHORS), key=lambda w: (-len(w), w)))
     weights = ", ".join(f"('{g}', {list(w)!r}::DOUBLE[])" for g, w in model.weights.items())
-    templates = ", ".join(f"('{f}', {sorted(set(t.split()))!r})" for f, ts in license_scan.NOTICES.items() for t in ts)
+    templates = ", ".join(f"('{f}', {own!r})" for f in model.families for own in license_scan.templates(f))
     logits = ", ".join(f"{b!r} + coalesce(sum(w[{i + 1}]), 0)" for i, b in enumerate(model.bias))
     return f"""
-WITH m(gram, w) AS (VALUES {weights}), tpl(family, words) AS (VALUES {templates}),
-d AS (SELECT doc_id, row_number() OVER () AS n, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, n, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM d),
-a AS (SELECT doc_id, n, line, regexp_extract_all(lower(t), '{license_scan.WORD}') AS words FROM l WHERE regexp_matches(t, '(?i)(^|[^a-z0-9])({words})($|[^a-z0-9])')),
-g AS (SELECT n, line, unnest(list_distinct(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))])) AS gram FROM a),
-z AS (SELECT a.n, a.line, [{logits}] AS z FROM a LEFT JOIN g ON g.n = a.n AND g.line = a.line LEFT JOIN m ON m.gram = g.gram GROUP BY a.n, a.line),
-e AS (SELECT n, line, [exp((v - list_max(z)) / {model.temperature!r}) FOR v IN z] AS e FROM z),
-p AS (SELECT n, line, list_max(e) / list_sum(e) AS probability, list_position(e, list_max(e)) AS top FROM e),
-f AS (SELECT *, CASE WHEN probability >= {license_scan.CERTAIN} THEN {[*model.families, "unknown"]!r}[top] ELSE 'unknown' END AS family FROM p),
-k AS (SELECT a.doc_id, a.line, f.family, f.probability, coalesce((SELECT max(len(list_intersect(list_distinct(a.words), tpl.words)) / len(tpl.words)) FROM tpl WHERE tpl.family = f.family), 0) AS likeness FROM a JOIN f ON f.n = a.n AND f.line = a.line)
-SELECT doc_id, CAST(line AS BIGINT) AS line, family, round(probability, 6) AS probability, round(likeness, 6) AS likeness, family <> 'unknown' AND round(likeness, 6) >= {license_scan.ALIKE} AS confirmed FROM k
+WITH m(gram, w) AS (VALUES {weights}), tpl(family, pairs) AS (VALUES {templates}),
+d AS (SELECT doc_id, row_number() OVER () AS n, string_split_regex(regexp_replace(lower(coalesce(text, '')), '(^|[^a-z0-9]){license_scan.VERSIONED}', '\\1\\2 version \\3', 'g'), '{license_scan.BLANK}') AS ps FROM documents),
+p AS (SELECT * FROM (SELECT doc_id, n, unnest(range(0, len(ps))) AS paragraph, unnest(ps) AS t FROM d) WHERE regexp_matches(t, '{model.pattern}')),
+l AS (SELECT doc_id, n, paragraph, string_split(t, chr(10)) AS ls FROM p),
+u AS (SELECT doc_id, n, paragraph, -1 AS line, t FROM p
+  UNION ALL SELECT * FROM (SELECT doc_id, n, paragraph, unnest(range(0, len(ls))) AS line, unnest(ls) AS t FROM l WHERE len(ls) > 1) WHERE regexp_matches(t, '{model.pattern}')),
+a AS (SELECT doc_id, row_number() OVER () AS n, paragraph, line, regexp_extract_all(t, '{license_scan.WORD}') AS words FROM u),
+b AS (SELECT n, list_distinct(words || [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS grams FROM a),
+g AS (SELECT n, unnest(grams) AS gram FROM b),
+z AS (SELECT a.n, [{logits}] AS z FROM a LEFT JOIN (SELECT g.n, m.w FROM g JOIN m ON m.gram = g.gram) g ON g.n = a.n GROUP BY a.n),
+e AS (SELECT n, [exp((v - list_max(z)) / {model.temperature!r}) FOR v IN z] AS e FROM z),
+f AS (SELECT n, list_max(e) / list_sum(e) AS probability, list_position(e, list_max(e)) AS top FROM e),
+k AS (SELECT n, probability, CASE WHEN probability >= {license_scan.CERTAIN} THEN {[*model.families, "unknown"]!r}[top] ELSE 'unknown' END AS family FROM f),
+s AS (SELECT k.n, max(len(list_intersect(b.grams, tpl.pairs)) / len(tpl.pairs)) AS likeness FROM k JOIN b ON b.n = k.n JOIN tpl ON tpl.family = k.family GROUP BY k.n)
+SELECT a.doc_id, CAST(a.paragraph AS BIGINT) AS paragraph, CAST(a.line AS BIGINT) AS line, k.family, round(k.probability, 6) AS probability, round(coalesce(s.likeness, 0), 6) AS likeness,
+  k.family <> 'unknown' AND round(coalesce(s.likeness, 0), 6) >= {license_scan.ALIKE} AS confirmed
+FROM a JOIN k ON k.n = a.n LEFT JOIN s ON s.n = a.n
 """
 
 
@@ -231,4 +236,5 @@ FROM e
 
 def oracle_sql() -> dict[str, str]:
     """SQL of all queries that have one; that of the licence scan holds its fitted weights."""
-    return ORACLE_SQL | {"op7_license_scans": _license_sql()}
+    whole = _license_sql()
+    return ORACLE_SQL | {"op7_license_scans": whole, "op7_license_paragraphs": f"SELECT * EXCLUDE (line) FROM ({whole}) WHERE line = -1"}

@@ -1,109 +1,165 @@
 import re
 
+import numpy as np
+
 from fieldweave.llm import license_scan as ls
 
+#: Notices as they are met, none of them in the training texts.
+HELD_OUT = [
+("mit","This project is licensed under the terms of the MIT license."),
+("mit","MIT License\nCopyright (c) 2019 Jane Doe"),
+("mit","Code released under the MIT licence, see LICENSE for details."),
+("mit","Licensed under MIT"),
+("mit","This library is distributed under the MIT License. You are free to use it in commercial products."),
+("mit","Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction"),
+("apache","Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"),
+("apache","Copyright 2015 Google Inc. Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+("apache","This software is released under the Apache 2.0 license."),
+("apache","All code here is made available under Apache-2.0."),
+("apache","Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements."),
+("gpl","This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+("gpl","Released under GPLv3."),
+("gpl","This code is GPLv2+"),
+("gpl","License: GPL-3.0-or-later"),
+("gpl","You can use this under the GNU GPL, version 2."),
+("gpl","distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\nGNU General Public License for more details."),
+("lgpl","This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2 of the License, or (at your option) any later version."),
+("lgpl","Licensed under LGPLv3"),
+("lgpl","libfoo is available under the GNU Lesser General Public License (LGPL)."),
+("agpl","This server is free software: you can redistribute it under the terms of the GNU Affero General Public License, version 3"),
+("agpl","AGPLv3 licensed"),
+("bsd","Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+("bsd","This software is BSD licensed (3-clause)."),
+("bsd","Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+("bsd","Copyright (c) 2010 The Authors. Distributed under the 2-clause BSD license."),
+("bsd","THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND\nANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE\nARE DISCLAIMED."),
+("mpl","This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."),
+("mpl","Licensed under MPL 2.0"),
+("mpl","The software is available under the Mozilla Public License, version 2.0"),
+("isc","Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies."),
+("isc","ISC License Copyright 2018 Foo"),
+("zlib","This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages"),
+("zlib","distributed under the zlib/libpng License"),
+("boost","Distributed under the Boost Software License, Version 1.0."),
+("unlicense","This is free and unencumbered software released into the public domain."),
+("cc0","To the extent possible under law, Foo has waived all copyright and related or neighboring rights to Bar."),
+("cc0","This dataset is in the public domain (CC0)."),
+("cc-by","Text is available under CC-BY 4.0"),
+("cc-by","Except where otherwise noted, content is licensed under a Creative Commons Attribution 4.0 license."),
+("cc-by-sa","Text is available under the Creative Commons Attribution-ShareAlike License"),
+("cc-by-sa","Images: CC BY-SA 3.0"),
+("cc-by-nc","Licensed under CC BY-NC 4.0."),
+("cc-by-nc","This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+("gfdl","Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2"),
+("artistic","You can redistribute it and/or modify it under the Artistic License."),
+
+]
+#: Licences of no family, and prose with their words.
+UNKNOWN = [
+    "Do what you want to public license", "Microsoft Public License (Ms-PL)", "The PHP License, version 3.01", "This work is licensed under the Open Database License",
+    "The license fee for the software is 100 euros a year and is due in January", "The public library of the city is free and open to all", "He was granted permission to copy the document without restriction",
+    "The committee shall meet in public and the use of the hall is free of charge to any person", "Redistribution of wealth and the use of public funds", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Work under the Open Government Licence v3", "A general of the army gave the public notice of the terms", "The source of the files was a binary star", "Some rights were reserved for the creative director of the commons",
+]
+
+
+def units(text, model):
+    """Paragraphs and lines with a gate word, by plain Python."""
+    text = re.sub("(?<![a-z0-9])" + ls.VERSIONED, r"\1 version \2", (text or "").lower())
+    has = lambda t: re.search(model.pattern, t)
+    for i, p in enumerate(re.split(ls.BLANK, text)):
+        if has(p):
+            yield i, -1, p
+            lines = p.split("\n")
+            if len(lines) > 1:
+                yield from ((i, j, t) for j, t in enumerate(lines) if has(t))
+
+
+def verdict(text, model):
+    p = model.probabilities(text)
+    family = [*model.families, "unknown"][int(p.argmax())] if p.max() >= ls.CERTAIN else "unknown"
+    pairs = {g for g in ls.grams(re.findall(ls.WORD, text)) if " " in g}
+    like = max((len(pairs & set(t)) / len(t) for t in ls.templates(family)), default=0.0) if family != "unknown" else 0.0
+    return family, round(float(p.max()), 5), round(like, 5), family != "unknown" and like >= ls.ALIKE
+
 
 def brute(docs):
-    model, out = ls.train(), {}
-    names = [*model.families, "unknown"]
-    for d, text in docs:
-        for i, line in enumerate((text or "").split("\n")):
-            if not re.search(ls.ANCHOR, line):
-                continue
-            p = model.probabilities(line)
-            family = names[int(p.argmax())] if p.max() >= ls.CERTAIN else "unknown"
-            words = set(re.findall(ls.WORD, line.lower()))
-            like = max((len(words & set(t.split())) / len(set(t.split())) for t in ls.NOTICES.get(family, [])), default=0.0)
-            out[d, i] = (family, round(float(p.max()), 5), round(like, 5), family != "unknown" and like >= ls.ALIKE)
-    return out
+    model = ls.train()
+    return {(d, i, j): verdict(t, model) for d, text in docs for i, j, t in units(text, model)}
 
 
 def run(spark, docs):
     df = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, line int")
-    return {(r.doc_id, r.line): (r.family, round(r.probability, 5), round(r.likeness, 5), r.confirmed) for r in ls.scan(df).collect()}
+    return {(r.doc_id, r.paragraph, r.line): (r.family, round(r.probability, 5), round(r.likeness, 5), r.confirmed) for r in ls.scan(df.repartition(3)).collect()}
 
 
 def close(a, b):
     return a.keys() == b.keys() and all(a[k][0] == b[k][0] and a[k][3] == b[k][3] and abs(a[k][1] - b[k][1]) < 2e-5 for k in a)
 
 
-def test_held_out_accuracy():
+def test_recall_on_held_out_notices():
     model = ls.train()
-    names = [*model.families, "unknown"]
-    rows = ls.copies(99, 20)
-    right = sum(names[int(model.probabilities(" ".join(w)).argmax())] == names[label] for w, label in rows)
-    assert right >= 0.95 * len(rows)
+    right = [model.family(t) == f for f, t in HELD_OUT]
+    assert np.mean(right) >= 0.9, [x for x, ok in zip(HELD_OUT, right, strict=True) if not ok]
+    found = [verdict(t.lower(), model) for t in UNKNOWN]
+    assert sum(f[0] == "unknown" for f in found) >= 0.9 * len(UNKNOWN) and sum(f[3] for f in found) == 0
 
 
-def test_equals_brute_force(spark):
-    texts = ["Ou et de.\nReleased under the MIT License.", "This work is licensed under the GNU General Public License, version 3.\nx", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", None, "", "no such thing",
-             "He lost his driving license.\nCopyright 1999 by the author", "word " * 30_000 + "released under the MIT license", "UNLICENSED emitted", "MIT"]
-    docs = [*enumerate(texts), (0, texts[0])] + [(100 + i, " ".join(w)) for i, (w, _) in enumerate(ls.copies(5, 4))]
-    got = run(spark, docs)
-    assert close(got, brute(docs))
-    assert got[0, 1][0] == "mit" and got[1, 0][0] == "gpl" and got[2, 0][0] == "cc-by-nc" and got[3, 0][0] == "apache"
-    assert all(got[k][3] for k in [(0, 1), (1, 0), (2, 0), (3, 0)]) and got[7, 0][0] == "unknown"
-    assert run(spark, []) == {}
+def test_probabilities_are_calibrated():
+    model = ls.train()
+    names, rows = [*model.families, "unknown"], ls.copies(99, 10)
+    p = np.array([model.probabilities(" ".join(w)) for w, _ in rows])
+    right = np.array([names[i] == names[label] for i, (_, label) in zip(p.argmax(1), rows, strict=True)])
+    gaps = [abs(right[own].mean() - p.max(1)[own].mean()) * own.mean() for a in np.arange(0, 1, 0.1) if (own := (p.max(1) > a) & (p.max(1) <= a + 0.1)).any()]
+    assert sum(gaps) < 0.05 and right.mean() > 0.85
 
 
-def test_planted_notices_of_the_tables(spark):
-    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
-    got = run(spark, docs)
-    assert close(got, brute(docs))
-    notice = {(d, i) for d, t in docs for i, line in enumerate((t or "").split("\n")) if re.search(r"[Ll]icense", line)}
-    assert notice and all(got[k][3] for k in notice)
+def test_most_weights_are_zero_and_the_gate_loses_nothing():
+    model = ls.train()
+    assert np.mean([v == 0 for w in model.weights.values() for v in w]) > 0.8
+    assert (ls.largest_margins(model.weights, model.bias, set(model.gate)) < 0).all()
+    known = sorted({w for g in model.weights for w in g.split()} - set(model.gate))
+    rng = np.random.default_rng(1)
+    texts = [" ".join(rng.choice(known, rng.integers(1, 300))) for _ in range(300)] + [" ".join(known)]
+    assert all(model.family(t) == "unknown" for t in texts)
+    for w in model.gate:  # every way a word can stand in a text
+        for t in (w, f"x {w} y", f"2.0{w}", f"é{w}é", f"a\n{w}\n", f"1.{w}-b", f"({w})"):
+            if w in re.findall(ls.WORD, t):
+                assert re.search(model.pattern, t), (w, t)
 
 
 GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License."
 
 
-def brute_units(docs):
-    """Every line, run and paragraph from the definition."""
-    model, out = ls.train(), []
-    names = [*model.families, "unknown"]
-    known = {w for g in model.weights for w in g.split()}
-    for d, text in docs:
-        lines = re.sub(ls.VERSIONED, r"\1 version \2", (text or "").lower()).split("\n")
-        i = 0
-        while i < len(lines):
-            j = i
-            while j < len(lines) and re.search(ls.WORD, lines[j]):
-                j += 1
-            n, spans = j - i, set()
-            m = 1
-            while m < n:
-                spans |= {(s, m) for s in [*range(0, n - m + 1, max(m // 2, 1)), n - m]}
-                m *= 2
-            for s, m in sorted(spans | ({(0, n)} if n else set())):
-                unit = "\n".join(lines[i + s : i + s + m])
-                words = set(re.findall(ls.WORD, unit))
-                if words & known:
-                    p = model.probabilities(unit)
-                    family = names[int(p.argmax())] if p.max() >= ls.CERTAIN else "unknown"
-                    like = max((len(words & set(t.split())) / len(set(t.split())) for t in ls.NOTICES.get(family, [])), default=0.0)
-                    out.append((d, i + s, i + s + m - 1, family, round(float(p.max()), 4), round(like, 4), family != "unknown" and like >= ls.ALIKE))
-            i = j + 1
-    return sorted(out)
-
-
-def run_paragraphs(spark, docs):
-    df = spark.createDataFrame([(d, t, 7) for d, t in docs], "doc_id long, text string, line int")
-    return sorted((r.doc_id, r.line, r.last_line, r.family, round(r.probability, 4), round(r.likeness, 4), r.confirmed) for r in ls.scan_paragraphs(df).collect())
+def test_equals_brute_force(spark):
+    texts = ["Ou et de.\nReleased under the MIT License.", "This work is licensed under the GNU General Public License, version 3.\nx", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", None, "", "no such thing",
+             "He lost his driving license.\nCopyright 1999 by the author", "word " * 30_000 + "released under the MIT license", "UNLICENSED emitted", "MIT", f"x y\n \n\t\n\n{GPL}\n\nReleased under GPLv3.\r\n", "\n\n\nmit\n\n", "K MIT \u212a"]
+    docs = [*enumerate(texts), (0, texts[0])] + [(100 + i, t) for i, (_, t) in enumerate(HELD_OUT)] + [(200 + i, " ".join(w)) for i, (w, _) in enumerate(ls.copies(5, 2)[::3])]
+    got = run(spark, docs)
+    assert close(got, brute(docs))
+    assert got[0, 0, 1][0] == "mit" and got[1, 0, 0][0] == "gpl" and got[2, 0, -1][0] == "cc-by-nc" and got[3, 0, -1][0] == "apache"
+    assert all(got[k][3] for k in [(0, 0, 1), (1, 0, 0), (2, 0, -1), (3, 0, -1), (11, 1, -1)]) and got[11, 1, -1][0] == "gpl" and got[7, 0, 0][0] == "unknown"
+    assert run(spark, []) == {}
+
+
+def test_equals_sql(spark):
+    import duckdb
+    import pandas as pd
 
+    from fieldweave.llm.queries import oracle_sql
 
-def test_wrapped_and_versioned_notices(spark):
-    docs = [(0, GPL), (1, "/*\n * Copyright\n *\n * " + GPL.replace("\n", "\n * ") + "\n */"), (2, "Released under GPLv3."), (3, "This code is GPLv2+"), (4, "a\nb\n" + GPL + "\nc\nd"), (5, None), (6, ""), (7, "\n\n"), (0, GPL)]
-    got = run_paragraphs(spark, docs)
-    assert any(r[:4] == (0, 0, 2, "gpl") and r[6] for r in got)
-    assert any(r[0] == 1 and r[1:4] == (3, 5, "gpl") and r[6] for r in got)
-    assert any(r[0] == 4 and r[3] == "gpl" and r[6] for r in got)
-    assert {r[3] for r in got if r[0] in (2, 3)} == {"gpl"}
-    assert len(got) == len(brute_units(docs)) and run_paragraphs(spark, []) == []
+    texts = [t for _, t in HELD_OUT] + UNKNOWN + [None, "", f"x y\n \n\t\n\n{GPL}\n\nReleased under GPLv3.\r\n", "a\n\nlicensed under LGPLv2.1+\nfoo\n"]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    names = "doc_id, paragraph, line, family, probability, likeness, confirmed"
+    want = {r[:3]: (r[3], round(r[4], 5), round(r[5], 5), r[6]) for r in con.sql(f"SELECT {names} FROM ({oracle_sql()['op7_license_scans']})").fetchall()}
+    assert close(run(spark, list(enumerate(texts))), want) and len(want) > 50
 
 
-def test_paragraphs_equal_brute_force(spark):
-    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
-    docs += [(10_000, "Dual.\nReleased under the MIT License.\nLicensed under the Apache License, Version 2.0.\n\nend of it"), (10_001, "the\n" * 19 + GPL)]
-    got, want = run_paragraphs(spark, docs), brute_units(docs)
-    assert [r[:4] + r[6:] for r in got] == [r[:4] + r[6:] for r in want]
-    assert all(abs(a[4] - b[4]) < 2e-4 and abs(a[5] - b[5]) < 2e-4 for a, b in zip(got, want, strict=True))
+def test_planted_notices_of_the_tables(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = run(spark, docs)
+    notice = {(d, i) for d, t in docs for i, line in enumerate((t or "").split("\n")) if re.search(r"[Ll]icense", line) and line.count("\n") == 0}
+    assert notice and all(got[d, 0, i if (d, 0, i) in got else -1][3] for d, i in notice)
+    wrong = [k for k, v in got.items() if v[3] and k[2] >= 0 and (k[0], k[2]) not in notice]
+    assert not [k for k in wrong if "CC " not in dict(docs)[k[0]].split("\n")[k[2]]]
