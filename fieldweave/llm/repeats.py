@@ -9,23 +9,26 @@ equal triggers at equal offsets.  Consecutive window starts with one trigger for
 phrase; its string is all that these windows can cover, from LENGTH - GRAM bytes before
 the trigger to LENGTH bytes after its start, cut at the document's borders.
 
-*Dictionary.*  Phrases are dealt by trigger hash.  Of equal phrases (128 bits of two
-hashes of the whole phrase, beside the trigger's 64) all but the earliest repeat whole.  This is done within each map task
-first, so that copies meet as one row per task.  A trigger with one distinct phrase is
-settled.  Only where several distinct phrases share a trigger are their bytes fetched.
-
-*Suffix arrays.*  The distinct phrases of a trigger are sorted twice: by what follows the
-trigger's start, and by what precedes it read backwards.  With the common-prefix lengths
-of neighbours, the window that begins k bytes before the trigger has a class in each
-order for every k; both classes equal means equal windows.  Within a pair of classes the
-corpus order of the parse (doc_id, start) tells the earliest; the others repeat.
-
-A trigger with more than ``HOT`` distinct phrases (a line that very many documents hold) isn't
-sorted in one task: each of its windows is dealt by 128 bits of its own hash, the earliest of
-every map task only, so neither the trigger nor a very common window gathers in one place.
-
-Rows travel as packed binary blobs (one per task and bucket).  Memory of a task is its
-bucket; set ``spark.sql.shuffle.partitions`` so that input / partitions is about 30 MB.
+*Dictionary.*  A first pass counts the phrases of each trigger (:func:`count_triggers`).  Those of an
+ordinary trigger are dealt by it; those of a hot one, which would make up a good part of
+a bucket, are dealt by the phrase, so no trigger gathers in one task.  Of equal phrases (128
+bits of two hashes of the whole phrase, beside the trigger's 64) all but the earliest
+repeat whole.  This is done within each map task first, so that copies meet as one row per
+task.  A trigger with one distinct phrase is settled.  Only where several distinct phrases
+share a trigger are their bytes fetched.
+
+*Suffix arrays.*  The distinct phrases of an ordinary trigger are sorted twice: by what
+follows the trigger's start, and by what precedes it read backwards.  With the common-prefix
+lengths of neighbours, the window that begins k bytes before the trigger has a class in
+each order for every k; both classes equal means equal windows.  Within a pair of classes
+the corpus order of the parse (doc_id, start) tells the earliest; the others repeat.  The
+suffixes of a hot trigger's phrases are sorted by Spark, in ranges of their bytes with the
+corpus order behind them: neighbours that share LENGTH bytes are equal windows, the first of
+them the earliest.  Each map task sends the earliest of its equal windows only, so a very
+common one doesn't gather.
+
+Rows travel as packed binary blobs (one per task and bucket).  The number of buckets
+follows from the bytes of all texts (``BUCKET_BYTES``), so a task's memory doesn't grow with them.
 
 Defined results: a null or empty text has no bytes and removes nothing; rows that repeat
 doc_id and text are one document (each gets the same result); rows with one doc_id and
@@ -52,16 +55,18 @@ REACH = LENGTH - GRAM
 #: Bytes of a document parsed at once, and rows a map task holds before it sends them.
 PIECE, HELD = 1 << 22, 1 << 20
 NULL_ID = -(1 << 63)
-#: Distinct phrases of a trigger that one task sorts.
-HOT = 20_000
+#: Bytes of text for each bucket, and the least number of a hot trigger's phrases.
+BUCKET_BYTES, HOT = 1 << 25, 1_000
+#: Triggers with more than one part in this many of a bucket's phrases are hot.
+HOT_SHARE = 4
 _LOW = np.uint64((1 << 24) - 1)
 SCHEMA = "bucket int, kind int, data binary"
-PHRASES, REQUESTS, HOT_REQUESTS, RANGES, TEXTS, CONTEXTS, WINDOWS = range(7)
+PHRASES, HOT_PHRASES, REQUESTS, HOT_REQUESTS, RANGES, TEXTS, CONTEXTS, WINDOWS = range(8)
 LAYOUT = {
     PHRASES: {"g": "<u8", "f": "<u8", "f2": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
+    HOT_PHRASES: {"g": "<u8", "f": "<u8", "f2": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
     REQUESTS: {"g": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
     HOT_REQUESTS: {"g": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
-    WINDOWS: {"h": "<u8", "h2": "<u8", "doc": "<i8", "t": "<u8", "start": "<u4"},
     RANGES: {"doc": "<i8", "t": "<u8", "start": "<u4", "stop": "<u4"},
 }
 #: Byte values of the second hash of phrases and windows.
@@ -81,8 +86,8 @@ def triggers(buf: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return (np.minimum(least[: len(least) - (width - step)], least[width - step :]) & _LOW).astype(np.int64)
 
 
-def phrases(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
-    """Phrases of the documents ``buf[offs[i]:offs[i + 1]]`` (under 16 MB together)."""
+def phrases(buf: np.ndarray, offs: np.ndarray, both: bool = True) -> dict[str, np.ndarray]:
+    """Phrases of the documents ``buf[offs[i]:offs[i + 1]]`` (under 16 MB together); one of the two hashes unless ``both``."""
     empty = {k: np.empty(0, np.uint64 if k in ("g", "f", "f2") else np.int64) for k in ("row", "trigger", "first", "last", "g", "f", "f2")}
     if len(buf) < LENGTH:
         return empty
@@ -105,21 +110,21 @@ def phrases(buf: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         "row": row, "trigger": trigger, "first": first, "last": last,
         "g": shared.slices(sums, trigger, trigger + GRAM),
         "f": shared.mix(shared.slices(sums, left, right) + (trigger - left).astype(np.uint64)),
-        "f2": shared.slices(shared.prefix(buf, _BYTE2), left, right),
+        "f2": shared.slices(shared.prefix(buf, _BYTE2), left, right) if both else np.zeros(len(row), np.uint64),
     }
 
 
-def parse(buf: np.ndarray, offs: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+def parse(buf: np.ndarray, offs: np.ndarray, both: bool = True) -> Iterator[dict[str, np.ndarray]]:
     """Phrases with trigger, first and last counted from the document's first byte."""
     if len(buf) <= PIECE:
-        p = phrases(buf, offs)
+        p = phrases(buf, offs, both)
         yield p | {k: p[k] - offs[p["row"]] for k in ("trigger", "first", "last")}
         return
     # one long document: pieces that end with a whole phrase, with what their phrases can cover around them
     start, n = 0, len(buf)
     while n - start >= LENGTH:
         low, high = max(0, start - REACH), min(n, start + PIECE + 2 * LENGTH)
-        p = phrases(buf[low:high], np.array([0, high - low]))
+        p = phrases(buf[low:high], np.array([0, high - low]), both)
         p |= {k: p[k] + low for k in ("trigger", "first", "last")}
         mine = p["last"] >= start
         if high < n:  # the last phrases may go on, or their strings be cut
@@ -207,14 +212,61 @@ def as_ranges(p: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarr
     return {"doc": p["doc"][which], "t": p["t"][which], "start": at - p["hi"][which], "stop": at - p["lo"][which] + 1}
 
 
-def _parse_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
+def count_triggers(docs: DataFrame, parts: int, limit: int | None = None) -> tuple[int, np.ndarray]:
+    """The number of buckets, and the hot triggers.
+
+    A map task counts the distinct phrases of each trigger in every HELD phrases and tells
+    of triggers with two or more.  So sums fall short of a trigger's phrases by one for each
+    HELD phrases of the corpus at most.  A hot trigger has more than its share of a bucket,
+    so there are less than HOT_SHARE for each bucket: what reaches the driver grows with
+    the number of buckets only.  Another ``limit`` than that share may be given.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, n_bytes, total = [], 0, 0, 0
+
+        def several() -> pa.RecordBatch:
+            both = np.unique(np.concatenate(held)) if held else np.empty(0, _PAIR)
+            g, n = np.unique(both["g"], return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(shared.signed(g[n > 1])), pa.array(n[n > 1])], names=["g", "n"])
+
+        for batch in batches:
+            for b, _, _ in texts(batch):
+                n_bytes += len(b.buf)
+                for p in parse(b.buf, b.offs, both=False):
+                    own = np.empty(len(p["g"]), _PAIR)
+                    own["g"], own["f"] = p["g"], p["f"]
+                    held.append(own)
+                    size += len(own)
+                if size > HELD:
+                    yield several()
+                    held, size, total = [], 0, total + size
+        yield several()
+        yield pa.RecordBatch.from_arrays([pa.array([None, None], pa.int64()), pa.array([n_bytes, -total - size])], names=["g", "n"])
+
+    rows = shared.materialize(docs.mapInArrow(count, "g long, n long"))
+    whole = rows.where("g is null").agg(F.sum(F.greatest("n", F.lit(0))).alias("bytes"), F.sum(-F.least("n", F.lit(0))).alias("phrases")).first()
+    n = max(parts, -(-(whole["bytes"] or 0) // BUCKET_BYTES))
+    limit = max(HOT, (whole["phrases"] or 0) // (HOT_SHARE * n)) if limit is None else limit
+    hot = rows.where("g is not null").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > limit).select("g").toPandas()["g"].to_numpy(np.int64)
+    shared.discard(rows)
+    return n, np.sort(hot.view(np.uint64))
+
+
+_PAIR = np.dtype([("g", "<u8"), ("f", "<u8")])
+
+
+def _parse_step(batches: Iterator[pa.RecordBatch], n: int, hot: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     held, size = [], 0
 
     def send():
         p = join(held, PHRASES)
         order, first, repeat = settle(p)
         own = {k: v[order[first]] for k, v in p.items()}
-        yield from dealt(PHRASES, own, (own["g"] % np.uint64(n)).astype(np.int64))
+        salted = np.isin(own["g"], hot)
+        for kind, which, by in ((PHRASES, ~salted, "g"), (HOT_PHRASES, salted, "f")):
+            some = {k: v[which] for k, v in own.items()}
+            yield from dealt(kind, some, (some[by] % np.uint64(n)).astype(np.int64))
         r = as_ranges(p, order[repeat])
         yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
 
@@ -234,31 +286,29 @@ def _parse_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int
         yield from send()
 
 
-def _dictionary_step(batches: Iterator[pa.RecordBatch], n: int, hot: int = HOT) -> Iterator[tuple[int, int, bytes]]:
-    found = []
+def _dictionary_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
+    found = {PHRASES: [], HOT_PHRASES: []}
     for kind, data in _received(batches):
         if kind == RANGES:  # on their way to the documents
             r = unpack(RANGES, data)
             yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
         else:
-            found.append(unpack(PHRASES, data))
-    p = join(found, PHRASES)
-    found.clear()
-    order, first, repeat = settle(p)
-    r = as_ranges(p, order[repeat])
-    yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
-    rep = order[first]
-    g = p["g"][rep]
-    several = np.zeros(len(g), bool)
-    if len(g) > 1:
-        several[1:] = g[1:] == g[:-1]
-        several[:-1] |= several[1:]
-    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
-    size = np.diff(np.append(begin, len(g)))
-    many = np.repeat(size > hot, size)
-    for kind, which in ((REQUESTS, several & ~many), (HOT_REQUESTS, several & many)):
-        own = {k: p[k][rep[which]] for k in LAYOUT[REQUESTS]}
-        yield from dealt(kind, own, _owner(own["doc"], own["t"], n))
+            found[kind].append(unpack(kind, data))
+    for kind, ask in ((PHRASES, REQUESTS), (HOT_PHRASES, HOT_REQUESTS)):
+        p = join(found.pop(kind), kind)
+        order, first, repeat = settle(p)
+        r = as_ranges(p, order[repeat])
+        yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
+        rep = order[first]
+        if kind == PHRASES:  # others of the trigger are in this bucket too
+            g = p["g"][rep]
+            several = np.zeros(len(g), bool)
+            if len(g) > 1:
+                several[1:] = g[1:] == g[:-1]
+                several[:-1] |= several[1:]
+            rep = rep[several]
+        own = {k: p[k][rep] for k in LAYOUT[ask]}
+        yield from dealt(ask, own, _owner(own["doc"], own["t"], n))
 
 
 def _text_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
@@ -312,32 +362,51 @@ class _ByDocument:
         return slice(*span) if span else None
 
 
-def windows_of(text: bytes, asked: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The windows of the asked phrases of one document, with 128 bits of hash."""
+def windows_of(text: bytes, asked: dict[str, np.ndarray]) -> np.ndarray:
+    """The windows of the asked phrases of one document: bytes, then doc, text hash and start, so that they sort by bytes and corpus order."""
     count = asked["hi"].astype(np.int64) - asked["lo"] + 1
     row = np.repeat(np.arange(len(count)), count)
     k = asked["lo"].astype(np.int64)[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     start = asked["at"].astype(np.int64)[row] - k
-    buf = np.frombuffer(text, np.uint8)
-    h, h2 = (shared.slices(shared.prefix(buf, table), start, start + LENGTH) for table in (shared.BYTE, _BYTE2))
-    return {"h": h, "h2": h2, "doc": asked["doc"][row], "t": asked["t"][row], "start": start}
+    out = np.empty((len(row), LENGTH + 20), np.uint8)
+    out[:, :LENGTH] = np.frombuffer(text, np.uint8)[start[:, None] + np.arange(LENGTH)]
+    place = ((asked["doc"][row].astype(np.int64).view(np.uint64) ^ _SIGN, ">u8", LENGTH), (asked["t"][row], ">u8", LENGTH + 8), (start, ">u4", LENGTH + 16))
+    for value, kind, at in place:
+        size = np.dtype(kind).itemsize
+        out[:, at : at + size] = value.astype(kind).view(np.uint8).reshape(-1, size)
+    return out
+
 
+_SIGN = np.uint64(1 << 63)
 
-def earliest(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the earliest of equal windows, and rows of the others."""
-    order = np.lexsort((w["start"], w["t"], w["doc"], w["h2"], w["h"]))
-    same = np.zeros(len(order), bool)
-    if len(order):
-        same[1:] = (w["h"][order][1:] == w["h"][order][:-1]) & (w["h2"][order][1:] == w["h2"][order][:-1])
-    return order[~same], order[same]
 
+def neighbours(rows: np.ndarray) -> np.ndarray:
+    """Which of the ordered windows share LENGTH bytes with the one before."""
+    same = np.zeros(len(rows), bool)
+    same[1:] = (rows[1:, :LENGTH] == rows[:-1, :LENGTH]).all(1)
+    return same
 
-def _repeated(w: dict[str, np.ndarray], which: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
-    start = w["start"][which].astype(np.int64)
-    r = {"doc": w["doc"][which], "t": w["t"][which], "start": start, "stop": start + 1}
+
+def _repeated(rows: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
+    """Ranges of windows."""
+    column = lambda at, kind: np.ascontiguousarray(rows[:, at : at + np.dtype(kind).itemsize]).view(kind).ravel()
+    start = column(LENGTH + 16, ">u4").astype(np.int64)
+    doc = (column(LENGTH, ">u8").astype(np.uint64) ^ _SIGN).view(np.int64)
+    r = {"doc": doc, "t": column(LENGTH + 8, ">u8").astype(np.uint64), "start": start, "stop": start + 1}
     yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
 
 
+def _order_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
+    """Repeats among the sorted windows of a range."""
+    last = np.empty((0, LENGTH + 20), np.uint8)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.concatenate([last, np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, LENGTH + 20)])
+        yield from _repeated(rows[neighbours(rows)], n)
+        last = rows[-1:]
+
+
 def _context_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
     """Bytes around the triggers that were asked for, windows of hot ones; requests come before texts."""
     asked, by, done = {REQUESTS: [], HOT_REQUESTS: []}, None, set()
@@ -353,11 +422,12 @@ def _context_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[i
             yield int(bucket), CONTEXTS, np.array([len(part)], "<i8").tobytes() + body + around[part].tobytes()
 
     def send_windows():
-        w = {k: np.concatenate([x[k] for x in hot]) for k in LAYOUT[WINDOWS]}
-        first, again = earliest(w)
-        own = {k: v[first] for k, v in w.items()}
-        yield from dealt(WINDOWS, own, (own["h"] % np.uint64(n)).astype(np.int64))
-        yield from _repeated(w, again, n)
+        w = np.concatenate(hot)
+        w = w[np.argsort(w.view(f"S{w.shape[1]}").ravel(), kind="stable")]
+        again = neighbours(w)
+        for row in w[~again]:
+            yield 0, WINDOWS, row.tobytes()
+        yield from _repeated(w[again], n)
 
     for kind, data in _received(batches):
         if kind in asked:
@@ -373,7 +443,7 @@ def _context_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[i
             own = {k: {c: v[spans[k]] for c, v in by[k].cols.items()} for k in by if spans[k]}
             if HOT_REQUESTS in own:
                 hot.append(windows_of(text, own[HOT_REQUESTS]))
-                hot_size += len(hot[-1]["h"])
+                hot_size += len(hot[-1])
             if REQUESTS in own:
                 # bytes plus one, zero where the document has none
                 wide = np.zeros(len(text) + REACH + LENGTH, np.uint8)
@@ -383,7 +453,7 @@ def _context_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[i
             if size > 1 << 16:
                 yield from send()
                 held, size = [], 0
-            if hot_size > HELD:
+            if hot_size > HELD // 8:
                 yield from send_windows()
                 hot, hot_size = [], 0
     if held:
@@ -426,22 +496,16 @@ def repeated_windows(cols: dict[str, np.ndarray], around: np.ndarray) -> np.ndar
 
 
 def _suffix_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
-    cols, around, windows = [], [], []
+    cols, around = [], []
     for kind, data in _received(batches):
         if kind == RANGES:  # on their way to the documents
             r = unpack(RANGES, data)
             yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
             continue
-        if kind == WINDOWS:
-            windows.append(unpack(WINDOWS, data))
-            continue
         m = int(np.frombuffer(data, "<i8", 1)[0])
         body = len(data) - 8 - m * (REACH + LENGTH)
         cols.append(unpack(REQUESTS, data[8 : 8 + body]))
         around.append(np.frombuffer(data, np.uint8, offset=8 + body).reshape(m, REACH + LENGTH))
-    if windows:
-        w = join(windows, WINDOWS)
-        yield from _repeated(w, earliest(w)[1], n)
     if not cols:
         return
     cols = join(cols, REQUESTS)
@@ -492,14 +556,22 @@ def _deal(df: DataFrame, n: int) -> DataFrame:
     return df.repartitionById(n, F.col("bucket"))
 
 
-def _with_removals(docs: DataFrame, each, names: list[str], types: list[pa.DataType], schema: str, hot: int = HOT) -> DataFrame:
-    n = shared.parts(docs)
+def _with_removals(docs: DataFrame, each, names: list[str], types: list[pa.DataType], schema: str, hot: int | None = None) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    phrases_ = _run(docs, _parse_step, n)
-    settled = shared.materialize(_run(_deal(phrases_, n), functools.partial(_dictionary_step, hot=hot), n))
+    n, triggers_ = count_triggers(docs, shared.parts(docs), hot)
+    phrases_ = _run(docs, functools.partial(_parse_step, hot=triggers_), n)
+    settled = shared.materialize(_run(_deal(phrases_, n), _dictionary_step, n))
     packed = _run(docs, _text_step, n)
     asked = _deal(settled.where(F.col("kind").isin(REQUESTS, HOT_REQUESTS)).unionAll(packed), n).sortWithinPartitions("kind")
-    sorted_ = _run(_deal(_run(asked, _context_step, n), n), _suffix_step, n)
+    contexts = _run(asked, _context_step, n)
+    if len(triggers_):
+        contexts = shared.materialize(contexts)
+    sorted_ = _run(_deal(contexts.where(F.col("kind") != WINDOWS), n), _suffix_step, n)
+    if len(triggers_):
+        window = contexts.where(F.col("kind") == WINDOWS).select("data")
+        # equal windows are in one range, as few as the tasks that sent them
+        ranges = window.repartitionByRange(n, F.substring("data", 1, LENGTH)).sortWithinPartitions("data")
+        sorted_ = sorted_.unionAll(_run(ranges, _order_step, n))
     all_ranges = settled.where(F.col("kind") == RANGES).unionAll(sorted_).unionAll(packed)
 
     def finish(batches):
@@ -528,10 +600,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return (doc, *spans_of(gone))
 
     types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return _with_removals(docs, each, ["doc_id", "starts", "ends"], types, "doc_id long, starts array<long>, ends array<long>")
+    return shared.finished(lambda: _with_removals(docs, each, ["doc_id", "starts", "ends"], types, "doc_id long, starts array<long>, ends array<long>"))
 
 
-def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def digests(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """Per document what was removed, and a digest of the bytes that remain."""
 
     def each(doc, text, gone):
@@ -540,4 +612,4 @@ def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    return _with_removals(docs, each, names, types, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot)
+    return shared.finished(lambda: _with_removals(docs, each, names, types, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hot))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +35,15 @@ def spread(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only where it is unset (a local
-    session, as in tests) a temporary folder is set for it.
+    The setting is read from the session; only where it is unset in a local
+    session, as in tests, a temporary folder is set for it.  On a cluster that is an error,
+    as other machines wouldn't see the folder.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldweave-"))
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/fieldweave-{uuid.uuid4().hex}"
@@ -55,6 +58,26 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for made in _open:
+        made.append(path)
+    return out
+
+
+#: Paths written since a call of :func:`finished` began, for each call that hasn't ended.
+_open: list[list[str]] = []
+
+
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """The DataFrame that ``make`` returns as a table; all tables made on the way are deleted."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        out = materialize(make())
+    finally:
+        _open.remove(made)
+    for path in made:
+        if path != out._scratch_path:
+            delete(out.sparkSession, path)
     return out
 
 

@@ -52,14 +52,14 @@ def made(seed, n=40):
     return docs
 
 
-def run(spark, docs, hot=repeats.HOT):
+def run(spark, docs, hot=None):
     df = spark.createDataFrame([(d, t, 1, "k") for d, t in docs], "doc_id long, text string, bucket int, kind string")
     return [tuple(r) for r in repeats.digests(df.repartition(3), hot).orderBy("doc_id", "n_bytes").collect()]
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(0, repeats.HOT), (1, repeats.HOT), (2, repeats.HOT), (0, 0), (1, 2), (5, 3)])
+@pytest.mark.parametrize(("seed", "hot"), [(0, None), (1, None), (2, None), (0, 0), (1, 2), (5, 3)])
 def test_equals_brute_force(spark, seed, hot):
-    """Small values of ``hot`` send triggers through their windows."""
+    """Small values of ``hot`` send triggers through the order of their suffixes."""
     docs = made(seed)
     assert run(spark, docs, hot) == brute(docs)
 
@@ -110,3 +110,17 @@ def test_phrases_alike_in_half_their_hash(spark):
     assert p["g"] == q["g"] and p["f"] >> np.uint64(32) == q["f"] >> np.uint64(32)
     docs = [(1, a), (2, b), (3, a)]
     assert run(spark, docs) == brute(docs)
+
+
+def test_a_line_of_all_documents_is_hot_and_spread(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 30)
+    monkeypatch.setattr(repeats, "HELD", 2000)
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopq ")
+    line = "".join(rng.choice(letters, 150))
+    docs = [(i, "".join(rng.choice(letters, 120)) + line + "".join(rng.choice(letters, 120))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    n, hot = repeats.count_triggers(df, 50)
+    assert n == 50 and 0 < len(hot) < 4 * n
+    monkeypatch.setattr(repeats.shared, "parts", lambda df: 50)
+    assert run(spark, docs) == brute(docs)
