@@ -3,8 +3,11 @@
 A document is the weighted set of its five-word shingles (lower case, words between
 white space; a shorter text is one shingle).  The weight of a shingle is how often it
 occurs times the inverse document frequency of its rarest word, scaled to 1..2.
-Document frequencies are counted over all documents, in a fixed number of hashed
-counters, so their table has the same size for any corpus.
+Document frequencies are counted exactly, word by word, over all documents.  Words that
+less than one in ``RARE`` documents holds (or one document alone) all have the largest
+weight, so only the others are looked up: their number is at most RARE times the mean number of distinct words of
+a document, whatever the number of documents, and weights follow shares of the corpus,
+not its size.
 
 Improved consistent weighted sampling draws ``BANDS * ROWS`` samples of each document:
 two documents agree in a sample with the probability of their weighted Jaccard
@@ -44,9 +47,8 @@ from fieldweave.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 8, 3
-COUNTERS = 1 << 16
-UNIT, UNIT_BYTES = 1024, 1 << 24
-_SHIFT = np.uint64(48)
+RARE = 10_000
+UNIT, UNIT_BYTES = 256, 1 << 24
 
 
 # ---------------------------------------------------------------- weighted sets
@@ -59,11 +61,27 @@ def _words(b: shared.Block) -> tuple[np.ndarray, np.ndarray]:
     return shared.slices(shared.prefix(b.buf), s, e), doc
 
 
-def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Weights:
+    """Weights of words by their hash: a sorted table, and 2 for all words that aren't in it."""
+
+    def __init__(self, word: np.ndarray, held_by: np.ndarray, n_docs: int):
+        order = np.argsort(word)
+        self.word, floor = word[order], max(n_docs / RARE, 1)
+        share = np.log(n_docs / np.maximum(held_by[order], floor)) / np.log(n_docs / floor) if n_docs > floor else np.ones(len(word))
+        self.weight = 1 + share
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return np.full(len(h), 2.0)
+        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+        return np.where(self.word[at] == h, self.weight[at], 2.0)
+
+
+def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, idf: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, shingle and weight, sorted by document and shingle."""
     key, at = shared.windows(h, doc, WORDS)
     owner = doc[at]
-    rare = idf[(h >> _SHIFT).astype(np.int64)]
+    rare = idf.of(h)
     best = rare[at]
     for k in range(1, WORDS):
         best = np.maximum(best, rare[at + k])
@@ -123,29 +141,44 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- steps
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """The weight of a word by its hashed counter, from counts over all documents."""
+def document_frequencies(docs: DataFrame) -> Weights:
+    """The weights of words, from exact counts over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(COUNTERS, np.int64), 0
+        word, seen, n, held, size = np.empty(0, np.uint64), np.empty(0, np.int64), 0, [], 0
+
+        def summed():
+            own, at = np.unique(np.concatenate([word, *held]), return_inverse=True)
+            return own, np.bincount(at, np.concatenate([seen, np.ones(len(at) - len(seen), np.int64)]), len(own)).astype(np.int64)
+
         for batch in batches:
             for b in shared.blocks(_lower(batch)):
                 h, doc = _words(b)
-                both = np.unique((doc.astype(np.uint64) << np.uint64(16)) | (h >> _SHIFT))
-                seen += np.bincount((both & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-                n += b.n
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, COUNTERS).astype(np.int32)), pa.array(np.append(seen[at], n))], names=["counter", "n"])
-
-    # at most COUNTERS + 1 rows reach the driver
-    rows = docs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(COUNTERS + 1)
-    n[rows["counter"].to_numpy()] = rows["n"].to_numpy()
-    total = n[COUNTERS]
-    return 1 + np.log((1 + total) / (1 + n[:COUNTERS])) / np.log(2 + total)
-
-
-def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                held.append(h[np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])] if len(h) else h)
+                size, n = size + len(held[-1]), n + b.n
+                if size > 1 << 20:
+                    (word, seen), held, size = summed(), [], 0
+                    if len(word) > 1 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(shared.signed(word)), pa.array(seen)], names=["word", "n"])
+                        word, seen = word[:0], seen[:0]
+        word, seen = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(shared.signed(word)), pa.array(seen)], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([n])], names=["word", "n"])
+
+    def summed_up():
+        return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+    counts = shared.finished(summed_up)
+    total = (counts.where("word is null").first() or [None, 0])[1]
+    # at most RARE times the mean number of distinct words of a document
+    rows = counts.where("word is not null").where(F.col("n") > max(total / RARE, 1)).toPandas()
+    shared.discard(counts)
+    return Weights(rows["word"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), total)
+
+
+def signatures(docs: DataFrame, idf: Weights) -> DataFrame:
     """``doc_id, words (digest of the word sequence), size, bands`` for each row."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -193,7 +226,7 @@ def _several(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("low <> high").drop("low", "high")
 
 
-def rest_units(large: DataFrame, docs: DataFrame, roots: DataFrame, idf: np.ndarray) -> DataFrame:
+def rest_units(large: DataFrame, docs: DataFrame, roots: DataFrame, idf: Weights) -> DataFrame:
     """``unit, doc_id`` that bring together all similar texts of large buckets that aren't in one class yet.
 
     ``large`` has band, key and doc_id; ``roots`` the class of each document that isn't its class's first.
@@ -264,7 +297,7 @@ def linked(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np
     return root
 
 
-def verify(members: DataFrame, idf: np.ndarray) -> DataFrame:
+def verify(members: DataFrame, idf: Weights) -> DataFrame:
     """Edges ``u, v`` between the documents of each unit; ``members`` has unit, doc_id and text."""
     held, n = members.sparkSession.sparkContext.broadcast(idf), shared.parts(members)
 
@@ -315,7 +348,10 @@ def verify(members: DataFrame, idf: np.ndarray) -> DataFrame:
 # ---------------------------------------------------------------- operator
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id``: the class of a document is named by its least doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
+    return shared.finished(lambda: _classes(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     idf = document_frequencies(docs)
     signed = shared.materialize(signatures(docs, idf))
     texts = shared.materialize(signed.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bands").alias("bands")))
@@ -334,7 +370,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the documents that are near copies of one that stays."""
-    found = shared.materialize(classes(docs))
+    found = classes(docs)
     # never a broadcast: the losers grow with the corpus
     losers = found.where("doc_id <> class_id").distinct().select(F.col("doc_id").alias("_loser")).hint("merge")
     kept = docs.join(losers, docs["doc_id"] == losers["_loser"], "left_anti")

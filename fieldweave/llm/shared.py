@@ -74,7 +74,7 @@ def finished(make: Callable[[], DataFrame]) -> DataFrame:
     try:
         out = materialize(make())
     finally:
-        _open.remove(made)
+        _open.pop()
     for path in made:
         if path != out._scratch_path:
             delete(out.sparkSession, path)

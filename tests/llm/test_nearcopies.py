@@ -24,7 +24,8 @@ def brute(docs):
     texts = dict(docs)
     n = len(docs)
     df = Counter(w for _, t in docs for w in {w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w})
-    idf = {w: 1 + np.log((1 + n) / (1 + c)) / np.log(2 + n) for w, c in df.items()}
+    floor = max(n / nc.RARE, 1)
+    idf = {w: 1 + np.log(n / max(c, floor)) / np.log(n / floor) if n > 1 else 2.0 for w, c in df.items()}
     sets = {d: weighted(t, idf) for d, t in docs}
     by = defaultdict(list)
     for d, s in sets.items():
@@ -119,3 +120,14 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(200, 199), (199, 200), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 200: 199}
+
+
+def test_document_frequencies_are_exact(spark):
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()] + [(-1, None), (-2, "A a B")]
+    df = Counter(w for _, t in docs for w in {w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w})
+    got = nc.document_frequencies(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    names = sorted(df)
+    h = np.concatenate([nc._words(b)[0] for b in nc.shared.blocks(nc.pa.array([" ".join(names)]))])
+    want = [1 + np.log(len(docs) / df[w]) / np.log(len(docs)) for w in names]
+    assert np.allclose(got.of(h), want) and len(got.word) == sum(c > 1 for c in df.values())
+    assert nc.Weights(np.array([7], np.uint64), np.array([50_000]), 10**9).of(np.array([7, 8], np.uint64)).tolist() == [2.0, 2.0]
