@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.llm import attribution, bpe, decontaminate, license_scan, nearcopies, quality, repeats, secret_scan, url_filter, warc
-from fieldweave.llm.shared import read, scratch
+from fieldweave.llm.shared import delete, read, scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -75,7 +75,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the tables have no fetch time: seconds of 2024 from the page_id
     date = "date_format(timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, coalesce(pmod(page_id, 31536000), 0)), \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS date"
     captures = read(spark, sf_dir, "pages").selectExpr("page_id", "url", "html", date)
-    return warc.histories(captures, scratch(spark)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    archives = scratch(spark)
+    out = warc.histories(captures, archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date", "capture_no")
+    delete(spark, archives)  # the query's result is its index
+    return out
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,16 +222,20 @@ met AS (
 SELECT a.page_id, a.url, CAST(a.day AS BIGINT) AS day, a.host, coalesce(m.action, 'none') AS verdict, m.pattern, m.entry_id, CAST(m.valid_from AS BIGINT) AS valid_from
 FROM (SELECT DISTINCT * FROM cap) a LEFT JOIN met m ON m.k = 1 AND m.page_id IS NOT DISTINCT FROM a.page_id AND m.url IS NOT DISTINCT FROM a.url
 """,
-    "op8_warc": """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, html, CAST(strlen(html) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits FROM p),
+    "op8_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') AS url,
+  strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce((page_id % 31536000 + 31536000) % 31536000, 0)), '%Y-%m-%dT%H:%M:%SZ') AS date FROM pages),
+d AS (SELECT page_id, html, url, date, CAST(strlen(html) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits FROM p),
+u AS (SELECT *, regexp_replace(lower(regexp_extract(url, '{warc.URL}', 1)), '^www\\.', '') AS host, regexp_extract(url, '{warc.URL}', 2) AS port, lower(regexp_extract(url, '{warc.URL}', 3)) AS rest FROM d),
+k AS (SELECT *, CASE WHEN regexp_matches(url, '{warc.URL}') THEN array_to_string(list_reverse(string_split(host, '.')), ',') || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || ')'
+  || CASE WHEN starts_with(rest, '/') THEN rest ELSE '/' || rest END ELSE lower(trim(url)) END AS url_key FROM u),
 e AS (
-  SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY html) AS last,
+  SELECT page_id, payload_bytes, url_key, date, max(page_id) OVER (PARTITION BY html) AS last,
     array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT)
       + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1) FOR i IN range(32)], '') AS payload_digest
-  FROM d)
+  FROM k)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN page_id < last THEN last END AS refers_to
+  CASE WHEN page_id < last THEN last END AS refers_to, url_key, date, row_number() OVER (ORDER BY url_key, date, page_id NULLS FIRST) AS capture_no
 FROM e
 """,
 }

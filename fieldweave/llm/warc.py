@@ -1,15 +1,20 @@
 """WARC archives: written and read by Spark, indexed by an external loser-tree merge.
 
-*Writing.*  A record is one row of Spark's text writer, with the blank lines that end a
-WARC record as its line separator, so archives go to any store that Spark writes to.  Of
-records with equal payloads the one with the largest page_id is the response, the others
-are revisits that name it and carry its HTTP header only.
-
-*Reading.*  Files are parsed by Content-Length in Arrow batches, so payloads may hold
+*Writing.*  Every record is a gzip member of its own, so a capture can be read by its file,
+offset and length alone.  The members are rows of Spark's text writer, whose line separator
+here is an empty gzip member: files are plain concatenated gzip, and go to any store that Spark
+writes to.  Of records with equal payloads the one with the largest page_id is the response,
+the others are revisits that name it and carry its HTTP header only.  Roles are decided
+on (digest, page_id) alone; payloads are never dealt by digest.
+
+*Reading.*  Files are parsed member by member and by Content-Length in Arrow batches, so payloads may hold
 anything.  Each file gives a run of captures sorted by URL key, time and page.
 
-*Merging.*  Runs are cut into key ranges; in each range a loser tree merges the pieces of
-the runs, so that the ranges in order are the capture histories in order.
+*Merging.*  Spark cuts the runs into key ranges and keeps each run's piece in its order
+(its sort spills).  Pieces are packed in blocks of ``BLOCK_ROWS`` captures, and blocks are met by their
+first key: a loser tree merges the runs, and a block is opened only when its first key is
+next.  So memory holds the blocks that overlap, not the range.  Ranges in order, counted,
+give every capture its place in the global order.
 
 Defined results: a null payload is an empty one; a null url is an empty one; line breaks
 in a url are percent-encoded; rows that repeat page_id and payload are all responses; a
@@ -24,10 +29,12 @@ import gzip
 import hashlib
 import io
 import re
+import zlib
+from collections import deque
 from collections.abc import Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,10 +44,16 @@ from fieldweave.llm import shared
 LEAST_REVISIT = 0
 #: Rows of a file at most: bounds the archive that one task opens.
 FILE_RECORDS = 5_000
+#: Captures of a block, and of a key range at most on average.
+BLOCK_ROWS, RANGE_ROWS = 512, 200_000
 # Fixed strings of the formats.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
+#: An empty gzip member.
+NOTHING = bytes([0x1F, 0x8B, 8, 0, 0, 0, 0, 0, 0, 255, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0])
+#: Host, port, and path with query of a URL.
+URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)(?::([0-9]*))?([^#]*)"
 
 
 def base32_sha1(data: Column) -> Column:
@@ -56,11 +69,11 @@ def base32_sha1(data: Column) -> Column:
 def with_roles(captures: DataFrame) -> DataFrame:
     """``captures`` (page_id, url, html, date) with payload, digest, n_bytes and response_id (null for a response)."""
     rows = captures.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("payload"), "date")
-    rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "n_bytes": F.octet_length("payload").cast("long")})
-    least = F.col("n_bytes") >= LEAST_REVISIT
-    firsts = rows.where(least).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    other = least & (F.col("page_id") < F.col("response_id"))
-    return rows.join(firsts, "digest", "left").withColumn("response_id", F.when(other, F.col("response_id")))
+    rows = rows.withColumns({"sha": F.unhex(F.sha1("payload")), "n_bytes": F.octet_length("payload").cast("long")})
+    pages = rows.where(F.col("n_bytes") >= LEAST_REVISIT).select("page_id", "sha").distinct()
+    last = pages.groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = pages.hint("merge").join(last, "sha").where("page_id < response_id")
+    return rows.join(revisits.hint("merge"), ["page_id", "sha"], "left").withColumn("digest", base32_sha1(F.col("payload"))).drop("sha")
 
 
 def record(rows: DataFrame) -> Column:
@@ -81,21 +94,43 @@ def record(rows: DataFrame) -> Column:
 
 
 def write(captures: DataFrame, path: str) -> None:
-    """Write ``captures`` (page_id, url, html, date as ISO 8601 text) as gzipped WARC files below ``path``."""
+    """Write ``captures`` (page_id, url, html, date as ISO 8601 text) as WARC files of gzipped records below ``path``."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array((gzip.compress(v.as_buffer(), 6, mtime=0) for v in batch.column(0)), pa.binary())], names=["value"])
+
     rows = with_roles(captures)
-    rows.select(record(rows).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    members = rows.select(F.concat(record(rows), F.lit(END)).cast("binary").alias("value")).mapInArrow(squeeze, "value binary")
+    # the writer takes the bytes of a string as they are; the encoding is that of the separator
+    out = members.select(F.col("value").cast("string")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1")
+    out.option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def url_key(url: str) -> str:
     """Sort-friendly key: host labels reversed, then path and query, in lower case, without scheme, user, default port and fragment."""
-    try:
-        parts = urlsplit(url.strip())
-        host, port = (parts.hostname or "").removeprefix("www."), parts.port
-    except ValueError:
-        return url.strip().lower()
-    port = "" if port in (None, 80, 443) else f":{port}"
-    query = f"?{parts.query}" if parts.query else ""
-    return f"{','.join(reversed(host.split('.')))}{port}){parts.path.lower() or '/'}{query.lower()}"
+    found = re.match(URL, url)
+    if not found:
+        return url.strip(" ").lower()
+    host, port, rest = found[1].lower().removeprefix("www."), found[2] or "", found[3].lower()
+    port = "" if port in ("", "80", "443") else f":{port}"
+    return f"{','.join(reversed(host.split('.')))}{port}){rest if rest.startswith('/') else '/' + rest}"
+
+
+def members(content) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and data of each gzip member that isn't empty."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        d, out, end = zlib.decompressobj(31), [], at
+        while not d.eof:
+            if end >= len(view):
+                raise ValueError(f"gzip member at {at} isn't whole")
+            out.append(d.decompress(view[end : end + (1 << 16)]))
+            end += min(1 << 16, len(view) - end)
+        end -= len(d.unused_data)
+        if data := b"".join(out):
+            yield at, end - at, data
+        at = end
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -114,9 +149,9 @@ def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, by
         yield fields, http, payload
 
 
-NAMES = ["run", "seq", "url_key", "date", "page_id", "record_type", "payload_bytes", "payload_digest", "refers_to"]
-SCHEMA = "run string, seq long, url_key string, date string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long"
-_TYPES = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+SCHEMA = "run string, seq long, url_key string, date string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, offset long, length long"
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+_TYPES = [pa.string() if x.endswith("string") else pa.int64() for x in SCHEMA.split(", ")]
 _NONE = -(1 << 63)
 
 
@@ -124,54 +159,59 @@ def _batch(rows: list[tuple], names: list[str] = NAMES, types: list[pa.DataType]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of all archives below ``path``; every file is one run in order of key, date and page."""
+def capture(data: bytes) -> tuple:
+    """URL key, date, page, type, payload size, digest and response of a record; an error if it is damaged."""
+    ((fields, http, payload),) = parse(io.BytesIO(data))
+    page = lambda uri: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", uri)) else None
+    declared = fields["warc-payload-digest"].removeprefix("sha1:")
+    size = int(re.search(rb"(?i)^content-length: *(\d+)", http, re.M)[1])
+    kind = fields["warc-type"]
+    if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode() != declared):
+        raise ValueError(f"damaged record {fields['warc-record-id']}")
+    refers = page(fields["warc-refers-to"]) if kind == "revisit" else None
+    return url_key(fields["warc-target-uri"]), fields["warc-date"], page(fields["warc-record-id"]), kind, size, declared, refers
 
-    def page(uri: str) -> int | None:
-        return int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", uri)) else None
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Captures of all archives below ``path``, with file, offset and length; every file is one run in order of key, date and page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows = []
-                with gzip.GzipFile(fileobj=io.BytesIO(content.as_py())) as f:
-                    for fields, http, payload in parse(io.BufferedReader(f, 1 << 16)):
-                        declared = fields["warc-payload-digest"].removeprefix("sha1:")
-                        size = int(re.search(rb"(?i)^content-length: *(\d+)", http, re.M)[1])
-                        kind = fields["warc-type"]
-                        if kind == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode() != declared):
-                            raise ValueError(f"damaged record {fields['warc-record-id']}")
-                        refers = page(fields["warc-refers-to"]) if kind == "revisit" else None
-                        rows.append((url_key(fields["warc-target-uri"]), fields["warc-date"], page(fields["warc-record-id"]), kind, size, declared, refers))
-                rows.sort(key=_order)
-                for at in range(0, len(rows), 10_000):
-                    yield _batch([(name.as_py(), at + i, *r) for i, r in enumerate(rows[at : at + 10_000])])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+                rows = sorted(((*capture(data), at, n) for at, n, data in members(content.as_buffer())), key=_order)
+                for first in range(0, len(rows), 10_000):
+                    yield _batch([(name.as_py(), first + i, *r) for i, r in enumerate(rows[first : first + 10_000])])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     return files.mapInArrow(run, SCHEMA)
 
 
 def _order(row: tuple) -> tuple:
     """Order of captures within and across runs; a null page first."""
-    return row[0], row[1], _NONE if row[2] is None else row[2], row[5]
+    return row[0], row[1], _NONE if row[2] is None else row[2], row[3]
 
 
 class LoserTree:
-    """Merges sorted sequences: each inner node keeps the loser of its match, the root's winner is next."""
-
-    def __init__(self, runs: list[list[tuple]], key):
-        self.key, self.runs = key, [iter(r) for r in runs]
-        self.k = len(runs)
-        self.head, self.row = [None] * self.k, [None] * self.k
-        for i in range(self.k):
+    """Merges sorted sequences that may come in pieces: an inner node keeps the loser of its match, node 0 the winner."""
+
+    def __init__(self, key, runs=()):
+        self.key, self.names, self.queues, self.head = key, {}, [], []
+        for i, rows in enumerate(runs):
+            self.add(i, rows)
+
+    def add(self, name, rows) -> None:
+        """More rows of the run ``name``, none of them before one it had."""
+        i = self.names.setdefault(name, len(self.queues))
+        if i == len(self.queues):
+            self.queues.append(deque())
+            self.head.append(None)
+        self.queues[i].extend(rows)
+        if self.head[i] is None:
             self._advance(i)
-        self.loser = [-1] * self.k
-        for i in range(self.k):
-            self._play(i)
+            self._play()
 
     def _advance(self, i: int) -> None:
-        self.row[i] = next(self.runs[i], None)
-        self.head[i] = None if self.row[i] is None else self.key(self.row[i])
+        self.head[i] = self.key(self.queues[i][0]) if self.queues[i] else None
 
     def _beats(self, a: int, b: int) -> bool:
         """Does run ``a`` come before run ``b``?  A finished run comes last; ties go to the earlier run."""
@@ -179,52 +219,110 @@ class LoserTree:
             return self.head[b] is None and (self.head[a] is not None or a < b)
         return (self.head[a], a) < (self.head[b], b)
 
-    def _play(self, i: int) -> None:
-        """Run ``i`` climbs from its leaf; losers stay, the winner goes to node 0."""
-        node, winner = (i + self.k) // 2, i
-        while node > 0:
-            other = self.loser[node]
-            if other < 0:  # the match waits for its other side
-                self.loser[node] = winner
-                return
-            if self._beats(other, winner):
-                self.loser[node], winner = winner, other
+    def _play(self) -> None:
+        """All matches from the leaves (nodes k to 2 k - 1) to the root."""
+        k = len(self.queues)
+        self.loser, winner = [0] * k, [*range(k), *range(k)]  # winner[node]; leaves are right already
+        for node in range(k - 1, 0, -1):
+            a, b = winner[2 * node], winner[2 * node + 1]
+            winner[node], self.loser[node] = (a, b) if self._beats(a, b) else (b, a)
+        self.loser[0] = winner[1] if k > 1 else 0
+
+    def peek(self):
+        """Key of the next row, None at the end."""
+        return self.head[self.loser[0]] if self.queues else None
+
+    def pop(self):
+        winner = self.loser[0]
+        row = self.queues[winner].popleft()
+        self._advance(winner)
+        node = (winner + len(self.queues)) // 2
+        while node > 0:  # up from the winner's leaf
+            if self._beats(self.loser[node], winner):
+                self.loser[node], winner = winner, self.loser[node]
             node //= 2
         self.loser[0] = winner
+        return row
 
-    def __iter__(self) -> Iterator[tuple]:
-        while self.k and self.head[i := self.loser[0]] is not None:
-            yield self.row[i]
-            self._advance(i)
-            self._play(i)
+    def __iter__(self) -> Iterator:
+        while self.peek() is not None:
+            yield self.pop()
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """All captures in order of URL key, date and page: partition after partition, row after row."""
-    names, types = NAMES[2:], _TYPES[2:]
+def merged(blocks: Iterator[tuple[tuple, object, list]], key) -> Iterator:
+    """Rows in order from blocks (first key, run, rows) in order of their first keys."""
+    tree = LoserTree(key)
+    for first, run, rows in blocks:
+        while (head := tree.peek()) is not None and head < first:
+            yield tree.pop()
+        tree.add(run, rows)
+    yield from tree
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: dict[str, list[tuple]] = {}
+
+_KEY = "url_key string, date string, page_id long, record_type string"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of runs, in order of run and seq, as blocks with their first keys."""
+    held: list[tuple] = []
+
+    def send():
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, (b := _batch(held)).schema) as out:
+            out.write_batch(b)
+        return _batch([(*held[0][2:6], held[0][0], sink.getvalue().to_pybytes())], ["url_key", "date", "page_id", "record_type", "run", "block"], [*_TYPES[2:6], pa.string(), pa.binary()])
+
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (row[0] != held[0][0] or len(held) == BLOCK_ROWS):
+                yield send()
+                held = []
+            held.append(row)
+    if held:
+        yield send()
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number, at, out = TaskContext.get().partitionId(), 0, []
+
+    def blocks():
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                pieces.setdefault(row[0], []).append(row[1:])
-        own = [[r[1:] for r in sorted(rows, key=lambda r: r[0])] for _, rows in sorted(pieces.items())]
-        pieces.clear()
-        out = []
-        for row in LoserTree(own, _order):
-            out.append(row)
-            if len(out) == 10_000:
-                yield _batch(out, names, types)
-                out = []
-        if out:
+            for *first, run, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = pa.ipc.open_stream(block).read_all()
+                yield _order(first), run, list(zip(*(c.to_pylist() for c in table.columns), strict=True))
+
+    names, types = ["range", "place", *NAMES], [pa.int64(), pa.int64(), *_TYPES]
+    for row in merged(blocks(), lambda r: _order(r[2:])):
+        out.append((number, at, *row))
+        at += 1
+        if len(out) == 10_000:
             yield _batch(out, names, types)
+            out = []
+    if out:
+        yield _batch(out, names, types)
 
-    n = shared.parts(runs)
-    return runs.repartitionByRange(n, "url_key", "date", "page_id").mapInArrow(merge, SCHEMA.split(", ", 2)[2])
+
+def merge_runs(runs: DataFrame) -> DataFrame:
+    """All captures with ``capture_no``, their place in the order of URL key, date and page; partition after partition, row after row.
+
+    ``runs`` is a written table.  Equal keys are in one range; null pages come first.
+    """
+    n = max(shared.parts(runs), -(-runs.count() // RANGE_ROWS))
+    keys = ["url_key", "date", "page_id", "record_type"]
+    ranges = runs.repartitionByRange(n, *keys).sortWithinPartitions("run", "seq")
+    blocks = ranges.mapInArrow(_blocks, f"{_KEY}, run string, block binary").sortWithinPartitions(*keys, "run")
+    out = shared.materialize(blocks.mapInArrow(_merge, f"range long, place long, {SCHEMA}"))
+    # as many rows as there are ranges
+    counts = sorted((r["range"], r["n"]) for r in out.groupBy("range").agg(F.count("*").alias("n")).collect())
+    begin = [0]
+    for _, own in counts:
+        begin.append(begin[-1] + own)
+    offsets = runs.sparkSession.createDataFrame([(r, b) for (r, _), b in zip(counts, begin, strict=False)], "range long, begin long")
+    placed = out.join(F.broadcast(offsets), "range").withColumn("capture_no", F.col("begin") + F.col("place") + 1)
+    return placed.select("capture_no", F.col("run").alias("file"), *NAMES[2:])
 
 
 def histories(captures: DataFrame, path: str) -> DataFrame:
-    """Write archives below ``path``, read them back, and merge their index."""
+    """Write archives below ``path``, read them back, and merge their index: every capture with its place, file, offset and length."""
     write(captures, path)
-    spark = captures.sparkSession
-    return merge_runs(shared.materialize(read_runs(spark, path)))
+    return shared.finished(lambda: merge_runs(shared.materialize(read_runs(captures.sparkSession, path))))

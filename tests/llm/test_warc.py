@@ -13,7 +13,7 @@ def frame(spark, rows):
 
 def histories(spark, rows):
     df = warc.histories(frame(spark, rows).repartition(3), shared.scratch(spark))
-    return df.collect()
+    return df.orderBy("capture_no").collect()
 
 
 def made():
@@ -47,7 +47,7 @@ def test_histories_are_in_global_order(spark):
 def test_archives_are_plain_warc(spark):
     path = shared.scratch(spark)
     warc.write(frame(spark, [(1, "http://a/", "one"), (2, "http://b/", "one")]).coalesce(1), path)
-    texts = [gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()]
+    texts = [gzip.decompress(bytes(r.content)) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
     assert all(t.startswith(b"WARC/1.1\r\n") and t.endswith(b"\r\n\r\n") for t in texts)
     records = [x for t in texts for x in warc.parse(io.BytesIO(t))]
     assert {f["warc-type"]: p for f, _, p in records} == {"response": b"one", "revisit": b""}
@@ -63,4 +63,68 @@ def test_loser_tree():
     r = random.Random(2)
     for k in range(0, 9):
         runs = [sorted((r.randint(0, 20), i) for _ in range(r.randint(0, 15))) for i in range(k)]
-        assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for run in runs for x in run)
+        assert list(warc.LoserTree(lambda x: x, runs)) == sorted(x for run in runs for x in run)
+
+
+def test_blocks_are_opened_as_they_are_met():
+    r = random.Random(3)
+    for k in range(0, 9):
+        runs = [sorted((r.randint(0, 500), i) for _ in range(r.randint(0, 200))) for i in range(k)]
+        blocks = sorted((run[a], i, run[a : a + 7]) for i, run in enumerate(runs) for a in range(0, len(run), 7))
+        held, most = set(), 0
+
+        def met():
+            for b in blocks:
+                held.add(b[0])
+                yield b
+
+        out = list(warc.merged(met(), lambda x: x))
+        assert out == sorted(x for run in runs for x in run)
+    # runs that follow one another: one block of each is held at a time
+    tree_sizes = []
+    blocks = [(i * 10, i, [i * 10 + j for j in range(10)]) for i in range(50)]
+
+    class Watched(warc.LoserTree):
+        def add(self, name, rows):
+            super().add(name, rows)
+            tree_sizes.append(sum(map(len, self.queues)))
+
+    whole, warc.LoserTree = warc.LoserTree, Watched
+    try:
+        assert list(warc.merged(iter(blocks), lambda x: x)) == list(range(500))
+    finally:
+        warc.LoserTree = whole
+    assert max(tree_sizes) <= 10
+
+
+def test_a_record_is_read_by_its_index_row(spark):
+    rows, path = made(), shared.scratch(spark)
+    got = warc.histories(frame(spark, rows).repartition(2), path).collect()
+    assert [r.capture_no for r in sorted(got, key=lambda r: (r.url_key, r.date, r.page_id))] == list(range(1, len(rows) + 1))
+    files = {r.path: bytes(r.content) for r in spark.read.format("binaryFile").load(path).collect()}
+    for r in got:
+        own = gzip.decompress(files[r.file][r.offset : r.offset + r.length])
+        ((fields, _, payload),) = warc.parse(io.BytesIO(own))
+        assert fields["warc-record-id"] == f"<urn:page:{r.page_id}>" and warc.url_key(fields["warc-target-uri"]) == r.url_key
+        assert payload == (b"" if r.record_type == "revisit" else (rows[r.page_id][2] or "").encode())
+
+
+def test_url_keys():
+    want = {"http://user@www.A.org:80/Path?Q=1#f": "org,a)/path?q=1", "https://a.org:8443": "org,a:8443)/", "https://a.org?x": "org,a)/?x", " Odd ": "odd", "": ""}
+    assert {u: warc.url_key(u) for u in want} == want
+
+
+def test_equals_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from fieldweave.llm.queries import ORACLE_SQL, op8_warc
+
+    rows, path = made(), shared.scratch(spark)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{path}/pages.parquet")
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    want = con.sql(ORACLE_SQL["op8_warc"])
+    got = op8_warc(spark, path)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
