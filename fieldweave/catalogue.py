@@ -152,8 +152,16 @@ def _merge_query(name: str, aggregation, sql: str, window=None, nodata=True, val
         kinds = dict(out.dtypes)
         return out.select("r", "c", *[r6(c) if kinds[c] == "double" else F.col(c) for c in aggregation.outputs])
 
-    run.__name__ = name
+    def shuffled(spark, sf):
+        source, own = raster(spark, sf, nodata), patcher(window, aggregation)
+        cells = own.split(source)
+        out = own.merge(cells, source, value({c: F.col(c) for c in cells.columns}))
+        kinds = dict(out.dtypes)
+        return out.select("r", "c", *[r6(c) if kinds[c] == "double" else F.col(c) for c in aggregation.outputs])
+
+    run.__name__, shuffled.__name__ = name, f"{name}_shuffled"
     query(sql)(run)
+    query(sql)(shuffled)
 
 
 def _value(default: str, expr: str = "m.value") -> str:
@@ -197,14 +205,16 @@ _merge_query(
 )
 
 
-@query(f"{_patches(True)} SELECT seq % 7 AS key, CAST(arg_max(i * 16 + j, seq * 256 + i * 16 + j) AS BIGINT) AS last, count(*) AS n FROM pc GROUP BY 1")
+@query(f"{_patches()}, p AS (SELECT ar, ac, sum(value) AS total, count(*) AS n FROM pc GROUP BY ar, ac) SELECT ar, ac, n, round(2 * total, 6) AS total FROM p")
 def agg_by_index(spark, sf):
-    cells = patcher().split(raster(spark, sf, True)).select((F.col("seq") % 7).alias("key"), (F.col("o_r") * 16 + F.col("o_c")).alias("at"), (F.col("seq") * 256 + F.col("o_r") * 16 + F.col("o_c")).alias("seq"))
-    counts = cells.groupBy("key").agg(F.count("*").alias("n"))
-    return agg.by_index(cells, ["key"], ["at"]).withColumnRenamed("at", "last").join(counts, "key")
+    """Every anchor was met twice, the second time with doubled values: the last patch counts."""
+    packed = patcher().packed(raster(spark, sf))
+    later = packed.withColumns({"seq": F.col("seq") + 1_000_000_000, "data": F.transform("data", lambda x: x * 2)})
+    out = agg.by_index(packed.unionByName(later), ["ar", "ac"], ["data"])
+    return out.select("ar", "ac", F.size("data").cast("long").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query()
+@query(f"{_patches()} SELECT seq, max(value) AS top FROM pc GROUP BY seq")
 def agg_learned(spark, sf):
     cells = patcher().split(raster(spark, sf)).select("seq", "value")
     model = agg.Learned(lambda pdf: pdf.groupby("seq", as_index=False).agg(top=("value", "max")), "seq long, top double")
@@ -217,9 +227,22 @@ def sketch_quantile(spark, sf):
     return agg.ApproxQuantile((0.25, 0.5, 0.9), 20_000).reduce(events(spark, sf))
 
 
-@query()
+@query("SELECT true AS near")
 def sketch_cardinality(spark, sf):
-    return agg.ApproxCardinality(12).reduce(events(spark, sf), "user_id")
+    """Is the estimate within a tenth of the exact count?"""
+    own = events(spark, sf)
+    exact = own.agg(F.count_distinct("user_id").alias("exact"))
+    return agg.ApproxCardinality(12).reduce(own, "user_id").crossJoin(exact).select((F.abs(F.col("estimate") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
+
+
+@query("SELECT CAST(event_id % 4 AS BIGINT) AS part, true AS near FROM events GROUP BY 1")
+def sketch_stored(spark, sf):
+    """States of parts of the table, merged: does each state, and the merge, tell what one sketch of all tells?"""
+    own = events(spark, sf).withColumn("part", F.col("event_id") % 4)
+    plan = agg.ApproxCardinality(12)
+    states = plan.sketch(own, "user_id", ("part",))
+    whole = plan.reduce(own, "user_id").withColumnRenamed("estimate", "whole")
+    return states.select("part").crossJoin(plan.merge(states).crossJoin(whole)).select("part", (F.col("estimate") == F.col("whole")).alias("near"))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY n DESC) - 1 AS INTEGER) AS rank, CAST(k AS BIGINT) AS item, n FROM (SELECT CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS k, count(*) AS n FROM events GROUP BY 1)")
@@ -227,14 +250,22 @@ def sketch_mode(spark, sf):
     return agg.ApproxMode(16).reduce(events(spark, sf).select(klass().alias("value")))
 
 
-@query()
+@query("SELECT CAST(count(*) AS DOUBLE) AS mass, true AS few, true AS rising, true AS central FROM events")
 def sketch_histogram(spark, sf):
-    return agg.StreamingHistogram(32).reduce(events(spark, sf))
+    """Mass, number of bins, their order, and whether their mean is the values' mean."""
+    own = events(spark, sf)
+    bins = agg.StreamingHistogram(32).reduce(own).agg(F.sum("n").alias("mass"), F.count("*").alias("bins"), F.transform(F.array_sort(F.collect_list(F.struct("bin", "center"))), lambda x: x["center"]).alias("at"), (F.sum(F.col("n") * F.col("center")) / F.sum("n")).alias("middle"))
+    whole = own.agg(F.avg("value").alias("mean"), F.stddev("value").alias("std"))
+    return bins.crossJoin(whole).select("mass", (F.col("bins") <= 32).alias("few"), (F.col("at") == F.array_sort("at")).alias("rising"), (F.abs(F.col("middle") - F.col("mean")) <= 1e-6 * F.col("std")).alias("central"))
 
 
-@query()
+@query("SELECT least(50, count(*)) AS n, least(50, count(*)) AS distinct_ids, true AS members FROM events")
 def sketch_reservoir(spark, sf):
-    return agg.Reservoir(50, 1).reduce(events(spark, sf).select("event_id", "value"), key=("event_id",))
+    """Size, distinctness and membership of the sample."""
+    own = events(spark, sf).select("event_id", "value")
+    drawn = agg.Reservoir(50, 1).reduce(own, key=("event_id",))
+    met = drawn.join(own.withColumnRenamed("value", "real"), "event_id", "left")
+    return met.agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("distinct_ids"), F.bool_and(F.col("value").eqNullSafe(F.col("real"))).alias("members"))
 
 
 # ---------------------------------------------------------------- windows
@@ -324,19 +355,37 @@ def grid_rect_patches(spark, sf):
     return own.split(_grid(spark, sf)).groupBy("seq").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
-@query()
+@query(f"WITH ar AS ({_lattice('ar')}), ac AS ({_lattice('ac', extent='100')}) SELECT (ar // 8) * (SELECT count(*) FROM ac) + ac // 8 AS seq, true AS near, true AS fits FROM ar, ac")
 def jittered_anchors(spark, sf):
-    return SpatialPatcher(geo.Rectangular(PATCH), smp.JitteredStride(STEP, 0.5, 7)).anchors(raster(spark, sf))
+    """Of every place of the lattice: is its anchor within half a step, and does its patch fit?"""
+    own = raster(spark, sf)
+    plan = SpatialPatcher(geo.Rectangular(PATCH), smp.JitteredStride(STEP, 0.5, 7))
+    home = patcher().anchors(own).withColumnsRenamed({"ar": "hr", "ac": "hc"})
+    met = plan.anchors(own).join(home, "seq")
+    fits = (F.col("ar") >= 0) & (F.col("ac") >= 0) & (F.col("ar") <= F.lit(max(own.domain.height - PATCH, 0))) & (F.col("ac") <= WIDTH - PATCH)
+    return met.select("seq", (F.greatest(F.abs(F.col("ar") - F.col("hr")), F.abs(F.col("ac") - F.col("hc"))) <= STEP // 2).alias("near"), fits.alias("fits"))
 
 
-@query()
+@query("SELECT CAST(x AS BIGINT) AS seq, true AS fits, true AS again FROM range(40) t(x)")
 def random_anchors(spark, sf):
-    return SpatialPatcher(geo.Rectangular(PATCH), smp.RandomAnchors(40, 7)).anchors(raster(spark, sf))
+    """Do all patches fit, and does the seed give the same ones again?"""
+    own, plan = raster(spark, sf), SpatialPatcher(geo.Rectangular(PATCH), smp.RandomAnchors(40, 7))
+    again = plan.anchors(own).select("seq", F.struct("ar", "ac").alias("other"))
+    fits = (F.col("ar") >= 0) & (F.col("ac") >= 0) & (F.col("ar") <= F.lit(max(own.domain.height - PATCH, 0))) & (F.col("ac") <= WIDTH - PATCH)
+    return plan.anchors(own).join(again, "seq").select("seq", fits.alias("fits"), (F.struct("ar", "ac") == F.col("other")).alias("again"))
 
 
-@query()
+@query("SELECT true AS many, true AS inside, 0::BIGINT AS crowded")
 def poisson_anchors(spark, sf):
-    return SpatialPatcher(geo.Rectangular(4), smp.PoissonDisk(6.0, seed=7)).anchors(raster(spark, sf))
+    """Enough anchors, all of them inside, and how many pairs are nearer than whole cells allow."""
+    own = raster(spark, sf)
+    found = SpatialPatcher(geo.Rectangular(4), smp.PoissonDisk(6.0, seed=7)).anchors(own)
+    points_ = found.select(F.col("seq").alias("pid"), F.col("ar").cast("double").alias("y"), F.col("ac").cast("double").alias("x"))
+    near = geo.RadiusGraph(6.0 - 2**0.5 - 1e-9).neighbours(points_.select(F.col("pid").alias("seq"), F.col("x").alias("ax"), F.col("y").alias("ay")), points_).where("seq <> pid")
+    inside = (F.col("ar") >= 0) & (F.col("ac") >= 0) & (F.col("ar") <= F.lit(max(own.domain.height - 4, 0))) & (F.col("ac") <= WIDTH - 4)
+    # a full board holds an anchor for each disk of twice the distance at least
+    full = own.domain.height * WIDTH / (3.15 * 12.0**2)
+    return found.agg((F.count("*") >= F.lit(full)).alias("many"), F.bool_and(inside).alias("inside")).crossJoin(near.agg(F.count("*").alias("crowded")))
 
 
 # ---------------------------------------------------------------- points and polygons
@@ -508,9 +557,12 @@ def t_explicit(spark, sf):
     return _digest(_patches_of(spark, sf, tmp.FixedLookback(3), smp.TemporalExplicit((0, 3, 7, 900_000))))
 
 
-@query()
+@query("SELECT CAST(x AS BIGINT) AS seq, true AS fits, true AS again FROM range(25) t(x)")
 def t_random(spark, sf):
-    return smp.TemporalRandom(25, 3).table(spark, whole_series(spark, sf).domain.length)
+    """Do all times lie on the axis, and does the seed give the same ones again?"""
+    n, plan = whole_series(spark, sf).domain.length, smp.TemporalRandom(25, 3)
+    again = plan.table(spark, n).withColumnRenamed("t_anchor", "other")
+    return plan.table(spark, n).join(again, "seq").select("seq", ((F.col("t_anchor") >= 0) & (F.col("t_anchor") < n)).alias("fits"), (F.col("t_anchor") == F.col("other")).alias("again"))
 
 
 @query(_time_sql("4", "0", _steps(3), "count(*) AS n, round(avg(value), 6) AS mean, round(sum(value * exp(-(stop - 1 - t) / 2.0)), 6) AS weighted"))
@@ -540,7 +592,9 @@ def t_mean(spark, sf):
     return tmp.mean(_packed(spark, sf, tmp.FixedLookback(5), 3, 4), ["user_id"]).select("user_id", "pos", r6("value"))
 
 
-@query(f"WITH {_S}, a AS (SELECT user_id, length, t_anchor, k AS scale FROM ({_steps(6)}) b(user_id, length, t_anchor, z), range(2) q(k)) SELECT a.user_id, t_anchor, CASE scale WHEN 0 THEN '2' ELSE '6' END AS key, count(*) AS n, round(sum(value), 6) AS total FROM a JOIN s ON s.user_id = a.user_id AND s.t > a.t_anchor - CASE scale WHEN 0 THEN 2 ELSE 6 END AND s.t <= a.t_anchor GROUP BY 1, 2, 3")
+@query(f"WITH {_S}, a AS (SELECT user_id, length, t_anchor, CASE k WHEN 0 THEN 2 ELSE 6 END AS scale FROM ({_steps(6)}) b(user_id, length, t_anchor, z), range(2) q(k)), g AS (SELECT *, greatest(0, t_anchor - scale + 1) AS start, t_anchor + 1 AS stop FROM a), "
+       "h AS (SELECT *, CASE WHEN stop - start IN (2, 6) THEN CAST(stop - start AS VARCHAR) ELSE '[' || start || ',' || stop || ')' END AS key FROM g), l AS (SELECT user_id, t_anchor, key, max(scale) AS scale FROM h GROUP BY 1, 2, 3) "
+       "SELECT l.user_id, l.t_anchor, l.key, count(*) AS n, round(sum(value), 6) AS total FROM l JOIN s ON s.user_id = l.user_id AND s.t > l.t_anchor - l.scale AND s.t <= l.t_anchor GROUP BY 1, 2, 3")
 def t_hier(spark, sf):
     out = tmp.hierarchical(_packed(spark, sf, tmp.MultiScale((2, 6)), 6), ["user_id"], (2, 6))
     return out.select("user_id", "t_anchor", "key", F.size("data").cast("long").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
@@ -585,6 +639,24 @@ def st_merge_mean(spark, sf):
     return plan.merge_mean(plan.split(own, 8), own).select("ar", "ac", "o_r", "o_c", "o_t", r6("value"))
 
 
+_AT = "CAST(ar AS BIGINT) AS ar, CAST(ac AS BIGINT) AS ac, CAST(i AS BIGINT) AS o_r, CAST(j AS BIGINT) AS o_c"
+_SERIES = f"ser AS (SELECT {_AT}, t_anchor, list(value ORDER BY t) AS d, sum(value) AS total FROM pc GROUP BY 1, 2, 3, 4, t_anchor)"
+
+
+@query(f"WITH {_ST}, {_STC}, {_SERIES} SELECT ar, ac, o_r, o_c, round(list_reduce(list_prepend(0::DOUBLE, list(total ORDER BY t_anchor)), lambda x, y: x * 0.5 + y), 6) AS state FROM ser GROUP BY 1, 2, 3, 4")
+def st_merge_fold(spark, sf):
+    own, plan = cube(spark, sf), _spacetime()
+    fold = tmp.Fold(lambda a, data: a * 0.5 + F.aggregate(data, F.lit(0.0), lambda s, x: s + x))
+    return plan.merge(plan.split(own, 8), own, fold).select("ar", "ac", "o_r", "o_c", r6("state"))
+
+
+@query(f"WITH {_ST}, {_STC}, {_SERIES} SELECT ar, ac, o_r, o_c, CAST(t_anchor AS BIGINT) AS t_anchor, CAST(pos AS INTEGER) AS pos, d[greatest(len(d) - 2, 0) + pos + 1] AS value FROM ser, range(2) r(pos) WHERE pos < len(d)")
+def st_merge_forecast(spark, sf):
+    own, plan = cube(spark, sf), _spacetime()
+    out = plan.merge(plan.split(own, 8), own, tmp.Forecast(2))
+    return out.select("ar", "ac", "o_r", "o_c", "t_anchor", F.posexplode("data").alias("pos", "value"))
+
+
 # ---------------------------------------------------------------- matched sources
 _M = f"q AS (SELECT l_orderkey // 100 AS r, l_orderkey % 100 AS c, 2 * min(l_quantity) AS quantity FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey), r0 AS ({_rows(True)}), r AS (SELECT r0.r, r0.c, r0.value AS primary_, q.quantity FROM r0 LEFT JOIN q ON q.r = r0.r AND q.c = r0.c)"
 _MP = f"{_M}, ar AS ({_lattice('ar')}), ac AS ({_lattice('ac', extent='100')}), pc AS (SELECT r.*, ar, ac, r.r - ar AS i, r.c - ac AS j FROM r JOIN ar ON r.r >= ar AND r.r < ar + 16 JOIN ac ON r.c >= ac AND r.c < ac + 16)"
@@ -617,6 +689,33 @@ def matched_temporal(spark, sf):
     return cells.groupBy("t_anchor").agg(F.count("*").alias("n"), F.round(F.sum("primary"), 6).alias("total"), F.round(F.sum("price"), 6).alias("price"))
 
 
+@query("WITH o AS (SELECT o_orderkey AS t, o_totalprice * 2 AS price FROM orders), a AS (SELECT x AS t_anchor FROM range(0, (SELECT max(event_id) + 1 FROM events), 40) t(x)), p AS (SELECT t_anchor, sum(value) AS total FROM a JOIN events ON event_id > t_anchor - 15 AND event_id <= t_anchor GROUP BY t_anchor), "
+       "s AS (SELECT round(list_reduce(list_prepend(0::DOUBLE, list(total ORDER BY t_anchor)), lambda x, y: x * 0.5 + y), 6) AS state FROM p) "
+       "SELECT CAST(t_anchor AS BIGINT) AS t_anchor, round(price, 6) AS price, state FROM a JOIN o ON o.t = a.t_anchor, s")
+def matched_temporal_merge(spark, sf):
+    """The primary is folded over all patches, the secondary keeps the last value of each."""
+    own = whole_series(spark, sf)
+    price = fld.series(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("t"), F.col("o_totalprice").alias("value")), length=own.domain.length)
+    both = mat.MatchedField(own, {"price": price}, {"price": lambda p, v: p * 2})
+    fold = tmp.Fold(lambda a, data: a * 0.5 + F.aggregate(data, F.lit(0.0), lambda s, x: s + x))
+    plan = mat.MatchedTemporalPatcher(tmp.TemporalPatcher(tmp.FixedLookback(15), smp.TemporalStride(40)), {"primary": fold, "price": tmp.Forecast(1)})
+    merged = plan.merge(plan.split(both), both)
+    last = merged["price"].select("t_anchor", F.round(F.element_at("data", 1), 6).alias("price")).where("price is not null")
+    return last.crossJoin(merged["primary"].select(r6("state")))  # one row
+
+
+@query(f"WITH {_ST}, {_STC}, {_SERIES}, f AS (SELECT ar, ac, o_r, o_c, sum(total) AS state FROM ser GROUP BY 1, 2, 3, 4) SELECT ar, ac, o_r, o_c, CAST(t_anchor AS BIGINT) AS t_anchor, round(9 * d[len(d)], 6) AS last, round(state, 6) AS state FROM ser JOIN f USING (ar, ac, o_r, o_c)")
+def matched_st_merge(spark, sf):
+    """Another aggregation for each source: a chunked fold of the primary, the last values of the other."""
+    own = cube(spark, sf)
+    both = mat.MatchedField(own, {"other": own.with_data(own.df.withColumn("value", F.col("value") * 10))}, {"other": lambda o, p: o - p})
+    total = tmp.Fold(lambda a, data: a + F.aggregate(data, F.lit(0.0), lambda s, x: s + x), 0.0, lambda a, b: a + b)
+    plan = mat.MatchedSpatioTemporalPatcher(_spacetime(), {"primary": total, "other": tmp.Forecast(1)})
+    merged, at = plan.merge(plan.split(both, 8), both), ["ar", "ac", "o_r", "o_c"]
+    last = merged["other"].select(*at, "t_anchor", F.round(F.element_at("data", 1), 6).alias("last"))
+    return last.join(merged["primary"].select(*at, r6("state")), at)
+
+
 @query(f"WITH {_ST}, {_STC} SELECT CAST(ar AS BIGINT) AS ar, CAST(ac AS BIGINT) AS ac, CAST(i AS BIGINT) AS o_r, CAST(j AS BIGINT) AS o_c, CAST(t - start AS BIGINT) AS o_t, round(avg(value), 6) AS value, round(avg(value * 10 - value), 6) AS other FROM pc GROUP BY 1, 2, 3, 4, 5")
 def matched_st(spark, sf):
     own = cube(spark, sf)

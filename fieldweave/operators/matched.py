@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.domains import Configured
 from fieldweave.operators.aggregations import Aggregation
-from fieldweave.operators.temporal import TemporalPatcher
+from fieldweave.operators.temporal import TemporalAggregation, TemporalPatcher, pack_times
 from fieldweave.plans.patcher import SpatialPatcher
 from fieldweave.sources.fields import Field
 
@@ -94,22 +94,36 @@ class MatchedSpatialPatcher(Configured):
 
 @dataclass(frozen=True)
 class MatchedTemporalPatcher(Configured):
-    """Lockstep ranges of several series, joined by time before they are cut."""
+    """Lockstep ranges of several series, joined by time before they are cut; sources without an aggregation aren't merged."""
 
     temporal: TemporalPatcher
+    aggregations: dict[str, TemporalAggregation] = field(default_factory=dict)
 
     def split(self, matched: MatchedField) -> DataFrame:
+        _checked({k: v for k, v in self.aggregations.items() if k != PRIMARY}, matched)
         return self.temporal.split(matched.field()).withColumns({f"{n}_valid": valid(n) for n in matched.sources})
 
+    def merge(self, patch_times: DataFrame, matched: MatchedField) -> dict[str, DataFrame]:
+        """The result of each source with an aggregation, by name."""
+        _checked({k: v for k, v in self.aggregations.items() if k != PRIMARY}, matched)
+        by = [k for k in matched.primary.keys if k != "t"]
+        return {n: own.merge(pack_times(patch_times, by, n), by) for n, own in self.aggregations.items()}
+
 
 @dataclass(frozen=True)
 class MatchedSpatioTemporalPatcher(Configured):
-    """Lockstep patches of several cubes."""
+    """Lockstep patches of several cubes; sources without an aggregation aren't merged by :meth:`merge`."""
 
     spacetime: object
+    aggregations: dict[str, TemporalAggregation] = field(default_factory=dict)
 
     def split(self, matched: MatchedField, length: int) -> DataFrame:
         return self.spacetime.split(matched.field(), length).withColumns({f"{n}_valid": valid(n) for n in matched.sources})
 
+    def merge(self, patch_cells: DataFrame, matched: MatchedField) -> dict[str, DataFrame]:
+        """The temporal aggregation of each source by spatial anchor and offset, by name."""
+        _checked({k: v for k, v in self.aggregations.items() if k != PRIMARY}, matched)
+        return {n: self.spacetime.merge(patch_cells, matched.primary, own, n) for n, own in self.aggregations.items()}
+
     def merge_mean(self, patch_cells: DataFrame, matched: MatchedField) -> dict[str, DataFrame]:
         return {n: self.spacetime.merge_mean(patch_cells, matched.primary, n) for n in matched.sources}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.domains import Configured
 from fieldweave.operators.samplers import anchor_name
-from fieldweave.operators.temporal import TemporalPatcher
+from fieldweave.operators.temporal import TemporalAggregation, TemporalPatcher, pack_times
 from fieldweave.plans.patcher import SpatialPatcher
 from fieldweave.sources.fields import Field
 
@@ -57,6 +57,19 @@ class SpatioTemporalPatcher(Configured):
             out = out.withColumn("w", F.col("w") * self.temporal.window.weight(F.col("t") - F.col("start"), F.col("stop") - F.col("start")))
         return out
 
+    def packed(self, patch_cells: DataFrame, source: Field, value: str = "value") -> DataFrame:
+        """One row for each temporal patch of each spatial anchor and offset: a series for every cell of a patch."""
+        by = [*(anchor_name(d) for d in source.domain.dims), *(f"o_{d}" for d in source.domain.dims)]
+        return pack_times(patch_cells.drop("seq").withColumnRenamed("t_seq", "seq"), by, value)
+
+    def merge(self, patch_cells: DataFrame, source: Field, aggregation: TemporalAggregation, value: str = "value") -> DataFrame:
+        """The temporal ``aggregation`` of every spatial anchor's patches, cell by cell of the patch.
+
+        Spatial overlaps aren't merged.  Anchors that were drawn twice are one.
+        """
+        by = [*(anchor_name(d) for d in source.domain.dims), *(f"o_{d}" for d in source.domain.dims)]
+        return aggregation.merge(self.packed(patch_cells, source, value), by)
+
     def merge_mean(self, patch_cells: DataFrame, source: Field, value: str | Column = "value") -> DataFrame:
         """For each spatial anchor the mean over its temporal patches, by offset in the patch.
 

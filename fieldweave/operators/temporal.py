@@ -7,7 +7,7 @@ joined by time after their range is listed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -121,10 +121,7 @@ class TemporalPatcher(Configured):
 
     def packed(self, source: Field, anchors: DataFrame | None = None, value: str = "value") -> DataFrame:
         """One row for each patch with ``data`` and ``weights`` in order of time."""
-        by = [k for k in source.keys if k != "t"]
-        cells = self.split(source, anchors)
-        own = cells.groupBy(*by, "seq", "scale", "t_anchor", "start", "stop").agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("v"), "w"))).alias("_p"))
-        return own.select(*by, "seq", "scale", "t_anchor", "start", "stop", F.transform("_p", lambda x: x["v"]).alias("data"), F.transform("_p", lambda x: x["w"]).alias("weights"))
+        return pack_times(self.split(source, anchors), [k for k in source.keys if k != "t"], value)
 
     def patches_at(self, source: Field, t: int) -> DataFrame:
         """The patches of one anchor."""
@@ -132,24 +129,58 @@ class TemporalPatcher(Configured):
         return self.packed(source, spark.createDataFrame([(0, int(t))], "seq long, t_anchor long"))
 
 
+def pack_times(cells: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """Patch times to one row for each patch; ``by`` names the series."""
+    own = cells.groupBy(*by, "seq", "scale", "t_anchor", "start", "stop").agg(F.array_sort(F.collect_list(F.struct("t", F.col(value).alias("v"), "w"))).alias("_p"))
+    return own.select(*by, "seq", "scale", "t_anchor", "start", "stop", F.transform("_p", lambda x: x["v"]).alias("data"), F.transform("_p", lambda x: x["w"]).alias("weights"))
+
+
 # ---------------------------------------------------------------- aggregations
-def fold(packed: DataFrame, by: list[str], initial: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
-    """Left fold over the patches of each series in the order of ``seq``: ``state``."""
-    ordered = packed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "scale", "data"))).alias("_p"))
-    return ordered.select(*by, F.aggregate("_p", initial, lambda a, p: step(a, p["data"])).alias("state"))
+def fold(packed: DataFrame, by: list[str], initial: Column, step: Callable[[Column, Column], Column], combine: Callable[[Column, Column], Column] | None = None, chunk: int = 1_000) -> DataFrame:
+    """Left fold over the patches of each series in the order of ``seq``: ``state``.
+
+    Without ``combine`` a series is one row, so it has to fit a task.  ``combine(a, b)`` gives the
+    state after two stretches from their own states, each begun with ``initial``; then
+    every ``chunk`` patches are folded apart, and a row holds their states only.
+    """
+    at = ["_chunk"] if combine else []
+    own = packed.withColumn("_chunk", F.floor(F.col("seq") / chunk)) if combine else packed
+    ordered = own.groupBy(*by, *at).agg(F.array_sort(F.collect_list(F.struct("seq", "scale", "data"))).alias("_p"))
+    states = ordered.select(*by, *at, F.aggregate("_p", initial, lambda a, p: step(a, p["data"])).alias("state"))
+    if not combine:
+        return states
+    listed = states.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "state"))), lambda x: x["state"]).alias("_s"))
+    rest = F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0)))
+    return listed.select(*by, F.aggregate(rest, F.element_at("_s", 1), combine).alias("state"))
 
 
 def fold_opaque(packed: DataFrame, by: list[str], fn: Callable, initial, schema: str) -> DataFrame:
-    """The same with a Python function of (state, data); each series is one group."""
-    import pandas as pd
+    """The same with a Python function of (state, data).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = initial
-        for row in pdf.sort_values(["seq", "scale"]).itertuples():
-            state = fn(state, row.data)
-        return pd.DataFrame([{**{b: pdf[b].iloc[0] for b in by}, "state": state}])
+    Series are sorted by Spark and met row by row, so a task holds one Arrow batch and one
+    state, however long a series is.  A series is folded by one task, as its order asks.
+    """
+    import pandas as pd
 
-    return packed.groupBy(*by).applyInPandas(run, schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, out = None, None, []
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                own = tuple(getattr(row, b) for b in by)
+                if own != key:
+                    if key is not None:
+                        out.append((*key, state))
+                    key, state = own, initial
+                state = fn(state, row.data)
+            if len(out) > 10_000:
+                yield pd.DataFrame(out, columns=[*by, "state"])
+                out = []
+        if key is not None:
+            out.append((*key, state))
+        if out:
+            yield pd.DataFrame(out, columns=[*by, "state"])
+
+    return packed.select(*by, "seq", "scale", "data").repartition(*by).sortWithinPartitions(*by, "seq", "scale").mapInPandas(run, schema)
 
 
 def mean(packed: DataFrame, by: list[str]) -> DataFrame:
@@ -162,8 +193,13 @@ def mean(packed: DataFrame, by: list[str]) -> DataFrame:
 
 
 def hierarchical(packed: DataFrame, by: list[str], scales: tuple[int, ...] | None = None) -> DataFrame:
-    """The last patch of each anchor and scale; the key is the scale, or the range if none are named."""
-    names = F.concat(F.lit("["), F.col("start"), F.lit(","), F.col("stop"), F.lit(")")) if scales is None else F.get(F.array(*[F.lit(str(s)) for s in scales]), F.col("scale"))
+    """The last patch of each anchor and key; the key is a patch's length if that is one of the scales, else its range.
+
+    A patch cut short by the start of its series may thus have another scale's length as its
+    key; of patches with one key the last counts.
+    """
+    length, span = F.col("stop") - F.col("start"), F.concat(F.lit("["), F.col("start"), F.lit(","), F.col("stop"), F.lit(")"))
+    names = F.when(length.isin([int(n) for n in scales]), length.cast("string")).otherwise(span) if scales else span
     return packed.withColumn("key", names).groupBy(*by, "t_anchor", "key").agg(F.max_by("data", F.struct("seq", "scale")).alias("data"))
 
 
@@ -177,3 +213,50 @@ def forecast(packed: DataFrame, by: list[str], horizon: int) -> DataFrame:
     start = F.when(n >= horizon, n - horizon).otherwise(F.greatest(F.lit(0), 2 * n - horizon))
     last = packed.groupBy(*by, "t_anchor").agg(F.max_by("data", F.struct("seq", "scale")).alias("data"))
     return last.withColumn("data", F.slice("data", start + 1, F.greatest(n - start, F.lit(0))))
+
+
+class TemporalAggregation(Configured):
+    """How the patches of each series become one result, by any plan that has packed patches."""
+
+    def merge(self, packed: DataFrame, by: list[str]) -> DataFrame:
+        raise NotImplementedError
+
+
+@dataclass(frozen=True)
+class Fold(TemporalAggregation):
+    """``state``: see :func:`fold`."""
+
+    step: Callable[[Column, Column], Column]
+    initial: float = 0.0
+    combine: Callable[[Column, Column], Column] | None = None
+
+    def merge(self, packed, by):
+        return fold(packed, by, F.lit(self.initial), self.step, self.combine)
+
+
+@dataclass(frozen=True)
+class MeanOver(TemporalAggregation):
+    """``pos, value``: see :func:`mean`."""
+
+    def merge(self, packed, by):
+        return mean(packed, by)
+
+
+@dataclass(frozen=True)
+class Hierarchical(TemporalAggregation):
+    """``t_anchor, key, data``: see :func:`hierarchical`."""
+
+    scales: tuple[int, ...] = ()
+
+    def merge(self, packed, by):
+        return hierarchical(packed, by, self.scales or None)
+
+
+@dataclass(frozen=True)
+class Forecast(TemporalAggregation):
+    """``t_anchor, data``: see :func:`forecast`."""
+
+    horizon: int = 1
+
+    def merge(self, packed, by):
+        return forecast(packed, by, self.horizon)
