@@ -22,7 +22,7 @@ from fieldweave.operators import samplers as smp
 from fieldweave.operators import spacetime as st
 from fieldweave.operators import temporal as tmp
 from fieldweave.plans import policy
-from fieldweave.plans.patcher import SpatialPatcher, parallel_map
+from fieldweave.plans.patcher import SpatialPatcher, parallel_map, unpack_at
 from fieldweave.sources import fields as fld
 from fieldweave.sources import tiles
 
@@ -466,6 +466,80 @@ def polygon_features(spark, sf):
     return geo.PolygonIntersection(16).points_in(polygons(spark), scaled).select("seq", "pid")
 
 
+# ---------------------------------------------------------------- merges of shapes without a box
+def _valued(df: DataFrame) -> fld.Field:
+    return fld.points(df.withColumn("value", (F.col("pid") % 7).cast("double")), "pid", ("value",))
+
+
+#: A value that differs from patch to patch.
+_MOVED = F.col("value") + F.col("seq") % 5
+
+
+def _shape_sql(patches: str, table: str, column: str, default: str) -> str:
+    return f"{patches}, v AS (SELECT pid, pid % 7 + seq % 5 AS v FROM n), m AS (SELECT pid, {column} AS value FROM v GROUP BY pid) SELECT a.pid, round(coalesce(m.value, {default}), 6) AS value FROM {table} a LEFT JOIN (SELECT pid, CAST(value AS DOUBLE) AS value FROM m) m ON m.pid = a.pid"
+
+
+_KNN = f"WITH {_POINTS}, d AS (SELECT a.pid AS seq, b.pid AS pid, {_DIST} AS distance FROM p a, p b WHERE a.pid % 10 = 0), n AS (SELECT seq, pid FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY distance, pid) AS rank FROM d) WHERE rank <= 5)"
+
+
+@query(_shape_sql(_KNN, "p", "avg(v)", "0"))
+def knn_merge(spark, sf):
+    source = _valued(points(spark, sf).df)
+    plan = SpatialPatcher(geo.KNNGraph(5), aggregation=agg.Mean())
+    return plan.merge(plan.split(source, anchors_at(source.df, 10)), source, _MOVED).select("pid", r6("value"))
+
+
+@query(f"WITH {_POINTS}, n AS (SELECT a.pid AS seq, b.pid AS pid FROM p a, p b WHERE a.pid % 3 = 0 AND {_DIST} <= 0.1) SELECT seq, CAST(max(pid % 7 + seq % 5) AS DOUBLE) AS value FROM n GROUP BY seq")
+def radius_merge(spark, sf):
+    """By anchor: the largest value near each."""
+    source = _valued(points(spark, sf).df)
+    plan = SpatialPatcher(geo.RadiusGraph(0.1), aggregation=agg.Max())
+    return plan.merge_anchors(plan.split(source, anchors_at(source.df, 3)), _MOVED)
+
+
+@query(_shape_sql(f"WITH {_POINTS}, n AS (SELECT a.pid AS seq, b.pid AS pid FROM g a, g b WHERE a.pid % 50 = 0 AND {_HAV} <= 2000)", "g", "sum(v)", "0"))
+def cap_merge(spark, sf):
+    source = _valued(lonlat(points(spark, sf)))
+    plan = SpatialPatcher(geo.SphericalCap(2000.0), aggregation=agg.Sum())
+    return plan.merge(plan.split(source, anchors_at(source.df, 50)), source, _MOVED).select("pid", r6("value"))
+
+
+@query(f"WITH {_POINTS}, n AS (SELECT a.pid AS seq, b.pid AS pid FROM p a, p b WHERE a.pid % 3 = 0 AND {_DIST} <= 0.1), s AS (SELECT seq, avg(pid % 7) AS mean FROM n GROUP BY seq), m AS (SELECT n.pid, sum(pid % 7 - mean) AS value FROM n JOIN s ON s.seq = n.seq GROUP BY n.pid) SELECT p.pid, round(coalesce(value, 0), 6) + 0.0 AS value FROM p LEFT JOIN m ON m.pid = p.pid")
+def radius_map(spark, sf):
+    """An opaque operator on whole neighbourhoods, then the merge by point."""
+    source = _valued(points(spark, sf).df)
+    plan = SpatialPatcher(geo.RadiusGraph(0.1), aggregation=agg.Sum())
+    done = plan.map(source, lambda values: values - values.mean(), anchors=anchors_at(source.df, 3))
+    return plan.merge(unpack_at(done.patches), source).select("pid", (F.round("value", 6) + 0.0).alias("value"))
+
+
+#: A raster turned upside down and stretched: x = 2 c + 3, y = 100 - r.
+_TURNED = (2.0, 0.0, 3.0, 0.0, -1.0, 100.0)
+
+
+@query(f"WITH {_EDGES}, r AS (SELECT event_id // 100 AS r, event_id % 100 AS c, value, 2 * (event_id % 100 + 0.5) + 3 AS x, 100 - (event_id // 100 + 0.5) AS y FROM events), n AS (SELECT seq, r, c, value FROM e, r GROUP BY seq, r, c, value, x, y HAVING {_ODD}), "
+       "m AS (SELECT r, c, avg(value + seq % 5) AS value FROM n GROUP BY r, c) SELECT CAST(r.r AS BIGINT) AS r, CAST(r.c AS BIGINT) AS c, round(coalesce(m.value, 0), 6) AS value FROM r LEFT JOIN m ON m.r = r.r AND m.c = r.c")
+def polygon_merge(spark, sf):
+    """Polygons in the plane of the raster's transform; cells of a bounding window outside its polygon weigh nothing."""
+    own = raster(spark, sf)
+    source = fld.raster(own.df, own.domain.height, WIDTH, transform=_TURNED)
+    plan = SpatialPatcher(geo.PolygonIntersection())
+    return plan.merge(plan.split(source, polygons(spark)), source, _MOVED).select("r", "c", r6("value"))
+
+
+@query(f"WITH {_POINTS}, a AS (SELECT pid, x * 10 AS x, y * 10 AS y FROM p), n AS (SELECT a.pid AS seq, b.pid AS pid FROM a, (SELECT pid, least(greatest(q.x, 0), 0) AS z, x, y FROM a q) b WHERE a.pid % 25 = 0 "
+       "AND sqrt(power(greatest(b.x - a.x, 0, a.x - b.x - 1), 2) + power(greatest(b.y - a.y, 0, a.y - b.y - 1), 2)) <= 1.5) SELECT seq, count(*) AS n, CAST(sum(pid % 7) AS DOUBLE) AS total FROM n GROUP BY seq")
+def feature_merge(spark, sf):
+    """Unit squares within a radius of places: a field of features, merged by anchor."""
+    own = points(spark, sf).df.select("pid", (F.col("x") * 10).alias("x"), (F.col("y") * 10).alias("y"))
+    ring = F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))])
+    source = fld.features(own.select("pid", ring.alias("ring"), (F.col("pid") % 7).cast("double").alias("value")), "pid", ("value",))
+    plan = SpatialPatcher(geo.RadiusGraph(1.5), aggregation=agg.Sum())
+    cells = plan.split(source, anchors_at(own, 25))
+    total = plan.merge_anchors(cells).withColumnRenamed("value", "total")
+    return total.join(cells.groupBy("seq").agg(F.count("*").alias("n")), "seq")
+
+
 # ---------------------------------------------------------------- tiles
 _TILE = "greatest({s}, 0) AS lo_{a}, least({s} + {n}, {e}) AS hi_{a}"
 
@@ -485,7 +559,30 @@ def tile_select_many(spark, sf):
     own = raster(spark, sf)
     image = tiles.TiledRaster(own.domain, 16, 16)
     asked = spark.createDataFrame([(0, -2, 3, 6, 5), (1, 4, 90, 5, 20), (2, 500000, 0, 2, 2)], "seq long, r0 long, c0 long, h long, w long")
-    return image.select_many(image.tiles(own.df), asked).select("seq", "i", "j", "value")
+    return image.select_many(image.tiles(own.df, windows=asked), asked).select("seq", "i", "j", "value")
+
+
+@query(f"WITH r AS ({_rows()}), w AS (SELECT * FROM (VALUES (0, -2, 3, 6, 5), (1, 4, 90, 5, 20)) v(seq, r0, c0, h, w)), f AS (SELECT seq, i, j, b, r0 + i AS r, c0 + j AS c FROM w, range(6) s(i), range(20) t(j), range(2) u(b) WHERE i < h AND j < w) "
+       "SELECT CAST(seq AS BIGINT) AS seq, CAST(b AS INTEGER) AS band, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, coalesce(CASE b WHEN 0 THEN value ELSE -value END, 0) + 0.0 AS value FROM f LEFT JOIN r ON f.r = r.r AND f.c = r.c")
+def tile_bands(spark, sf):
+    """Windows of a tiled image with two bands."""
+    own = raster(spark, sf)
+    cells = own.df.select("r", "c", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("band")).withColumn("value", F.when(F.col("band") == 0, F.col("value")).otherwise(-F.col("value")))
+    image = tiles.TiledRaster(RasterDomain(own.domain.height, WIDTH, 2), 16, 16)
+    asked = spark.createDataFrame([(0, -2, 3, 6, 5), (1, 4, 90, 5, 20)], "seq long, r0 long, c0 long, h long, w long")
+    return image.select_many(image.tiles(cells, windows=asked), asked).select("seq", "band", "i", "j", (F.col("value") + 0.0).alias("value"))
+
+
+@query(f"{_patches(True)}, b AS (SELECT * FROM range(2) t(b)), p AS (SELECT b, r, c, CASE b WHEN 0 THEN {_SHIFTED} ELSE 2 * {_SHIFTED} END AS v, {_HANN} AS w FROM pc, b), m AS (SELECT b, r, c, {_OVERLAP} FROM p GROUP BY b, r, c) "
+       "SELECT CAST(b.b AS INTEGER) AS band, r.r, r.c, round(coalesce(m.value, 0), 6) AS value FROM r CROSS JOIN b LEFT JOIN m ON m.b = b.b AND m.r = r.r AND m.c = r.c")
+def bands_merge(spark, sf):
+    """Every band of a raster of two is merged with the same weights."""
+    one = raster(spark, sf, True)
+    cells = one.df.select("r", "c", F.explode(F.array(F.lit(0), F.lit(1))).alias("band"), "value")
+    source = fld.raster(cells, one.domain.height, WIDTH, bands=2)
+    own = patcher(win.Hann())
+    split = own.split(source)
+    return own.merge(split, source, shifted({c: F.col(c) for c in split.columns}) * (1 + F.col("band"))).select("band", "r", "c", r6("value"))
 
 
 # ---------------------------------------------------------------- time
@@ -759,12 +856,12 @@ def journal_pending(spark, sf):
     return anchors.join(done, policy.anchor_key("ar", "ac") == F.col("_done"), "left_anti")
 
 
-@query(f"{_patches(size=4, step=4)} SELECT CAST(seq AS BIGINT) AS slot, round(sum(value), 6) AS total FROM pc WHERE r < 8 GROUP BY seq")
+@query(f"{_patches(size=4, step=4)} SELECT CAST(seq // 64 AS BIGINT) AS stack, CAST(seq % 64 AS BIGINT) AS slot, round(sum(value), 6) AS total FROM pc GROUP BY seq")
 def stack_patches(spark, sf):
-    own = raster(spark, sf)
-    first = fld.raster(own.df.where("r < 8"), 8, WIDTH)  # two rows of patches: a stack is one row
-    out = policy.stack_patches(patcher(size=4, step=4).packed(first))
-    return out.select(F.posexplode("stacked").alias("slot", "data")).select(F.col("slot").cast("long").alias("slot"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    """Stacks of 64 patches: a stack is one row, so its size doesn't grow with the table."""
+    packed = patcher(size=4, step=4).packed(raster(spark, sf)).withColumn("stack", F.floor(F.col("seq") / 64))
+    out = policy.stack_patches(packed, by=("stack",)).select("stack", F.posexplode("stacked").alias("slot", "data"))
+    return out.select("stack", F.col("slot").cast("long").alias("slot"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
 @query(f"{_patches(size=4, step=4)} SELECT CAST(ar AS BIGINT) AS ar, CAST(ac // 4 AS BIGINT) AS slot, CAST(seq AS BIGINT) AS seq, round(sum(value), 6) AS total FROM pc GROUP BY ar, ac, seq")

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.domains import Configured, GridDomain, RasterDomain
+from fieldweave.domains import Configured, GridDomain, PointDomain, RasterDomain, VectorDomain
 from fieldweave.operators.samplers import anchor_name, per_dim
+from fieldweave.tables import written
 
 EARTH_KM = 6371.0
 BOUNDARIES = ("drop", "pad", "shrink", "raise")
@@ -149,6 +150,24 @@ class Rectangular(Configured):
         return met.withColumns({f"o_{d}": F.col(d) - F.col(anchor_name(d)) for d in dims}).drop(*(x for d in dims for x in (f"b_{d}", f"n_{d}")))
 
 
+class Neighbourhood(Configured):
+    """A shape without fixed patch size: its patches are the cells, points or features near each anchor."""
+
+    boundary = "drop"
+
+    def sizes(self, domain) -> dict[str, int]:
+        """None: such patches have no box."""
+        return {}
+
+    def patches(self, anchors: DataFrame, source) -> DataFrame:
+        """``seq`` and the anchor with the keys and values of ``source`` (a field), and the weight ``w`` where the shape has one."""
+        raise NotImplementedError(f"{type(self).__name__} has no patches on {type(source.domain).__name__}")
+
+    @staticmethod
+    def of_domain(source, *kinds) -> bool:
+        return isinstance(source.domain, kinds)
+
+
 # ---------------------------------------------------------------- points
 def _bucketed(df: DataFrame, axes: list[Column], side: Column | float, reach: int | Column = 0, tag: str = "b") -> DataFrame:
     """Adds bucket columns; with ``reach`` the row stands in every bucket that many away."""
@@ -176,12 +195,19 @@ def _distance(metric: str) -> Column:
 
 
 @dataclass(frozen=True)
-class RadiusGraph(Configured):
+class RadiusGraph(Neighbourhood):
     """All points within ``radius`` (kilometres for haversine), the rim included."""
 
     radius: float
     metric: str = "euclidean"
 
+    def patches(self, anchors, source):
+        if self.of_domain(source, PointDomain):
+            return self.neighbours(anchors, source.df)
+        if self.of_domain(source, VectorDomain):
+            return self.features_near(anchors, source.df, source.keys[0]).join(source.df, source.keys[0])
+        return super().patches(anchors, source)
+
     def neighbours(self, anchors: DataFrame, points: DataFrame) -> DataFrame:
         """``anchors`` (seq, ax, ay) with each ``points`` row (x, y) near them and its ``distance``."""
         side = max(self.radius, 1e-12) if self.metric == "euclidean" else max(2 * math.sin(min(self.radius / (2 * EARTH_KM), math.pi / 2)), 1e-9) * (1 + 1e-9)
@@ -190,7 +216,6 @@ class RadiusGraph(Configured):
         met = near.join(_bucketed(points, _coordinates(self.metric, "x", "y"), side), keys).drop(*keys)
         return met.withColumn("distance", _distance(self.metric)).where(F.col("distance") <= self.radius)
 
-
     def features_near(self, anchors: DataFrame, features: DataFrame, key: str = "fid") -> DataFrame:
         """(seq, key, distance) of the features whose rings lie within ``radius`` of an anchor, in the plane."""
         if self.metric != "euclidean":
@@ -205,7 +230,7 @@ class RadiusGraph(Configured):
 
 
 @dataclass(frozen=True)
-class SphericalCap(Configured):
+class SphericalCap(Neighbourhood):
     """All points within ``radius_km`` along the sphere.
 
     Anchors on points are (longitude, latitude) as ``ax, ay``; on a grid (latitude, longitude)
@@ -214,6 +239,14 @@ class SphericalCap(Configured):
 
     radius_km: float
 
+    def patches(self, anchors, source):
+        if self.of_domain(source, PointDomain):
+            return self.neighbours(anchors, source.df)
+        if self.of_domain(source, GridDomain):
+            lat, lon = list(source.keys)
+            return self.on_grid(anchors, source.df.sparkSession, source.domain, lat, lon).drop("x", "y").join(source.df, [lat, lon])
+        return super().patches(anchors, source)
+
     def neighbours(self, anchors: DataFrame, points: DataFrame) -> DataFrame:
         return RadiusGraph(self.radius_km, "haversine").neighbours(anchors, points)
 
@@ -226,40 +259,62 @@ class SphericalCap(Configured):
 
 
 @dataclass(frozen=True)
-class KNNGraph(Configured):
-    """The ``k`` nearest points; ties go to the lesser id.
-
-    Points are counted by bucket.  An anchor's square of buckets grows until it holds k
-    points, which bounds the distance of the k-th; then only buckets within that distance
-    are joined.
+class KNNGraph(Neighbourhood):
+    """The ``k`` nearest points, or features by their centroids in the plane; ties go to the lesser id.
+
+    Points are counted in squares of halving sides (a quadtree of counts, an octree on the
+    sphere); only occupied squares are rows.  For each anchor the smallest square whose
+    neighbourhood of one square each way holds k points bounds the distance of the k-th, and
+    only squares of that size within the bound are joined.  There are no rounds, and dense places and
+    far-off anchors ask for as few squares as others.
     """
 
     k: int
     metric: str = "euclidean"
 
+    def patches(self, anchors, source):
+        key = source.keys[0]
+        if self.of_domain(source, PointDomain):
+            return self.neighbours(anchors, source.df, key)
+        if self.of_domain(source, VectorDomain):
+            centres = source.df.select("*", centroid(F.col("ring")).alias("_p")).select("*", "_p.x", "_p.y").drop("_p")
+            return KNNGraph(self.k).neighbours(anchors, centres, key).drop("x", "y")
+        return super().patches(anchors, source)
+
     def neighbours(self, anchors: DataFrame, points: DataFrame, key: str = "pid") -> DataFrame:
-        own, names = _coordinates(self.metric, "x", "y"), []
-        ask = _coordinates(self.metric, "ax", "ay")
+        own, ask = _coordinates(self.metric, "x", "y"), _coordinates(self.metric, "ax", "ay")
+        d = len(own)
         ends = points.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(own) for f in (F.min, F.max)]).first()
         if not ends["n"]:
             return anchors.join(points.where("false"), how="inner").withColumns({"distance": F.lit(None).cast("double"), "rank": F.lit(None).cast("int")})
-        width = max(max(ends[f"max{i}"] - ends[f"min{i}"] for i in range(len(own))), 1e-9)
-        side = width / max(1, round((ends["n"] / self.k) ** (1 / len(own))))
-        names = [f"b{i}" for i in range(len(own))]
-        bucketed = _bucketed(points, own, side)
-        counts = bucketed.groupBy(*names).agg(F.count("*").alias("held")).persist()  # a row for each bucket, read in every round
+        spans = anchors.agg(*[f(c).alias(f"{f.__name__}{i}") for i, c in enumerate(ask) for f in (F.min, F.max)]).first()
+        low = [min(v for v in (ends[f"min{i}"], spans[f"min{i}"]) if v is not None) for i in range(d)]
+        width = max(max(v for v in (ends[f"max{i}"], spans[f"max{i}"]) if v is not None) - low[i] for i in range(d)) or 1e-9
         wanted = min(self.k, ends["n"])
-        open_, reach, found = anchors, 1, None
-        while True:
-            square = _bucketed(open_, ask, side, reach).join(counts, names, "left")
-            held = square.groupBy(*anchors.columns).agg(F.coalesce(F.sum("held"), F.lit(0)).alias("held"))
-            done = held.where(F.col("held") >= wanted).drop("held").withColumn("reach", F.lit(int(math.ceil((reach + 1) * math.sqrt(len(own))))))
-            found = done if found is None else found.unionByName(done)
-            open_ = held.where(F.col("held") < wanted).drop("held")
-            if open_.isEmpty():
-                break
-            reach *= 2
-        met = _bucketed(found, ask, side, F.col("reach")).drop("reach").join(bucketed, names).drop(*names)
+        # at level 0 one square holds all; even points would have k in a square some levels above the last
+        last = min(40, max(1, math.ceil(math.log2(max(ends["n"] / wanted, 1)) / d)) + 8)
+        names = [f"b{i}" for i in range(d)]
+        square = lambda axes, level: [F.floor((x - low[i]) / width * F.pow(F.lit(2.0), level)).cast("long").alias(f"b{i}") for i, x in enumerate(axes)]
+        fine = points.groupBy(*square(own, F.lit(last))).agg(F.count("*").alias("held"))
+        levels = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("level")
+        counts = fine.select(*names, "held", levels).groupBy("level", *[F.floor(F.col(n) / F.pow(F.lit(2.0), F.lit(last) - F.col("level"))).cast("long").alias(n) for n in names]).agg(F.sum("held").alias("held"))
+        counts = written(counts)
+        near = anchors.select("*", levels)
+        near = near.select("seq", "level", *square(ask, F.col("level")))
+        for n in names:
+            near = near.withColumn(n, F.explode(F.sequence(F.col(n) - 1, F.col(n) + 1)))
+        enough = near.join(counts, ["level", *names]).groupBy("seq", "level").agg(F.sum("held").alias("held")).where(F.col("held") >= wanted)
+        chosen = enough.groupBy("seq").agg(F.max("level").alias("level"))
+        # points of a neighbourhood lie within two sides along each axis
+        reach = math.ceil(2 * math.sqrt(d))
+        placed = anchors.join(chosen, "seq").select(*anchors.columns, "level", *square(ask, F.col("level")))
+        for n in names:
+            placed = placed.withColumn(n, F.explode(F.sequence(F.col(n) - reach, F.col(n) + reach)))
+        asked = placed.join(counts.drop("held"), ["level", *names])  # occupied squares only
+        used = chosen.select("level").distinct()
+        bucketed = points.crossJoin(F.broadcast(used))  # at most as many rows as levels
+        bucketed = bucketed.select(*points.columns, "level", *square(own, F.col("level")))
+        met = asked.join(bucketed, ["level", *names]).drop("level", *names)
         met = met.withColumn("distance", _distance(self.metric))
         best = Window.partitionBy("seq").orderBy("distance", key)
         return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= self.k)
@@ -320,26 +375,43 @@ def rings_meet(a: Column, b: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class PolygonIntersection(Configured):
-    """Cells whose centre (c + 1/2, r + 1/2), or features, that polygons hold.
+class PolygonIntersection(Neighbourhood):
+    """Cells whose centre, or features, that polygons hold.
 
-    ``block`` is the side of the buckets in which polygons and cells meet.
+    The centre of cell (r, c) is the raster's transform of column c + 1/2 and row r + 1/2.
+    ``block`` is the side of the buckets in which polygons and cells meet, in the polygons' units.
     """
 
     block: int = 64
 
+    def patches(self, anchors, source):
+        """Anchors are polygons (seq, ring).  A raster's patch is the polygon's bounding window, with weight 1 inside and 0 outside."""
+        if self.of_domain(source, RasterDomain):
+            return self.window(anchors, source.df, source.domain.transform)
+        if self.of_domain(source, PointDomain):
+            return self.points_in(anchors, source.df)
+        if self.of_domain(source, VectorDomain):
+            return self.features_in(anchors, source.df, source.keys[0]).join(source.df, source.keys[0])
+        return super().patches(anchors, source)
+
     def _boxed(self, polygons: DataFrame) -> DataFrame:
         low, high = lambda a: F.array_min(F.transform("ring", lambda p: p[a])), lambda a: F.array_max(F.transform("ring", lambda p: p[a]))
         box = polygons.withColumns({"x0": low("x"), "x1": high("x"), "y0": low("y"), "y1": high("y")})
         span = lambda a, b: F.sequence(F.floor(F.col(a) / self.block), F.floor(F.col(b) / self.block))
         return box.withColumn("bx", F.explode(span("x0", "x1"))).withColumn("by", F.explode(span("y0", "y1")))
 
-    def mask(self, polygons: DataFrame, cells: DataFrame) -> DataFrame:
-        """Cells (r, c) of each polygon (seq, ring); weights of such patches are 1 inside."""
-        x, y = F.col("c") + 0.5, F.col("r") + 0.5
-        at = cells.withColumns({"bx": F.floor(x / self.block), "by": F.floor(y / self.block)})
-        met = self._boxed(polygons).join(at, ["bx", "by"]).where((x >= F.col("x0")) & (x <= F.col("x1")) & (y >= F.col("y0")) & (y <= F.col("y1")))
-        return met.where(inside(F.col("ring"), x, y)).drop("bx", "by", "x0", "x1", "y0", "y1", "ring")
+    def window(self, polygons: DataFrame, cells: DataFrame, transform: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> DataFrame:
+        """Cells (r, c) in each polygon's bounding box, with ``w`` 1 inside the polygon and 0 outside."""
+        a, b, c, d, e, f = transform
+        col, row = F.col("c") + 0.5, F.col("r") + 0.5
+        at = cells.withColumns({"_x": a * col + b * row + c, "_y": d * col + e * row + f})
+        at = at.withColumns({"bx": F.floor(F.col("_x") / self.block), "by": F.floor(F.col("_y") / self.block)})
+        met = self._boxed(polygons).join(at, ["bx", "by"]).where("_x >= x0 and _x <= x1 and _y >= y0 and _y <= y1")
+        return met.withColumn("w", F.when(inside(F.col("ring"), F.col("_x"), F.col("_y")), 1.0).otherwise(0.0)).drop("bx", "by", "x0", "x1", "y0", "y1", "ring", "_x", "_y")
+
+    def mask(self, polygons: DataFrame, cells: DataFrame, transform: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)) -> DataFrame:
+        """Cells (r, c) of each polygon (seq, ring)."""
+        return self.window(polygons, cells, transform).where("w > 0").drop("w")
 
     def points_in(self, polygons: DataFrame, points: DataFrame) -> DataFrame:
         """Points (x, y) of each polygon."""

@@ -1,8 +1,8 @@
 """Where patches are placed.
 
-Lattices are generated by the executors.  Seeded samplers draw on the driver, as their
-anchors are small metadata and must not depend on partitioning: one seed, the same
-anchors; no seed, new ones each time.
+Lattices, also jittered ones, are generated by the executors: a shift is a hash of seed and
+place, so it doesn't depend on partitioning.  Other seeded samplers draw as many anchors as
+they are asked for on the driver.  One seed, the same anchors; no seed, new ones each time.
 """
 
 from __future__ import annotations
@@ -87,11 +87,34 @@ class Drawn(Sampler):
 
 @dataclass(frozen=True)
 class JitteredStride(Drawn):
-    """A lattice whose anchors are moved by up to ``jitter`` steps each way and kept inside the domain."""
+    """A lattice whose anchors are moved by up to ``jitter`` steps each way and kept inside the domain.
+
+    Shifts are hashes of seed, place and dimension, made where the lattice is made.  ``drawn``
+    takes them from a generator instead, one after another on the driver.
+    """
 
     step: int | tuple[int, ...] | dict[str, int] = 1
     jitter: float = 0.5
     seed: int | None = None
+    drawn: bool = False
+
+    def count(self, domain, geometry) -> int:
+        return RegularStride(self.step).count(domain, geometry)
+
+    def table(self, spark, domain, geometry) -> DataFrame:
+        if self.drawn:
+            return super().table(spark, domain, geometry)
+        seed = int(np.random.default_rng().integers(1 << 62)) if self.seed is None else self.seed
+        whole, sizes = geometry.boundary == "drop" or isinstance(domain, GridDomain), geometry.sizes(domain)
+        out = RegularStride(self.step).table(spark, domain, geometry)
+        moved = {}
+        for i, (d, (step, _)) in enumerate(RegularStride(self.step).axes(domain, geometry).items()):
+            top = max(domain.dims[d] - sizes[d], 0) if whole else domain.dims[d] - 1
+            # 53 bits of the hash as a number in -1..1
+            unit = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), "seq"), 11) / 2.0**52 - 1
+            at = F.col(anchor_name(d)) + (unit * (self.jitter * step)).cast("long")  # towards 0
+            moved[anchor_name(d)] = F.greatest(F.lit(0), F.least(at, F.lit(top))).cast("long")
+        return out.withColumns(moved)
 
     def anchors(self, domain, geometry):
         rng, sizes = np.random.default_rng(self.seed), geometry.sizes(domain)

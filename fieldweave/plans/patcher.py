@@ -4,6 +4,10 @@
 the weight ``w``).  ``merge`` deals them by cell.  Where the sampler is a lattice and the
 operator works on single cells, ``merge_cells`` stays inside each cell's row: no join and
 no shuffle, for a field of any size.
+
+Shapes without a fixed size (caps, k nearest, radius, polygons) go through the same plan: their
+patches are the points, features or cells near each anchor, with weight 1 or the shape's
+own (a window needs a box), mapped whole, merged by cell or by anchor.
 """
 
 from __future__ import annotations
@@ -14,19 +18,20 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.domains import Configured
+from fieldweave.domains import Configured, PointDomain, VectorDomain
 from fieldweave.functions.windows import Boxcar, Window
 from fieldweave.operators.aggregations import Aggregation, OverlapAdd
-from fieldweave.operators.geometry import Rectangular
+from fieldweave.operators.geometry import Neighbourhood, Rectangular, centroid
 from fieldweave.operators.samplers import RegularStride, Sampler, anchor_name
-from fieldweave.plans.policy import ErrorPolicy, Hooks, Journal, MapResult, anchor_key, check_streaming, map_patches
+from fieldweave.plans.policy import ErrorPolicy, Hooks, Journal, MapResult, anchor_key, check_streaming, map_patches, read_patches
 from fieldweave.sources.fields import Field
+from fieldweave.tables import written
 
 
 @dataclass(frozen=True)
 class SpatialPatcher(Configured):
-    geometry: Rectangular
-    sampler: Sampler
+    geometry: Rectangular | Neighbourhood
+    sampler: Sampler | None = None
     window: Window = field(default_factory=Boxcar)
     aggregation: Aggregation = field(default_factory=OverlapAdd)
     errors: ErrorPolicy = field(default_factory=ErrorPolicy)
@@ -43,7 +48,7 @@ class SpatialPatcher(Configured):
 
     # ------------------------------------------------------------ anchors
     def _names(self, domain) -> list[str]:
-        return [anchor_name(d) for d in domain.dims]
+        return ["a_id"] if isinstance(domain, PointDomain | VectorDomain) else [anchor_name(d) for d in domain.dims]
 
     def anchors(self, source: Field) -> DataFrame:
         """``seq`` and anchors, without those that the journal has as done."""
@@ -56,23 +61,46 @@ class SpatialPatcher(Configured):
 
     # ------------------------------------------------------------ split
     def _lattice(self, source: Field) -> bool:
-        return isinstance(self.sampler, RegularStride) and self.geometry.boundary in ("drop", "shrink") and self.journal is None
+        return isinstance(self.geometry, Rectangular) and isinstance(self.sampler, RegularStride) and self.geometry.boundary in ("drop", "shrink") and self.journal is None
 
     def _weight(self, domain, offset: Callable[[str], Column]) -> Column:
         sizes = self.geometry.sizes(domain)
         return self.window.weight([offset(d) for d in sizes], list(sizes.values()))
 
-    def split(self, source: Field) -> DataFrame:
-        """Patch cells with weights."""
+    def split(self, source: Field, anchors: DataFrame | None = None) -> DataFrame:
+        """Patch cells with weights.
+
+        ``anchors`` replaces the sampler: (seq, ax, ay) places, labels on a grid, or polygons
+        (seq, ring), as the geometry wants them; a sampler of points or features stands on the drawn ones.
+        """
+        if not self.hooks:
+            return self._split(source, anchors)
+        self.hooks.call("on_split_start", self.n_anchors(source) if self.journal is None and anchors is None else -1)
+        out = written(self._split(source, anchors))
+        self.hooks.call("on_split_end")
+        return out
+
+    def _split(self, source: Field, anchors: DataFrame | None) -> DataFrame:
         domain = source.domain
-        if self.hooks:
-            self.hooks.call("on_split_start", self.n_anchors(source) if self.journal is None else -1)
-        if self._lattice(source):
+        if isinstance(self.geometry, Neighbourhood):
+            out = self.geometry.patches(self._places(source) if anchors is None else anchors, source)
+            return out if "w" in out.columns else out.withColumn("w", F.lit(1.0))
+        if self._lattice(source) and anchors is None:
             out = self.geometry.cover(source.df, domain, self.sampler)
         else:
-            out = self.geometry.expand(self.anchors(source), source.df, domain)
+            out = self.geometry.expand(self.anchors(source) if anchors is None else anchors, source.df, domain)
         return out.withColumn("w", self._weight(domain, lambda d: F.col(f"o_{d}")))
 
+    def _places(self, source: Field) -> DataFrame:
+        """Where the drawn points are, or the drawn features' centroids."""
+        if not isinstance(source.domain, PointDomain | VectorDomain):
+            raise ValueError(f"{type(self.geometry).__name__} needs its anchors on {type(source.domain).__name__}")
+        at = source.df
+        if isinstance(source.domain, VectorDomain):
+            at = at.select(*source.keys, centroid(F.col("ring")).alias("_p")).select(*source.keys, "_p.x", "_p.y")
+        own = at.select(F.col(source.keys[0]).alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+        return self.anchors(source).join(own, "a_id").select("seq", "ax", "ay")
+
     def patch_at(self, source: Field, anchor: dict[str, int]) -> DataFrame:
         """The cells of one patch, cut from the field by its window alone."""
         spark, domain = source.df.sparkSession, source.domain
@@ -82,17 +110,29 @@ class SpatialPatcher(Configured):
             near = near.where((F.col(d) >= anchor[d]) & (F.col(d) < anchor[d] + n))  # reaches the scan
         return self.geometry.expand(one, near, domain).withColumn("w", self._weight(domain, lambda d: F.col(f"o_{d}")))
 
-    def packed(self, source: Field, value: str | None = None) -> DataFrame:
-        """One row for each patch: ``seq``, anchors, ``shape``, ``data`` and ``weights`` in row-major order."""
-        return pack(self.split(source), source.domain, value or source.values[0])
+    def packed(self, source: Field, value: str | None = None, anchors: DataFrame | None = None) -> DataFrame:
+        """One row for each patch: ``seq``, anchors, ``shape``, ``data`` and ``weights`` in row-major order.
+
+        Patches without a box hold ``at``, the keys of their cells in order, in place of anchors.
+        """
+        cells, value = self.split(source, anchors), value or source.values[0]
+        return pack_at(cells, list(source.keys), value) if isinstance(self.geometry, Neighbourhood) else pack(cells, source.domain, value)
 
     # ------------------------------------------------------------ apply and merge
-    def map(self, source: Field, operator: Callable, value: str | None = None) -> MapResult:
+    def map(self, source: Field, operator: Callable, value: str | None = None, anchors: DataFrame | None = None) -> MapResult:
         """Run an opaque operator on whole patches (see :func:`map_patches`)."""
-        done = map_patches(self.packed(source, value), operator, self.errors, self.max_patch_bytes)
-        if self.hooks:
-            self.hooks.call("on_progress", -1)
-        return done
+        return map_patches(self.packed(source, value, anchors), operator, self.errors, self.max_patch_bytes, self.hooks)
+
+    def read(self, source: Field, reader: Callable) -> MapResult:
+        """Patches from an opaque ``reader(anchor)`` on the executors, for fields that Spark can't read itself.
+
+        ``anchor`` has ``seq``, the anchor's columns and ``shape``; reads that fail follow the error policy.
+        Neighbourhoods that can't be placed raise at once.
+        """
+        sizes = self.geometry.sizes(source.domain)
+        placed = self.geometry.placed(self.anchors(source), source.domain)
+        asked = placed.withColumn("shape", F.array(*[F.col(f"n_{d}").cast("int") for d in sizes])).drop(*(f"n_{d}" for d in sizes))
+        return read_patches(asked, reader, self.errors, self.max_patch_bytes, self.hooks)
 
     def merge(self, patch_cells: DataFrame, source: Field, value: str | Column = "value", dense: bool = True, aggregation: Aggregation | None = None) -> DataFrame:
         """One row for each cell from patch cells of any origin.
@@ -101,17 +141,26 @@ class SpatialPatcher(Configured):
         cells that no patch covers.
         """
         agg, v = aggregation or self.aggregation, F.col(value) if isinstance(value, str) else value
-        if self.hooks:
-            self.hooks.call("on_merge_start", -1)
         own, keys = patch_cells, list(source.keys)
-        for d, n in source.domain.dims.items():
+        for d, n in getattr(source.domain, "dims", {}).items():
             own = own.where((F.col(d) >= 0) & (F.col(d) < n))
         out = agg.finish(own.groupBy(*keys).agg(*[c.alias(k) for k, c in agg.grouped(v, F.coalesce("w", F.lit(1.0))).items()]))
         if dense:
             empty = agg.untouched()
             out = source.df.select(*keys).join(out, keys, "left").select(*keys, *[F.coalesce(c, empty[c]).alias(c) for c in agg.outputs])
-        if self.hooks:
-            self.hooks.call("on_merge_end")
+        return self._merged(out)
+
+    def merge_anchors(self, patch_cells: DataFrame, value: str | Column = "value", aggregation: Aggregation | None = None) -> DataFrame:
+        """One row for each anchor (``seq``): its patch's values as one."""
+        agg, v = aggregation or self.aggregation, F.col(value) if isinstance(value, str) else value
+        return self._merged(agg.finish(patch_cells.groupBy("seq").agg(*[c.alias(k) for k, c in agg.grouped(v, F.coalesce("w", F.lit(1.0))).items()])))
+
+    def _merged(self, out: DataFrame) -> DataFrame:
+        if not self.hooks:
+            return out
+        self.hooks.call("on_merge_start", -1)
+        out = written(out)
+        self.hooks.call("on_merge_end", out.count())
         return out
 
     def merge_cells(self, source: Field, operator: Callable[[Column], Column] | None = None, aggregation: Aggregation | None = None) -> DataFrame:
@@ -132,10 +181,10 @@ class SpatialPatcher(Configured):
             known = [(F.col(f"_v{i}"), F.col(f"_w{i}")) for i in range(len(terms))]
             if more := agg.prepared(known):
                 rows = rows.withColumns(more)
-            return rows.select(*source.keys, *[c.alias(k) for k, c in agg.unrolled(known).items()])
+            return self._merged(rows.select(*source.keys, *[c.alias(k) for k, c in agg.unrolled(known).items()]))
         made = F.transform(self.geometry.covers(domain, self.sampler), lambda x: F.struct(value(x).alias("v"), self._weight(domain, lambda d: x[f"o_{d}"]).alias("w")))
         rows = source.df.withColumn("_covers", made)
-        return rows.select(*source.keys, *[c.alias(k) for k, c in agg.local(F.col("_covers")).items()])
+        return self._merged(rows.select(*source.keys, *[c.alias(k) for k, c in agg.local(F.col("_covers")).items()]))
 
     def stream_merge(self, source: Field, path: str, chunk: int, operator=None) -> None:
         """Merge into a chunked table on disk (see :mod:`fieldweave.sources.tiles`)."""
@@ -170,6 +219,17 @@ def pack(patch_cells: DataFrame, domain, value: str = "value") -> DataFrame:
     return rows.select("seq", *[anchor_name(d) for d in dims], F.array(*[f"_n_{d}" for d in dims]).alias("shape"), F.transform("_p", lambda x: x["v"]).alias("data"), F.transform("_p", lambda x: x["w"]).alias("weights"))
 
 
+def pack_at(patch_cells: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Cells of patches without a box to one row for each: ``at`` (keys), ``shape``, ``data`` and ``weights`` in the order of the keys."""
+    rows = patch_cells.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct(F.struct(*keys).alias("at"), F.col(value).alias("v"), "w"))).alias("_p"))
+    return rows.select("seq", F.transform("_p", lambda x: x["at"]).alias("at"), F.array(F.size("_p")).alias("shape"), F.transform("_p", lambda x: x["v"]).alias("data"), F.transform("_p", lambda x: x["w"]).alias("weights"))
+
+
+def unpack_at(packed: DataFrame, value: str = "value") -> DataFrame:
+    """The reverse of :func:`pack_at`."""
+    return packed.select("seq", F.explode(F.arrays_zip("at", "data", "weights")).alias("_x")).select("seq", "_x.at.*", F.col("_x.data").alias(value), F.col("_x.weights").alias("w"))
+
+
 def unpack(packed: DataFrame, domain, value: str = "value") -> DataFrame:
     """Packed form to cell form."""
     dims = list(domain.dims)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldweave.domains import Configured
+from fieldweave.tables import written
 
 _strict: bool | None = None
 
@@ -41,7 +42,16 @@ def check_streaming(aggregation) -> None:
 
 @dataclass
 class Hooks:
-    """Driver-side callbacks; one that fails is a warning, not an error.  A total that isn't known is -1."""
+    """Driver-side callbacks; one that fails is a warning, not an error.  A total that isn't known is -1.
+
+    A plan with hooks writes what it splits, maps or merges as a table in the shared folder
+    before it goes on, so that each callback tells what has happened, not what is planned.
+
+    ``on_split_start(n)``, ``on_split_end()``: around the making of patches.
+    ``on_patch(seq, runtime_s, n_bytes)``, ``on_error(seq, error)``: for each patch that an operator
+    or reader has made, and for each failed try, after the run, in the order of ``seq``.
+    ``on_merge_start(n)``, ``on_merge_end(n_cells)``: around a merge.  ``on_progress(n)``: patches done.
+    """
 
     on_split_start: Callable | None = None
     on_patch: Callable | None = None
@@ -58,6 +68,17 @@ class Hooks:
             except Exception as e:
                 warnings.warn(f"hook {name} failed: {e!r}", RuntimeWarning, stacklevel=2)
 
+    def done(self, result: MapResult) -> None:
+        """Tells of every patch and failure of a written result; rows stream through the driver."""
+        if self.on_patch:
+            for r in result.patches.select("seq", "runtime_s", F.size("data").alias("n")).orderBy("seq").toLocalIterator():
+                self.call("on_patch", r["seq"], r["runtime_s"], 8 * r["n"])
+        if self.on_error:
+            for r in result.errors.orderBy("anchor", "retry_count").toLocalIterator():
+                self.call("on_error", r["anchor"], RuntimeError(f"{r['kind']}: {r['message']}"))
+        if self.on_progress:
+            self.call("on_progress", result.patches.count())
+
 
 # ---------------------------------------------------------------- journal
 JOURNAL = "anchor string, status string, runtime_s double, output_uri string, error string"
@@ -109,11 +130,11 @@ ERRORS = ("raise", "skip", "retry", "mask")
 
 @dataclass(frozen=True)
 class ErrorPolicy(Configured):
-    """What happens when a patch operator fails.
+    """What happens when a patch operator or reader fails.
 
     ``skip`` leaves the patch out, ``mask`` gives NULL values, ``retry`` tries ``max_retries``
     times more if the error is one of ``retry_on`` (class names; empty: any), then skips;
-    another error is raised.  Failures are rows of a table of their own.
+    another error is raised.  Every failed try is a row of a table of their own.
     """
 
     on_error: str = "raise"
@@ -124,23 +145,24 @@ class ErrorPolicy(Configured):
     def __post_init__(self):
         if self.on_error not in ERRORS:
             raise ValueError(f"on_error must be one of {ERRORS}, not {self.on_error!r}")
+        if self.max_retries < 0:
+            raise ValueError("max_retries can't be negative")
 
     def apply(self, fn: Callable, data, anchor):
-        """(result or None, error record or None)."""
-        tries = 0
+        """(result or None, records of the failed tries)."""
+        records = []
         while True:
             try:
-                return fn(data), None
+                return fn(data), records
             except Exception as e:
                 names = {c.__name__ for c in type(e).__mro__}
                 wanted = not self.retry_on or bool(names & set(self.retry_on))
                 if self.on_error == "raise" or (self.on_error == "retry" and not wanted):
                     raise
-                if self.on_error == "retry" and tries < self.max_retries:
-                    tries += 1
-                    continue
                 trace = traceback.format_exc() if self.capture_traceback else None
-                return None, {"anchor": anchor, "kind": type(e).__name__, "message": str(e), "traceback": trace, "retry_count": tries}
+                records.append({"anchor": anchor, "kind": type(e).__name__, "message": str(e), "traceback": trace, "retry_count": len(records)})
+                if self.on_error != "retry" or len(records) > self.max_retries:
+                    return None, records
 
 
 def picklable(fn: Callable) -> None:
@@ -160,35 +182,75 @@ class MapResult:
     errors: DataFrame = field(repr=False, default=None)
 
 
-def map_patches(packed: DataFrame, operator: Callable, policy: ErrorPolicy | None = None, max_patch_bytes: int | None = None) -> MapResult:
+def map_patches(packed: DataFrame, operator: Callable, policy: ErrorPolicy | None = None, max_patch_bytes: int | None = None, hooks: Hooks | None = None) -> MapResult:
     """Run ``operator`` (array -> array of the same shape) on each packed patch.
 
     Patches are rows with ``shape`` and ``data``; they travel in Arrow batches.  Order is kept
-    by ``seq``.  A patch over ``max_patch_bytes`` is an error of the plan.
+    by ``seq``.  A patch over ``max_patch_bytes`` is an error of the plan.  Unless failures are
+    raised, and with hooks, the operator runs once, into a table from which patches and
+    errors are read; they belong together even if it is random.
     """
     policy = policy or ErrorPolicy()
     picklable(operator)
     import numpy as np
 
+    def one(row):
+        values = np.array(row.data, float).reshape(tuple(row.shape))
+        if max_patch_bytes and values.nbytes > max_patch_bytes:
+            raise ValueError(f"patch {row.seq} has {values.nbytes} bytes, the budget is {max_patch_bytes}")
+        out, records = policy.apply(operator, values, row.seq)
+        return np.full(values.shape, np.nan) if out is None and policy.on_error == "mask" else out, records
+
+    return _run(packed, one, policy, hooks)
+
+
+def read_patches(asked: DataFrame, reader: Callable, policy: ErrorPolicy | None = None, max_patch_bytes: int | None = None, hooks: Hooks | None = None) -> MapResult:
+    """Packed patches from an opaque ``reader(dict of the row's columns) -> array``, run on the executors.
+
+    ``asked`` has ``seq``, the place to read and ``shape``.  Failed reads follow the policy, as failed operators do.
+    """
+    policy = policy or ErrorPolicy()
+    picklable(reader)
+    import numpy as np
+
+    def one(row):
+        shape = tuple(int(n) for n in row.shape)
+        out, records = policy.apply(lambda r: np.asarray(reader(r), float).reshape(shape), row._asdict(), row.seq)
+        if out is None and policy.on_error == "mask":
+            out = np.full(shape, np.nan)
+        if max_patch_bytes and out is not None and out.nbytes > max_patch_bytes:
+            raise ValueError(f"patch {row.seq} has {out.nbytes} bytes, the budget is {max_patch_bytes}")
+        return out, records
+
+    empty = F.array().cast("array<double>")
+    return _run(asked.withColumns({"data": empty, "weights": F.transform(F.sequence(F.lit(1), F.aggregate("shape", F.lit(1), lambda a, n: a * n)), lambda i: F.lit(1.0))}), one, policy, hooks)
+
+
+def _run(packed: DataFrame, one: Callable, policy: ErrorPolicy, hooks: Hooks | None) -> MapResult:
+    import numpy as np
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            data, errors = [], []
-            for row in batch.itertuples():
-                values = np.array(row.data, float).reshape(tuple(row.shape))
-                if max_patch_bytes and values.nbytes > max_patch_bytes:
-                    raise ValueError(f"patch {row.seq} has {values.nbytes} bytes, the budget is {max_patch_bytes}")
-                out, error = policy.apply(operator, values, row.seq)
-                if error and policy.on_error == "mask":
-                    out = np.full(values.shape, np.nan)
+            data, errors, took = [], [], []
+            for row in batch.itertuples(index=False):
+                began = time.perf_counter()
+                out, records = one(row)
+                took.append(time.perf_counter() - began)
                 data.append(None if out is None else np.asarray(out, float).ravel())
-                errors.append(None if error is None else json.dumps(error))
-            yield batch.assign(data=data, _error=errors)
+                errors.append(json.dumps(records) if records else None)
+            yield batch.assign(data=data, _errors=errors, runtime_s=took)
 
-    schema = packed.schema.simpleString()[7:-1] + ",_error:string"
+    schema = packed.schema.simpleString()[7:-1] + ",_errors:string,runtime_s:double"
     done = packed.mapInPandas(run, schema)
+    if policy.on_error != "raise" or hooks:
+        done = written(done)
     nulls = F.transform("data", lambda x: F.nanvl(x, F.lit(None).cast("double")))
-    errors = done.where("_error is not null").select(F.from_json("_error", "anchor long, kind string, message string, traceback string, retry_count int").alias("e")).select("e.*")
-    return MapResult(done.where("data is not null").drop("_error").withColumn("data", nulls), errors)
+    record = "array<struct<anchor: bigint, kind: string, message: string, traceback: string, retry_count: int>>"
+    errors = done.where("_errors is not null").select(F.explode(F.from_json("_errors", record)).alias("e")).select("e.*")
+    result = MapResult(done.where("data is not null").drop("_errors").withColumn("data", nulls), errors)
+    if hooks:
+        hooks.done(result)
+    return result
 
 
 # ---------------------------------------------------------------- stacking and batches
@@ -228,5 +290,14 @@ def deal(packed: DataFrame, tasks: int) -> DataFrame:
 
 
 def first_seen(df: DataFrame, by: list[str]) -> DataFrame:
-    """Groups numbered in the order in which they were first met."""
-    return df.groupBy(*by).agg(F.min("seq").alias("first")).withColumn("place", F.row_number().over(Window.orderBy("first")) - 1)
+    """Groups numbered in the order in which they were first met.
+
+    Numbers are given range by range: places within a range, and what the ranges before it
+    hold (as many rows as ranges), so no task has all groups.
+    """
+    met = df.groupBy(*by).agg(F.min("seq").alias("first")).repartitionByRange("first").withColumn("_range", F.spark_partition_id())
+    met = written(met)
+    counts = met.groupBy("_range").agg(F.count("*").alias("n"))
+    before = counts.select("_range", (F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("first", *by)) - 1
+    return met.withColumn("place", place).join(F.broadcast(before), "_range").withColumn("place", (F.col("place") + F.col("_before")).cast("long")).drop("_range", "_before")

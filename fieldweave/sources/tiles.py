@@ -1,8 +1,8 @@
 """Tiled rasters as tables: reading windows from tiles, writing chunks and tiles.
 
-A tile table has rows ``ty, tx, tile`` (row-major array).  Windows become tile coordinates,
-each tile is met once for all windows, and cells are cropped; cells outside of the image
-read as 0.
+A tile table has rows ``ty, tx, tile`` (row-major array), and ``band`` first if the image has
+bands.  Windows become tile coordinates, each tile is met once for all windows, and cells are
+cropped; cells outside of the image read as 0.
 """
 
 from __future__ import annotations
@@ -28,12 +28,29 @@ class TiledRaster(Configured):
     tile_height: int
     tile_width: int
 
-    def tiles(self, cells: DataFrame, value: str = "value") -> DataFrame:
-        """Cells to tiles; edge tiles are filled with 0."""
+    @property
+    def keys(self) -> list[str]:
+        return [*(["band"] if self.domain.bands is not None else []), "ty", "tx"]
+
+    def tiles(self, cells: DataFrame, value: str = "value", windows: DataFrame | None = None) -> DataFrame:
+        """Cells to tiles; edge tiles are filled with 0.  With ``windows`` only the tiles that these touch.
+
+        The cells of a tile are sorted by offset once; offsets that have no cell are added before.
+        """
         th, tw = self.tile_height, self.tile_width
-        own = cells.select(F.floor(F.col("r") / th).alias("ty"), F.floor(F.col("c") / tw).alias("tx"), (F.col("r") % th * tw + F.col("c") % tw).cast("int").alias("i"), F.coalesce(value, F.lit(0.0)).alias("v"))
-        held = own.groupBy("ty", "tx").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-        return held.select("ty", "tx", F.transform(F.sequence(F.lit(0), F.lit(th * tw - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("tile"))
+        bands = [F.col(k) for k in self.keys if k == "band"]
+        own = cells.select(*bands, F.floor(F.col("r") / th).alias("ty"), F.floor(F.col("c") / tw).alias("tx"), (F.col("r") % th * tw + F.col("c") % tw).cast("int").alias("i"), F.coalesce(value, F.lit(0.0)).alias("v"))
+        if windows is not None:
+            own = own.join(self._touched(windows).select("ty", "tx").distinct(), ["ty", "tx"], "left_semi")
+        held = own.groupBy(*self.keys).agg(F.collect_list(F.struct("i", "v")).alias("m"))
+        all_ = F.sequence(F.lit(0), F.lit(th * tw - 1))
+        gaps = F.transform(F.array_except(all_, F.transform("m", lambda x: x["i"])), lambda i: F.struct(i.alias("i"), F.lit(0.0).alias("v")))
+        return held.select(*self.keys, F.transform(F.array_sort(F.concat("m", F.when(F.size("m") < th * tw, gaps).otherwise(F.array().cast("array<struct<i:int,v:double>>")))), lambda x: x["v"]).alias("tile"))
+
+    def _touched(self, windows: DataFrame) -> DataFrame:
+        """Every window with every tile that it touches."""
+        span = lambda d: F.explode(F.sequence(F.col(f"t{d}0"), F.col(f"t{d}1"))).alias(f"t{d}")
+        return self.ranges(windows).where("ty0 <= ty1").select("seq", "r0", "c0", "h", "w", "tx0", "tx1", span("y")).select("seq", "r0", "c0", "h", "w", "ty", span("x"))
 
     def ranges(self, windows: DataFrame) -> DataFrame:
         """``windows`` (seq, r0, c0, h, w) with the tiles they touch."""
@@ -42,17 +59,18 @@ class TiledRaster(Configured):
         return windows.withColumns({"ty0": F.when(none, 0).otherwise(y0), "ty1": F.when(none, -1).otherwise(y1), "tx0": F.when(none, 0).otherwise(x0), "tx1": F.when(none, -1).otherwise(x1)})
 
     def select_many(self, tiles: DataFrame, windows: DataFrame) -> DataFrame:
-        """Cells ``seq, i, j, value`` of all windows; a tile is read once, whatever the number of windows."""
-        touched = self.ranges(windows).where("ty0 <= ty1")
-        span = lambda d: F.explode(F.sequence(F.col(f"t{d}0"), F.col(f"t{d}1"))).alias(f"t{d}")
-        asked = touched.select("seq", "r0", "c0", "h", "w", "tx0", "tx1", span("y")).select("seq", "r0", "c0", "h", "w", "ty", span("x"))
+        """Cells ``seq, i, j, value`` (and ``band``) of all windows; a tile is read once, whatever the number of windows."""
         th, tw = self.tile_height, self.tile_width
-        cells = asked.join(tiles, ["ty", "tx"]).select("*", F.posexplode("tile").alias("k", "value"))
+        band = [k for k in self.keys if k == "band"]
+        cells = self._touched(windows).join(tiles, ["ty", "tx"]).select("*", F.posexplode("tile").alias("k", "value"))
         cells = cells.withColumns({"r": F.col("ty") * th + F.floor(F.col("k") / tw), "c": F.col("tx") * tw + F.col("k") % tw})
         inside = cells.where("r >= r0 and r < r0 + h and c >= c0 and c < c0 + w").where((F.col("r") < self.domain.height) & (F.col("c") < self.domain.width))
-        found = inside.select("seq", (F.col("r") - F.col("r0")).alias("i"), (F.col("c") - F.col("c0")).alias("j"), "value")
+        found = inside.select("seq", *band, (F.col("r") - F.col("r0")).alias("i"), (F.col("c") - F.col("c0")).alias("j"), "value")
         frame = windows.select("seq", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h").cast("long") - 1)).alias("i")).select("seq", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w").cast("long") - 1)).alias("j"))
-        return frame.join(found, ["seq", "i", "j"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+        if band:
+            kind = dict(tiles.dtypes)["band"]
+            frame = frame.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(self.domain.bands - 1)).cast(f"array<{kind}>")))
+        return frame.join(found, ["seq", *band, "i", "j"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
 def write_chunks(cells: DataFrame, path: str, chunk: int, values: tuple[str, ...] = ("value",), mode: str = "overwrite") -> None:
@@ -63,7 +81,5 @@ def write_chunks(cells: DataFrame, path: str, chunk: int, values: tuple[str, ...
 
 def write_tiles(cells: DataFrame, path: str, raster: TiledRaster, value: str = "value", mode: str = "overwrite") -> str:
     """A field as a tile table; returns the path."""
-    if raster.domain.bands is not None:
-        raise ValueError("a tile table holds one band")
     raster.tiles(cells, value).write.mode(mode).parquet(path)
     return path

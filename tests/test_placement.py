@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.domains import GridDomain, PointDomain, RasterDomain, extent
 from fieldweave.functions import windows as win
+from fieldweave.operators import aggregations as agg
 from fieldweave.operators import geometry as geo
 from fieldweave.operators import samplers as smp
 from fieldweave.plans.patcher import SpatialPatcher
@@ -213,5 +214,77 @@ def test_tiles(spark, tmp_path):
     tiles.write_chunks(df, str(tmp_path / "chunks"), 20)
     back = spark.read.parquet(str(tmp_path / "chunks"))
     assert back.count() == n * n and back.select("chunk_r", "chunk_c").distinct().count() == 9 and dict(back.dtypes)["value"] == "float"
-    with pytest.raises(ValueError, match="one band"):
-        tiles.write_tiles(df, path, tiles.TiledRaster(RasterDomain(n, n, 3), 16, 16))
+    two = df.withColumn("band", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("value", F.col("value") * (1 + F.col("band")))
+    image = tiles.TiledRaster(RasterDomain(n, n, 2), 16, 16)
+    path = tiles.write_tiles(two, str(tmp_path / "bands"), image)
+    got = {(r.band, r.i, r.j): r.value for r in image.select_many(spark.read.parquet(path), asked.where("seq = 0")).collect()}
+    assert got == {(b, i, j): (1 + b) * data[10 + i, 12 + j] for b in range(2) for i in range(9) for j in range(8)}
+    few = image.tiles(two, windows=asked.where("seq = 0"))
+    assert {(r.band, r.ty, r.tx) for r in few.collect()} == {(b, y, x) for b in range(2) for y in (0, 1) for x in (0, 1)}
+
+
+def test_jitter_of_the_executors(spark):
+    d, g = RasterDomain(300, 400), geo.Rectangular(5)
+    plan = smp.JitteredStride(8, 0.5, 3)
+    rows = plan.table(spark, d, g).orderBy("seq").collect()
+    assert len(rows) == plan.count(d, g) and rows == plan.table(spark, d, g).repartition(7).orderBy("seq").collect()
+    shifts = np.array([(r.ar - a, r.ac - b) for r, (a, b) in zip(rows, ((a, b) for a in range(0, 296, 8) for b in range(0, 396, 8)), strict=True)])
+    assert abs(shifts).max() <= 4 and abs(shifts.mean()) < 0.2 and len(set(map(tuple, shifts.tolist()))) > 40
+    assert all(0 <= r.ar <= 295 and 0 <= r.ac <= 395 for r in rows)
+    assert rows != smp.JitteredStride(8, 0.5, 4).table(spark, d, g).orderBy("seq").collect()
+    none = smp.JitteredStride(8)
+    assert none.table(spark, d, g).orderBy("seq").collect() != none.table(spark, d, g).orderBy("seq").collect()
+    assert [(r.ar, r.ac) for r in smp.JitteredStride(8, 0.5, 3, drawn=True).table(spark, d, g).orderBy("seq").collect()] == plan.anchors(d, g)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "haversine"])
+def test_nearest_of_uneven_points(spark, metric):
+    """A dense town, scattered farms, places far off, ties and repeated places."""
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.normal(10, 1e-4, (400, 2)), rng.uniform(-60, 60, (60, 2)), np.tile([[30.0, 30.0]], (6, 1)), [[0.0, 0.0], [2.0, 0.0]]])
+    at = np.array([(10.0, 10.0), (10.0001, 10.0), (170.0, -80.0), (1.0, 0.0), (30.0, 30.0), (-59.0, 59.0)])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "pid long, x double, y double")
+    anchors = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "seq long, ax double, ay double")
+
+    def distance(a, b):
+        if metric == "euclidean":
+            return float(np.hypot(*(a - b)))
+        (x1, y1), (x2, y2) = np.radians(a), np.radians(b)
+        h = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin((x2 - x1) / 2) ** 2
+        return 2 * geo.EARTH_KM * float(np.arcsin(min(1.0, np.sqrt(h))))
+
+    for k in (1, 4, 1000):
+        got = {}
+        for r in geo.KNNGraph(k, metric).neighbours(anchors, points).orderBy("seq", "rank").collect():
+            got.setdefault(r.seq, []).append(r.distance)
+        for i, a in enumerate(at):
+            assert np.allclose(got[i], sorted(distance(a, b) for b in xy)[:k], atol=1e-9)
+
+
+def test_every_shape_has_patches(spark):
+    cells = spark.range(400).select(F.floor(F.col("id") / 20).alias("r"), (F.col("id") % 20).alias("c"), F.col("id").cast("double").alias("value"))
+    source = fld.raster(cells, 20, 20, transform=(1.0, 0.0, 0.0, 0.0, -1.0, 20.0))
+    square = spark.createDataFrame([(0, [(2.0, 14.0), (6.0, 14.0), (6.0, 18.0), (2.0, 18.0)])], "seq long, ring array<struct<x:double,y:double>>")
+    plan = SpatialPatcher(geo.PolygonIntersection(4))
+    assert {(r.r, r.c) for r in plan.split(source, square).where("w = 1").collect()} == {(r, c) for r in range(2, 6) for c in range(2, 6)}
+    triangle = spark.createDataFrame([(0, [(2.0, 14.0), (6.0, 14.0), (2.0, 18.0)])], "seq long, ring array<struct<x:double,y:double>>")
+    window = plan.split(source, triangle)
+    assert window.count() == 16 and 0 < window.where("w = 1").count() < 16
+    xy = spark.range(100).select(F.col("id").alias("pid"), (F.col("id") % 10).cast("double").alias("x"), F.floor(F.col("id") / 10).cast("double").alias("y"), F.lit(1.0).alias("value"))
+    points = fld.points(xy, "pid", ("value",))
+    drawn = SpatialPatcher(geo.RadiusGraph(1.0), smp.RandomAnchors(8, 1), aggregation=agg.Sum())
+    split = drawn.split(points)
+    assert split.select("seq").distinct().count() == drawn.n_anchors(points) == 8
+    assert {r.value for r in drawn.merge_anchors(split).collect()} <= {3.0, 4.0, 5.0}
+    packed = drawn.packed(points).collect()
+    assert all(len(r["at"]) == r["shape"][0] == len(r.data) == len(r.weights) for r in packed)
+    grid = fld.grid(cells.withColumnsRenamed({"r": "lat", "c": "lon"}), {"lat": [float(i) for i in range(20)], "lon": [float(i) for i in range(20)]})
+    near = SpatialPatcher(geo.SphericalCap(120.0)).split(grid, spark.createDataFrame([(0, 10.0, 10.0)], "seq long, a_lat double, a_lon double"))
+    assert {(r.lat, r.lon) for r in near.collect()} == {(10, 10), (9, 10), (11, 10), (10, 9), (10, 11)} and "value" in near.columns
+    square = lambda x, y: [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]
+    shapes = spark.createDataFrame([(i, [(float(a), float(b)) for a, b in square(i * 3, 0)], 1.0) for i in range(5)], "fid long, ring array<struct<x:double,y:double>>, value double")
+    features = fld.features(shapes, "fid", ("value",))
+    nearest = SpatialPatcher(geo.KNNGraph(2)).split(features, spark.createDataFrame([(0, 0.4, 0.5)], "seq long, ax double, ay double"))
+    assert {r.fid for r in nearest.collect()} == {0, 1}
+    with pytest.raises(NotImplementedError):
+        SpatialPatcher(geo.KNNGraph(2)).split(source, square)

@@ -17,7 +17,7 @@ from fieldweave.operators import samplers as smp
 from fieldweave.operators import spacetime as sti
 from fieldweave.operators import temporal as tmp
 from fieldweave.plans import policy
-from fieldweave.plans.patcher import SpatialPatcher, parallel_map
+from fieldweave.plans.patcher import SpatialPatcher, parallel_map, unpack
 from fieldweave.sources import fields as fld
 from fieldweave.streaming import live
 
@@ -149,13 +149,76 @@ def test_error_policies(spark):
         out = n(how, max_retries=2, retry_on=("ValueError",), capture_traceback=True)
         errors = out.errors.collect()
         assert out.patches.count() == 14 and {e.anchor for e in errors} == {1, 2}
-        assert {(e.kind, e.message, e.retry_count) for e in errors} == {("Odd", "no good", retries)} and "flaky" in errors[0].traceback
+        assert sorted((e.anchor, e.kind, e.message, e.retry_count) for e in errors) == [(a, "Odd", "no good", k) for a in (1, 2) for k in range(retries + 1)] and "flaky" in errors[0].traceback
     masked = n("mask").patches.where("seq in (1, 2)").collect()
     assert len(masked) == 2 and all(v is None for r in masked for v in r.data)
     with pytest.raises(Exception, match="no good"):
         n("retry", retry_on=("KeyError",)).patches.count()
     with pytest.raises(ValueError, match="on_error"):
         policy.ErrorPolicy("ignore")
+    with pytest.raises(ValueError, match="negative"):
+        policy.ErrorPolicy("retry", max_retries=-1)
+
+
+def test_a_random_operator_agrees_with_its_errors(spark):
+    def chance(values):
+        import random
+
+        if random.random() < 0.5:
+            raise Odd("unlucky")
+        return values
+
+    plan = SpatialPatcher(geo.Rectangular(2), smp.RegularStride(2), errors=policy.ErrorPolicy("skip"))
+    out = plan.map(raster(spark, 16), chance)
+    good, bad = {r.seq for r in out.patches.collect()}, {r.anchor for r in out.errors.collect()}
+    assert good | bad == set(range(64)) and not good & bad and good and bad
+
+
+def test_reads_follow_the_policy(spark):
+    source = raster(spark, 8)
+
+    def read(anchor):
+        if anchor["ar"] == 4 and anchor["ac"] == 0:
+            raise OSError("gone")
+        n, m = anchor["shape"]
+        return [[(anchor["ar"] + i) * 8 + anchor["ac"] + j for j in range(m)] for i in range(n)]
+
+    plan = lambda how: SpatialPatcher(geo.Rectangular(4), smp.RegularStride(4), aggregation=agg.Sum(), errors=policy.ErrorPolicy(how))
+    with pytest.raises(Exception, match="gone"):
+        plan("raise").read(source, read).patches.count()
+    skipped = plan("skip").read(source, read)
+    assert {r.seq for r in skipped.patches.collect()} == {0, 1, 3} and [(r.anchor, r.kind) for r in skipped.errors.collect()] == [(2, "OSError")]
+    masked = plan("mask").read(source, read)
+    merged = plan("mask").merge(unpack(masked.patches, source.domain), source)
+    assert {(r.r, r.c): r.value for r in merged.collect()} == {(r, c): 0.0 if r >= 4 and c < 4 else float(r * 8 + c) for r in range(8) for c in range(8)}
+
+
+def test_folds_in_chunks_and_order(spark):
+    packed = spark.createDataFrame([(k, s, 0, [float(s)]) for k in (1, 2) for s in range(50)], "k int, seq long, scale int, data array<double>").repartition(5)
+    add = lambda a, d: a + F.element_at(d, 1)
+    whole = tmp.fold(packed, ["k"], F.lit(0.0), add).collect()
+    parts = tmp.fold(packed, ["k"], F.lit(0.0), add, lambda a, b: a + b, 7).collect()
+    assert sorted(whole) == sorted(parts) == [(1, 1225.0), (2, 1225.0)]
+    last = tmp.fold_opaque(packed, ["k"], lambda a, d: a * 0.5 + d[0], 0.0, "k int, state double").collect()
+    acc = 0.0
+    for s in range(50):
+        acc = acc * 0.5 + s
+    assert sorted(last) == [(1, acc), (2, acc)]
+
+
+def test_first_seen_numbers(spark):
+    df = spark.createDataFrame([(i, (i * 7) % 30) for i in range(100)], "seq long, k long").repartition(6)
+    met = list(dict.fromkeys((i * 7) % 30 for i in range(100)))
+    assert [r.k for r in policy.first_seen(df, ["k"]).orderBy("place").collect()] == met
+    assert [r.place for r in policy.first_seen(df, ["k"]).orderBy("place").collect()] == list(range(30))
+
+
+def test_hierarchical_keys(spark):
+    source = series(spark, 20)
+    cut = tmp.TemporalPatcher(tmp.MultiScale((2, 6)), smp.TemporalExplicit((0, 1, 9))).packed(source)
+    got = {(r.t_anchor, r.key): r.data for r in tmp.Hierarchical((2, 6)).merge(cut, []).collect()}
+    # at 0 both patches are [0, 1); at 1 the longer one is cut to the length of the shorter
+    assert got == {(0, "[0,1)"): [0.0], (1, "2"): [0.0, 1.0], (9, "2"): [8.0, 9.0], (9, "6"): [4.0, 5.0, 6.0, 7.0, 8.0, 9.0]}
 
 
 def test_parallel_map_and_budget(spark):
@@ -207,11 +270,17 @@ def test_stacks_and_batches(spark):
 
 def test_hooks_and_strictness(spark, tmp_path):
     calls = []
-    hooks = policy.Hooks(on_split_start=lambda n: calls.append(("split", n)), on_merge_start=lambda n: calls.append(("merge", n)), on_merge_end=lambda: 1 / 0)
-    plan, source = SpatialPatcher(geo.Rectangular(2), smp.RegularStride(2), hooks=hooks), raster(spark, 4)
+    told = lambda name: lambda *args: calls.append((name, *args))
+    hooks = policy.Hooks(on_split_start=told("split"), on_split_end=told("split end"), on_merge_start=told("merge"), on_merge_end=lambda n: 1 / (n - 16), on_patch=lambda seq, s, n: calls.append(("patch", seq, n)), on_error=lambda seq, e: calls.append(("error", seq, str(e))))
+    plan, source = SpatialPatcher(geo.Rectangular(2), smp.RegularStride(2), hooks=hooks, errors=policy.ErrorPolicy("skip")), raster(spark, 4)
     with pytest.warns(RuntimeWarning, match="on_merge_end"):
         plan.merge(plan.split(source), source)
-    assert calls == [("split", 4), ("merge", -1)]
+    assert calls == [("split", 4), ("split end",), ("merge", -1)]
+    calls.clear()
+    with pytest.warns(RuntimeWarning, match="on_merge_end"):
+        plan.merge_cells(source)
+    plan.map(source, lambda v: 1 / 0 if v[0, 0] == 2 else v)
+    assert calls == [("merge", -1), ("split", 4), ("split end",), *[("patch", s, 32) for s in (0, 2, 3)], ("error", 1, "ZeroDivisionError: division by zero")]
     median = SpatialPatcher(geo.Rectangular(2), smp.RegularStride(2), aggregation=agg.Median())
     with pytest.warns(RuntimeWarning, match="bounded memory"):
         median.stream_merge(source, str(tmp_path / "a"), 2)
