@@ -48,7 +48,7 @@ from fieldweave.llm.components import components
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 8, 3
 RARE = 10_000
-UNIT, UNIT_BYTES = 256, 1 << 24
+UNIT, UNIT_BYTES = 1024, 1 << 24
 
 
 # ---------------------------------------------------------------- weighted sets
@@ -68,13 +68,21 @@ class Weights:
         order = np.argsort(word)
         self.word, floor = word[order], max(n_docs / RARE, 1)
         share = np.log(n_docs / np.maximum(held_by[order], floor)) / np.log(n_docs / floor) if n_docs > floor else np.ones(len(word))
-        self.weight = 1 + share
+        self.weight = np.append(1 + share, 2.0)
+        # words by their first bits: a look-up is a step or two, not a binary search
+        bits = int(len(word)).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.word >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.most = int(np.diff(self.first).max(initial=0))
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.word):
-            return np.full(len(h), 2.0)
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        return np.where(self.word[at] == h, self.weight[at], 2.0)
+        slot = (h >> self.shift).astype(np.int64)
+        at, end, found = self.first[slot], self.first[slot + 1], np.full(len(h), len(self.word))
+        for k in range(self.most):
+            open_ = np.flatnonzero(at + k < end)
+            hit = open_[self.word[at[open_] + k] == h[open_]]
+            found[hit] = at[hit] + k
+        return self.weight[found]
 
 
 def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, idf: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,9 +305,10 @@ def linked(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np
     return root
 
 
-def verify(members: DataFrame, idf: Weights) -> DataFrame:
-    """Edges ``u, v`` between the documents of each unit; ``members`` has unit, doc_id and text."""
-    held, n = members.sparkSession.sparkContext.broadcast(idf), shared.parts(members)
+def verify(members: DataFrame, idf: Weights, size: int = 0) -> DataFrame:
+    """Edges ``u, v`` between the documents of each unit; ``members`` has unit, doc_id and text, and about ``size`` rows."""
+    # tasks of several units' texts each, so that no unit makes a task much larger than others
+    held, n = members.sparkSession.sparkContext.broadcast(idf), max(16, -(-size // (4 * UNIT)))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unit(ids: np.ndarray, texts: list[pa.Array]):
@@ -358,12 +367,13 @@ def _classes(docs: DataFrame) -> DataFrame:
     to_verify, large = units(texts)
     to_verify, large = shared.materialize(to_verify), shared.materialize(large)
     # the same join at every size: what is verified grows with the corpus and is never broadcast
-    edges = verify(to_verify.hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf)
+    edges = verify(to_verify.hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf, to_verify.count())
     # rows that share a doc_id are one document, whatever their texts
     same = signed.join(texts.select("words", F.col("doc_id").alias("first")), "words").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     roots = components(edges.unionAll(same.where("u <> v").distinct()))
     if not large.isEmpty():
-        more = verify(shared.materialize(rest_units(large, docs, roots, idf)).hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf)
+        rest = shared.materialize(rest_units(large, docs, roots, idf))
+        more = verify(rest.hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf, rest.count())
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
     return signed.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
