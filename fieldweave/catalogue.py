@@ -235,14 +235,22 @@ def sketch_cardinality(spark, sf):
     return agg.ApproxCardinality(12).reduce(own, "user_id").crossJoin(exact).select((F.abs(F.col("estimate") - F.col("exact")) <= 0.1 * F.col("exact")).alias("near"))
 
 
-@query("SELECT CAST(event_id % 4 AS BIGINT) AS part, true AS near FROM events GROUP BY 1")
+@query("SELECT 'cardinality' AS sketch, true AS near UNION ALL SELECT 'histogram', true UNION ALL SELECT 'mode', true UNION ALL SELECT 'quantile', true UNION ALL SELECT 'reservoir', true")
 def sketch_stored(spark, sf):
-    """States of parts of the table, merged: does each state, and the merge, tell what one sketch of all tells?"""
-    own = events(spark, sf).withColumn("part", F.col("event_id") % 4)
-    plan = agg.ApproxCardinality(12)
-    states = plan.sketch(own, "user_id", ("part",))
-    whole = plan.reduce(own, "user_id").withColumnRenamed("estimate", "whole")
-    return states.select("part").crossJoin(plan.merge(states).crossJoin(whole)).select("part", (F.col("estimate") == F.col("whole")).alias("near"))
+    """States of four parts of the table, merged: does each tell what one summary of all rows tells?"""
+    own = events(spark, sf).withColumns({"part": F.col("event_id") % 4, "k": klass()})
+    count, middle, top, bins, drawn = agg.ApproxCardinality(12), agg.ApproxQuantile(0.5, 2000), agg.ApproxMode(16), agg.StreamingHistogram(32), agg.Reservoir(50, 1, ("event_id",))
+    merged = lambda plan, value: plan.merge(plan.sketch(own, value, ("part",)))
+    near = lambda name, ok, df: df.select(F.lit(name).alias("sketch"), ok.alias("near"))
+    whole = own.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("value").alias("all"), F.avg("value").alias("mean"))
+    half = merged(middle, "value").select(F.col("value").alias("median"))
+    share = own.crossJoin(half).agg((F.count_if(F.col("value") <= F.col("median")) / F.count("*")).alias("share"))
+    tops = merged(top, "k").join(top.reduce(own.select(F.col("k").alias("value"))).select("item", F.col("n").alias("m")), "item", "full").agg(F.bool_and(F.col("n").eqNullSafe(F.col("m"))).alias("same"))
+    mass = merged(bins, "value").agg(F.sum("n").alias("n"), F.count("*").alias("bins"), (F.sum(F.col("n") * F.col("center")) / F.sum("n")).alias("middle")).crossJoin(whole)
+    sample = merged(drawn, "value").select("event_id").join(drawn.reduce(own.select("event_id", "value")).select("event_id", F.lit(1).alias("m")), "event_id", "full").agg(F.bool_and(F.col("m").isNotNull()).alias("same"), F.count("*").alias("n"))
+    out = near("cardinality", F.col("estimate") == F.col("whole"), merged(count, "user_id").crossJoin(count.reduce(own, "user_id").withColumnRenamed("estimate", "whole")))
+    out = out.unionByName(near("quantile", F.abs(F.col("share") - 0.5) < 0.02, share)).unionByName(near("mode", F.col("same"), tops)).unionByName(near("reservoir", F.col("same") & (F.col("n") == 50), sample))
+    return out.unionByName(near("histogram", (F.abs(F.col("n") - F.col("all")) < 0.5) & (F.col("bins") <= 32) & (F.abs(F.col("middle") - F.col("mean")) < 1e-6 * (F.col("high") - F.col("low"))), mass))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY n DESC) - 1 AS INTEGER) AS rank, CAST(k AS BIGINT) AS item, n FROM (SELECT CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'view' THEN 4 END AS k, count(*) AS n FROM events GROUP BY 1)")
@@ -513,6 +521,23 @@ def radius_map(spark, sf):
     return plan.merge(unpack_at(done.patches), source).select("pid", (F.round("value", 6) + 0.0).alias("value"))
 
 
+@query(f"WITH {_POINTS}, t AS (SELECT pid, t, x, y, CAST(pid % 7 + 10 * t AS DOUBLE) AS value FROM p, range(3) r(t)), n AS (SELECT a.pid AS seq, b.pid AS pid FROM p a, p b WHERE a.pid % 20 = 0 AND {_DIST} <= 0.1) SELECT n.seq, CAST(t AS INTEGER) AS t, count(*) AS n, sum(value) AS total FROM n JOIN t ON t.pid = n.pid GROUP BY n.seq, t")
+def point_cube(spark, sf):
+    """Points with values at three times, met by place."""
+    at = points(spark, sf).df
+    cells = at.select("pid", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("t")).withColumn("value", (F.col("pid") % 7 + 10 * F.col("t")).cast("double"))
+    source = fld.point_cube(cells, "pid")
+    near = SpatialPatcher(geo.RadiusGraph(0.1)).split(source, anchors_at(at, 20))
+    return near.groupBy("seq", "t").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query(_merged("sum(v * power(w, 2)) AS value", _GAUSS, defaults=_value("0")))
+def agg_weight_fn(spark, sf):
+    """A weighted sum whose weights are squared."""
+    out = patcher(win.Gaussian(), agg.WeightedSum(lambda w: w * w)).merge_cells(raster(spark, sf, True), shifted)
+    return out.select("r", "c", r6("value"))
+
+
 #: A raster turned upside down and stretched: x = 2 c + 3, y = 100 - r.
 _TURNED = (2.0, 0.0, 3.0, 0.0, -1.0, 100.0)
 

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as SQLWindow
 from pyspark.sql import functions as F
 
 from fieldweave.domains import Configured
@@ -122,16 +123,21 @@ class Min(Aggregation):
 
 @dataclass(frozen=True)
 class WeightedSum(Aggregation):
-    """Not normalised."""
+    """Not normalised.  ``weight_fn`` turns the window's weight into another; where patches are rows it may use their columns."""
+
+    weight_fn: Callable[[Column], Column] | None = None
+
+    def _weight(self, w: Column) -> Column:
+        return self.weight_fn(w) if self.weight_fn else w
 
     def grouped(self, v, w):
-        return {"value": F.coalesce(F.sum(v * w), F.lit(0.0))}
+        return {"value": F.coalesce(F.sum(v * self._weight(w)), F.lit(0.0))}
 
     def unrolled(self, terms):
-        return {"value": plus([v * w for v, w in terms])}
+        return {"value": plus([v * self._weight(w) for v, w in terms])}
 
     def local(self, xs):
-        return {"value": total(xs, lambda x: x["v"] * x["w"])}
+        return {"value": total(xs, lambda x: x["v"] * self._weight(x["w"]))}
 
 
 @dataclass(frozen=True)
@@ -368,22 +374,52 @@ def finite(df: DataFrame, value: str) -> DataFrame:
     return df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < INF))
 
 
+class Sketch(Configured):
+    """A summary whose state is a row that can be stored, and merged with others: ``sketch`` makes states, ``merge`` answers from any of them."""
+
+    def sketch(self, df: DataFrame, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
+        """``by`` and ``sketch``: one state for each group."""
+        raise NotImplementedError
+
+    def merge(self, sketches: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def reduce(self, df: DataFrame, value: str = "value") -> DataFrame:
+        return self.merge(self.sketch(df, value))
+
+
 @dataclass(frozen=True)
-class ApproxQuantile(Configured):
-    """Quantiles of finite values by Spark's mergeable summary; its error falls with ``compression``."""
+class ApproxQuantile(Sketch):
+    """Quantiles of finite values.
+
+    :meth:`reduce` uses Spark's summary, whose error falls with ``compression``; states that are
+    stored are KLL sketches of 2 to 8 times as many items.
+    """
 
     q: float | tuple[float, ...] = 0.5
     compression: int = 200
 
+    @property
+    def _qs(self) -> list[float]:
+        return [float(x) for x in (self.q if isinstance(self.q, tuple) else (self.q,))]
+
+    def sketch(self, df, value="value", by=()):
+        own = finite(df, value).withColumn("_v", F.col(value).cast("double"))
+        return own.groupBy(*by).agg(F.expr(f"kll_sketch_agg_double(_v, {min(max(2 * self.compression, 8), 65535)})").alias("sketch"))
+
+    def merge(self, sketches):
+        whole = sketches.agg(F.expr("kll_merge_agg_double(sketch)").alias("s"))
+        pairs = F.array(*[F.struct(F.lit(x).alias("q"), F.expr(f"kll_sketch_get_quantile_double(s, {x!r}D)").alias("value")) for x in self._qs])
+        return whole.where(F.expr("kll_sketch_get_n_double(s) > 0")).select(F.explode(pairs).alias("p")).select("p.q", "p.value")
+
     def reduce(self, df: DataFrame, value: str = "value") -> DataFrame:
-        qs = [float(x) for x in (self.q if isinstance(self.q, tuple) else (self.q,))]
-        found = finite(df, value).agg(F.percentile_approx(value, qs, self.compression * 50).alias("x"))
-        pairs = F.arrays_zip(F.array(*[F.lit(x) for x in qs]).alias("q"), F.col("x").alias("value"))
+        found = finite(df, value).agg(F.percentile_approx(value, self._qs, self.compression * 50).alias("x"))
+        pairs = F.arrays_zip(F.array(*[F.lit(x) for x in self._qs]).alias("q"), F.col("x").alias("value"))
         return found.select(F.explode(pairs).alias("p")).select("p.q", "p.value")
 
 
 @dataclass(frozen=True)
-class ApproxCardinality(Configured):
+class ApproxCardinality(Sketch):
     """Distinct values by HyperLogLog of 2**p registers; sketches can be stored and merged."""
 
     p: int = 14
@@ -396,42 +432,85 @@ class ApproxCardinality(Configured):
         own = F.col(value).cast("string") if dict(df.dtypes)[value] in ("double", "float", "boolean") else F.col(value)
         return df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.hll_sketch_agg(own, self.p).alias("sketch"))
 
-    @staticmethod
-    def merge(sketches: DataFrame) -> DataFrame:
+    def merge(self, sketches: DataFrame) -> DataFrame:
         return sketches.agg(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch", F.lit(True))), F.lit(0).cast("long")).alias("estimate"))
 
-    def reduce(self, df: DataFrame, value: str = "value") -> DataFrame:
-        return self.merge(self.sketch(df, value))
-
 
 @dataclass(frozen=True)
-class ApproxMode(Configured):
+class ApproxMode(Sketch):
     """Up to ``k`` heavy hitters by Spark's frequent-items sketch."""
 
     k: int = 16
 
-    def reduce(self, df: DataFrame, value: str = "value") -> DataFrame:
-        found = finite(df, value).agg(F.expr(f"approx_top_k({value}, {self.k})").alias("top"))
+    def sketch(self, df, value="value", by=()):
+        return finite(df, value).groupBy(*by).agg(F.expr(f"approx_top_k_accumulate({value}, {max(64 * self.k, 1024)})").alias("sketch"))
+
+    def merge(self, sketches):
+        whole = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {max(64 * self.k, 1024)})").alias("s"))
+        return self._listed(whole.select(F.expr(f"approx_top_k_estimate(s, {self.k})").alias("top")))
+
+    @staticmethod
+    def _listed(found: DataFrame) -> DataFrame:
         return found.select(F.posexplode("top").alias("rank", "t")).select("rank", F.col("t.item").alias("item"), F.col("t.count").alias("n"))
 
+    def reduce(self, df: DataFrame, value: str = "value") -> DataFrame:
+        return self._listed(finite(df, value).agg(F.expr(f"approx_top_k({value}, {self.k})").alias("top")))
+
 
 @dataclass(frozen=True)
-class StreamingHistogram(Configured):
-    """At most ``bins`` centroids of merged neighbours."""
+class StreamingHistogram(Sketch):
+    """At most ``bins`` centroids of merged neighbours; states are lists of centroids, and merge by their nearest pairs."""
 
     bins: int = 64
 
+    def sketch(self, df, value="value", by=()):
+        own = finite(df, value).groupBy(*by).agg(F.histogram_numeric(F.col(value).cast("double"), F.lit(self.bins)).alias("h"))
+        return own.select(*by, F.transform("h", lambda b: F.struct(b["x"].alias("x"), b["y"].cast("double").alias("y"))).alias("sketch"))
+
+    def merge(self, sketches):
+        listed = sketches.agg(F.array_sort(F.flatten(F.collect_list("sketch"))).alias("_all"))  # as many lists of at most ``bins`` as there are states
+
+        def joined(bins: Column) -> Column:
+            """The two nearest neighbours as one."""
+            gaps = F.transform(F.sequence(F.lit(1), F.size(bins) - 1), lambda i: F.struct((F.element_at(bins, i + 1)["x"] - F.element_at(bins, i)["x"]).alias("gap"), i.alias("i")))
+
+            def at(i: Column) -> Column:
+                a, b = F.element_at(bins, i), F.element_at(bins, i + 1)
+                both = F.struct(((a["x"] * a["y"] + b["x"] * b["y"]) / (a["y"] + b["y"])).alias("x"), (a["y"] + b["y"]).alias("y"))
+                return F.concat(F.slice(bins, F.lit(1), i - 1), F.array(both), F.slice(bins, i + 2, F.size(bins)))
+
+            return F.element_at(F.transform(F.array(F.array_min(gaps)["i"]), at), 1)
+
+        held = F.aggregate("_all", F.array().cast("array<struct<x:double,y:double>>"), lambda acc, b: F.element_at(F.transform(F.array(F.concat(acc, F.array(b))), lambda xs: F.when(F.size(xs) > self.bins, joined(xs)).otherwise(xs)), 1))
+        return listed.select(F.posexplode(held).alias("bin", "b")).select("bin", F.col("b.x").alias("center"), F.col("b.y").alias("n"))
+
     def reduce(self, df: DataFrame, value: str = "value") -> DataFrame:
         found = finite(df, value).agg(F.histogram_numeric(value, F.lit(self.bins)).alias("h"))
         return found.select(F.posexplode("h").alias("bin", "b")).select("bin", F.col("b.x").cast("double").alias("center"), F.col("b.y").cast("double").alias("n"))
 
 
 @dataclass(frozen=True)
-class Reservoir(Configured):
-    """A uniform sample of ``k`` rows that depends on seed and row key only, not on partitioning."""
+class Reservoir(Sketch):
+    """A uniform sample of ``k`` rows that depends on seed and row key only, not on partitioning.
+
+    A state holds the ``k`` rows of least hash of its group, so the least of several states are the sample of all.
+    """
 
     k: int = 100
     seed: int = 0
-
-    def reduce(self, df: DataFrame, value: str = "value", key: tuple[str, ...] = ("seq",)) -> DataFrame:
-        return finite(df, value).orderBy(F.xxhash64(F.lit(self.seed), *key), *key).limit(self.k)
+    key: tuple[str, ...] = ("seq",)
+
+    def sketch(self, df, value="value", by=()):
+        """A row for each kept row, as (hash, key, value)."""
+        own = finite(df, value).select(*by, F.struct(F.xxhash64(F.lit(self.seed), *self.key).alias("hash"), *self.key, F.col(value).alias("value")).alias("sketch"))
+        if not by:
+            return own.orderBy("sketch").limit(self.k)
+        place = F.row_number().over(SQLWindow.partitionBy(*by).orderBy("sketch"))
+        return own.withColumn("_place", place).where(F.col("_place") <= self.k).drop("_place")
+
+    def merge(self, sketches):
+        return sketches.orderBy("sketch").limit(self.k).select("sketch.*").drop("hash")
+
+    def reduce(self, df: DataFrame, value: str = "value", key: tuple[str, ...] | None = None) -> DataFrame:
+        own = key or self.key
+        return finite(df, value).orderBy(F.xxhash64(F.lit(self.seed), *own), *own).limit(self.k)

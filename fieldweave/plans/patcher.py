@@ -83,7 +83,13 @@ class SpatialPatcher(Configured):
     def _split(self, source: Field, anchors: DataFrame | None) -> DataFrame:
         domain = source.domain
         if isinstance(self.geometry, Neighbourhood):
-            out = self.geometry.patches(self._places(source) if anchors is None else anchors, source)
+            places = self._places(source) if anchors is None else anchors
+            if isinstance(domain, PointDomain) and len(source.keys) > 1:  # a cube: places first, then their times
+                key = source.keys[0]
+                own = Field(source.df.select(key, "x", "y").distinct(), domain, (key,), ())
+                out = self.geometry.patches(places, own).join(source.df.drop("x", "y"), key)
+            else:
+                out = self.geometry.patches(places, source)
             return out if "w" in out.columns else out.withColumn("w", F.lit(1.0))
         if self._lattice(source) and anchors is None:
             out = self.geometry.cover(source.df, domain, self.sampler)
@@ -99,6 +105,7 @@ class SpatialPatcher(Configured):
         if isinstance(source.domain, VectorDomain):
             at = at.select(*source.keys, centroid(F.col("ring")).alias("_p")).select(*source.keys, "_p.x", "_p.y")
         own = at.select(F.col(source.keys[0]).alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+        own = own.distinct() if len(source.keys) > 1 else own
         return self.anchors(source).join(own, "a_id").select("seq", "ax", "ay")
 
     def patch_at(self, source: Field, anchor: dict[str, int]) -> DataFrame:
@@ -186,13 +193,24 @@ class SpatialPatcher(Configured):
         rows = source.df.withColumn("_covers", made)
         return self._merged(rows.select(*source.keys, *[c.alias(k) for k, c in agg.local(F.col("_covers")).items()]))
 
-    def stream_merge(self, source: Field, path: str, chunk: int, operator=None) -> None:
-        """Merge into a chunked table on disk (see :mod:`fieldweave.sources.tiles`)."""
+    def stream_merge(self, source: Field, path: str, chunk: int, operator=None, weights: bool = False, shard: int | None = None) -> None:
+        """Merge into a chunked table on disk (see :mod:`fieldweave.sources.tiles`).
+
+        With ``weights`` an overlap-add is kept as its two sums, ``value`` and ``weight``, so
+        that later patches can still be added; ``shard`` groups chunks by folders.
+        """
         from fieldweave.sources.tiles import write_chunks
 
         check_streaming(self.aggregation)
+        if weights:
+            if not isinstance(self.aggregation, OverlapAdd):
+                raise ValueError("only an overlap-add has a sum of weights")
+            cells, value = self.split(source), F.col(source.values[0])
+            sums = cells.groupBy(*source.keys).agg(F.coalesce(F.sum(value * F.col("w")), F.lit(0.0)).alias("value"), F.coalesce(F.sum(F.when(value.isNotNull(), F.col("w"))), F.lit(0.0)).alias("weight"))
+            write_chunks(sums, path, chunk, ("value", "weight"), shard=shard)
+            return
         merged = self.merge_cells(source, operator) if self._lattice(source) else self.merge(self.split(source), source)
-        write_chunks(merged, path, chunk, self.aggregation.outputs)
+        write_chunks(merged, path, chunk, self.aggregation.outputs, shard=shard)
 
     # ------------------------------------------------------------ whole-field statistics
     def reduce(self, source: Field, reducer, value: str | None = None) -> DataFrame:

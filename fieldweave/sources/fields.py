@@ -82,6 +82,13 @@ def points(df: DataFrame, key: str, values: Sequence[str] = (), count: int | Non
     return Field(df.select(key, F.col("x").cast("double"), F.col("y").cast("double"), *values), PointDomain(df.count() if count is None else count, **meta), (key,), tuple(values))
 
 
+def point_cube(df: DataFrame, key: str, values: Sequence[str] = ("value",), count: int | None = None, **meta) -> Field:
+    """Points that have values at several times: rows ``key, t, x, y``; a point's place is the same at all times."""
+    own = no_nan(df.select(key, "t", F.col("x").cast("double"), F.col("y").cast("double"), *values), values)
+    n = df.select(key).distinct().count() if count is None else count
+    return Field(own, PointDomain(n, **meta), (key, "t"), tuple(values))
+
+
 def features(df: DataFrame, key: str, values: Sequence[str] = (), count: int | None = None, **meta) -> Field:
     """Polygons ``key, ring`` (array of struct x, y), with their bounds as columns."""
     side = lambda agg, axis: agg(F.transform("ring", lambda p: p[axis]))

@@ -73,10 +73,20 @@ class TiledRaster(Configured):
         return frame.join(found, ["seq", *band, "i", "j"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
-def write_chunks(cells: DataFrame, path: str, chunk: int, values: tuple[str, ...] = ("value",), mode: str = "overwrite") -> None:
-    """A field as single-precision Parquet, one folder for each chunk of ``chunk`` x ``chunk`` cells."""
+def write_chunks(cells: DataFrame, path: str, chunk: int, values: tuple[str, ...] = ("value",), mode: str = "overwrite", shard: int | None = None) -> None:
+    """A field as single-precision Parquet, one folder for each chunk of ``chunk`` x ``chunk`` cells.
+
+    With ``shard`` (a multiple of ``chunk``) the chunks of a square of that side are one folder, and
+    one file as far as a task holds it; chunks stay in order inside.
+    """
+    if shard and shard % chunk:
+        raise ValueError("a shard holds whole chunks")
     own = cells.withColumns({"chunk_r": F.floor(F.col("r") / chunk), "chunk_c": F.floor(F.col("c") / chunk), **{v: F.col(v).cast("float") for v in values}})
-    own.repartition("chunk_r", "chunk_c").sortWithinPartitions("chunk_r", "chunk_c", "r", "c").write.mode(mode).partitionBy("chunk_r", "chunk_c").parquet(path)
+    folders = ["chunk_r", "chunk_c"]
+    if shard:
+        folders = ["shard_r", "shard_c"]
+        own = own.withColumns({"shard_r": F.floor(F.col("r") / shard), "shard_c": F.floor(F.col("c") / shard)})
+    own.repartition(*folders).sortWithinPartitions(*folders, "chunk_r", "chunk_c", "r", "c").write.mode(mode).partitionBy(*folders).parquet(path)
 
 
 def write_tiles(cells: DataFrame, path: str, raster: TiledRaster, value: str = "value", mode: str = "overwrite") -> str:

@@ -288,3 +288,16 @@ def test_every_shape_has_patches(spark):
     assert {r.fid for r in nearest.collect()} == {0, 1}
     with pytest.raises(NotImplementedError):
         SpatialPatcher(geo.KNNGraph(2)).split(source, square)
+
+
+def test_sums_of_an_overlap_add_can_grow(spark, tmp_path):
+    source = fld.raster(spark.range(400).select(F.floor(F.col("id") / 20).alias("r"), (F.col("id") % 20).alias("c"), F.col("id").cast("double").alias("value")), 20, 20)
+    plan = SpatialPatcher(geo.Rectangular(4), smp.RegularStride(2), win.Gaussian())
+    plan.stream_merge(source, str(tmp_path / "sums"), 5, weights=True, shard=10)
+    sums = spark.read.parquet(str(tmp_path / "sums"))
+    assert sums.select("shard_r", "shard_c").distinct().count() == 4
+    want = {(r.r, r.c): r.value for r in plan.merge_cells(source).collect()}
+    got = {(r.r, r.c): r.value / r.weight for r in sums.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in got)
+    with pytest.raises(ValueError, match="whole chunks"):
+        plan.stream_merge(source, str(tmp_path / "odd"), 5, shard=12)
