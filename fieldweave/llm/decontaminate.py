@@ -16,8 +16,9 @@ item word of it (lower case, words between white space).
 4. Candidates are verified by the exact edit distance of the whole item to its nearest
    passage there.
 
-The benchmark is taken in blocks of at most ``ITEMS`` items, each held by every task and
-run against all documents; its size is counted first.
+The benchmark is taken in blocks of about ``BLOCK_BYTES`` of text, each held by every task and
+run against all documents; its size is summed first, so a broadcast is bounded whatever the
+items' lengths (blocks are dealt by hash: a longer item makes its block longer).
 
 Defined results: null or empty texts and items match nothing; items of fewer than
 ``LEAST`` words don't identify a passage and match nothing, those of five words match
@@ -39,7 +40,8 @@ from fieldweave.llm import shared
 
 DISTANCE, LEAST, PART = 0.2, 5, 64
 REPEATS, SAMPLED = 32, 2
-ITEMS = 5_000
+#: Bytes of benchmark text that a task holds at once, and that are broadcast.
+BLOCK_BYTES = 1 << 24
 #: Sizes (words) at which classes of parts begin.
 CLASSES = [5, 6, 8, 10, 13, 15, 18, 20, 25, 30, 40, 50]
 _SEEDS = shared.mix(np.arange(1, REPEATS + 1, dtype=np.uint64) * np.uint64(shared.BASE))
@@ -57,22 +59,32 @@ def words_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, in
 
 
 def walk(h: np.ndarray, end: np.ndarray, start: np.ndarray, steps: int, sampled: np.ndarray) -> np.ndarray:
-    """Keys (REPEATS x windows) of the windows at ``start``; symbols from ``end`` on are 0."""
-    drawn = np.stack([shared.mix(h ^ seed) for seed in _SEEDS]) if len(h) else np.zeros((REPEATS, 1), np.uint64)
+    """Keys (REPEATS x windows) of the windows at ``start``; symbols from ``end`` on are 0.
+
+    The coin of a symbol at a step is a bit of their hash, so every step tosses anew and work
+    arrays are as large as the windows asked for, whatever the length of the text.
+    """
     place = np.tile(start, (REPEATS, 1))
     keys = np.tile(_SEEDS[:, None] + np.uint64(steps), (1, len(start)))
-    row = np.arange(REPEATS)[:, None]
     wanted = [np.flatnonzero((sampled == j).any(1)) for j in range(steps)]
-    for j in range(steps):
+    last = int(sampled.max())
+    for j in range(last + 1):  # later steps aren't looked at
         inside = place < end
-        at = np.where(inside, place, 0)
+        symbol = np.where(inside, h[np.where(inside, place, 0)], np.uint64(0)) if len(h) else np.zeros(place.shape, np.uint64)
         if len(wanted[j]):
             r = wanted[j]
-            keys[r] = shared.mix(keys[r] * np.uint64(shared.BASE) + np.where(inside[r], h[at[r]], np.uint64(0)))
-        place = place + (((drawn[row, at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64) | ~inside)
+            keys[r] = shared.mix(keys[r] * np.uint64(shared.BASE) + symbol[r])
+        if j < last:
+            # multiply and take the top bit: the words' hashes are mixed already
+            coin = ((symbol ^ _SEEDS[:, None]) * _STEPS[j]) >> np.uint64(63)
+            place = place + (coin.astype(np.int64) | ~inside)
     return keys
 
 
+#: An odd multiplier for each step.
+_STEPS = shared.mix(np.arange(1, 2 * PART + 2, dtype=np.uint64)) | np.uint64(1)
+
+
 def nearest(item: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edit distance of ``item`` to the nearest passage of each row of ``texts``, and that passage's end (the first)."""
     n, width = texts.shape
@@ -205,15 +217,14 @@ NAMES = ["doc_id", "item_id", "item_words", "distance", "first_word", "end_word"
 SCHEMA = "doc_id long, item_id long, item_words long, distance long, first_word long, end_word long"
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """The benchmark in blocks of about ITEMS items."""
+def indexes(benchmark: DataFrame) -> Iterator[Index]:
+    """The benchmark in blocks of about BLOCK_BYTES, one after another."""
     items = benchmark.select(F.col("item_id").cast("long"), "text").distinct()
-    n = max(1, -(-items.count() // ITEMS))
-    out = []
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    n = max(1, -(-(items.agg(F.sum(size)).first()[0] or 0) // BLOCK_BYTES))
     for k in range(n):
         rows = sorted((r[0] if r[0] is not None else -1, r[1] or "", r[0]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect())
-        out.append(Index([r[2] for r in rows], [r[1] for r in rows]))
-    return out
+        yield Index([r[2] for r in rows], [r[1] for r in rows])
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

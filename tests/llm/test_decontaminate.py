@@ -75,7 +75,7 @@ def test_exact_copies_are_always_found(spark):
 def test_blocks_nulls_and_empty_tables(spark, monkeypatch):
     docs, items = planted(6, 30)
     whole = run(spark, docs + [(500, None), (501, ""), (None, docs[1][1])], items)
-    monkeypatch.setattr(dc, "ITEMS", 6)
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 1000)
     assert run(spark, docs + [(500, None), (501, ""), (None, docs[1][1])], items) == whole
     assert run(spark, [], items) == {} and run(spark, docs, []) == {}
     d = spark.createDataFrame(docs, "doc_id long, text string")
@@ -91,3 +91,41 @@ def test_sf_documents(spark):
     joined = {d: " ".join(words(t)) for d, t in docs}
     exact = {(d, i) for i, t in items for d in joined if " ".join(words(t)) in joined[d]}
     assert exact and exact <= got.keys()
+
+
+def edited(rng, item, d):
+    """``item`` with exactly ``d`` random word edits in different places."""
+    out = list(item)
+    for k in sorted(rng.choice(len(item), d, replace=False), reverse=True):
+        kind = rng.integers(0, 3)
+        out[k : k + 1] = [[f"new{k}"], [], [out[k], f"more{k}"]][kind]
+    return out
+
+
+def recall(m, n=300, seed=1):
+    """Share of items of ``m`` words that are found at the largest distance allowed, in long texts."""
+    rng = np.random.default_rng([m, seed])
+    items = [[f"i{i}w{j}" for j in range(m)] for i in range(n)]
+    index = dc.Index(list(range(n)), [" ".join(x) for x in items])
+    found = 0
+    for i, item in enumerate(items):
+        text = [f"x{k}" for k in range(40)] + edited(rng, item, dc.allowed(m)) + [f"y{k}" for k in range(40)]
+        ((_, h, doc, _),) = dc.words_of(dc.pa.array([" ".join(text)]))
+        found += any(r[1] == i for r in index.search(h, doc))
+    return found / n
+
+
+def test_recall_at_the_largest_distance_by_size():
+    got = {m: recall(m, 150) for m in (6, 9, 10, 14, 19, 20, 29, 30, 45, 64, 100, 160)}
+    assert all(v >= 0.9 for v in got.values()), got
+
+
+def test_work_arrays_follow_the_windows_not_the_text():
+    import tracemalloc
+
+    h = np.random.default_rng(1).integers(1, 1 << 63, 1_000_000, dtype=np.uint64)
+    start = np.arange(0, 1_000_000, 10_000)
+    tracemalloc.start()
+    dc.walk(h, np.full(len(start), len(h)), start, 60, np.tile([10, 50], (dc.REPEATS, 1)))
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
