@@ -149,22 +149,27 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document ``n_tokens`` and digests of its ids and of what they decode to, in one pass."""
+    """Per document ``n_tokens`` and digests of its ids, of what they decode to, and of the tokens' spans, in one pass.
+
+    ``offsets_sha256`` is of all starts, then all ends, in characters, as little-endian unsigned 32-bit integers.
+    """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256"]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches):
         held = []
         c = codec(path, pattern)
         sha = lambda data: hashlib.sha256(data).hexdigest()
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        for key, _, ids in _rows(batches, path, pattern):
-            held.append((key, len(ids), sha(ids.astype("<u4").tobytes()), sha(c.decode(ids.tolist()))))
+        for key, text, ids in _rows(batches, path, pattern):
+            spans = np.concatenate(c.offsets(text, ids)).astype("<u4")
+            held.append((key, len(ids), sha(ids.astype("<u4").tobytes()), sha(c.decode(ids.tolist())), sha(spans.tobytes())))
             if len(held) == 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*held, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
                 held = []
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 

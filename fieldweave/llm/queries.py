@@ -82,7 +82,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.section_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return attribution.section_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, attribution.RULES)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,20 +69,56 @@ def test_offsets_cover_the_text(spark):
         assert at == len(text.encode())
 
 
-@pytest.mark.parametrize("rule", ["first", "last", "most"])
-def test_section_counts_equal_brute_force(spark, rule):
+def owned(spans, owner, n, rule):
+    want, crossing = [0] * n, 0
+    for s, e in spans:
+        own = owner[s : max(e, s + 1)]
+        crossing += len(set(own)) > 1
+        want[own[0] if rule == "first" else own[-1] if rule == "last" else max(sorted(set(own)), key=own.count)] += 1
+    return want, crossing
+
+
+def spans_of(library, text):
+    """Character spans by the library's own pieces of bytes."""
+    data, at, out = text.encode(), 0, []
+    for piece in library.decode_tokens_bytes(library.encode_ordinary(text)):
+        begin, end = len(data[:at].decode(errors="ignore")), len(text) - len(data[at + len(piece) :].decode(errors="ignore"))
+        out.append((begin, end))
+        at += len(piece)
+    return out
+
+
+def test_section_counts_equal_brute_force(spark, library):
     docs = [*enumerate(made()), (900, "one two\n\nthree\n"), (900, "one two\n\nthree\n")]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, n_tokens string")
-    c = bpe.codec(PATH, P.PATTERN)
-    for r in attribution.section_counts(df, PATH, P.PATTERN, rule).collect():
+    for r in attribution.section_counts(df, PATH, P.PATTERN, attribution.RULES).collect():
         text = dict(docs)[r.doc_id] or ""
         lines = text.split("\n")
         lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
-        owner = [i for i, x in enumerate(lines) for _ in x]
-        want, crossing = [0] * len(lines), 0
-        ids = c.encode(text)
-        for s, e in zip(*c.offsets(text, ids), strict=True):
-            own = owner[s : max(e, s + 1)]
-            crossing += len(set(own)) > 1
-            want[own[0] if rule == "first" else own[-1] if rule == "last" else max(sorted(set(own)), key=own.count)] += 1
-        assert (r.n_tokens, r.n_sections, r.n_crossing, r.section_tokens) == (len(ids), len(lines), crossing, want)
+        owner, spans = [i for i, x in enumerate(lines) for _ in x], spans_of(library, text)
+        for rule in attribution.RULES:
+            want, crossing = owned(spans, owner, len(lines), rule)
+            assert (r.n_tokens, r.n_sections, r.n_crossing, r[f"tokens_{rule}"]) == (len(spans), len(lines), crossing, want)
+            assert sum(want) == r.n_tokens
+
+
+def test_field_counts_equal_brute_force(spark, library):
+    rows = [(i, t, ["a title", None, "12 34\n5", "é"][i % 4], "" if i % 3 else t) for i, t in enumerate(made()[:120])]
+    df = spark.createDataFrame(rows, "doc_id long, body string, title string, tail string").repartition(3)
+    for r in attribution.field_counts(df, PATH, P.PATTERN, ["title", "body", "tail"], attribution.RULES, "\n").collect():
+        _, body, title, tail = rows[r.doc_id]
+        parts = [(title or "") + "\n", (body or "") + "\n", tail or ""]
+        text = "".join(parts)
+        owner, spans = [i for i, x in enumerate(parts) for _ in x], spans_of(library, text)
+        for rule in attribution.RULES:
+            want, crossing = owned(spans, owner, 3, rule)
+            assert (r.n_tokens, r.n_fields, r.n_crossing, r[f"tokens_{rule}"]) == (len(spans), 3, crossing, want)
+
+
+def test_digest_of_offsets(spark, library):
+    docs = list(enumerate(made()))
+    got = {r.doc_id: r.offsets_sha256 for r in bpe.digests(spark.createDataFrame(docs, "doc_id long, text string"), PATH, P.PATTERN).collect()}
+    for i, t in docs:
+        spans = spans_of(library, t or "")
+        flat = [s for s, _ in spans] + [e for _, e in spans]
+        assert got[i] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in flat)).hexdigest()
