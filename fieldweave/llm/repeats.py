@@ -22,10 +22,10 @@ follows the trigger's start, and by what precedes it read backwards.  With the c
 lengths of neighbours, the window that begins k bytes before the trigger has a class in
 each order for every k; both classes equal means equal windows.  Within a pair of classes
 the corpus order of the parse (doc_id, start) tells the earliest; the others repeat.  The
-suffixes of a hot trigger's phrases are sorted by Spark, in ranges of their bytes with the
-corpus order behind them: neighbours that share LENGTH bytes are equal windows, the first of
-them the earliest.  Each map task sends the earliest of its equal windows only, so a very
-common one doesn't gather.
+suffixes of a hot trigger's phrases are dealt by their first LENGTH bytes, whatever their
+trigger, and sorted with the corpus order behind them: neighbours that share LENGTH bytes are
+equal windows, the first of them the earliest.  Each map task sends the earliest of its
+equal windows only, so neither the trigger nor a very common window gathers.
 
 Rows travel as packed binary blobs (one per task and bucket).  The number of buckets
 follows from the bytes of all texts (``BUCKET_BYTES``), so a task's memory doesn't grow with them.
@@ -387,6 +387,11 @@ def neighbours(rows: np.ndarray) -> np.ndarray:
     return same
 
 
+def in_order(rows: np.ndarray) -> np.ndarray:
+    """Windows in order of their bytes and of the corpus."""
+    return rows[np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")]
+
+
 def _repeated(rows: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
     """Ranges of windows."""
     column = lambda at, kind: np.ascontiguousarray(rows[:, at : at + np.dtype(kind).itemsize]).view(kind).ravel()
@@ -396,15 +401,14 @@ def _repeated(rows: np.ndarray, n: int) -> Iterator[tuple[int, int, bytes]]:
     yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
 
 
-def _order_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
-    """Repeats among the sorted windows of a range."""
-    last = np.empty((0, LENGTH + 20), np.uint8)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.concatenate([last, np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, LENGTH + 20)])
-        yield from _repeated(rows[neighbours(rows)], n)
-        last = rows[-1:]
+def _by_window(rows: np.ndarray, n: int) -> np.ndarray:
+    """A bucket for each window, from its LENGTH bytes."""
+    words = np.zeros((len(rows), -(-LENGTH // 8) * 8), np.uint8)
+    words[:, :LENGTH] = rows[:, :LENGTH]
+    h = np.zeros(len(rows), np.uint64)
+    for column in words.view("<u8").T:
+        h = shared.mix(h * np.uint64(shared.BASE) + column)
+    return (h % np.uint64(n)).astype(np.int64)
 
 
 def _context_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
@@ -422,11 +426,13 @@ def _context_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[i
             yield int(bucket), CONTEXTS, np.array([len(part)], "<i8").tobytes() + body + around[part].tobytes()
 
     def send_windows():
-        w = np.concatenate(hot)
-        w = w[np.argsort(w.view(f"S{w.shape[1]}").ravel(), kind="stable")]
+        w = in_order(np.concatenate(hot))
         again = neighbours(w)
-        for row in w[~again]:
-            yield 0, WINDOWS, row.tobytes()
+        own = w[~again]
+        to = _by_window(own, n)
+        order = np.argsort(to, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+            yield int(to[part[0]]), WINDOWS, own[part].tobytes()
         yield from _repeated(w[again], n)
 
     for kind, data in _received(batches):
@@ -496,16 +502,22 @@ def repeated_windows(cols: dict[str, np.ndarray], around: np.ndarray) -> np.ndar
 
 
 def _suffix_step(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, int, bytes]]:
-    cols, around = [], []
+    cols, around, windows = [], [], []
     for kind, data in _received(batches):
         if kind == RANGES:  # on their way to the documents
             r = unpack(RANGES, data)
             yield from dealt(RANGES, r, _owner(r["doc"], r["t"], n))
             continue
+        if kind == WINDOWS:
+            windows.append(np.frombuffer(data, np.uint8).reshape(-1, LENGTH + 20))
+            continue
         m = int(np.frombuffer(data, "<i8", 1)[0])
         body = len(data) - 8 - m * (REACH + LENGTH)
         cols.append(unpack(REQUESTS, data[8 : 8 + body]))
         around.append(np.frombuffer(data, np.uint8, offset=8 + body).reshape(m, REACH + LENGTH))
+    if windows:
+        w = in_order(np.concatenate(windows))
+        yield from _repeated(w[neighbours(w)], n)
     if not cols:
         return
     cols = join(cols, REQUESTS)
@@ -563,15 +575,7 @@ def _with_removals(docs: DataFrame, each, names: list[str], types: list[pa.DataT
     settled = shared.materialize(_run(_deal(phrases_, n), _dictionary_step, n))
     packed = _run(docs, _text_step, n)
     asked = _deal(settled.where(F.col("kind").isin(REQUESTS, HOT_REQUESTS)).unionAll(packed), n).sortWithinPartitions("kind")
-    contexts = _run(asked, _context_step, n)
-    if len(triggers_):
-        contexts = shared.materialize(contexts)
-    sorted_ = _run(_deal(contexts.where(F.col("kind") != WINDOWS), n), _suffix_step, n)
-    if len(triggers_):
-        window = contexts.where(F.col("kind") == WINDOWS).select("data")
-        # equal windows are in one range, as few as the tasks that sent them
-        ranges = window.repartitionByRange(n, F.substring("data", 1, LENGTH)).sortWithinPartitions("data")
-        sorted_ = sorted_.unionAll(_run(ranges, _order_step, n))
+    sorted_ = _run(_deal(_run(asked, _context_step, n), n), _suffix_step, n)
     all_ranges = settled.where(F.col("kind") == RANGES).unionAll(sorted_).unionAll(packed)
 
     def finish(batches):
