@@ -367,7 +367,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     to_verify, large = units(texts)
     to_verify, large = shared.materialize(to_verify), shared.materialize(large)
     # the same join at every size: what is verified grows with the corpus and is never broadcast
-    edges = verify(to_verify.hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf, to_verify.count())
+    edges = shared.materialize(verify(to_verify.hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf, to_verify.count()))
     # rows that share a doc_id are one document, whatever their texts
     same = signed.join(texts.select("words", F.col("doc_id").alias("first")), "words").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
     roots = components(edges.unionAll(same.where("u <> v").distinct()))

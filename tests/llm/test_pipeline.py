@@ -72,3 +72,21 @@ def test_operators_take_a_smaller_id_type(spark):
     quality.train(docs, labels)
     for made in (quality.judge(docs, None), nearcopies.classes(docs), repeats.digests(docs), secret_scan.digests(docs)):
         assert made.count() == 20
+
+
+def test_stages_take_an_empty_benchmark_and_no_labels(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    for table in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    good = corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in good.collect()} == {r.doc_id for r in docs.collect() if not test_quality.base(r.text)[5]}
+    assert corpus_pipeline.decontamination(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path):
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base))
+    rows = corpus_pipeline.run(spark, SF)
+    assert len(set(os.listdir(base)) - before) == 1 and rows.count() > 0
