@@ -6,10 +6,11 @@ pattern's next entry, a ``remove`` entry only ends the one before.  A pattern is
 all its host suffixes and path prefixes; of the entries active at its time the longest
 pattern decides.
 
-The as-of join is an equi-join on pattern and time bucket with the interval as residual:
-an interval is listed in every bucket it touches, a capture has one bucket, so a pattern
-with many captures or many entries is spread over buckets and no pair outside a bucket is
-looked at.
+The as-of join asks once for each pattern and day, not for each capture: an equi-join on
+pattern and time bucket with the interval as residual, in which an interval is listed in
+every bucket it touches.  Its answers (one entry at most for a pattern and day) are joined to the captures
+by pattern and day.  So a host with a third of all captures is spread over its days, after
+its rows were counted as one for each day before any shuffle.
 
 Defined results: a null or unparsable url has no host and no entry; entries without
 pattern or date are ignored; of several entries of one pattern and date the last by
@@ -64,7 +65,8 @@ def judge(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> Data
     spread = held.where(F.col("valid_from") <= last).select("*", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(last))).alias("bucket"))
     asked = rows.select("*", F.explode(lookups(F.col("host"), path_of(F.col("url")), depth)).alias("pattern"), bucket(F.col("day")).alias("bucket"))
     active = (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
-    met = asked.join(spread, ["pattern", "bucket"]).where(active)
+    answers = asked.select("pattern", "bucket", "day").distinct().join(spread, ["pattern", "bucket"]).where(active).drop("bucket")
+    met = asked.drop("bucket").join(answers, ["pattern", "day"])
     best = met.groupBy(key, "url", "day").agg(F.max(F.struct(F.char_length("pattern").alias("size"), "valid_from", "pattern", "action", "entry_id")).alias("e"))
     met_by = " and ".join(f"r.{c} <=> e.{c}" for c in (key, "url", "day"))
     return rows.alias("r").join(best.alias("e"), F.expr(met_by), "left").select(
