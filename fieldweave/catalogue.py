@@ -396,6 +396,17 @@ def poisson_anchors(spark, sf):
     return found.agg((F.count("*") >= F.lit(full)).alias("many"), F.bool_and(inside).alias("inside")).crossJoin(near.agg(F.count("*").alias("crowded")))
 
 
+@query("SELECT true AS many, true AS inside, 0::BIGINT AS crowded")
+def poisson_spread(spark, sf):
+    """The same of anchors that are placed on the executors."""
+    own = raster(spark, sf)
+    found = SpatialPatcher(geo.Rectangular(4), smp.PoissonDisk(6.0, 10, seed=7, spread=True)).anchors(own)
+    points_ = found.select(F.col("seq").alias("pid"), F.col("ar").cast("double").alias("y"), F.col("ac").cast("double").alias("x"))
+    near = geo.RadiusGraph(6.0 - 2**0.5 - 1e-9).neighbours(points_.select(F.col("pid").alias("seq"), F.col("x").alias("ax"), F.col("y").alias("ay")), points_).where("seq <> pid")
+    inside = (F.col("ar") >= 0) & (F.col("ac") >= 0) & (F.col("ar") <= F.lit(max(own.domain.height - 4, 0))) & (F.col("ac") <= WIDTH - 4)
+    return found.agg((F.count("*") >= F.lit(own.domain.height * WIDTH / (3.15 * 12.0**2))).alias("many"), F.bool_and(inside).alias("inside")).crossJoin(near.agg(F.count("*").alias("crowded")))
+
+
 # ---------------------------------------------------------------- points and polygons
 _POINTS = "p AS (SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), g AS (SELECT pid, x * 180 AS x, y * 90 AS y FROM p)"
 _DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"

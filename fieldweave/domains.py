@@ -38,6 +38,27 @@ class RasterDomain(Configured):
         return min(xs), min(ys), max(xs), max(ys)
 
 
+def from_geo_tags(tags: dict) -> tuple[RasterDomain, str]:
+    """Domain and cell type of a tiled image from its header's tags, read by whatever opens the file.
+
+    ``width``, ``height``, ``samples``, ``tile_width``, ``tile_height``, ``tiepoint`` (i, j, k, x, y, z) and
+    ``pixel_scale`` (x, y, z); ``projected`` or ``geographic`` is the EPSG number, if there is one; ``bits`` and ``sample_format``
+    (1 unsigned, 2 signed, 3 floating) are those of the first sample, without them cells are float32.
+    An image in strips, or without tie point and scale, is an error.
+    """
+    if not tags.get("tile_width") or not tags.get("tile_height"):
+        raise ValueError("the image is in strips, not in tiles")
+    if tags.get("tiepoint") is None or tags.get("pixel_scale") is None:
+        raise ValueError("without a tie point and a pixel scale the image has no place")
+    i, j, _, x, y, _ = tags["tiepoint"][:6]
+    across, down = tags["pixel_scale"][:2]
+    number = tags.get("projected") or tags.get("geographic")
+    transform = (across, 0.0, x - i * across, 0.0, -down, y + j * down)
+    kind = {1: "uint", 2: "int", 3: "float"}.get(tags.get("sample_format"))
+    domain = RasterDomain(int(tags["height"]), int(tags["width"]), int(tags.get("samples") or 1), transform, f"EPSG:{int(number)}" if number else None)
+    return domain, f"{kind}{int(tags['bits'])}" if kind and tags.get("bits") else "float32"
+
+
 @dataclass(frozen=True)
 class GridDomain(Configured):
     """A labelled dense grid; the order of ``coords`` is the order of the dimensions."""

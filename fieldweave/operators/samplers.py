@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.domains import Configured, GridDomain, PointDomain, RasterDomain, VectorDomain
+from fieldweave.tables import discard, written
 
 ANCHOR = {"r": "ar", "c": "ac"}
 
@@ -152,14 +153,57 @@ class RandomAnchors(Drawn):
 
 @dataclass(frozen=True)
 class PoissonDisk(Drawn):
-    """Anchors at least ``min_distance`` apart (before they are cut to whole cells), placed by dart throwing around placed ones."""
+    """Anchors at least ``min_distance`` apart (before they are cut to whole cells), placed by dart throwing around placed ones.
+
+    That is one after another, on the driver.  ``spread`` places them on the executors, for rasters of
+    any size: ``max_tries`` candidates for each square of the distance, at hashed places with
+    hashed ranks; in every round a candidate that ranks before all others within the
+    distance is taken and those others go, until none is left.  No candidate could be added to the result.
+    """
 
     min_distance: float = 1.0
     max_tries: int = 30
     seed: int | None = None
+    spread: bool = False
     #: coordinates of points, needed on a point domain
     xy: tuple[tuple[float, float], ...] | None = field(default=None, repr=False)
 
+    def count(self, domain, geometry) -> int:
+        if self.spread:
+            raise ValueError("anchors that are spread are counted by their table")
+        return super().count(domain, geometry)
+
+    def table(self, spark, domain, geometry) -> DataFrame:
+        if not (self.spread and isinstance(domain, RasterDomain)):
+            return super().table(spark, domain, geometry)
+        from fieldweave.operators.geometry import RadiusGraph
+
+        seed = int(np.random.default_rng().integers(1 << 62)) if self.seed is None else self.seed
+        sizes, near = geometry.sizes(domain), self.min_distance
+        high, wide = (float(max(n - sizes[d] + 1, 1) if geometry.boundary == "drop" else n) for d, n in domain.dims.items())
+        rows, cols = math.ceil(high / near), math.ceil(wide / near)
+        unit = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "id"), 11) / 2.0**53
+        square = F.floor(F.col("id") / self.max_tries)
+        drawn = spark.range(rows * cols * self.max_tries).select(
+            F.col("id").alias("seq"), ((F.floor(square / cols) + unit(0)) * near).alias("y"), ((square % cols + unit(1)) * near).alias("x"), F.xxhash64(F.lit(seed), F.lit(2), "id").alias("rank"))
+        open_, taken = written(drawn.where((F.col("y") < high) & (F.col("x") < wide))), None
+        while not open_.isEmpty():
+            others = open_.select(F.col("seq").alias("other"), F.col("rank").alias("other_rank"), "x", "y")
+            met = RadiusGraph(near).neighbours(open_.select("seq", "rank", F.col("x").alias("ax"), F.col("y").alias("ay")), others).where((F.col("seq") != F.col("other")) & (F.col("distance") < near))
+            met = written(met.select("seq", "rank", "other", "other_rank"))
+            beaten = met.where((F.col("other_rank") < F.col("rank")) | ((F.col("other_rank") == F.col("rank")) & (F.col("other") < F.col("seq")))).select("seq").distinct()
+            first = written(open_.join(beaten, "seq", "left_anti"))
+            gone = met.join(first.select("seq"), "seq", "left_semi").select(F.col("other").alias("seq")).unionAll(first.select("seq")).distinct()
+            taken = first if taken is None else taken.unionAll(first)
+            rest = written(open_.join(gone, "seq", "left_anti"))
+            discard(met)
+            discard(open_)
+            open_ = rest
+        discard(open_)
+        if taken is None:
+            return spark.createDataFrame([], "seq long, ar long, ac long")
+        return taken.select("seq", F.floor("y").cast("long").alias("ar"), F.floor("x").cast("long").alias("ac"))
+
     def anchors(self, domain, geometry):
         rng, near = np.random.default_rng(self.seed), self.min_distance
         if isinstance(domain, PointDomain):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldweave.domains import GridDomain, PointDomain, RasterDomain, extent
+from fieldweave.domains import GridDomain, PointDomain, RasterDomain, extent, from_geo_tags
 from fieldweave.functions import windows as win
 from fieldweave.operators import aggregations as agg
 from fieldweave.operators import geometry as geo
@@ -301,3 +301,28 @@ def test_sums_of_an_overlap_add_can_grow(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-3 for k in got)
     with pytest.raises(ValueError, match="whole chunks"):
         plan.stream_merge(source, str(tmp_path / "odd"), 5, shard=12)
+
+
+def test_spread_disks_are_maximal(spark):
+    d, g = RasterDomain(60, 80), geo.Rectangular(1)
+    plan = smp.PoissonDisk(7.0, 12, seed=3, spread=True)
+    got = sorted((r.ar, r.ac) for r in plan.table(spark, d, g).collect())
+    assert got == sorted((r.ar, r.ac) for r in plan.table(spark, d, g).collect())
+    assert all(math.dist(a, b) >= 7 - math.sqrt(2) for i, a in enumerate(got) for b in got[:i])
+    # nearly every cell has an anchor within the distance, as candidates lie nearly everywhere
+    covered = np.mean([min(math.dist((r, c), a) for a in got) < 7 + 3 for r in range(60) for c in range(80)])
+    assert covered == 1.0 and 60 * 80 / (math.pi * 49) < len(got) < 60 * 80 / (math.pi * 3.0**2)
+    with pytest.raises(ValueError, match="counted"):
+        plan.count(d, g)
+
+
+def test_domain_from_tags():
+    tags = {"width": 300, "height": 200, "samples": 3, "tile_width": 64, "tile_height": 64, "tiepoint": [0, 0, 0, 500.0, 900.0, 0], "pixel_scale": [10.0, 5.0, 0.0], "projected": 32630, "bits": 16, "sample_format": 1}
+    domain, kind = from_geo_tags(tags)
+    assert domain.shape == (3, 200, 300) and domain.bounds == (500.0, -100.0, 3500.0, 900.0) and (domain.crs, kind) == ("EPSG:32630", "uint16")
+    bare = {k: v for k, v in tags.items() if k not in ("projected", "bits", "sample_format")}
+    assert (from_geo_tags(bare)[0].crs, from_geo_tags(bare)[1]) == (None, "float32")
+    assert from_geo_tags({**bare, "geographic": 4326})[0].crs == "EPSG:4326"
+    for gap, text in (("tile_width", "strips"), ("tiepoint", "no place"), ("pixel_scale", "no place")):
+        with pytest.raises(ValueError, match=text):
+            from_geo_tags({**tags, gap: None})
