@@ -25,6 +25,7 @@ paragraph's row names the likeliest; the lines' rows name their own.
 from __future__ import annotations
 
 import functools
+import json
 import re
 from dataclasses import dataclass
 
@@ -189,8 +190,8 @@ def _array(values) -> Column:
 
 
 def _logits(found: Column, model: Model) -> Column:
-    # literals as one SQL text, as each lit() would be a call into the JVM
-    table = F.expr("map(" + ", ".join(f"'{g}', array({', '.join(f'{v!r}D' for v in w)})" for g, w in model.weights.items()) + ")")
+    # one text, which Spark folds to a map when it plans, as thousands of literals would take it seconds
+    table = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
     own = F.array_sort(F.filter(found, lambda g: g.isin(list(model.weights))))  # a set that is made once, not for each row
     return F.aggregate(own, _array(model.bias), lambda a, g: F.zip_with(a, F.element_at(table, g), lambda x, y: x + y))
 
@@ -232,7 +233,7 @@ def _scored(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
     rows = rows.select(*keys, "grams", family.alias("family"), "probability")
     likeness = F.lit(0.0)
     for name in model.families:
-        share = [F.size(F.array_intersect("grams", F.expr(f"array({', '.join(map(repr, own))})"))) / float(len(own)) for own in templates(name)]
+        share = [F.size(F.array_intersect("grams", F.split(F.lit("|".join(own)), "\\|"))) / float(len(own)) for own in templates(name)]
         likeness = F.when(F.col("family") == name, F.greatest(*share) if len(share) > 1 else share[0]).otherwise(likeness)
     rows = rows.select(*keys, "family", F.round("probability", 6).alias("probability"), F.round(likeness, 6).alias("likeness"))
     return rows.withColumn("confirmed", (F.col("family") != "unknown") & (F.col("likeness") >= ALIKE))
