@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from fieldweave.domains import Configured, GridDomain, PointDomain, RasterDomain, VectorDomain
 from fieldweave.operators.samplers import anchor_name, per_dim
-from fieldweave.tables import written
 
 EARTH_KM = 6371.0
 BOUNDARIES = ("drop", "pad", "shrink", "raise")
@@ -298,7 +297,6 @@ class KNNGraph(Neighbourhood):
         fine = points.groupBy(*square(own, F.lit(last))).agg(F.count("*").alias("held"))
         levels = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("level")
         counts = fine.select(*names, "held", levels).groupBy("level", *[F.floor(F.col(n) / F.pow(F.lit(2.0), F.lit(last) - F.col("level"))).cast("long").alias(n) for n in names]).agg(F.sum("held").alias("held"))
-        counts = written(counts)
         near = anchors.select("*", levels)
         near = near.select("seq", "level", *square(ask, F.col("level")))
         for n in names:
