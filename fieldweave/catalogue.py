@@ -490,8 +490,9 @@ def _valued(df: DataFrame) -> fld.Field:
     return fld.points(df.withColumn("value", (F.col("pid") % 7).cast("double")), "pid", ("value",))
 
 
-#: A value that differs from patch to patch.
-_MOVED = F.col("value") + F.col("seq") % 5
+def _moved() -> F.Column:
+    """A value that differs from patch to patch."""
+    return F.col("value") + F.col("seq") % 5
 
 
 def _shape_sql(patches: str, table: str, column: str, default: str) -> str:
@@ -505,7 +506,7 @@ _KNN = f"WITH {_POINTS}, d AS (SELECT a.pid AS seq, b.pid AS pid, {_DIST} AS dis
 def knn_merge(spark, sf):
     source = _valued(points(spark, sf).df)
     plan = SpatialPatcher(geo.KNNGraph(5), aggregation=agg.Mean())
-    return plan.merge(plan.split(source, anchors_at(source.df, 10)), source, _MOVED).select("pid", r6("value"))
+    return plan.merge(plan.split(source, anchors_at(source.df, 10)), source, _moved()).select("pid", r6("value"))
 
 
 @query(f"WITH {_POINTS}, n AS (SELECT a.pid AS seq, b.pid AS pid FROM p a, p b WHERE a.pid % 3 = 0 AND {_DIST} <= 0.1) SELECT seq, CAST(max(pid % 7 + seq % 5) AS DOUBLE) AS value FROM n GROUP BY seq")
@@ -513,14 +514,14 @@ def radius_merge(spark, sf):
     """By anchor: the largest value near each."""
     source = _valued(points(spark, sf).df)
     plan = SpatialPatcher(geo.RadiusGraph(0.1), aggregation=agg.Max())
-    return plan.merge_anchors(plan.split(source, anchors_at(source.df, 3)), _MOVED)
+    return plan.merge_anchors(plan.split(source, anchors_at(source.df, 3)), _moved())
 
 
 @query(_shape_sql(f"WITH {_POINTS}, n AS (SELECT a.pid AS seq, b.pid AS pid FROM g a, g b WHERE a.pid % 50 = 0 AND {_HAV} <= 2000)", "g", "sum(v)", "0"))
 def cap_merge(spark, sf):
     source = _valued(lonlat(points(spark, sf)))
     plan = SpatialPatcher(geo.SphericalCap(2000.0), aggregation=agg.Sum())
-    return plan.merge(plan.split(source, anchors_at(source.df, 50)), source, _MOVED).select("pid", r6("value"))
+    return plan.merge(plan.split(source, anchors_at(source.df, 50)), source, _moved()).select("pid", r6("value"))
 
 
 @query(f"WITH {_POINTS}, n AS (SELECT a.pid AS seq, b.pid AS pid FROM p a, p b WHERE a.pid % 3 = 0 AND {_DIST} <= 0.1), s AS (SELECT seq, avg(pid % 7) AS mean FROM n GROUP BY seq), m AS (SELECT n.pid, sum(pid % 7 - mean) AS value FROM n JOIN s ON s.seq = n.seq GROUP BY n.pid) SELECT p.pid, round(coalesce(value, 0), 6) + 0.0 AS value FROM p LEFT JOIN m ON m.pid = p.pid")
@@ -560,7 +561,7 @@ def polygon_merge(spark, sf):
     own = raster(spark, sf)
     source = fld.raster(own.df, own.domain.height, WIDTH, transform=_TURNED)
     plan = SpatialPatcher(geo.PolygonIntersection())
-    return plan.merge(plan.split(source, polygons(spark)), source, _MOVED).select("r", "c", r6("value"))
+    return plan.merge(plan.split(source, polygons(spark)), source, _moved()).select("r", "c", r6("value"))
 
 
 @query(f"WITH {_POINTS}, a AS (SELECT pid, x * 10 AS x, y * 10 AS y FROM p), n AS (SELECT a.pid AS seq, b.pid AS pid FROM a, (SELECT pid, least(greatest(q.x, 0), 0) AS z, x, y FROM a q) b WHERE a.pid % 25 = 0 "
