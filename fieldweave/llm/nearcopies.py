@@ -307,8 +307,8 @@ def linked(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np
 
 def verify(members: DataFrame, idf: Weights, size: int = 0) -> DataFrame:
     """Edges ``u, v`` between the documents of each unit; ``members`` has unit, doc_id and text, and about ``size`` rows."""
-    # tasks of several units' texts each, so that no unit makes a task much larger than others
-    held, n = members.sparkSession.sparkContext.broadcast(idf), max(16, -(-size // (4 * UNIT)))
+    # tasks of about a unit's texts each: a unit isn't much larger than the mean, and a task stays small
+    held, n = members.sparkSession.sparkContext.broadcast(idf), max(16, -(-size // UNIT))
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def unit(ids: np.ndarray, texts: list[pa.Array]):
@@ -373,7 +373,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     roots = components(edges.unionAll(same.where("u <> v").distinct()))
     if not large.isEmpty():
         rest = shared.materialize(rest_units(large, docs, roots, idf))
-        more = verify(rest.hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf, rest.count())
+        more = shared.materialize(verify(rest.hint("merge").join(docs, "doc_id").select("unit", "doc_id", "text"), idf, rest.count()))
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(more))
     return signed.select("doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
 
