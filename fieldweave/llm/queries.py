@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import attribution, bpe, decontaminate, license_scan, nearcopies, quality, repeats, secret_scan, url_filter, warc
-from fieldweave.llm.shared import delete, read, scratch
+from fieldweave.llm import attribution, bpe, decontaminate, license_scan, nearcopies, quality, repeats, resample, secret_scan, url_filter, variants, warc, wordbpe
+from fieldweave.llm.shared import delete, finished, read, scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,11 +90,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(lambda: resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(lambda: variants.group(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_decontamination, op3_suffix_dedup, op4_quality_rules, op5_url_filters,
-        op6_near_copies, op7_license_scans, op7_license_paragraphs, op8_warc, op9_token_counts, op10_byte_bpe,
+        op6_near_copies, op7_license_scans, op7_license_paragraphs, op8_warc, op9_token_counts, op10_byte_bpe, op11_resampling, op12_word_bpe, op13_spelling_variants,
     )
 }
 
@@ -101,7 +114,6 @@ _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^
 _DIR = "split_part(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^?#]*)', 1), '/', 1)"
 
 
-
 def _erfc(x: str) -> str:
     t = f"(1 / (1 + ({x}) / 2))"
     fit = f"({secret_scan.ERFC[-1]})"
@@ -133,6 +145,12 @@ _B64 = f"string_split('{secret_scan.ALPHABETS['base64']}', '')"
 _LEAST = " ".join(f"WHEN n_ >= {n} THEN {i + 1}" for i, n in reversed(list(enumerate(secret_scan.LENGTHS[1:]))))
 
 
+#: The table of crc32 for one byte (a rule, not a list), and the checksum of a string whose hex digits are in ``h``.
+_CRC = "crc(t) AS (SELECT [list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)])"
+_CRC_OF_H = """xor(4294967295, list_reduce([4294967295] || [16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 FOR i IN range(CAST(length(h) // 2 AS BIGINT))],
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"""
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 
 def _license_sql() -> str:
     model = license_scan.train()
@@ -237,6 +255,35 @@ e AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id < last THEN last END AS refers_to, url_key, date, row_number() OVER (ORDER BY url_key, date, page_id NULLS FIRST) AS capture_no
 FROM e
+""",
+    "op11_resampling": rf"""
+WITH {_CRC},
+d AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT k, unnest(ws) AS w FROM d),
+v AS (SELECT unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+b AS (SELECT w, {_CRC_OF_H} % 10000 AS b FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM w UNION SELECT w FROM v)) x, crc),
+s AS (SELECT b, count(*) AS n FROM w JOIN b USING (w) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM v JOIN b USING (w) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM w) + 10000) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM v) + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (b)),
+x AS (SELECT k, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN b USING (w) JOIN g USING (b) GROUP BY k),
+y AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n, coalesce(weight, 0) AS weight, CAST(('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h FROM d LEFT JOIN x USING (k)),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM y),
+r AS (SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (WHERE n >= 20) OVER () AS eligible FROM z)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN n >= 20 AND place <= eligible * 10 // 100 THEN place END AS rank, n AS n_words FROM r
+""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE {_CRC},
+o AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWERED}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY doc_id, w),
+c AS (SELECT w, k, {_CRC_OF_H} AS h FROM (SELECT w, k, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS h FROM o) x, crc),
+v AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, k FROM c) GROUP BY word HAVING length(word) >= 5 AND sum(k) >= 3),
+x AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+p AS (SELECT a.word AS a, a.n AS n_a, b.word AS b, b.n AS n_b FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT x.word, x.n, v.word, v.n FROM x JOIN v ON v.word = x.rest UNION SELECT v.word, v.n, x.word, x.n FROM x JOIN v ON v.word = x.rest),
+m AS (SELECT a AS word, n_a AS n, count(*) AS n_near, min({{'n': -n_b, 'w': b}}) AS best FROM p GROUP BY a, n_a),
+f AS (SELECT word, n_near, CASE WHEN -best.n >= 2 * n THEN best.w END AS form, CASE WHEN -best.n >= 2 * n THEN -best.n END AS form_n FROM m),
+r(word, root) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.root FROM r LEFT JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, v.word) AS root FROM v LEFT JOIN f ON f.word = v.word LEFT JOIN e ON e.word = v.word
 """,
 }
 

@@ -205,6 +205,15 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
         i = j
 
 
+def pieces(text: str, size: int, gap) -> Iterator[str]:
+    """A text in parts of about ``size`` characters, each cut behind a match of ``gap``; where none follows, the rest is one part."""
+    at = 0
+    while len(text) - at > size and (found := gap.search(text, at + size - 1)):
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:] if at else text
+
+
 def windows(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of ``n`` words within one document, and the run's first word."""
     m = len(h) - n + 1
