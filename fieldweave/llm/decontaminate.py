@@ -55,7 +55,7 @@ def allowed(m: int) -> int:
 def words_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     for b in shared.blocks(pc.utf8_lower(column)):
         s, e, doc = b.words()
-        yield b.first, shared.slices(shared.prefix(b.buf), s, e), doc, b.n
+        yield b.first, shared.names(b.buf, s, e), doc, b.n
 
 
 def walk(h: np.ndarray, end: np.ndarray, start: np.ndarray, steps: int, sampled: np.ndarray) -> np.ndarray:

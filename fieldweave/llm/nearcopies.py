@@ -58,7 +58,7 @@ def _lower(batch: pa.RecordBatch) -> pa.Array:
 
 def _words(b: shared.Block) -> tuple[np.ndarray, np.ndarray]:
     s, e, doc = b.words()
-    return shared.slices(shared.prefix(b.buf), s, e), doc
+    return shared.names(b.buf, s, e), doc
 
 
 class Weights:

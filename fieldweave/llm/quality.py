@@ -40,9 +40,14 @@ _STOP[list(b".,;:?")] = True
 _MARK[33] = True
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number below 2^32 for each pair of such numbers, the same for the same pair."""
+    return np.unique((a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64), return_inverse=True)[1]
+
+
 def _repeats(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """True where the same (document, key) stands at another place too."""
-    both = shared.mix(key ^ shared.mix(doc.astype(np.uint64)))
+    """True where the same (document, key) stands at another place too; keys and documents below 2^32."""
+    both = (doc.astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64)
     order = np.argsort(both, kind="stable")
     same = both[order][1:] == both[order][:-1]
     out = np.zeros(len(key), bool)
@@ -53,7 +58,7 @@ def _repeats(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def _later(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """True where the same (document, key) stands at an earlier place."""
-    both = shared.mix(key ^ shared.mix(doc.astype(np.uint64)))
+    both = (doc.astype(np.uint64) << np.uint64(32)) | key.astype(np.uint64)
     order = np.argsort(both, kind="stable")
     out = np.zeros(len(key), bool)
     out[order[1:][both[order][1:] == both[order][:-1]]] = True
@@ -69,11 +74,10 @@ def block_statistics(b: shared.Block) -> tuple[np.ndarray, np.ndarray]:
     chars = b.each(lead)
     word_chars = chars - b.each(shared.WHITE[b.buf])
     n_symbols = b.each(_SYMBOL[b.buf])
-    sums = shared.prefix(b.buf)
-    h = shared.slices(sums, s, e)
+    h = shared.classes(b.buf, s, e)  # equal where the bytes are
 
-    w, at = shared.windows(h, doc, 3)
-    again = at[_repeats(w, doc[at])]
+    at = np.flatnonzero(doc[2:] == doc[:-2])
+    again = at[_repeats(_pairs(_pairs(h[at], h[at + 1]), h[at + 2]), doc[at])]
     covered = np.zeros(len(h) + 3, bool)
     for k in range(3):
         covered[again + k] = True
@@ -88,7 +92,7 @@ def block_statistics(b: shared.Block) -> tuple[np.ndarray, np.ndarray]:
     stop = np.where((le > ls) & (b.buf[np.maximum(le - 1, 0)] == 10), le - 1, le) if len(ls) else le[:0]
     filled = np.searchsorted(s, stop) > np.searchsorted(s, ls) if len(ls) else np.empty(0, bool)
     ls, stop, ldoc = ls[filled], stop[filled], ldoc[filled]
-    dup = _later(shared.slices(sums, ls, stop), ldoc)
+    dup = _later(shared.classes(b.buf, ls, stop), ldoc)
     n_dup, n_lines = per(dup, ldoc), np.bincount(ldoc, minlength=b.n)
 
     first = ~_later(h, doc)

@@ -30,6 +30,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of operator 4, which SQL can express."""
+    return quality.judge(read(spark, sf_dir, "documents"), None).drop("kept", "score")
+
+
 #: Fixed entries of the dated list: pattern, action, entry_id, day.
 FIXED_ENTRIES = [
     ("casino-win.example.com", "block", "f1", 100), ("free-bets.example.com", "block", "f2", 400),
@@ -105,7 +110,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scans, op2_decontamination, op3_suffix_dedup, op4_quality_rules, op5_url_filters,
+        op1_secret_scans, op2_decontamination, op3_suffix_dedup, op4_quality_rules, op4_quality_counts, op5_url_filters,
         op6_near_copies, op7_license_scans, op7_license_paragraphs, op8_warc, op9_token_counts, op10_byte_bpe, op11_resampling, op12_word_bpe, op13_spelling_variants,
     )
 }
@@ -178,7 +183,20 @@ FROM a JOIN k ON k.n = a.n LEFT JOIN s ON s.n = a.n
 """
 
 
+QUALITY_COUNTS_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents),
+w AS (SELECT k, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT k, unnest(range(1, len(ws) - 1)) AS i, unnest([ws[j:j + 2] FOR j IN range(1, len(ws) - 1)]) AS g FROM w),
+again AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM g) WHERE c > 1),
+r AS (SELECT k, count(DISTINCT i) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS i FROM again) GROUP BY k),
+c AS (SELECT k, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN ws]), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed
+FROM d JOIN c ON c.k = d.k LEFT JOIN r ON r.k = d.k
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_quality_counts": QUALITY_COUNTS_SQL,
     "op1_secret_scans": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
 base AS ({_sql_spans(0, secret_scan.ASSIGN, "length(v[i]) >= 6", 2)}

@@ -69,8 +69,6 @@ LAYOUT = {
     HOT_REQUESTS: {"g": "<u8", "doc": "<i8", "t": "<u8", "at": "<u4", "lo": "u1", "hi": "u1"},
     RANGES: {"doc": "<i8", "t": "<u8", "start": "<u4", "stop": "<u4"},
 }
-#: Byte values of the second hash of phrases and windows.
-_BYTE2 = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 # ---------------------------------------------------------------- parse
@@ -110,7 +108,7 @@ def phrases(buf: np.ndarray, offs: np.ndarray, both: bool = True) -> dict[str, n
         "row": row, "trigger": trigger, "first": first, "last": last,
         "g": shared.slices(sums, trigger, trigger + GRAM),
         "f": shared.mix(shared.slices(sums, left, right) + (trigger - left).astype(np.uint64)),
-        "f2": shared.slices(shared.prefix(buf, _BYTE2), left, right) if both else np.zeros(len(row), np.uint64),
+        "f2": shared.slices(shared.prefix_of_fours(buf), left, right - 3) if both else np.zeros(len(row), np.uint64),
     }
 
 
@@ -188,8 +186,7 @@ def texts(batch: pa.RecordBatch) -> Iterator[tuple[shared.Block, np.ndarray, np.
     """Blocks of the batch with ids and text hashes of their documents."""
     ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
     for b in shared.blocks(batch.column("text")):
-        sums = shared.prefix(b.buf)
-        yield b, ids[b.first : b.first + b.n], shared.slices(sums, b.offs[:-1], b.offs[1:])
+        yield b, ids[b.first : b.first + b.n], shared.names(b.buf, b.offs[:-1], b.offs[1:])
 
 
 # ---------------------------------------------------------------- steps

@@ -8,6 +8,8 @@ blocks of about ``BLOCK`` bytes (a longer document is a block of its own).
 
 from __future__ import annotations
 
+import contextvars
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
+#: Bytes from which a slice is hashed by BLAKE2.
+LONG = 256
 
 
 # ---------------------------------------------------------------- tables
@@ -58,26 +62,28 @@ def materialize(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    for made in _open:
+    for made in _open.get():
         made.append(path)
     return out
 
 
-#: Paths written since a call of :func:`finished` began, for each call that hasn't ended.
-_open: list[list[str]] = []
+#: Paths written since a call of :func:`finished` began, for each call around this place; other threads have their own.
+_open: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("open", default=())
 
 
 def finished(make: Callable[[], DataFrame]) -> DataFrame:
-    """The DataFrame that ``make`` returns as a table; all tables made on the way are deleted."""
+    """The DataFrame that ``make`` returns as a table; all tables made on the way are deleted, after an error too."""
     made: list[str] = []
-    _open.append(made)
+    before = _open.set((*_open.get(), made))
+    kept = None
     try:
         out = materialize(make())
+        kept = out._scratch_path
     finally:
-        _open.pop()
-    for path in made:
-        if path != out._scratch_path:
-            delete(out.sparkSession, path)
+        _open.reset(before)
+        for path in made:
+            if path != kept:
+                delete(SparkSession.active(), path)
     return out
 
 
@@ -121,14 +127,26 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix(buf: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
+def prefix(buf: np.ndarray) -> np.ndarray:
     """Prefix sums that give the polynomial hash of any slice; one longer than ``buf``."""
-    out = np.empty(len(buf) + 1, np.uint64)
+    return _prefix(BYTE[buf])
+
+
+def _prefix(values: np.ndarray) -> np.ndarray:
+    out = np.empty(len(values) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(table[buf] * _power(BASE, len(buf)), out=out[1:])
+    np.cumsum(values * _power(BASE, len(values)), out=out[1:])
     return out
 
 
+def prefix_of_fours(buf: np.ndarray) -> np.ndarray:
+    """As :func:`prefix`, of what a finaliser makes of each four bytes: not a polynomial in the bytes.  A slice ends three earlier."""
+    fours = np.zeros(len(buf), np.uint64)
+    for k in range(4):
+        fours[: len(buf) - 3] |= buf[k : len(buf) - 3 + k].astype(np.uint64) << np.uint64(8 * k)
+    return _prefix(mix(fours + np.uint64(INVERSE)))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (public-domain constants of MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))
@@ -145,6 +163,48 @@ def slices(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(np.uint64))
 
 
+def names(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of slices that don't overlap much, such as words or texts.
+
+    Short ones by :func:`slices`; a polynomial modulo 2^64 has families of equal strings of a
+    thousand bytes and more (whatever its base), so those of ``LONG`` bytes are hashed by BLAKE2.
+    """
+    out = slices(prefix(buf), start, end)
+    for i in np.flatnonzero(end - start >= LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def classes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A number for each slice, the same for two slices exactly if their bytes are the same.
+
+    Slices are sorted by their hash, and neighbours of one hash are compared byte by byte;
+    where a hash has slices of different bytes, those are told apart one by one.
+    """
+    h = names(buf, start, end)
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    a, b = order[:-1][same], order[1:][same]
+    differ = end[a] - start[a] != end[b] - start[b]
+    at, size = 0, np.minimum(end[a] - start[a], end[b] - start[b])
+    upto = np.concatenate([[0], np.cumsum(size)])
+    while at < len(a):  # a bounded number of bytes at once
+        stop = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, side="right")) - 1)
+        n = size[at:stop]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wrong = buf[np.repeat(start[a[at:stop]], n) + place] != buf[np.repeat(start[b[at:stop]], n) + place]
+        differ[at:stop] |= np.bincount(np.repeat(np.arange(stop - at), n)[wrong], minlength=stop - at) > 0
+        at = stop
+    number = np.concatenate([np.zeros(min(len(h), 1), np.int64), np.cumsum(~same)])
+    out = np.empty(len(h), np.int64)
+    out[order] = number
+    for clash in np.unique(h[b[differ]]):
+        known: dict[bytes, int] = {}
+        for i in np.flatnonzero(h == clash):
+            out[i] = known.setdefault(buf[start[i] : end[i]].tobytes(), len(h) + int(i))
+    return out
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 

@@ -6,7 +6,8 @@ pattern's next entry, a ``remove`` entry only ends the one before.  A pattern is
 all its host suffixes and path prefixes; of the entries active at its time the longest
 pattern decides.
 
-The as-of join asks once for each pattern and day, not for each capture: an equi-join on
+Patterns that no entry has, such as most top-level domains, are dropped by a table of bits before anything
+is shuffled.  The as-of join asks once for each pattern and day, not for each capture: an equi-join on
 pattern and time bucket with the interval as residual, in which an interval is listed in
 every bucket it touches.  Its answers (one entry at most for a pattern and day) are joined to the captures
 by pattern and day.  So a host with a third of all captures is spread over its days, after
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_DAYS = 30
+#: Bits of the table by which patterns that no entry has are dropped before any shuffle (1 MB).
+FILTER_BITS = 1 << 23
 
 
 def host_of(url: Column) -> Column:
@@ -54,6 +57,20 @@ def lookups(host: Column, path: Column, depth: int) -> Column:
     return F.concat(F.when(host == "", none).otherwise(suffixes), F.when((host == "") | (F.size(segments) == 0) | F.lit(depth == 0), none).otherwise(prefixes))
 
 
+def _maybe_listed(asked: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The rows of ``asked`` whose pattern may be one of ``patterns``: by a table of ``FILTER_BITS`` bits.
+
+    The table is ``FILTER_BITS`` / 8 bytes whatever the list's size, so it can be broadcast; it never misses a
+    listed pattern, and lets through one in FILTER_BITS / (size of the list) of the others.
+    """
+    place = F.pmod(F.xxhash64("pattern"), F.lit(FILTER_BITS)) + 1
+    bits = patterns.select(F.bitmap_bucket_number(place).alias("page"), F.bitmap_bit_position(place).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    own = asked.withColumns({"page": F.bitmap_bucket_number(place), "bit": F.bitmap_bit_position(place)})
+    byte = F.conv(F.hex(F.expr("substring(bits, CAST(bit div 8 + 1 AS INT), 1)")), 16, 10).cast("int")
+    met = own.join(F.broadcast(bits), "page")
+    return met.where(byte.bitwiseAND(F.expr("shiftleft(1, CAST(bit % 8 AS INT))")) > 0).select(*asked.columns)
+
+
 def judge(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> DataFrame:
     """For each capture (``key``, url, day) the deciding entry: ``verdict`` is its action, or ``none``."""
     held = intervals(entries)
@@ -64,6 +81,7 @@ def judge(captures: DataFrame, entries: DataFrame, key: str = "page_id") -> Data
     last = F.least(F.coalesce(F.col("valid_to") - 1, F.lit(latest)), F.lit(latest))
     spread = held.where(F.col("valid_from") <= last).select("*", F.explode(F.sequence(bucket(F.col("valid_from")), bucket(last))).alias("bucket"))
     asked = rows.select("*", F.explode(lookups(F.col("host"), path_of(F.col("url")), depth)).alias("pattern"), bucket(F.col("day")).alias("bucket"))
+    asked = _maybe_listed(asked, held.select("pattern"))
     active = (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
     answers = asked.select("pattern", "bucket", "day").distinct().join(spread, ["pattern", "bucket"]).where(active).drop("bucket")
     met = asked.drop("bucket").join(answers, ["pattern", "day"])

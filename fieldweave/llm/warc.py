@@ -42,8 +42,8 @@ from fieldweave.llm import shared
 
 #: Payloads below this size are never stored as revisits.
 LEAST_REVISIT = 0
-#: Rows of a file at most: bounds the archive that one task opens.
-FILE_RECORDS = 5_000
+#: Rows of a file at most, and its bytes (one record more at most): bound the archive that one task opens.
+FILE_RECORDS, FILE_BYTES = 5_000, 1 << 26
 #: Captures of a block, and of a key range at most on average.
 BLOCK_ROWS, RANGE_ROWS = 512, 200_000
 # Fixed strings of the formats.
@@ -94,16 +94,22 @@ def record(rows: DataFrame) -> Column:
 
 
 def write(captures: DataFrame, path: str) -> None:
-    """Write ``captures`` (page_id, url, html, date as ISO 8601 text) as WARC files of gzipped records below ``path``."""
+    """Write ``captures`` (page_id, url, html, date as ISO 8601 text) as WARC files of gzipped records below ``path``.
+
+    A task begins another file after ``FILE_RECORDS`` records or ``FILE_BYTES`` bytes.
+    """
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = 0
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array((gzip.compress(v.as_buffer(), 6, mtime=0) for v in batch.column(0)), pa.binary())], names=["value"])
+            made = [gzip.compress(v.as_buffer(), 6, mtime=0) for v in batch.column(0)]
+            upto = [sent, *(sent := sent + len(m) for m in made)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), pa.array([at // FILE_BYTES for at in upto[:-1]], pa.int32())], names=["value", "roll"])
 
     rows = with_roles(captures)
-    members = rows.select(F.concat(record(rows), F.lit(END)).cast("binary").alias("value")).mapInArrow(squeeze, "value binary")
+    members = rows.select(F.concat(record(rows), F.lit(END)).cast("binary").alias("value")).mapInArrow(squeeze, "value binary, roll int")
     # the writer takes the bytes of a string as they are; the encoding is that of the separator
-    out = members.select(F.col("value").cast("string")).write.option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1")
+    out = members.select(F.col("value").cast("string"), "roll").write.partitionBy("roll").option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1")
     out.option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -250,7 +256,7 @@ class LoserTree:
 
 
 def merged(blocks: Iterator[tuple[tuple, object, list]], key) -> Iterator:
-    """Rows in order from blocks (first key, run, rows) in order of their first keys."""
+    """Rows in order from blocks (first key, run, rows) in order of their first keys, and of their places in a run."""
     tree = LoserTree(key)
     for first, run, rows in blocks:
         while (head := tree.peek()) is not None and head < first:
@@ -259,7 +265,7 @@ def merged(blocks: Iterator[tuple[tuple, object, list]], key) -> Iterator:
     yield from tree
 
 
-_KEY = "url_key string, date string, page_id long, record_type string"
+_KEY = "url_key string, date string, page_id long, record_type string, run string, seq long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +276,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, (b := _batch(held)).schema) as out:
             out.write_batch(b)
-        return _batch([(*held[0][2:6], held[0][0], sink.getvalue().to_pybytes())], ["url_key", "date", "page_id", "record_type", "run", "block"], [*_TYPES[2:6], pa.string(), pa.binary()])
+        return _batch([(*held[0][2:6], *held[0][:2], sink.getvalue().to_pybytes())], [*NAMES[2:6], *NAMES[:2], "block"], [*_TYPES[2:6], *_TYPES[:2], pa.binary()])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -287,7 +293,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def blocks():
         for batch in batches:
-            for *first, run, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *first, run, _, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 table = pa.ipc.open_stream(block).read_all()
                 yield _order(first), run, list(zip(*(c.to_pylist() for c in table.columns), strict=True))
 
@@ -310,7 +316,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     n = max(shared.parts(runs), -(-runs.count() // RANGE_ROWS))
     keys = ["url_key", "date", "page_id", "record_type"]
     ranges = runs.repartitionByRange(n, *keys).sortWithinPartitions("run", "seq")
-    blocks = ranges.mapInArrow(_blocks, f"{_KEY}, run string, block binary").sortWithinPartitions(*keys, "run")
+    blocks = ranges.mapInArrow(_blocks, f"{_KEY}, block binary").sortWithinPartitions(*keys, "run", "seq")
     out = shared.materialize(blocks.mapInArrow(_merge, f"range long, place long, {SCHEMA}"))
     # as many rows as there are ranges
     counts = sorted((r["range"], r["n"]) for r in out.groupBy("range").agg(F.count("*").alias("n")).collect())

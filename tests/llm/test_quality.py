@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fieldweave.llm import quality
+from fieldweave.llm import quality, shared
 
 
 def base(text):
@@ -99,3 +99,47 @@ def test_few_labels_of_both_classes(spark, n):
     assert model is not None
     got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(docs, model).collect()}
     assert all(got[i] == (False, i % 2 == 0) for i in (n, n + 1))
+
+
+def thue_morse(n, letters="ab"):
+    word, other = letters
+    while len(word) < n:
+        word, other = word + other, other + word
+    return word, other
+
+
+@pytest.mark.parametrize("n", [128, 1024, 2048, 4096])
+def test_different_lines_that_a_polynomial_hash_takes_for_equal(spark, n):
+    a, b = thue_morse(n)
+    docs = [(1, f"{a}\n{b}"), (2, f"{a}\n{b}\n{a}"), (3, f"{a} x y {b} x y"), (4, f"{a} x y {a} x y")]
+    for r in run(spark, docs):
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(dict(docs)[r.doc_id])
+
+
+def test_counts_do_not_hang_on_the_hash(monkeypatch):
+    monkeypatch.setattr(shared, "names", lambda buf, s, e: (e - s).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(shared, "BLOCK", 50)
+    import pyarrow as pa
+
+    for text in made():
+        for b in shared.blocks(pa.array([text or ""]), 1 << 20):
+            counts = quality.block_statistics(b)[0][0].tolist()
+            assert tuple(counts) == base(text)[:5], repr(text)
+
+
+def test_texts_of_megabytes(spark):
+    docs = [(1, "word after word and line\n" * 100_000), (2, "x" * 3_000_000), (3, " ".join(map(str, range(400_000))))]
+    for r in run(spark, docs):
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(dict(docs)[r.doc_id])
+
+
+def test_query_counts_equal_their_sql(spark):
+    import duckdb
+
+    from fieldweave.llm import queries
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    sql = con.sql(queries.QUALITY_COUNTS_SQL)
+    got = queries.op4_quality_counts(spark, "/root/testdata/sf0.01").select(*sql.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(sql.fetchall())

@@ -1,6 +1,8 @@
 import random
 from urllib.parse import urlsplit
 
+from pyspark.sql import functions as F
+
 from fieldweave.llm import url_filter as uf
 
 
@@ -45,3 +47,20 @@ def test_edges(spark):
     assert run(spark, captures, entries) == brute(captures, entries)
     assert run(spark, captures, []) == {i: ("none", None, None) for i in range(1, 7)}
     assert run(spark, [], entries) == {}
+
+
+def test_unlisted_patterns_are_dropped_before_any_shuffle(spark):
+    pages = spark.range(4000).selectExpr("id AS page_id", "concat('http://h', id, '.example.com/') AS url", "5L AS day")
+    entries = spark.createDataFrame([("h7.example.com", "block", "e", 1), ("h8.example.com", "block", "f", 9), ("com.au", "block", "g", 1)], "pattern string, action string, entry_id string, day long")
+    asked = pages.withColumn("pattern", F.explode(uf.lookups(uf.host_of(F.col("url")), uf.path_of(F.col("url")), 0)))
+    left = uf._maybe_listed(asked, entries.select("pattern"))
+    assert {"h7.example.com", "h8.example.com"} <= {r.pattern for r in left.select("pattern").collect()}
+    assert left.count() <= 20 and left.where("pattern in ('com', 'example.com')").count() == 0
+    assert [r.page_id for r in uf.judge(pages, entries).where("verdict <> 'none'").collect()] == [7]
+
+
+def test_the_table_of_bits_misses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(uf, "FILTER_BITS", 1 << 16)
+    patterns = spark.range(20_000).selectExpr("concat('p', id) AS pattern")
+    assert uf._maybe_listed(patterns, patterns).count() == 20_000
+    assert uf._maybe_listed(patterns, patterns.limit(0)).count() == 0

@@ -128,3 +128,34 @@ def test_equals_sql(spark):
     want = con.sql(ORACLE_SQL["op8_warc"])
     got = op8_warc(spark, path)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_repeated_captures_over_many_blocks_stay_in_order(spark, monkeypatch):
+    rows = [("same", "2024-01-01T00:00:00Z", 1, "response")] * 2000 + [("same", "2024-01-01T00:00:00Z", 2, "response")] * 700
+    data = [(f"run{k}", i, *r, 0, "D", None, 10 * i, 10) for k in range(3) for i, r in enumerate(rows)]
+    runs = warc.shared.materialize(spark.createDataFrame(data, warc.SCHEMA))
+    out = warc.merge_runs(runs).orderBy("capture_no").collect()
+    assert [r.capture_no for r in out] == list(range(1, len(data) + 1))
+    assert [r.page_id for r in out] == sorted(r.page_id for r in out)
+    for k in range(3):
+        own = [r.offset for r in out if r.file == f"run{k}" and r.page_id == 1]
+        assert own == sorted(own)
+    cut = [((), 0, list(range(9))), ((), 1, list(range(4))), ((), 1, list(range(4, 9)))]
+    assert list(warc.merged(iter(cut), lambda x: ())) == [*range(9), *range(9)]
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import os
+    import random
+
+    r = random.Random(4)
+    pages = [(i, f"http://a.example/{i}", "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=400_000)), "2024-01-01T00:00:00Z") for i in range(12)]
+    captures = spark.createDataFrame(pages, "page_id long, url string, html string, date string").coalesce(1)
+    # the bound travels with the function, so it is set where the tasks read it: in the closure's module constant
+    path = str(tmp_path / "w")
+    monkeypatch.setattr(warc, "FILE_RECORDS", 3)
+    warc.write(captures, path)
+    files = [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.startswith("part-")]
+    assert len(files) >= 4
+    got = warc.histories(captures, str(tmp_path / "v")).collect()
+    assert {(x.page_id, x.payload_bytes) for x in got} == {(i, 400_000) for i in range(12)}
