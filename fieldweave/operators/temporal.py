@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from fieldweave.domains import Configured
 from fieldweave.functions.windows import CausalBoxcar, TemporalWindow
 from fieldweave.operators.samplers import TemporalSampler
+from fieldweave.operators.scan import Monoid, running, whole
 from fieldweave.sources.fields import Field
 
 
@@ -234,6 +235,21 @@ class Fold(TemporalAggregation):
         return fold(packed, by, F.lit(self.initial), self.step, self.combine)
 
 
+@dataclass(frozen=True)
+class FoldBy(TemporalAggregation):
+    """``state``: a fold whose step is an associative operation (see :mod:`fieldweave.operators.scan`); no row or task holds a series."""
+
+    monoid: Monoid
+    initial: float = 0.0
+
+    def merge(self, packed, by):
+        return whole(packed, by, self.monoid, F.lit(self.initial), tie="scale")
+
+    def states(self, packed, by):
+        """The state after every patch: ``by, seq, scale, state``."""
+        return running(packed, by, self.monoid, F.lit(self.initial), tie="scale")
+
+
 @dataclass(frozen=True)
 class MeanOver(TemporalAggregation):
     """``pos, value``: see :func:`mean`."""
