@@ -16,15 +16,19 @@ from pyspark.sql import functions as F
 from fieldweave.domains import GridDomain, RasterDomain
 from fieldweave.functions import windows as win
 from fieldweave.operators import aggregations as agg
+from fieldweave.operators import coregister, custom
 from fieldweave.operators import geometry as geo
 from fieldweave.operators import matched as mat
+from fieldweave.operators import opaque
 from fieldweave.operators import samplers as smp
+from fieldweave.operators import scan
 from fieldweave.operators import spacetime as st
 from fieldweave.operators import temporal as tmp
 from fieldweave.plans import policy
 from fieldweave.plans.patcher import SpatialPatcher, parallel_map, unpack_at
 from fieldweave.sources import fields as fld
-from fieldweave.sources import tiles
+from fieldweave.sources import images, tiles
+from fieldweave.tables import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,6 +109,11 @@ def cube(spark, sf) -> fld.Field:
     return fld.Field(cells, RasterDomain(height, 25), ("t", "r", "c"))
 
 
+def _decay() -> scan.Monoid:
+    """Half of the state, and a patch's total."""
+    return scan.affine(0.5, lambda data: F.aggregate(data, F.lit(0.0), lambda a, x: a + x))
+
+
 def polygons(spark) -> DataFrame:
     """Fixed rings: a triangle, a square and a concave arrow in the raster's plane."""
     rings = [(0, [(2.0, 1.0), (40.0, 3.0), (20.0, 9.5)]), (1, [(50.0, 0.0), (60.0, 0.0), (60.0, 30.0), (50.0, 30.0)]), (2, [(5.0, 20.0), (30.0, 50.0), (55.0, 20.0), (30.0, 90.0)])]
@@ -179,6 +188,9 @@ _merge_query("agg_weighted_sum", agg.WeightedSum(), _merged("sum(v * w) AS value
 _merge_query("agg_mean", agg.Mean(), _merged("avg(v) AS value", defaults=_value("0")))
 _merge_query("agg_variance", agg.Variance(), _merged("CASE WHEN count(v) > 1 THEN var_samp(v) ELSE 0 END AS value", defaults=_value("0")))
 _merge_query("agg_median", agg.Median(), _merged("median(v) AS value", defaults="coalesce(round(m.value, 6), 'nan'::DOUBLE) AS value"))
+_TUKEY = "(CASE WHEN {x} <= 4 THEN 0.5 * (1 + cos(pi() * (2.0 * {x} / 8 - 1))) WHEN {x} >= 12 THEN 0.5 * (1 + cos(pi() * (2.0 * {x} / 8 - 4 + 1))) ELSE 1 END)"
+_merge_query("overlap_add_tukey", agg.OverlapAdd(), _merged(_OVERLAP, f"{_TUKEY.format(x='i')} * {_TUKEY.format(x='j')}", defaults=_value("0")), win.Tukey(0.5))
+_merge_query("overlap_add_custom", agg.OverlapAdd(), _merged(_OVERLAP, "(1 + i + j) / 10.0", defaults=_value("0")), win.Custom(lambda shape: (1 + np.add.outer(*(np.arange(n) for n in shape))) / 10))
 _merge_query(
     "agg_invvar", agg.InvVarWeightedMean(),
     _merged("sum(w * v / var) AS top, sum(w / var) AS p", _HANN, False, ", q AS (SELECT * FROM p)",
@@ -214,6 +226,29 @@ def agg_by_index(spark, sf):
     return out.select("ar", "ac", F.size("data").cast("long").alias("n"), F.round(F.aggregate("data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+def _second(state, values, weights):
+    return sorted([*state, *values.tolist()])[-2:]
+
+
+SECOND = opaque.Opaque(list, _second, lambda a, b: sorted([*a, *b])[-2:], lambda state: state[0] if len(state) == 2 else None)
+
+
+@query(_merged("list_sort(list(v) FILTER (WHERE v IS NOT NULL), 'DESC')[2] AS value", defaults="round(m.value, 6) AS value"))
+def agg_opaque(spark, sf):
+    """A user's own aggregation with states in Python: the second largest value of each cell."""
+    source, own = raster(spark, sf, True), patcher(aggregation=SECOND)
+    cells = own.split(source)
+    return own.merge(cells, source, shifted({c: F.col(c) for c in cells.columns})).select("r", "c", r6("value"))
+
+
+@query("SELECT event_type, round(list_sort(list(value), 'DESC')[2], 6) AS value FROM events GROUP BY event_type")
+def agg_opaque_hot(spark, sf):
+    """Few keys with very many values each, from states of two runs that are merged later."""
+    own = events(spark, sf).select("event_type", "value", "event_id")
+    halves = [SECOND.states(own.where(f"event_id % 2 = {k}"), ["event_type"], F.col("value"), F.lit(1.0)) for k in (0, 1)]
+    return SECOND.finished(SECOND.union(halves, ["event_type"]), ["event_type"]).select("event_type", r6("value"))
+
+
 @query(f"{_patches()} SELECT seq, max(value) AS top FROM pc GROUP BY seq")
 def agg_learned(spark, sf):
     cells = patcher().split(raster(spark, sf)).select("seq", "value")
@@ -286,7 +321,6 @@ def _window_query(name: str, window: win.Window, sql: str | None):
     query(f"SELECT CAST(a AS BIGINT) AS i, CAST(b AS BIGINT) AS j, round(CAST({sql} AS DOUBLE), 6) AS w FROM (SELECT a, b, a AS i, b AS j FROM range(16) x(a), range(16) y(b))" if sql else None)(run)
 
 
-_TUKEY = "(CASE WHEN {x} <= 4 THEN 0.5 * (1 + cos(pi() * (2.0 * {x} / 8 - 1))) WHEN {x} >= 12 THEN 0.5 * (1 + cos(pi() * (2.0 * {x} / 8 - 4 + 1))) ELSE 1 END)"
 _window_query("w_boxcar", win.Boxcar(), "1.0")
 _window_query("w_hann", win.Hann(), _HANN)
 _window_query("w_gaussian", win.Gaussian(), _GAUSS)
@@ -469,6 +503,51 @@ def spherical_cap_grid(spark, sf):
     return geo.SphericalCap(400.0).on_grid(anchors, spark, domain).select("seq", "lat", "lon", r6("distance"))
 
 
+_GRID = "s AS (SELECT event_id % 37 AS lat, event_id // 37 % 72 AS lon, sum(value) AS value FROM events GROUP BY 1, 2), g AS (SELECT lat, lon, value, lat * 5.0 - 90 AS y, lon * 5.0 - 180 AS x FROM s), a AS (SELECT CAST(k AS BIGINT) AS seq, (k // 6) * 25.0 - 90 AS y, (k % 6) * 60.0 - 180 AS x FROM range(48) t(k))"
+
+
+@query(f"WITH {_GRID} SELECT seq, round(sum(value), 6) AS value FROM (SELECT a.seq, b.value FROM a, g b WHERE {_HAV} <= 1000) GROUP BY seq")
+def cap_grid_merge(spark, sf):
+    """Sums over caps on a grid of 5 degrees that the events fill; anchors are labels."""
+    cells = events(spark, sf).groupBy((F.col("event_id") % 37).alias("lat"), (F.floor(F.col("event_id") / 37) % 72).alias("lon")).agg(F.sum("value").alias("value"))
+    source = fld.grid(cells, {"lat": [5.0 * i - 90 for i in range(37)], "lon": [5.0 * j - 180 for j in range(72)]})
+    anchors = spark.range(48).select(F.col("id").alias("seq"), (F.floor(F.col("id") / 6) * 25.0 - 90).alias("a_lat"), (F.col("id") % 6 * 60.0 - 180).alias("a_lon"))
+    plan = SpatialPatcher(geo.SphericalCap(1000.0), aggregation=agg.Sum())
+    return plan.merge_anchors(plan.split(source, anchors)).select("seq", r6("value"))
+
+
+_SQUARES = "f AS (SELECT pid, x * 10 AS x, y * 10 AS y, CASE pid % 3 WHEN 0 THEN 0.001 WHEN 1 THEN 0.5 ELSE 40 END AS s FROM p)"
+_GAP = "sqrt(power(greatest(b.x - a.x, 0, a.x - b.x - b.s), 2) + power(greatest(b.y - a.y, 0, a.y - b.y - b.s), 2))"
+
+
+def _squares(spark, sf) -> DataFrame:
+    """Houses, towns and continents at the points: squares with sides of 0.001, 0.5 and 40."""
+    side = F.when(F.col("pid") % 3 == 0, 0.001).when(F.col("pid") % 3 == 1, 0.5).otherwise(40.0)
+    own = points(spark, sf).df.select("pid", (F.col("x") * 10).alias("x"), (F.col("y") * 10).alias("y"), side.alias("s"))
+    at = lambda i, j: F.struct((F.col("x") + i * F.col("s")).alias("x"), (F.col("y") + j * F.col("s")).alias("y"))
+    return own.select("*", F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)).alias("ring"))
+
+
+@query(f"WITH {_POINTS}, {_SQUARES}, m AS (SELECT a.pid AS seq, b.pid % 3 AS size, {_GAP} AS distance, a.pid <> b.pid AS other FROM f a, f b WHERE a.pid % 25 = 0) "
+       "SELECT radius, seq, CAST(size AS BIGINT) AS size, count(*) AS n, round(sum(distance), 4) AS distance FROM m, (VALUES (0.0::DOUBLE), (0.2), (30.0)) t(radius) WHERE distance <= radius GROUP BY 1, 2, 3")
+def features_uneven(spark, sf):
+    """Features of very different sizes near places, at three radii: each feature stands in four squares at most."""
+    own, out = _squares(spark, sf), None
+    for radius in (0.0, 0.2, 30.0):
+        met = geo.RadiusGraph(radius).features_near(anchors_at(own, 25), own, "pid").groupBy("seq", (F.col("pid") % 3).alias("size")).agg(F.count("*").alias("n"), F.round(F.sum("distance"), 4).alias("distance"))
+        met = met.select(F.lit(radius).alias("radius"), "seq", "size", "n", "distance")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+@query(f"WITH {_POINTS}, {_SQUARES} SELECT a.pid AS seq, CAST(b.pid % 3 AS BIGINT) AS size, count(*) AS n FROM f a, f b WHERE a.pid % 20 = 0 AND a.x <= b.x + b.s AND b.x <= a.x + a.s AND a.y <= b.y + b.s AND b.y <= a.y + a.s GROUP BY 1, 2")
+def polygons_uneven(spark, sf):
+    """Polygons and features of very different sizes that meet."""
+    own = _squares(spark, sf)
+    met = geo.PolygonIntersection().features_in(own.where("pid % 20 = 0").select(F.col("pid").alias("seq"), "ring"), own, "pid")
+    return met.groupBy("seq", (F.col("pid") % 3).alias("size")).agg(F.count("*").alias("n"))
+
+
 _EDGES = """e AS (SELECT * FROM (VALUES (0, 2.0, 1.0, 40.0, 3.0), (0, 40.0, 3.0, 20.0, 9.5), (0, 20.0, 9.5, 2.0, 1.0), (1, 50.0, 0.0, 60.0, 0.0), (1, 60.0, 0.0, 60.0, 30.0), (1, 60.0, 30.0, 50.0, 30.0), (1, 50.0, 30.0, 50.0, 0.0),
   (2, 5.0, 20.0, 30.0, 50.0), (2, 30.0, 50.0, 55.0, 20.0), (2, 55.0, 20.0, 30.0, 90.0), (2, 30.0, 90.0, 5.0, 20.0)) v(seq, x1, y1, x2, y2))"""
 _ODD = "sum(CASE WHEN (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END) % 2 = 1"
@@ -577,6 +656,55 @@ def feature_merge(spark, sf):
     return total.join(cells.groupBy("seq").agg(F.count("*").alias("n")), "seq")
 
 
+@query(f"""WITH {_POINTS}, {_EDGES.replace('e AS (SELECT * FROM (VALUES', 'e0 AS (SELECT * FROM (VALUES', 1)}, r AS ({_rows()}), o AS (SELECT p.* FROM p JOIN (SELECT max(pid) // 2 AS m FROM p) ON pid = m),
+hit AS (SELECT r, c, value FROM e0, (SELECT r, c, value, c + 0.5 AS x, r + 0.5 AS y FROM r) q WHERE seq = 2 GROUP BY r, c, value HAVING {_ODD})
+SELECT 'box' AS shape, count(*) AS n, round(sum(value), 6) AS total FROM r WHERE r >= 3 AND r < 19 AND c >= 5 AND c < 21
+UNION ALL SELECT 'radius', count(*), round(sum(b.pid % 7), 6) FROM o a, p b WHERE {_DIST} <= 0.1
+UNION ALL SELECT 'place', count(*), round(sum(b.pid % 7), 6) FROM (SELECT 0.05 AS x, 0.02 AS y) a, p b WHERE {_DIST} <= 0.1
+UNION ALL SELECT 'nearest', count(*), round(sum(pid % 7), 6) FROM (SELECT b.pid FROM o a, p b ORDER BY {_DIST}, b.pid LIMIT 5)
+UNION ALL SELECT 'polygon', count(*), round(coalesce(sum(value), 0), 6) FROM hit""")
+def patch_at_shapes(spark, sf):
+    """One patch of each kind of shape, by its anchor alone."""
+    own, source = raster(spark, sf), _valued(points(spark, sf).df)
+    middle = source.df.agg(F.max("pid")).first()[0] // 2
+    arrow = [(5.0, 20.0), (30.0, 50.0), (55.0, 20.0), (30.0, 90.0)]
+    asked = [
+        ("box", patcher().patch_at(own, {"r": 3, "c": 5})), ("radius", SpatialPatcher(geo.RadiusGraph(0.1)).patch_at(source, middle)), ("place", SpatialPatcher(geo.RadiusGraph(0.1)).patch_at(source, (0.05, 0.02))),
+        ("nearest", SpatialPatcher(geo.KNNGraph(5)).patch_at(source, middle)), ("polygon", SpatialPatcher(geo.PolygonIntersection()).patch_at(own, arrow).where("w > 0")),
+    ]
+    out = None
+    for name, cells in asked:
+        one = cells.agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 6).alias("total")).select(F.lit(name).alias("shape"), "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _diagonals(domain, part, parts):
+    """A user's sampler: two anchors of every eighth row, each part its share of rows."""
+    for r in range(8 * part, domain.height, 8 * parts):
+        yield r, r % domain.width
+        yield r, (3 * r + 50) % domain.width
+
+
+def _cross(anchor):
+    """A user's neighbourhood: the five cells of a cross, its centre with weight 2."""
+    r, c = anchor["ar"], anchor["ac"]
+    for dr, dc in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)):
+        yield r + dr, c + dc, 1.0 + (dr == dc == 0)
+
+
+@query(f"WITH r AS ({_rows()}), d AS (SELECT max(r) + 1 AS h FROM r), a AS (SELECT CAST(k % 2 AS BIGINT) AS which, CAST(k // 2 * 8 AS BIGINT) AS ar FROM range(0, (SELECT CAST((h + 7) // 8 * 2 AS BIGINT) FROM d)) t(k)), "
+       "b AS (SELECT ar, CASE which WHEN 0 THEN ar % 100 ELSE (3 * ar + 50) % 100 END AS ac FROM a), x AS (SELECT * FROM (VALUES (0, 0, 2.0), (1, 0, 1.0), (-1, 0, 1.0), (0, 1, 1.0), (0, -1, 1.0)) v(dr, dc, w)) "
+       "SELECT ar, ac, count(*) AS n, round(sum(value * w), 6) AS total FROM b, x JOIN r ON r.r = ar + dr AND r.c = ac + dc GROUP BY ar, ac")
+def custom_shapes(spark, sf):
+    """A sampler and a neighbourhood that a user wrote in Python."""
+    own = raster(spark, sf)
+    shape = custom.CustomNeighbourhood(_cross, weighted=True)
+    anchors = custom.CustomSampler(_diagonals, 4).table(spark, own.domain, shape)
+    cells = SpatialPatcher(shape).split(own, anchors)
+    return cells.groupBy("ar", "ac").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value") * F.col("w")), 6).alias("total"))
+
+
 # ---------------------------------------------------------------- tiles
 _TILE = "greatest({s}, 0) AS lo_{a}, least({s} + {n}, {e}) AS hi_{a}"
 
@@ -610,6 +738,40 @@ def tile_bands(spark, sf):
     return image.select_many(image.tiles(cells, windows=asked), asked).select("seq", "band", "i", "j", (F.col("value") + 0.0).alias("value"))
 
 
+def _image(spark, sf, depth: int = 0) -> list[images.Level]:
+    """The events' raster as a tiled image in the shared folder, and its levels."""
+    own = raster(spark, sf)
+    plan = tiles.TiledRaster(RasterDomain(own.domain.height, WIDTH, None, (10.0, 0.0, 500000.0, 0.0, -10.0, 4000000.0), "EPSG:32630"), 16, 16)
+    return images.levels(images.write_image(plan.tiles(own.df), shared_path(spark).removeprefix("file:") + ".tif", plan, depth))
+
+
+@query(f"WITH r AS ({_rows()}), w AS (SELECT event_id AS seq, event_id * 7 % 140 - 20 AS r0, event_id * 11 % 150 - 25 AS c0, 1 + event_id % 6 AS h, 1 + event_id % 5 AS w FROM events WHERE event_id % 50 = 0), f AS (SELECT seq, i, j, r0 + i AS r, c0 + j AS c FROM w, range(6) s(i), range(5) t(j) WHERE i < h AND j < w) "
+       "SELECT CAST(seq AS BIGINT) AS seq, CAST(0 AS INTEGER) AS band, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, coalesce(value, 0) AS value FROM f LEFT JOIN r ON f.r = r.r AND f.c = r.c")
+def image_windows(spark, sf):
+    """Windows of an image file: only the tiles they touch are opened, each once."""
+    asked = events(spark, sf).where("event_id % 50 = 0").selectExpr("event_id AS seq", "event_id * 7 % 140 - 20 AS r0", "event_id * 11 % 150 - 25 AS c0", "1 + event_id % 6 AS h", "1 + event_id % 5 AS w")
+    return images.read_windows(_image(spark, sf)[0], asked).select("seq", "band", "i", "j", "value")
+
+
+@query(f"WITH r0 AS ({_rows()}), d AS (SELECT max(r) + 1 AS h FROM r0), r AS (SELECT CAST(y AS BIGINT) AS r, CAST(x AS BIGINT) AS c, coalesce(value, 0) AS value FROM range(0, (SELECT h FROM d)) a(y) CROSS JOIN range(0, 100) b(x) LEFT JOIN r0 ON r0.r = y AND r0.c = x) "
+       "SELECT CAST(k AS INTEGER) AS level, CAST(r // (1 << k) AS BIGINT) AS r, CAST(c // (1 << k) AS BIGINT) AS c, round(avg(value) + 1e-9, 6) AS value FROM r, range(4) l(k) GROUP BY 1, 2, 3")
+def image_overviews(spark, sf):
+    """All levels of an image file written with three overviews."""
+    out = None
+    for k, level in enumerate(_image(spark, sf, 3)):
+        cells = images.read_tiles(spark, level.path, k).select("ty", "tx", F.posexplode("tile").alias("k", "value"))
+        cells = cells.select(F.lit(k).alias("level"), (F.col("ty") * 16 + F.floor(F.col("k") / 16)).alias("r"), (F.col("tx") * 16 + F.col("k") % 16).alias("c"), F.round(F.col("value") + 1e-9, 6).alias("value")).where(f"r < {level.height} and c < {level.width}")
+        out = cells if out is None else out.unionByName(cells)
+    return out
+
+
+@query(f"WITH r AS ({_rows()}) SELECT CAST(r // 16 AS BIGINT) AS ty, CAST(c // 16 AS BIGINT) AS tx, round(sum(value), 6) AS total FROM r WHERE r // 16 >= 1 AND r // 16 < 5 AND c // 16 <= 3 GROUP BY 1, 2")
+def image_scan(spark, sf):
+    """A scan of an image file: conditions on tiles reach the reader."""
+    found = images.read_tiles(spark, _image(spark, sf)[0].path).where("ty >= 1 AND ty < 5 AND tx <= 3")
+    return found.select("ty", "tx", F.round(F.aggregate("tile", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
 @query(f"{_patches(True)}, b AS (SELECT * FROM range(2) t(b)), p AS (SELECT b, r, c, CASE b WHEN 0 THEN {_SHIFTED} ELSE 2 * {_SHIFTED} END AS v, {_HANN} AS w FROM pc, b), m AS (SELECT b, r, c, {_OVERLAP} FROM p GROUP BY b, r, c) "
        "SELECT CAST(b.b AS INTEGER) AS band, r.r, r.c, round(coalesce(m.value, 0), 6) AS value FROM r CROSS JOIN b LEFT JOIN m ON m.b = b.b AND m.r = r.r AND m.c = r.c")
 def bands_merge(spark, sf):
@@ -721,6 +883,14 @@ def t_fold_sum(spark, sf):
     return folded.select("user_id", r6("state"))
 
 
+@query("WITH s AS (SELECT event_id AS t, value FROM events) SELECT CAST(a.t AS BIGINT) AS t_anchor, round(sum(b.value * power(0.5, a.t - b.t)), 6) AS state FROM s a JOIN s b ON b.t <= a.t AND b.t > a.t - 80 GROUP BY a.t")
+def t_scan(spark, sf):
+    """The running state of one series over all events, by a parallel scan (terms older than 80 steps are below 1e-20)."""
+    packed = tmp.TemporalPatcher(tmp.FixedLookback(1), smp.TemporalStride(1)).packed(whole_series(spark, sf))
+    states = tmp.FoldBy(_decay()).states(packed, [])
+    return states.select(F.col("seq").alias("t_anchor"), r6("state"))
+
+
 @query(f"WITH {_S}, a AS ({_steps(3, 4)}) SELECT a.user_id, CAST(s.t - a.t_anchor + 4 AS INTEGER) AS pos, round(avg(value), 6) AS value FROM a JOIN s ON s.user_id = a.user_id AND s.t > a.t_anchor - 5 AND s.t <= a.t_anchor GROUP BY 1, 2")
 def t_mean(spark, sf):
     return tmp.mean(_packed(spark, sf, tmp.FixedLookback(5), 3, 4), ["user_id"]).select("user_id", "pos", r6("value"))
@@ -801,6 +971,39 @@ def matched_select(spark, sf):
     return matched(spark, sf).select((slice(2, 9), slice(10, 60)))
 
 
+_COARSE = "s AS (SELECT CAST(l_orderkey // 40 AS BIGINT) AS r, CAST(l_orderkey % 40 AS BIGINT) AS c, min(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey)"
+_PLACES = f"p AS (SELECT r, c, value, (r + 0.5 + 1.25) / 3.0 - 0.5 AS y, (c + 0.5 - 2.0) / 2.5 - 0.5 AS x FROM ({_rows(True)}))"
+
+
+@query(f"""WITH {_COARSE}, {_PLACES}, n AS (SELECT p.r, p.c, sum(q * wy * wx) AS top, sum(wy * wx) AS below FROM (
+  SELECT r, c, floor(y) + i AS sr, floor(x) + j AS sc, CASE i WHEN 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END AS wy, CASE j WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END AS wx FROM p, range(2) a(i), range(2) b(j)) p JOIN s ON s.r = p.sr AND s.c = p.sc GROUP BY p.r, p.c)
+SELECT p.r, p.c, round(p.value, 6) AS "primary", round(CASE WHEN n.below > 0 THEN n.top / n.below END, 6) AS smooth, CASE WHEN t.q IS NULL THEN NULL ELSE t.q - p.value END AS nearest_diff FROM p LEFT JOIN n ON n.r = p.r AND n.c = p.c LEFT JOIN s t ON t.r = floor(y + 0.5) AND t.c = floor(x + 0.5)""")
+def matched_resample(spark, sf):
+    """A raster of another resolution and origin beside the primary: bilinear, and nearest with an expression of both."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber = 1").groupBy("l_orderkey").agg(F.min("l_quantity").alias("value"))
+    coarse = fld.from_flat(lines, "l_orderkey", 40, transform=(2.5, 0.0, 2.0, 0.0, 3.0, -1.25))
+    own = raster(spark, sf, True)
+    smooth, nearest = coregister.resample(coarse, own), coregister.resample(coarse, own, "nearest")
+    both = mat.MatchedField(own, {"smooth": smooth, "nearest": nearest}, {"smooth": lambda s, p: s, "nearest": lambda q, p: q - p})
+    return both.field().df.select("r", "c", r6("primary"), r6("smooth"), F.col("nearest").alias("nearest_diff"))
+
+
+def _centred(secondary, primary):
+    """A whole-patch co-registration: the secondary without its patch mean, moved to the primary's."""
+    with np.errstate(all="ignore"):
+        known = ~np.isnan(secondary)
+        return secondary - secondary[known].mean() + primary[~np.isnan(primary)].mean() if known.any() and (~np.isnan(primary)).any() else secondary
+
+
+@query(f"""WITH {_MP}, m AS (SELECT ar, ac, avg(quantity) AS mq, avg(primary_) AS mp FROM pc GROUP BY ar, ac)
+SELECT pc.r, pc.c, round(coalesce(sum(quantity - mq + mp), 0), 4) AS quantity FROM pc JOIN m ON m.ar = pc.ar AND m.ac = pc.ac GROUP BY pc.r, pc.c""")
+def matched_patches(spark, sf):
+    """Co-registration of whole patches by a Python function of both arrays, then a merge."""
+    own, plan = matched(spark, sf), mat.MatchedSpatialPatcher(patcher(), {"quantity": agg.Sum()})
+    cells = plan.split(own, {"quantity": _centred})
+    return plan.merge(cells, own).join(cells.select("r", "c").distinct(), ["r", "c"]).select("r", "c", F.round("quantity", 4).alias("quantity"))
+
+
 @query(f"""WITH {_MP}, m AS (SELECT r, c, sum(CASE WHEN primary_ IS NOT NULL THEN {_HANN} ELSE 0 END) AS d, sum(primary_ * {_HANN}) AS n, max(quantity) AS quantity FROM pc GROUP BY r, c)
 SELECT r.r, r.c, round(CASE WHEN d > 0 THEN n / d ELSE 0 END, 6) AS "primary", coalesce(m.quantity, '-infinity'::DOUBLE) AS quantity FROM r LEFT JOIN m ON m.r = r.r AND m.c = r.c""")
 def matched_merge(spark, sf):
@@ -831,7 +1034,7 @@ def matched_temporal_merge(spark, sf):
     own = whole_series(spark, sf)
     price = fld.series(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("t"), F.col("o_totalprice").alias("value")), length=own.domain.length)
     both = mat.MatchedField(own, {"price": price}, {"price": lambda p, v: p * 2})
-    fold = tmp.Fold(lambda a, data: a * 0.5 + F.aggregate(data, F.lit(0.0), lambda s, x: s + x))
+    fold = tmp.FoldBy(_decay())
     plan = mat.MatchedTemporalPatcher(tmp.TemporalPatcher(tmp.FixedLookback(15), smp.TemporalStride(40)), {"primary": fold, "price": tmp.Forecast(1)})
     merged = plan.merge(plan.split(both), both)
     last = merged["price"].select("t_anchor", F.round(F.element_at("data", 1), 6).alias("price")).where("price is not null")
@@ -885,12 +1088,15 @@ def parallel_map_double(spark, sf):
 
 @query(f"WITH ar AS ({_lattice('ar')}), ac AS ({_lattice('ac', extent='100')}), a AS (SELECT (ar // 8) * (SELECT count(*) FROM ac) + ac // 8 AS seq, ar, ac FROM ar, ac) SELECT seq, ar, ac FROM a WHERE NOT (seq % 3 = 0 AND seq % 2 = 0)")
 def journal_pending(spark, sf):
-    """Every third anchor was done; every second of those has a later failure, if it is odd."""
-    anchors = patcher().anchors(raster(spark, sf))
-    rows = anchors.where("seq % 3 = 0").select(policy.anchor_key("ar", "ac").alias("anchor"), F.lit("ok").alias("status"), F.lit(1).alias("written"), "seq")
-    later = rows.where("seq % 2 = 1").select("anchor", F.lit("error").alias("status"), F.lit(2).alias("written"), "seq")
-    done = policy.latest_ok(rows.unionByName(later)).select(F.col("anchor").alias("_done"))
-    return anchors.join(done, policy.anchor_key("ar", "ac") == F.col("_done"), "left_anti")
+    """Every third anchor was done; a later commit has two rows for each even one of those, a success and then a failure."""
+    book, plan, source = policy.Journal(shared_path(spark)), patcher(), raster(spark, sf)
+    row = lambda df, status: df.select(policy.anchor_key("ar", "ac").alias("anchor"), F.lit(status).alias("status"), F.lit(0.1).alias("runtime_s"), F.lit(None).cast("string").alias("output_uri"), F.lit(None).cast("string").alias("error"), "seq")
+    done = plan.anchors(source).where("seq % 3 = 0")
+    book.commit(row(done, "ok").drop("seq"))
+    odd, even = done.where("seq % 2 = 1"), done.where("seq % 2 = 0")
+    last = row(odd, "ok").withColumn("k", F.lit(0)).unionByName(row(odd, "error").withColumn("k", F.lit(1))).unionByName(row(even, "error").withColumn("k", F.lit(0))).unionByName(row(even, "ok").withColumn("k", F.lit(1)))
+    book.commit(last.repartition("anchor").sortWithinPartitions("anchor", "k").drop("seq", "k"))
+    return book.pending(plan.anchors(source), policy.anchor_key("ar", "ac"))
 
 
 @query(f"{_patches(size=4, step=4)} SELECT CAST(seq // 64 AS BIGINT) AS stack, CAST(seq % 64 AS BIGINT) AS slot, round(sum(value), 6) AS total FROM pc GROUP BY seq")

@@ -179,6 +179,49 @@ def _bucketed(df: DataFrame, axes: list[Column], side: Column | float, reach: in
     return df
 
 
+#: Squares have sides of 2 to these powers at most and at least.
+LOWEST, HIGHEST = -20, 60
+
+
+def _level(width: Column, height: Column) -> Column:
+    """The power of 2 that is the side of a box's own squares: its extent rounded up, so it touches two along an axis at most."""
+    extent = F.greatest(width, height)
+    return F.when(extent > 0, F.greatest(F.lit(LOWEST), F.least(F.lit(HIGHEST), F.ceil(F.log2(extent)).cast("int")))).otherwise(F.lit(LOWEST)).cast("int")
+
+
+def levels_of(boxes: DataFrame) -> list[int]:
+    """The levels in use: as many as there are sizes, by powers of 2; 81 at most."""
+    return sorted(r[0] for r in boxes.select("_lv").distinct().collect())
+
+
+def _square(x: Column | str, level: Column | int) -> Column:
+    x = F.col(x) if isinstance(x, str) else x
+    return F.floor(x / F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level)).cast("long")
+
+
+def leveled(boxes: DataFrame) -> DataFrame:
+    """``x0, y0, x1, y1`` in the squares of their own level: ``_lv, bx, by``, four rows at most."""
+    own = boxes.withColumn("_lv", _level(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    span = lambda low, high: F.explode(F.sequence(_square(low, F.col("_lv")), _square(high, F.col("_lv"))))
+    return own.withColumn("bx", span("x0", "x1")).withColumn("by", span("y0", "y1"))
+
+
+def listed(boxes: DataFrame, levels: list[int], above: bool = False, strictly: bool = False) -> DataFrame:
+    """Boxes, or points as boxes without extent, in the squares of all ``levels``; with ``above`` of those from their own up."""
+    own = boxes.withColumn("_own", _level(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))) if above else boxes
+    out = own.withColumn("_lv", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    if above:
+        out = out.where(F.col("_lv") > F.col("_own") if strictly else F.col("_lv") >= F.col("_own")).drop("_own")
+    span = lambda low, high: F.explode(F.sequence(_square(low, F.col("_lv")), _square(high, F.col("_lv"))))
+    return out.withColumn("bx", span("x0", "x1")).withColumn("by", span("y0", "y1"))
+
+
+def _box(rings: DataFrame, margin: float = 0.0) -> DataFrame:
+    """Adds the bounds ``x0, x1, y0, y1`` of each ring."""
+    low, high = lambda a: F.array_min(F.transform("ring", lambda p: p[a])) - margin, lambda a: F.array_max(F.transform("ring", lambda p: p[a])) + margin
+    return rings.withColumns({"x0": low("x"), "x1": high("x"), "y0": low("y"), "y1": high("y")})
+
+
 def _coordinates(metric: str, x: str, y: str) -> list[Column]:
     if metric == "euclidean":
         return [F.col(x), F.col(y)]
@@ -209,7 +252,11 @@ class RadiusGraph(Neighbourhood):
 
     def neighbours(self, anchors: DataFrame, points: DataFrame) -> DataFrame:
         """``anchors`` (seq, ax, ay) with each ``points`` row (x, y) near them and its ``distance``."""
-        side = max(self.radius, 1e-12) if self.metric == "euclidean" else max(2 * math.sin(min(self.radius / (2 * EARTH_KM), math.pi / 2)), 1e-9) * (1 + 1e-9)
+        if self.metric == "euclidean" and not self.radius:
+            same = points.withColumns({"_x": F.col("x") + 0.0, "_y": F.col("y") + 0.0})
+            met = anchors.withColumns({"_x": F.col("ax") + 0.0, "_y": F.col("ay") + 0.0}).join(same, ["_x", "_y"]).drop("_x", "_y")
+            return met.withColumn("distance", F.lit(0.0))
+        side = self.radius if self.metric == "euclidean" else max(2 * math.sin(min(self.radius / (2 * EARTH_KM), math.pi / 2)), 1e-9) * (1 + 1e-9)
         keys = [f"b{k}" for k in range(len(_coordinates(self.metric, "x", "y")))]
         near = _bucketed(anchors, _coordinates(self.metric, "ax", "ay"), side, 1)
         met = near.join(_bucketed(points, _coordinates(self.metric, "x", "y"), side), keys).drop(*keys)
@@ -219,13 +266,11 @@ class RadiusGraph(Neighbourhood):
         """(seq, key, distance) of the features whose rings lie within ``radius`` of an anchor, in the plane."""
         if self.metric != "euclidean":
             raise NotImplementedError("features are measured in the plane")
-        r = self.radius
-        low, high = lambda a: F.array_min(F.transform("ring", lambda p: p[a])) - r, lambda a: F.array_max(F.transform("ring", lambda p: p[a])) + r
-        side = max(r, 1e-12)
-        span = lambda a: F.explode(F.sequence(F.floor(low(a) / side).cast("long"), F.floor(high(a) / side).cast("long")))
-        boxed = features.select(key, "ring").withColumn("b0", span("x")).withColumn("b1", span("y"))
-        met = _bucketed(anchors, [F.col("ax"), F.col("ay")], side).join(boxed, ["b0", "b1"])
-        return met.select("seq", key, ring_distance(F.col("ring"), F.col("ax"), F.col("ay")).alias("distance")).where(F.col("distance") <= r)
+        boxed = _box(features.select(key, "ring"), self.radius)
+        at = anchors.select("seq", "ax", "ay").withColumns({"x0": F.col("ax"), "x1": F.col("ax"), "y0": F.col("ay"), "y1": F.col("ay")})
+        own = leveled(boxed)
+        met = listed(at, levels_of(own)).select("seq", "ax", "ay", "_lv", "bx", "by").join(own.drop("x0", "x1", "y0", "y1"), ["_lv", "bx", "by"])
+        return met.select("seq", key, ring_distance(F.col("ring"), F.col("ax"), F.col("ay")).alias("distance")).where(F.col("distance") <= self.radius)
 
 
 @dataclass(frozen=True)
@@ -413,13 +458,20 @@ class PolygonIntersection(Neighbourhood):
 
     def points_in(self, polygons: DataFrame, points: DataFrame) -> DataFrame:
         """Points (x, y) of each polygon."""
-        at = points.withColumns({"bx": F.floor(F.col("x") / self.block), "by": F.floor(F.col("y") / self.block)})
-        met = self._boxed(polygons).join(at, ["bx", "by"])
-        return met.where(inside(F.col("ring"), F.col("x"), F.col("y"))).drop("bx", "by", "x0", "x1", "y0", "y1", "ring")
+        own = leveled(_box(polygons)).drop("x0", "x1", "y0", "y1")
+        at = points.withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")})
+        met = own.join(listed(at, levels_of(own)).drop("x0", "x1", "y0", "y1"), ["_lv", "bx", "by"])
+        return met.where(inside(F.col("ring"), F.col("x"), F.col("y"))).drop("_lv", "bx", "by", "ring")
 
     def features_in(self, polygons: DataFrame, features: DataFrame, key: str = "fid") -> DataFrame:
         """(seq, key) of the features whose rings meet a polygon."""
-        own = self._boxed(features.select(F.col(key), "ring")).withColumnsRenamed({"ring": "feature", **{n: f"f{n}" for n in ("x0", "x1", "y0", "y1")}})
-        met = self._boxed(polygons.select("seq", "ring")).join(own, ["bx", "by"])
-        met = met.where("x0 <= fx1 and fx0 <= x1 and y0 <= fy1 and fy0 <= y1").where(rings_meet(F.col("ring"), F.col("feature")))
-        return met.select("seq", key).distinct()
+        there, here = _box(features.select(F.col(key), "ring")), _box(polygons.select("seq", "ring"))
+        names = {"ring": "feature", **{n: f"f{n}" for n in ("x0", "x1", "y0", "y1")}}
+        own_there, own_here = leveled(there), leveled(here)
+        # two boxes meet in the squares of the larger one: polygons at their level with features as small or smaller, and the other way round
+        larger = own_here.join(listed(there, levels_of(own_here), above=True).withColumnsRenamed(names), ["_lv", "bx", "by"])
+        smaller = listed(here, levels_of(own_there), above=True, strictly=True).join(own_there.withColumnsRenamed(names), ["_lv", "bx", "by"])
+        met = larger.unionByName(smaller).where("x0 <= fx1 and fx0 <= x1 and y0 <= fy1 and fy0 <= y1")
+        # of the squares that both touch, the one with the lower corner of what they share
+        met = met.where((F.col("bx") == _square(F.greatest("x0", "fx0"), F.col("_lv"))) & (F.col("by") == _square(F.greatest("y0", "fy0"), F.col("_lv"))))
+        return met.where(rings_meet(F.col("ring"), F.col("feature"))).select("seq", key).distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.domains import Configured
 from fieldweave.operators.aggregations import Aggregation
+from fieldweave.operators.coregister import on_patches
 from fieldweave.operators.temporal import TemporalAggregation, TemporalPatcher, pack_times
 from fieldweave.plans.patcher import SpatialPatcher
 from fieldweave.sources.fields import Field
@@ -71,10 +72,18 @@ class MatchedSpatialPatcher(Configured):
     aggregations: dict[str, Aggregation] = field(default_factory=dict)
     masks: bool = True
 
-    def split(self, matched: MatchedField) -> DataFrame:
-        """Patch cells with a column and a ``<source>_valid`` for each source."""
+    def split(self, matched: MatchedField, patches: dict[str, Callable] | None = None) -> DataFrame:
+        """Patch cells with a column and a ``<source>_valid`` for each source.
+
+        ``patches`` names opaque functions of whole patches, (secondary array, primary array) -> array, which
+        follow the column expressions (see :func:`fieldweave.operators.coregister.on_patches`).
+        """
         _checked(self.aggregations, matched)
         out = self.spatial.split(matched.field())
+        if patches:
+            if unknown := patches.keys() - set(matched.secondaries):
+                raise ValueError(f"no such source: {sorted(unknown)}")
+            out = on_patches(out, matched.primary.domain, patches, PRIMARY)
         return out.withColumns({f"{n}_valid": valid(n) for n in matched.sources}) if self.masks else out
 
     def merge(self, patch_cells: DataFrame, matched: MatchedField) -> DataFrame:

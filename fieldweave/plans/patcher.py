@@ -22,6 +22,7 @@ from fieldweave.domains import Configured, PointDomain, VectorDomain
 from fieldweave.functions.windows import Boxcar, Window
 from fieldweave.operators.aggregations import Aggregation, OverlapAdd
 from fieldweave.operators.geometry import Neighbourhood, Rectangular, centroid
+from fieldweave.operators.opaque import Opaque
 from fieldweave.operators.samplers import RegularStride, Sampler, anchor_name
 from fieldweave.plans.policy import ErrorPolicy, Hooks, Journal, MapResult, anchor_key, check_streaming, map_patches, read_patches
 from fieldweave.sources.fields import Field
@@ -33,7 +34,7 @@ class SpatialPatcher(Configured):
     geometry: Rectangular | Neighbourhood
     sampler: Sampler | None = None
     window: Window = field(default_factory=Boxcar)
-    aggregation: Aggregation = field(default_factory=OverlapAdd)
+    aggregation: Aggregation | Opaque = field(default_factory=OverlapAdd)
     errors: ErrorPolicy = field(default_factory=ErrorPolicy)
     journal: Journal | None = None
     hooks: Hooks | None = None
@@ -101,22 +102,45 @@ class SpatialPatcher(Configured):
         """Where the drawn points are, or the drawn features' centroids."""
         if not isinstance(source.domain, PointDomain | VectorDomain):
             raise ValueError(f"{type(self.geometry).__name__} needs its anchors on {type(source.domain).__name__}")
+        return self.anchors(source).join(self._located(source), "a_id").select("seq", "ax", "ay")
+
+    def _located(self, source: Field) -> DataFrame:
+        """``a_id, ax, ay`` of all points, or of all features by their centroids."""
         at = source.df
         if isinstance(source.domain, VectorDomain):
             at = at.select(*source.keys, centroid(F.col("ring")).alias("_p")).select(*source.keys, "_p.x", "_p.y")
         own = at.select(F.col(source.keys[0]).alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-        own = own.distinct() if len(source.keys) > 1 else own
-        return self.anchors(source).join(own, "a_id").select("seq", "ax", "ay")
+        return own.distinct() if len(source.keys) > 1 else own
+
+    def patch_at(self, source: Field, anchor) -> DataFrame:
+        """The cells of one patch, whatever the shape.
 
-    def patch_at(self, source: Field, anchor: dict[str, int]) -> DataFrame:
-        """The cells of one patch, cut from the field by its window alone."""
+        Boxes: ``{dimension: index}``, cut from the field by its window alone.  Other shapes: the id of a point
+        or feature, a place ``(x, y)``, labels ``{dimension: label}`` on a grid, or a ring as a list of places.
+        """
         spark, domain = source.df.sparkSession, source.domain
+        if isinstance(self.geometry, Neighbourhood):
+            return self._split(source, self._one_place(source, anchor))
         one = spark.createDataFrame([(0, *(int(anchor[d]) for d in domain.dims))], "seq long, " + ", ".join(f"{n} long" for n in self._names(domain)))
         near = source.df
         for d, n in self.geometry.sizes(domain).items():
             near = near.where((F.col(d) >= anchor[d]) & (F.col(d) < anchor[d] + n))  # reaches the scan
         return self.geometry.expand(one, near, domain).withColumn("w", self._weight(domain, lambda d: F.col(f"o_{d}")))
 
+    def _one_place(self, source: Field, anchor) -> DataFrame:
+        """An anchor table of one row for shapes without a box."""
+        spark = source.df.sparkSession
+        if isinstance(anchor, dict):
+            return spark.createDataFrame([(0, *(float(v) for v in anchor.values()))], "seq long, " + ", ".join(f"{anchor_name(d)} double" for d in anchor))
+        if isinstance(anchor, list):
+            return spark.createDataFrame([(0, [tuple(map(float, p)) for p in anchor])], "seq long, ring array<struct<x:double,y:double>>")
+        if isinstance(anchor, tuple):
+            return spark.createDataFrame([(0, *map(float, anchor))], "seq long, ax double, ay double")
+        if not isinstance(source.domain, PointDomain | VectorDomain):
+            raise ValueError(f"{type(self.geometry).__name__} needs a place on {type(source.domain).__name__}, not {anchor!r}")
+        at = self._located(source).where(F.col("a_id") == anchor)
+        return at.select(F.lit(0).cast("long").alias("seq"), "ax", "ay")
+
     def packed(self, source: Field, value: str | None = None, anchors: DataFrame | None = None) -> DataFrame:
         """One row for each patch: ``seq``, anchors, ``shape``, ``data`` and ``weights`` in row-major order.
 
@@ -130,12 +154,17 @@ class SpatialPatcher(Configured):
         """Run an opaque operator on whole patches (see :func:`map_patches`)."""
         return map_patches(self.packed(source, value, anchors), operator, self.errors, self.max_patch_bytes, self.hooks)
 
-    def read(self, source: Field, reader: Callable) -> MapResult:
+    def read(self, source: Field, reader: Callable, anchors: DataFrame | None = None) -> MapResult:
         """Patches from an opaque ``reader(anchor)`` on the executors, for fields that Spark can't read itself.
 
-        ``anchor`` has ``seq``, the anchor's columns and ``shape``; reads that fail follow the error policy.
-        Neighbourhoods that can't be placed raise at once.
+        ``anchor`` has ``seq``, the anchor's columns and ``shape``; shapes without a box have ``at``, the keys of the
+        patch's cells in order, in place of the anchor's columns, and the reader gives a value for each.  Reads that
+        fail follow the error policy.  Neighbourhoods that can't be placed raise at once.
         """
+        if isinstance(self.geometry, Neighbourhood):
+            placed = self._split(source, anchors)
+            asked = pack_at(placed.select("seq", *source.keys, F.lit(0.0).alias("value"), "w"), list(source.keys)).select("seq", "at", "shape")
+            return read_patches(asked, reader, self.errors, self.max_patch_bytes, self.hooks)
         sizes = self.geometry.sizes(source.domain)
         placed = self.geometry.placed(self.anchors(source), source.domain)
         asked = placed.withColumn("shape", F.array(*[F.col(f"n_{d}").cast("int") for d in sizes])).drop(*(f"n_{d}" for d in sizes))
@@ -151,7 +180,10 @@ class SpatialPatcher(Configured):
         own, keys = patch_cells, list(source.keys)
         for d, n in getattr(source.domain, "dims", {}).items():
             own = own.where((F.col(d) >= 0) & (F.col(d) < n))
-        out = agg.finish(own.groupBy(*keys).agg(*[c.alias(k) for k, c in agg.grouped(v, F.coalesce("w", F.lit(1.0))).items()]))
+        if isinstance(agg, Opaque):
+            out = agg.by_cell(own, keys, v, F.coalesce("w", F.lit(1.0)))
+        else:
+            out = agg.finish(own.groupBy(*keys).agg(*[c.alias(k) for k, c in agg.grouped(v, F.coalesce("w", F.lit(1.0))).items()]))
         if dense:
             empty = agg.untouched()
             out = source.df.select(*keys).join(out, keys, "left").select(*keys, *[F.coalesce(c, empty[c]).alias(c) for c in agg.outputs])

@@ -91,16 +91,16 @@ class Journal(Configured):
     path: str
 
     def commit(self, rows: DataFrame) -> None:
-        """Append rows of :data:`JOURNAL`; ``written`` orders the appends."""
-        rows.withColumn("written", F.lit(time.time_ns())).write.mode("append").json(self.path)
+        """Append rows of :data:`JOURNAL`; ``written`` orders the appends, ``row`` the rows of one, so that an anchor's last row wins."""
+        rows.withColumns({"written": F.lit(time.time_ns()), "row": F.monotonically_increasing_id()}).write.mode("append").json(self.path)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """All rows; malformed ones are left out with a warning."""
         jvm = spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            return spark.createDataFrame([], JOURNAL + ", written long")
-        parsed = spark.read.schema(JOURNAL + ", written long, _bad string").option("columnNameOfCorruptRecord", "_bad").json(self.path)
+            return spark.createDataFrame([], JOURNAL + ", written long, row long")
+        parsed = spark.read.schema(JOURNAL + ", written long, row long, _bad string").option("columnNameOfCorruptRecord", "_bad").json(self.path)
         bad, _ = parsed.agg(F.count("_bad"), F.count("anchor")).first()  # a scan of the bad rows alone isn't allowed
         if bad:
             warnings.warn(f"{bad} malformed journal rows", RuntimeWarning, stacklevel=2)
@@ -116,7 +116,9 @@ class Journal(Configured):
 
 
 def latest_ok(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("anchor").agg(F.max_by("status", "written").alias("status")).where("status = 'ok'").select("anchor")
+    """Anchors whose last row is a success; ``row``, where there is one, orders the rows of one append."""
+    last = F.struct("written", *(["row"] if "row" in rows.columns else []))
+    return rows.groupBy("anchor").agg(F.max_by("status", last).alias("status")).where("status = 'ok'").select("anchor")
 
 
 def anchor_key(*names: str) -> F.Column:

@@ -5,16 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet below ``spark.checkpoint.dir``, read back.
+def shared_path(spark: SparkSession) -> str:
+    """A fresh path below ``spark.checkpoint.dir``.
 
     Where the setting is unset in a local session a temporary folder is set for it; on a
     cluster that is an error, as other machines wouldn't see it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
@@ -22,7 +21,12 @@ def written(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldweave-"))
         base = context.getCheckpointDir()
-    path = f"{base.rstrip('/')}/fieldweave-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/fieldweave-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet below ``spark.checkpoint.dir``, read back."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
