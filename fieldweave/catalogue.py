@@ -251,6 +251,14 @@ def agg_opaque_hot(spark, sf):
 
 @query(f"{_patches()} SELECT seq, max(value) AS top FROM pc GROUP BY seq")
 def agg_learned(spark, sf):
+    """A model of whole patches, batch by batch."""
+    model = agg.Learned(lambda pdf: pdf[["seq"]].assign(top=[np.nanmax(np.asarray(d, float)) for d in pdf["data"]]), "seq long, top double")
+    return model.merge_packed(patcher().packed(raster(spark, sf)))
+
+
+@query(f"{_patches()} SELECT seq, max(value) AS top FROM pc GROUP BY seq")
+def agg_learned_cells(spark, sf):
+    """A model of the cells of one patch at a time."""
     cells = patcher().split(raster(spark, sf)).select("seq", "value")
     model = agg.Learned(lambda pdf: pdf.groupby("seq", as_index=False).agg(top=("value", "max")), "seq long, top double")
     return model.merge(cells, ["seq"])

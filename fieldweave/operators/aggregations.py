@@ -359,11 +359,19 @@ class MinMax(Configured):
 
 @dataclass(frozen=True)
 class Learned(Configured):
-    """``model(pandas frame of a group's patch cells) -> pandas frame``, group by group."""
+    """``model(pandas frame) -> pandas frame`` of ``schema``.
+
+    :meth:`merge` gives it the patch cells of one group at a time; :meth:`merge_packed` a batch of whole patches, a row
+    each with ``data`` and ``weights``, as they travel, without a shuffle of their own.
+    """
 
     model: Callable
     schema: str
 
+    def merge_packed(self, packed: DataFrame) -> DataFrame:
+        model = self.model
+        return packed.mapInPandas(lambda batches: (model(b) for b in batches), self.schema)
+
     def merge(self, patch_cells: DataFrame, by: list[str]) -> DataFrame:
         return patch_cells.groupBy(*by).applyInPandas(self.model, self.schema)
 

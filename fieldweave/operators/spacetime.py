@@ -40,11 +40,14 @@ class SpatioTemporalPatcher(Configured):
         spark, lattice = source.df.sparkSession, self.temporal.sampler.lattice
         if self.coupling == "product":
             space = self.spatial.split(source)
-            first, step = lattice if lattice else (None, None)
-            times = self.temporal.sampler.table(spark, length).withColumnRenamed("seq", "t_seq")
-            ranges = self.temporal.ranges(times, F.lit(length))
-            listed = ranges.withColumn("t", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)))
-            out = space.join(listed, "t")  # dealt by time
+            if lattice:  # the ranges that hold a cell's time follow from it
+                out = self.temporal.covered(space.withColumnRenamed("seq", "_space"), F.lit(length).cast("long"))
+                out = out.withColumnRenamed("seq", "t_seq").withColumnRenamed("_space", "seq")
+            else:
+                times = self.temporal.sampler.table(spark, length).withColumnRenamed("seq", "t_seq")
+                ranges = self.temporal.ranges(times, F.lit(length))
+                listed = ranges.withColumn("t", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)))
+                out = space.join(F.broadcast(listed) if times.count() <= 1_000 else listed, "t")  # few drawn times: beside the cells; else dealt by time
         else:
             schema = "pair long, " + ", ".join(f"{n} long" for n in names) + ", t_anchor long"
             pairs = spark.createDataFrame([(i, *map(int, s), int(t)) for i, (s, t) in enumerate(self.pairs)], schema)

@@ -98,13 +98,7 @@ class TemporalPatcher(Configured):
         else:
             rows = rows.withColumn("_length", F.lit(fixed).cast("long"))
         if anchors is None and self.sampler.lattice is not None:
-            first, step = self.sampler.lattice
-            each = F.array(*[F.struct(F.lit(i).alias("scale"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(self.geometry.reaches())])
-            rows = rows.withColumn("_g", F.explode(each))
-            low = F.greatest(F.lit(0), F.floor((F.col("t") - F.col("_g.b") - first + step - 1) / step)).cast("long")
-            high = F.least(F.floor((F.col("t") + F.col("_g.a") - first) / step), F.floor((F.col("_length") - 1 - first) / step)).cast("long")
-            rows = rows.withColumn("seq", F.explode(F.when(low <= high, F.sequence(low, high)))).withColumn("t_anchor", F.col("seq") * step + first)
-            rows = rows.withColumns({"scale": F.col("_g.scale"), "start": F.greatest(F.lit(0).cast("long"), F.col("t_anchor") - F.col("_g.a")), "stop": F.least(F.col("_length"), F.col("t_anchor") + F.col("_g.b") + 1)}).drop("_g")
+            rows = self.covered(rows, F.col("_length"))
         else:
             if anchors is None:
                 length = fixed if fixed is not None else lengths.agg(F.max("_length")).first()[0] or 0
@@ -120,6 +114,16 @@ class TemporalPatcher(Configured):
         weight = self.window.weight(F.col("t") - F.col("start"), F.col("stop") - F.col("start"))
         return rows.drop("_length").withColumn("w", weight.cast("double"))
 
+    def covered(self, rows: DataFrame, length: Column) -> DataFrame:
+        """Rows with a time ``t`` once for each patch of the lattice that holds them: arithmetic on the row, no join."""
+        first, step = self.sampler.lattice
+        each = F.array(*[F.struct(F.lit(i).alias("scale"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(self.geometry.reaches())])
+        rows = rows.withColumn("_g", F.explode(each))
+        low = F.greatest(F.lit(0), F.floor((F.col("t") - F.col("_g.b") - first + step - 1) / step)).cast("long")
+        high = F.least(F.floor((F.col("t") + F.col("_g.a") - first) / step), F.floor((length - 1 - first) / step)).cast("long")
+        rows = rows.withColumn("seq", F.explode(F.when(low <= high, F.sequence(low, high)))).withColumn("t_anchor", F.col("seq") * step + first)
+        return rows.withColumns({"scale": F.col("_g.scale"), "start": F.greatest(F.lit(0).cast("long"), F.col("t_anchor") - F.col("_g.a")), "stop": F.least(length, F.col("t_anchor") + F.col("_g.b") + 1)}).drop("_g")
+
     def packed(self, source: Field, anchors: DataFrame | None = None, value: str = "value") -> DataFrame:
         """One row for each patch with ``data`` and ``weights`` in order of time."""
         return pack_times(self.split(source, anchors), [k for k in source.keys if k != "t"], value)
@@ -142,7 +146,7 @@ def fold(packed: DataFrame, by: list[str], initial: Column, step: Callable[[Colu
 
     Without ``combine`` a series is one row, so it has to fit a task.  ``combine(a, b)`` gives the
     state after two stretches from their own states, each begun with ``initial``; then
-    every ``chunk`` patches are folded apart, and a row holds their states only.
+    every ``chunk`` patches are folded apart, and their states in stretches of stretches.
     """
     at = ["_chunk"] if combine else []
     own = packed.withColumn("_chunk", F.floor(F.col("seq") / chunk)) if combine else packed
@@ -150,9 +154,9 @@ def fold(packed: DataFrame, by: list[str], initial: Column, step: Callable[[Colu
     states = ordered.select(*by, *at, F.aggregate("_p", initial, lambda a, p: step(a, p["data"])).alias("state"))
     if not combine:
         return states
-    listed = states.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "state"))), lambda x: x["state"]).alias("_s"))
-    rest = F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0)))
-    return listed.select(*by, F.aggregate(rest, F.element_at("_s", 1), combine).alias("state"))
+    # the states of stretches meet in a tree, so no row holds a series
+    own = states.select(*by, F.col("_chunk").cast("long").alias("seq"), F.col("state").alias("data"))
+    return whole(own, by, Monoid(lambda data: data, combine, lambda _, x: x), initial)
 
 
 def fold_opaque(packed: DataFrame, by: list[str], fn: Callable, initial, schema: str) -> DataFrame:

@@ -24,7 +24,7 @@ from fieldweave.operators.aggregations import Aggregation, OverlapAdd
 from fieldweave.operators.geometry import Neighbourhood, Rectangular, centroid
 from fieldweave.operators.opaque import Opaque
 from fieldweave.operators.samplers import RegularStride, Sampler, anchor_name
-from fieldweave.plans.policy import ErrorPolicy, Hooks, Journal, MapResult, anchor_key, check_streaming, map_patches, read_patches
+from fieldweave.plans.policy import ErrorPolicy, Hooks, Journal, MapResult, anchor_key, check_streaming, deal_by_bytes, map_patches, read_patches
 from fieldweave.sources.fields import Field
 from fieldweave.tables import written
 
@@ -40,12 +40,14 @@ class SpatialPatcher(Configured):
     hooks: Hooks | None = None
     #: Patches over this many bytes are an error; tasks hold one Arrow batch at a time.
     max_patch_bytes: int | None = None
+    #: Tasks of :meth:`map` hold patches of about so many bytes together, dealt by their sizes.
+    max_task_bytes: int | None = None
     #: Accepted for plans written with it; tasks already read ahead.
     prefetch: int = 0
 
     def get_config(self) -> dict:
         parts = {k: getattr(self, k) for k in ("geometry", "sampler", "window", "aggregation", "errors", "journal")}
-        return {"kind": type(self).__name__, **{k: v.get_config() if v is not None else None for k, v in parts.items()}, "max_patch_bytes": self.max_patch_bytes, "prefetch": self.prefetch}
+        return {"kind": type(self).__name__, **{k: v.get_config() if v is not None else None for k, v in parts.items()}, "max_patch_bytes": self.max_patch_bytes, "max_task_bytes": self.max_task_bytes, "prefetch": self.prefetch}
 
     # ------------------------------------------------------------ anchors
     def _names(self, domain) -> list[str]:
@@ -77,6 +79,8 @@ class SpatialPatcher(Configured):
         if not self.hooks:
             return self._split(source, anchors)
         self.hooks.call("on_split_start", self.n_anchors(source) if self.journal is None and anchors is None else -1)
+        if self.hooks.observe:
+            return self.hooks.watched(self._split(source, anchors), "on_split_end", False)
         out = written(self._split(source, anchors))
         self.hooks.call("on_split_end")
         return out
@@ -152,7 +156,10 @@ class SpatialPatcher(Configured):
     # ------------------------------------------------------------ apply and merge
     def map(self, source: Field, operator: Callable, value: str | None = None, anchors: DataFrame | None = None) -> MapResult:
         """Run an opaque operator on whole patches (see :func:`map_patches`)."""
-        return map_patches(self.packed(source, value, anchors), operator, self.errors, self.max_patch_bytes, self.hooks)
+        packed = self.packed(source, value, anchors)
+        if self.max_task_bytes:
+            packed = deal_by_bytes(packed, self.max_task_bytes)
+        return map_patches(packed, operator, self.errors, self.max_patch_bytes, self.hooks)
 
     def read(self, source: Field, reader: Callable, anchors: DataFrame | None = None) -> MapResult:
         """Patches from an opaque ``reader(anchor)`` on the executors, for fields that Spark can't read itself.
@@ -198,6 +205,8 @@ class SpatialPatcher(Configured):
         if not self.hooks:
             return out
         self.hooks.call("on_merge_start", -1)
+        if self.hooks.observe:
+            return self.hooks.watched(out, "on_merge_end", True)
         out = written(out)
         self.hooks.call("on_merge_end", out.count())
         return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import pickle
+import threading
 import time
 import traceback
 import warnings
@@ -12,10 +13,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldweave.domains import Configured
+from fieldweave.operators.scan import prefix_sums
 from fieldweave.tables import written
 
 _strict: bool | None = None
@@ -61,6 +63,25 @@ class Hooks:
     on_merge_end: Callable | None = None
     on_progress: Callable | None = None
 
+    #: Tell of splits and merges once the caller's own job has run, by metrics of the plan; nothing is written for it.
+    observe: bool = False
+
+    def watched(self, df: DataFrame, name: str, counted: bool) -> DataFrame:
+        """``df`` with a count that calls the hook ``name`` when the first job over it is done."""
+        seen = Observation()
+
+        def wait() -> None:
+            try:
+                n = seen.get["n"]
+            except Exception:  # the job had no need of this part of the plan, so it didn't happen
+                return
+            self.call(name, *([n] if counted else []))
+
+        out = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        if getattr(self, name):
+            threading.Thread(target=wait, daemon=True).start()
+        return out
+
     def call(self, name: str, *args) -> None:
         if fn := getattr(self, name):
             try:
@@ -286,6 +307,23 @@ def unbatch(batches: DataFrame) -> DataFrame:
     return batches.where("valid").drop("batch", "slot", "valid")
 
 
+def deal_by_bytes(packed: DataFrame, most: int) -> DataFrame:
+    """Packed patches in tasks of about ``most`` bytes each, in the order of ``seq``: a task has less than ``most`` and its last patch.
+
+    Sizes are added up over all patches; only where tasks begin is gathered, a number for each task.
+    """
+    if most <= 0:
+        raise ValueError("a task needs room for bytes")
+    bytes_of = sum((F.coalesce(F.size(c), F.lit(0)) for c in ("data", "weights") if c in packed.columns), F.lit(0)) * 8
+    held = written(packed)
+    sizes = prefix_sums(held.select("seq", bytes_of.cast("long").alias("bytes")), ["seq"], "bytes")
+    begins = [r["seq"] for r in sizes.groupBy(F.floor(F.col("before") / most).alias("task")).agg(F.min("seq").alias("seq")).orderBy("seq").collect()]
+    if len(begins) < 2:
+        return held.coalesce(1)
+    task = F.size(F.filter(F.array(*[F.lit(int(b)) for b in begins[1:]]), lambda b: b <= F.col("seq")))
+    return held.repartitionById(len(begins), task)
+
+
 def deal(packed: DataFrame, tasks: int) -> DataFrame:
     """Patches as tasks of their own accord: dealt by number, each task a share of all."""
     return packed.repartition(tasks, "seq")
