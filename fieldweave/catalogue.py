@@ -450,6 +450,17 @@ def poisson_spread(spark, sf):
 
 
 # ---------------------------------------------------------------- points and polygons
+@query("SELECT vec_id AS pid, true AS covered, 0::BIGINT AS crowded FROM embeddings")
+def poisson_points(spark, sf):
+    """A well-spaced choice of points: each point has a chosen one within the distance, and no two chosen are nearer."""
+    own = points(spark, sf)
+    chosen = SpatialPatcher(geo.RadiusGraph(0.1), smp.PoissonDisk(0.05, seed=3, spread=True)).anchors(own).select(F.col("a_id").alias("pid")).join(own.df, "pid")
+    at = own.df.select(F.col("pid").alias("seq"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    near = geo.RadiusGraph(0.05).neighbours(at, chosen).where("distance < 0.05")
+    mine = near.groupBy(F.col("seq").alias("pid")).agg(F.lit(True).alias("covered"), F.count_if(F.col("seq") != F.col("pid")).alias("n"), F.max((F.col("seq") == F.col("pid")).cast("int")).alias("taken"))
+    return mine.select("pid", "covered", F.when(F.col("taken") == 1, F.col("n")).otherwise(0).cast("long").alias("crowded"))
+
+
 _POINTS = "p AS (SELECT vec_id AS pid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings), g AS (SELECT pid, x * 180 AS x, y * 90 AS y FROM p)"
 _DIST = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
 _HAV = "2 * 6371.0 * asin(least(sqrt(power(sin((radians(b.y) - radians(a.y)) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * power(sin((radians(b.x) - radians(a.x)) / 2), 2)), 1.0))"

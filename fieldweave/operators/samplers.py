@@ -45,6 +45,10 @@ class Sampler(Configured):
     def count(self, domain, geometry) -> int:
         raise NotImplementedError
 
+    def table_of(self, source, geometry) -> DataFrame:
+        """Anchors on a field, for samplers that look at its points; others know the domain only."""
+        return self.table(source.df.sparkSession, source.domain, geometry)
+
 
 @dataclass(frozen=True)
 class RegularStride(Sampler):
@@ -151,14 +155,47 @@ class RandomAnchors(Drawn):
         return list(zip(*(rng.integers(0, h, self.n).tolist() for h in highs), strict=True))
 
 
+def well_spaced(candidates: DataFrame, near: float) -> DataFrame:
+    """A choice of ``candidates`` (seq, x, y, rank) with no two nearer than ``near``, to which none could be added.
+
+    In squares whose diagonal is the distance one candidate is chosen at most.  In every round the first by
+    rank of each square is taken if it is before those of the squares around within the distance; then
+    all within the distance of one taken go.  So rows compared grow with the squares, not with the
+    candidates in them, however crowded a place is, and rounds with the logarithm of the squares.
+    """
+    side = near / math.sqrt(2) * (1 - 1e-9)
+    square = {"sx": F.floor(F.col("x") / side).cast("long"), "sy": F.floor(F.col("y") / side).cast("long")}
+    apart = F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"))
+    open_, taken = written(candidates.select("seq", "x", "y", "rank").withColumns(square)), None
+
+    def around(df: DataFrame) -> DataFrame:
+        """In all squares that may hold a point within the distance."""
+        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if abs(i * j) < 4])
+        out = df.select(F.col("seq").alias("other"), F.col("rank").alias("other_rank"), F.col("x").alias("ox"), F.col("y").alias("oy"), "sx", "sy", F.explode(steps).alias("_s"))
+        return out.withColumns({"sx": F.col("sx") + F.col("_s.i"), "sy": F.col("sy") + F.col("_s.j")}).drop("_s")
+
+    while not open_.isEmpty():
+        first = written(open_.groupBy("sx", "sy").agg(F.min(F.struct("rank", "seq", "x", "y")).alias("b")).select("sx", "sy", "b.*"))
+        before = (F.col("other_rank") < F.col("rank")) | ((F.col("other_rank") == F.col("rank")) & (F.col("other") < F.col("seq")))
+        own, others = first.alias("p"), around(first).alias("q")
+        met = (F.col("p.sx") == F.col("q.sx")) & (F.col("p.sy") == F.col("q.sy"))
+        won = written(own.join(others, met & before & (apart < near), "left_anti"))
+        rest = written(open_.alias("p").join(around(won).alias("q"), met & ((apart < near) | (F.col("other") == F.col("seq"))), "left_anti"))
+        taken = won if taken is None else taken.unionByName(won)
+        discard(first)
+        discard(open_)
+        open_ = rest
+    discard(open_)
+    return taken if taken is not None else open_.sparkSession.createDataFrame([], candidates.select("seq", "x", "y", "rank").schema)
+
+
 @dataclass(frozen=True)
 class PoissonDisk(Drawn):
     """Anchors at least ``min_distance`` apart (before they are cut to whole cells), placed by dart throwing around placed ones.
 
-    That is one after another, on the driver.  ``spread`` places them on the executors, for rasters of
-    any size: ``max_tries`` candidates for each square of the distance, at hashed places with
-    hashed ranks; in every round a candidate that ranks before all others within the
-    distance is taken and those others go, until none is left.  No candidate could be added to the result.
+    That is one after another, on the driver.  ``spread`` places them on the executors (see :func:`well_spaced`), for rasters
+    and point fields of any size: on rasters among ``max_tries`` candidates for each square of the distance, at
+    hashed places; on points among the points, numbered by their ids.  Ranks are hashes of seed and number.
     """
 
     min_distance: float = 1.0
@@ -176,8 +213,6 @@ class PoissonDisk(Drawn):
     def table(self, spark, domain, geometry) -> DataFrame:
         if not (self.spread and isinstance(domain, RasterDomain)):
             return super().table(spark, domain, geometry)
-        from fieldweave.operators.geometry import RadiusGraph
-
         seed = int(np.random.default_rng().integers(1 << 62)) if self.seed is None else self.seed
         sizes, near = geometry.sizes(domain), self.min_distance
         high, wide = (float(max(n - sizes[d] + 1, 1) if geometry.boundary == "drop" else n) for d, n in domain.dims.items())
@@ -186,24 +221,16 @@ class PoissonDisk(Drawn):
         square = F.floor(F.col("id") / self.max_tries)
         drawn = spark.range(rows * cols * self.max_tries).select(
             F.col("id").alias("seq"), ((F.floor(square / cols) + unit(0)) * near).alias("y"), ((square % cols + unit(1)) * near).alias("x"), F.xxhash64(F.lit(seed), F.lit(2), "id").alias("rank"))
-        open_, taken = written(drawn.where((F.col("y") < high) & (F.col("x") < wide))), None
-        while not open_.isEmpty():
-            others = open_.select(F.col("seq").alias("other"), F.col("rank").alias("other_rank"), "x", "y")
-            met = RadiusGraph(near).neighbours(open_.select("seq", "rank", F.col("x").alias("ax"), F.col("y").alias("ay")), others).where((F.col("seq") != F.col("other")) & (F.col("distance") < near))
-            met = written(met.select("seq", "rank", "other", "other_rank"))
-            beaten = met.where((F.col("other_rank") < F.col("rank")) | ((F.col("other_rank") == F.col("rank")) & (F.col("other") < F.col("seq")))).select("seq").distinct()
-            first = written(open_.join(beaten, "seq", "left_anti"))
-            gone = met.join(first.select("seq"), "seq", "left_semi").select(F.col("other").alias("seq")).unionAll(first.select("seq")).distinct()
-            taken = first if taken is None else taken.unionAll(first)
-            rest = written(open_.join(gone, "seq", "left_anti"))
-            discard(met)
-            discard(open_)
-            open_ = rest
-        discard(open_)
-        if taken is None:
-            return spark.createDataFrame([], "seq long, ar long, ac long")
+        taken = well_spaced(drawn.where((F.col("y") < high) & (F.col("x") < wide)), near)
         return taken.select("seq", F.floor("y").cast("long").alias("ar"), F.floor("x").cast("long").alias("ac"))
 
+    def table_of(self, source, geometry) -> DataFrame:
+        if not (self.spread and isinstance(source.domain, PointDomain)):
+            return super().table_of(source, geometry)
+        key, seed = source.keys[0], int(np.random.default_rng().integers(1 << 62)) if self.seed is None else self.seed
+        own = source.df.groupBy(F.col(key).alias("seq")).agg(F.first("x").alias("x"), F.first("y").alias("y"))
+        return well_spaced(own.withColumn("rank", F.xxhash64(F.lit(seed), "seq")), self.min_distance).select("seq", F.col("seq").alias("a_id"))
+
     def anchors(self, domain, geometry):
         rng, near = np.random.default_rng(self.seed), self.min_distance
         if isinstance(domain, PointDomain):

@@ -55,7 +55,7 @@ class SpatialPatcher(Configured):
 
     def anchors(self, source: Field) -> DataFrame:
         """``seq`` and anchors, without those that the journal has as done."""
-        out = self.sampler.table(source.df.sparkSession, source.domain, self.geometry)
+        out = self.sampler.table_of(source, self.geometry)
         return self.journal.pending(out, anchor_key(*self._names(source.domain))) if self.journal else out
 
     def n_anchors(self, source: Field) -> int:

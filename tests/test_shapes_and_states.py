@@ -224,3 +224,19 @@ def test_last_row_of_a_commit_wins(spark, tmp_path):
     rows = [("[0]", "error", 0.1, None, None), ("[0]", "ok", 0.1, None, None), ("[1]", "ok", 0.1, None, None), ("[1]", "error", 0.1, None, None)]
     book.commit(spark.createDataFrame(rows, policy.JOURNAL).coalesce(1))
     assert [r.anchor for r in book.done(spark).collect()] == ["[0]"]
+
+
+# ---------------------------------------------------------------- well-spaced choices
+def test_well_spaced_choices(spark):
+    r = random.Random(6)
+    rows = [(i, r.uniform(-3, 3), r.uniform(-3, 3)) for i in range(400)] + [(1000 + i, 1.0, 1.0) for i in range(300)] + [(2000 + i, 0.0, 0.25 * i) for i in range(9)]
+    df = spark.createDataFrame(rows, "seq long, x double, y double").withColumn("rank", F.xxhash64("seq"))
+    got = [(x.x, x.y) for x in smp.well_spaced(df, 0.5).collect()]
+    apart = lambda a, b: np.hypot(a[0] - b[0], a[1] - b[1])
+    assert min(apart(a, b) for i, a in enumerate(got) for b in got[:i]) >= 0.5
+    assert all(min(apart((x, y), b) for b in got) < 0.5 for _, x, y in rows)
+    assert smp.well_spaced(df.limit(0), 0.5).collect() == []
+    pts = fld.points(df.select(F.col("seq").alias("pid"), "x", "y"), "pid")
+    plan = SpatialPatcher(geo.RadiusGraph(0.2), smp.PoissonDisk(0.5, seed=1, spread=True))
+    one, two = (sorted(x.a_id for x in plan.anchors(pts).collect()) for _ in range(2))
+    assert one == two and len(one) > 10
