@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,8 @@ from fieldweave.llm.shared import text_or_empty
 
 CERTAIN, ALIKE = 0.5, 0.6
 COPIES, SPARSE, STEPS = 16, 6e-4, 200
+#: Slots of the table of weights.
+SLOTS = 4096
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 BLANK = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
 #: A licence's name with its version written onto it, as in GPLv3, LGPLv2.1+ or Apache2.
@@ -73,7 +76,20 @@ class Model:
     @property
     def pattern(self) -> str:
         """Matches every lower-case text with a gate word: a word never starts after a letter, nor goes on with what its pattern takes in."""
-        return "(?:^|[^a-z])(?:" + "|".join(re.escape(w) + ("" if "." in w else "(?:$|[^a-z0-9])") for w in self.gate) + ")"
+        whole, dotted = [w for w in self.gate if "." not in w], [w for w in self.gate if "." in w]
+        return "(?:^|[^a-z])(?:" + "|".join([f"{branched(whole)}(?:$|[^a-z0-9])"] * bool(whole) + [re.escape(w) for w in dotted]) + ")"
+
+
+def branched(words: list[str]) -> str:
+    """A pattern for any of ``words`` that shares what they begin with, so few branches are tried at a place."""
+    below: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            below.setdefault(w[0], []).append(w[1:])
+    branches = [re.escape(c) + branched(rest) for c, rest in sorted(below.items())]
+    if not branches:
+        return ""
+    return f"(?:{'|'.join(branches)})" + "?" * ("" in words)
 
 
 # ---------------------------------------------------------------- training
@@ -190,10 +206,15 @@ def _array(values) -> Column:
 
 
 def _logits(found: Column, model: Model) -> Column:
-    # one text, which Spark folds to a map when it plans, as thousands of literals would take it seconds
-    table = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
+    # weights by the checksum of their n-gram, a few in each slot, as a map is searched from end to end for every n-gram;
+    # one text, which Spark folds to a table when it plans, as thousands of literals would take it seconds
+    slots: list[list[dict]] = [[] for _ in range(SLOTS)]
+    for gram, w in model.weights.items():
+        slots[zlib.crc32(gram.encode()) % SLOTS].append({"g": gram, "w": w})
+    table = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<g:string,w:array<double>>>>")
     own = F.array_sort(F.filter(found, lambda g: g.isin(list(model.weights))))  # a set that is made once, not for each row
-    return F.aggregate(own, _array(model.bias), lambda a, g: F.zip_with(a, F.element_at(table, g), lambda x, y: x + y))
+    weight = lambda g: F.get(F.filter(F.get(table, (F.crc32(g) % SLOTS).cast("int")), lambda e: e["g"] == g), F.lit(0))["w"]
+    return F.aggregate(own, _array(model.bias), lambda a, g: F.zip_with(a, weight(g), lambda x, y: x + y))
 
 
 def plain(text: Column) -> Column:

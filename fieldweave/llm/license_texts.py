@@ -190,9 +190,9 @@ OTHERS = [
 
 #: How a licence is usually named, by family, and the usual short sentences around its name.
 NAMES = {
-    "agpl": ["agpl version 3", "gnu agpl", "gnu affero general public license"],
+    "agpl": ["agpl version 3", "gnu agpl", "affero gpl", "gnu affero general public license"],
     "apache": ["apache 2.0", "apache license", "apache license version 2.0"],
-    "artistic": ["artistic license", "perl artistic license"],
+    "artistic": ["artistic license", "perl artistic license", "artistic 2.0"],
     "boost": ["boost software license", "boost license 1.0"],
     "bsd": ["bsd", "bsd 2 clause", "bsd 3 clause", "new bsd license"],
     "cc-by": ["cc by", "cc by 4.0", "creative commons attribution"],
@@ -200,15 +200,16 @@ NAMES = {
     "cc-by-sa": ["cc by sa", "cc by sa 4.0", "creative commons attribution sharealike"],
     "cc0": ["cc0", "cc0 1.0", "creative commons zero"],
     "gfdl": ["gnu free documentation license", "gfdl"],
-    "gpl": ["gpl version 2", "gpl version 3", "gnu gpl", "gnu general public license"],
+    "gpl": ["gpl version 2", "gpl version 3", "gpl v2", "gnu gpl", "gnu general public license"],
     "isc": ["isc", "isc license"],
     "lgpl": ["lgpl version 2.1", "lgpl version 3", "gnu lgpl", "gnu lesser general public license"],
     "mit": ["mit", "mit license", "expat license"],
     "mpl": ["mpl 2.0", "mozilla public license", "mozilla public license version 2.0"],
-    "unlicense": ["unlicense", "the unlicense"],
+    "unlicense": ["unlicense", "the unlicense", "unlicense org"],
     "zlib": ["zlib license", "zlib libpng"],
 }
-SENTENCES = ["{} license", "license {}", "{} licensed", "licensed under {}", "licensed under the {}", "this code is {}", "released under the terms of the {}", "the data is available under {}"]
+SENTENCES = ["{} license", "license {}", "{} licensed", "licensed under {}", "licensed under the {}", "this code is {}", "released under the terms of the {}", "the data is available under {}",
+             "under {} terms", "{} applies", "uses {}", "licence {}", "covered by {}", "{} only", "terms {}", "subject to {}"]
 
 # Words that tell nothing alone.
 STOP = (

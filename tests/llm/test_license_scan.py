@@ -4,8 +4,8 @@ import numpy as np
 
 from fieldweave.llm import license_scan as ls
 
-#: Notices as they are met, none of them in the training texts.
-HELD_OUT = [
+#: Notices as they are met; some are also training texts, or much like one (see ``apart``).
+MET = [
 ("mit","This project is licensed under the terms of the MIT license."),
 ("mit","MIT License\nCopyright (c) 2019 Jane Doe"),
 ("mit","Code released under the MIT licence, see LICENSE for details."),
@@ -52,8 +52,45 @@ HELD_OUT = [
 ("cc-by-nc","This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 ("gfdl","Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.2"),
 ("artistic","You can redistribute it and/or modify it under the Artistic License."),
+]
+#: More notices in other words.
+OTHER_WORDS = [
+("mit","We chose the MIT license for this project; feel free to fork it."), ("mit","Source: MIT (c) Example Corp."), ("mit","[MIT](LICENSE) - have fun!"), ("mit","Everything in src/ falls under MIT terms, enjoy."),
+("apache","The code in this repo uses Apache License 2.0, except for third-party parts."), ("apache","This project follows Apache 2.0 (the ALv2)."), ("apache","Lizenz: Apache-2.0"), ("apache","Copyright The Kube Authors, Apache-2.0 applies"),
+("gpl","Our plugin is GPL v2, like WordPress itself."), ("gpl","Copyleft: GNU GPL 3 applies to all scripts"), ("gpl","license='GPLv3+'"), ("gpl","This kernel module is GPLv2 only, no later versions."),
+("lgpl","We link dynamically since Qt is LGPL 2.1."), ("lgpl","License: LGPL-2.1-only"), ("lgpl","The bindings are LGPLv3, see COPYING.LESSER"),
+("agpl","Affero GPL 3 covers our server code"), ("agpl","Self-hosters: mind AGPL-3.0 obligations"), ("agpl","dual: commercial or AGPLv3"),
+("bsd","BSD-3-Clause (c) Regents"), ("bsd","Our parser is BSD licenced code, 2-Clause variant."), ("bsd","license = 'BSD-2-Clause'"),
+("mpl","MPL-2.0, as Firefox uses"), ("mpl","Files here follow Mozilla's MPL 2.0"), ("isc","npm says: license ISC"), ("isc","OpenBSD prefers ISC licensing for new code"),
+("zlib","Terms: zlib license, like SDL2"), ("boost","We use BSL-1.0, that is Boost's own license"), ("unlicense","See UNLICENSE or unlicense.org"), ("unlicense","The Unlicense applies here"),
+("cc0","Data: CC0-1.0, no attribution needed"), ("cc0","We waive our copyright by CC0."), ("cc-by","Figures reuse: CC-BY-4.0 if you credit us"), ("cc-by","Icons by Font Awesome, CC BY 4.0"),
+("cc-by-sa","Wikipedia text, CC-BY-SA 4.0"), ("cc-by-sa","Maps: ShareAlike, CC BY-SA 2.0"), ("cc-by-nc","Photos are CC BY-NC 2.0, ask before commercial use"), ("cc-by-nc","NonCommercial use only (CC-BY-NC-4.0)"),
+("gfdl","Manual pages under GFDL 1.3"), ("gfdl","Old wiki dumps use GNU FDL, also called GFDL"), ("artistic","Perl modules: Artistic License or GPL, your choice of Artistic 2.0"), ("artistic","Licence: Artistic-2.0"),
+]
+
 
+def apart(text):
+    """No training text holds the words in a row, and none shares over half of the word pairs."""
+    words = re.findall(ls.WORD, re.sub("(?<![a-z0-9])" + ls.VERSIONED, r"\1 version \2", text.lower()))
+    known = [t for own in [*ls.NOTICES.values(), ls.OTHERS] for t in own] + [s.format(n) for own in ls.NAMES.values() for n in own for s in ls.SENTENCES]
+    pairs = [*zip(words, words[1:], strict=False)]
+    for t in known:
+        own = t.split()
+        theirs = {*zip(own, own[1:], strict=False)}
+        if f" {' '.join(words)} " in f" {t} " or sum(p in theirs for p in pairs) > len(pairs) / 2:
+            return False
+    return True
+
+
+#: Written after the model's sentences were chosen, and not looked at when they were.
+WRITTEN_AFTER = [
+("mit", "Feel free to reuse this snippet (MIT)."), ("mit", "My dotfiles are MIT-licensed, do as you please"), ("mit", "Package metadata: MIT"), ("apache", "Kafka connectors ship as Apache-2.0 software"), ("apache", "We relicensed from GPL to Apache License 2.0 last year"),
+("apache", "ALv2 / Apache-2.0 header required in each file"), ("gpl", "Linux drivers: GPL-2.0 with syscall note"), ("gpl", "Contributions become GPLv3 code"), ("gpl", "GNU General Public License v3, that's all"), ("lgpl", "glibc itself is LGPL-2.1 or newer"),
+("lgpl", "Use of the SDK is free thanks to LGPLv3"), ("agpl", "Mastodon runs on AGPLv3 code"), ("agpl", "AGPL-3.0-only applies to the backend folder"), ("bsd", "FreeBSD style: BSD-2-Clause"), ("bsd", "New BSD License, as in Django"), ("bsd", "Code: 3-clause BSD"),
+("mpl", "Rust crates here: MPL-2.0"), ("mpl", "weak copyleft by Mozilla Public License"), ("isc", "Small utility, ISC-licensed"), ("zlib", "GLFW is zlib licensed, and we are too"), ("boost", "Boost Software License 1.0 for headers"), ("unlicense", "Unlicense: do anything"),
+("cc0", "Photos released by CC0 waiver"), ("cc0", "Creative Commons Zero data set"), ("cc-by", "Slides: CC-BY 4.0, please credit"), ("cc-by", "Creative Commons Attribution 4.0 covers lecture notes"), ("cc-by-sa", "Stack posts: CC-BY-SA 4.0"), ("cc-by-nc", "Artwork CC-BY-NC 4.0 only"), ("gfdl", "Handbook licensed by GNU Free Documentation License 1.3"), ("artistic", "CPAN standard: Artistic License 2.0"),
 ]
+HELD_OUT = [x for x in [*MET, *OTHER_WORDS, *WRITTEN_AFTER] if apart(x[1])]
 #: Licences of no family, and prose with their words.
 UNKNOWN = [
     "Do what you want to public license", "Microsoft Public License (Ms-PL)", "The PHP License, version 3.01", "This work is licensed under the Open Database License",
@@ -99,7 +136,9 @@ def close(a, b):
 
 def test_recall_on_held_out_notices():
     model = ls.train()
+    assert len(HELD_OUT) >= 40 and len({f for f, _ in HELD_OUT}) >= 14 and all(apart(t) for _, t in HELD_OUT)
     right = [model.family(t) == f for f, t in HELD_OUT]
+    assert np.mean([ok for x, ok in zip(HELD_OUT, right, strict=True) if x in WRITTEN_AFTER]) >= 0.8
     assert np.mean(right) >= 0.9, [x for x, ok in zip(HELD_OUT, right, strict=True) if not ok]
     found = [verdict(t.lower(), model) for t in UNKNOWN]
     assert sum(f[0] == "unknown" for f in found) >= 0.9 * len(UNKNOWN) and sum(f[3] for f in found) == 0
@@ -114,6 +153,16 @@ def test_probabilities_are_calibrated():
     assert sum(gaps) < 0.05 and right.mean() > 0.85
 
 
+def test_held_out_probabilities_are_calibrated():
+    """On notices apart from the training texts, and licences of no family."""
+    model = ls.train()
+    names = [*model.families, "unknown"]
+    rows = [*HELD_OUT, *(("unknown", t) for t in UNKNOWN)]
+    p = np.array([model.probabilities(t) for _, t in rows])
+    right = np.array([names[i] == f for i, (f, _) in zip(p.argmax(1), rows, strict=True)])
+    assert abs(p.max(1).mean() - right.mean()) < 0.12, (p.max(1).mean(), right.mean())
+
+
 def test_most_weights_are_zero_and_the_gate_loses_nothing():
     model = ls.train()
     assert np.mean([v == 0 for w in model.weights.values() for v in w]) > 0.8
@@ -134,7 +183,7 @@ GPL = "This program is free software: you can redistribute it and/or modify\nit
 def test_equals_brute_force(spark):
     texts = ["Ou et de.\nReleased under the MIT License.", "This work is licensed under the GNU General Public License, version 3.\nx", "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0.", None, "", "no such thing",
              "He lost his driving license.\nCopyright 1999 by the author", "word " * 30_000 + "released under the MIT license", "UNLICENSED emitted", "MIT", f"x y\n \n\t\n\n{GPL}\n\nReleased under GPLv3.\r\n", "\n\n\nmit\n\n", "K MIT \u212a"]
-    docs = [*enumerate(texts), (0, texts[0])] + [(100 + i, t) for i, (_, t) in enumerate(HELD_OUT)] + [(200 + i, " ".join(w)) for i, (w, _) in enumerate(ls.copies(5, 2)[::3])]
+    docs = [*enumerate(texts), (0, texts[0])] + [(100 + i, t) for i, (_, t) in enumerate(MET)] + [(200 + i, " ".join(w)) for i, (w, _) in enumerate(ls.copies(5, 2)[::3])]
     got = run(spark, docs)
     assert close(got, brute(docs))
     assert got[0, 0, 1][0] == "mit" and got[1, 0, 0][0] == "gpl" and got[2, 0, -1][0] == "cc-by-nc" and got[3, 0, -1][0] == "apache"
@@ -148,7 +197,7 @@ def test_equals_sql(spark):
 
     from fieldweave.llm.queries import oracle_sql
 
-    texts = [t for _, t in HELD_OUT] + UNKNOWN + [None, "", f"x y\n \n\t\n\n{GPL}\n\nReleased under GPLv3.\r\n", "a\n\nlicensed under LGPLv2.1+\nfoo\n"]
+    texts = [t for _, t in [*MET, *OTHER_WORDS]] + UNKNOWN + [None, "", f"x y\n \n\t\n\n{GPL}\n\nReleased under GPLv3.\r\n", "a\n\nlicensed under LGPLv2.1+\nfoo\n"]
     con = duckdb.connect()
     con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
     names = "doc_id, paragraph, line, family, probability, likeness, confirmed"
