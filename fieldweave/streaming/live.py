@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fieldweave.operators.aggregations import Aggregation
+from fieldweave.operators.aggregations import Aggregation, Reservoir, Sketch
 from fieldweave.plans.patcher import SpatialPatcher
 from fieldweave.plans.policy import check_streaming
 from fieldweave.sources.fields import Field
@@ -37,6 +37,14 @@ def windowed(cells: DataFrame, time: str, width: str, late: str, by: list[str],
     return aggregation.finish(own.agg(*[c.alias(k) for k, c in aggregation.grouped(F.col(value), F.lit(1.0)).items()]))
 
 
+def sketches(cells: DataFrame, time: str, width: str, late: str, by: list[str], sketch: Sketch, value: str = "value") -> DataFrame:
+    """``window, by, sketch``: a state for each event-time window and group, to be stored, and merged with any others by ``sketch.merge``."""
+    if isinstance(sketch, Reservoir):
+        raise ValueError("a reservoir ranks its rows, which streams can't")
+    own = cells.withWatermark(time, late).withColumn("window", F.window(time, width))
+    return sketch.sketch(own, value, ("window", *by))
+
+
 def fold(rows: DataFrame, key: str, order: str, value: str, step, initial: float) -> DataFrame:
     """A left fold for each key that goes on from batch to batch: ``key, state``.
 

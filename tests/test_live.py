@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from fieldweave.operators import aggregations as agg
 from fieldweave.streaming import live
 
 BASE = 1_700_000_000
@@ -68,3 +69,18 @@ def test_a_key_at_rest_begins_anew(spark, tmp_path, store):
     got = run(spark, tmp_path, schema, idle_seconds=60)
     assert (got["a", 0, 0], got["a", 1, 1]) == (8.0, 8.0)
     assert got["a", 310, 2] == 2.0
+
+
+@pytest.mark.parametrize("sketch", [agg.ApproxCardinality(12), agg.ApproxQuantile((0.25, 0.5), 400)])
+def test_sketches_of_windows_merge_to_that_of_all(spark, tmp_path, sketch):
+    rows = spark.range(400).select((F.lit(BASE) + F.col("id")).cast("timestamp").alias("ts"), (F.col("id") % 2).alias("k"), (F.col("id") % 97).cast("double").alias("value"))
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    q = live.sketches(stream, "ts", "50 seconds", "10 seconds", ["k"], sketch).writeStream.outputMode("complete").format("memory").queryName("sketched").start()
+    q.processAllAvailable()
+    q.stop()
+    states = spark.table("sketched")
+    assert states.count() >= 16
+    assert sketch.merge(states).collect() == sketch.merge(sketch.sketch(rows)).collect()
+    with pytest.raises(ValueError):
+        live.sketches(stream, "ts", "50 seconds", "10 seconds", [], agg.Reservoir())
