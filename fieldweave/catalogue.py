@@ -757,14 +757,14 @@ def tile_bands(spark, sf):
     return image.select_many(image.tiles(cells, windows=asked), asked).select("seq", "band", "i", "j", (F.col("value") + 0.0).alias("value"))
 
 
-@query(f"WITH m AS (SELECT * FROM ({_merged(_OVERLAP, _HANN, defaults=_value('0'))})) SELECT r, c, round(CAST(value AS FLOAT), 3) AS value FROM m WHERE r >= 3 AND r < 60 AND c >= 20 AND c < 75")
+@query(f"WITH m AS (SELECT * FROM ({_merged(_OVERLAP, _HANN, defaults=_value('0'))})) SELECT r, c, value FROM m WHERE r >= 3 AND r < 60 AND c >= 20 AND c < 75")
 def chunk_store(spark, sf):
     """A merge kept as a chunk store of shards, and a window read back from it by the chunks it meets."""
     source, plan = raster(spark, sf, True), patcher(win.Hann())
     merged = plan.merge_cells(source, shifted)
-    kept = chunks.write_field(source.with_data(merged), shared_path(spark), (16, 16), (64, 64), "value", "float32")
+    kept = chunks.write_field(source.with_data(merged), shared_path(spark), (16, 16), (64, 64), "value", "float64")
     found = chunks.opened(kept.path).cells(spark, {"r": slice(3, 60), "c": slice(20, 75)})
-    return found.select("r", "c", F.round(F.col("value").cast("float"), 3).alias("value"))
+    return found.select("r", "c", r6("value"))
 
 
 def _image(spark, sf, depth: int = 0) -> list[images.Level]:
