@@ -23,21 +23,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return far.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Does every edge lead to the centre of a star: has no node two smaller neighbours, or one and a larger one?"""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).unionAll(edges.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    met = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return met.where("below > 1 OR (below = 1 AND above = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (u, v longs) that isn't the least of its component.
 
-    Each step is a written table in the shared folder; nothing is gathered but a count
-    and a checksum, by which the end is seen.  Steps grow with the logarithm of the
-    longest path.  Loops and repeated edges are ignored; no edges give no rows.
+    Each step is a written table in the shared folder; nothing is gathered.  The end is seen by
+    one count of each node's neighbours: edges go from larger to smaller nodes, so stars have their least node as
+    centre.  Steps grow with the logarithm of the longest path; edges that are stars already take
+    none.  Loops and repeated edges are ignored; no edges give no rows.
     """
     now = shared.materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    while True:
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        if seen[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark, old = seen, now
+    while not _stars(now):
+        old = now
         now = shared.materialize(_small_star(shared.materialize(_large_star(now))))
         shared.discard(old)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
