@@ -123,31 +123,34 @@ def copies(seed: int, n: int = COPIES) -> list[tuple[list[str], int]]:
 
 
 def _matrix(rows: list[tuple[list[str], int]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    x = np.zeros((len(rows), len(index)), np.float32)
+    x = np.zeros((len(rows), len(index)))
     for i, (words, _) in enumerate(rows):
         x[i, [index[g] for g in grams(words) if g in index]] = 1
     return x, np.array([label for _, label in rows])
 
 
 def fit(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases by accelerated proximal gradient steps; the L1 penalty makes weights exactly 0."""
-    n, target = len(y), np.eye(k, dtype=np.float32)[y]
-    v = np.ones(x.shape[1], np.float32)
+    """Weights and biases by accelerated proximal gradient steps; the L1 penalty makes weights exactly 0.
+
+    In double precision: sums differ by threads and machines, and in single precision so did the rounded weights.
+    """
+    n, target = len(y), np.eye(k)[y]
+    v = np.ones(x.shape[1])
     for _ in range(20):  # the largest curvature, by power iteration
         v = x.T @ (x @ v)
         v /= np.linalg.norm(v)
-    rate = np.float32(2 * n / (np.linalg.norm(x @ v) ** 2 + n))
-    w, b = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
+    rate = 2 * n / (np.linalg.norm(x @ v) ** 2 + n)
+    w, b = np.zeros((x.shape[1], k)), np.zeros(k)
     at, at_b, t = w, b, 1.0
     for _ in range(STEPS):
         z = x @ at + at_b
         p = np.exp(z - z.max(1, keepdims=True))
         p = (p / p.sum(1, keepdims=True) - target) / n
         step = at - rate * (x.T @ p)
-        new = np.sign(step) * np.maximum(np.abs(step) - rate * np.float32(SPARSE), 0)
+        new = np.sign(step) * np.maximum(np.abs(step) - rate * SPARSE, 0)
         new_b = at_b - rate * p.sum(0)
         later = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        at, at_b = new + np.float32((t - 1) / later) * (new - w), new_b + np.float32((t - 1) / later) * (new_b - b)
+        at, at_b = new + (t - 1) / later * (new - w), new_b + (t - 1) / later * (new_b - b)
         w, b, t = new, new_b, later
     return w, b
 

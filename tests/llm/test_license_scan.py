@@ -212,3 +212,13 @@ def test_planted_notices_of_the_tables(spark):
     assert notice and all(got[d, 0, i if (d, 0, i) in got else -1][3] for d, i in notice)
     wrong = [k for k, v in got.items() if v[3] and k[2] >= 0 and (k[0], k[2]) not in notice]
     assert not [k for k in wrong if "CC " not in dict(docs)[k[0]].split("\n")[k[2]]]
+
+
+def test_model_does_not_hang_on_the_order_of_sums():
+    """Threads and machines add in other orders: the rounded weights must be the same, as SQL and query may be made by different processes."""
+    rows = ls.copies(1, 4)
+    index = {g: i for i, g in enumerate(sorted({g for words, _ in rows for g in ls.grams(words)}))}
+    x, y = ls._matrix(rows, index)
+    w, b = ls.fit(x, y, len(ls.NOTICES) + 1)
+    w2, b2 = ls.fit(x[::-1].copy(), y[::-1].copy(), len(ls.NOTICES) + 1)
+    assert abs(w - w2).max() < 1e-10 and abs(b - b2).max() < 1e-10
