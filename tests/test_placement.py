@@ -326,3 +326,35 @@ def test_domain_from_tags():
     for gap, text in (("tile_width", "strips"), ("tiepoint", "no place"), ("pixel_scale", "no place")):
         with pytest.raises(ValueError, match=text):
             from_geo_tags({**tags, gap: None})
+
+
+def _rings(spark, n: int, corners: int = 4):
+    """Squares of sides 1, 2 and 3; with five corners the first comes twice, so they aren't told to be boxes."""
+    at = lambda i, x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)][:corners]
+    return spark.createDataFrame([(i, at(i, i % 7 * 1.25, i // 7 * 1.5, 1.0 + i % 3)) for i in range(n)], "fid long, ring array<struct<x:double,y:double>>")
+
+
+def test_boxes_give_what_rings_give_without_reading_them(spark):
+    at = spark.createDataFrame([(i, i * 0.75, i * 0.5) for i in range(12)], "seq long, ax double, ay double")
+    boxes, rings = _rings(spark, 40), _rings(spark, 40, 5)
+    for radius in (0.0, 1.5):
+        near = [geo.RadiusGraph(radius).features_near(at, f) for f in (boxes, rings)]
+        assert "zip_with" not in near[0]._jdf.queryExecution().optimizedPlan().toString()
+        got, want = ({(r[0], r[1]): round(r[2], 9) for r in df.collect()} for df in near)
+        assert got == want and got
+    mine = lambda df: df.limit(9).withColumnRenamed("fid", "seq")
+    meet = [geo.PolygonIntersection().features_in(mine(a), b) for a in (boxes, rings) for b in (boxes, rings)]
+    assert "zip_with" not in meet[0]._jdf.queryExecution().optimizedPlan().toString()
+    got, *others = (sorted(map(tuple, df.collect())) for df in meet)
+    assert got and all(x == got for x in others)
+
+
+def test_a_crowded_bucket_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(geo, "BLOCK", 8)
+    here = spark.range(100).selectExpr("id AS seq", "if(id < 90, 0, id) AS b")
+    there = spark.range(200).selectExpr("id AS pid", "if(id < 150, 0, id - 100) AS b")
+    met = geo._dealt(here, there, ["b"], ["seq"], ["pid"])
+    assert met.columns == ["b", "seq", "pid"]
+    assert sorted(map(tuple, met.collect())) == sorted(map(tuple, here.join(there, "b").collect()))
+    blocks = {k: v for k, v in geo._blocked(here, there, ["b"], ["seq"], ["pid"])[0].groupBy("b", "_i", "_j").count().select(F.concat_ws(":", "b", "_i", "_j"), "count").collect()}
+    assert max(blocks.values()) < 30 and len([k for k in blocks if k.startswith("0:")]) > 100
