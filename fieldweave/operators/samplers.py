@@ -243,24 +243,30 @@ class PoissonDisk(Drawn):
         sizes = geometry.sizes(domain)
         high = np.array([max(n - sizes[d] + 1, 1) if geometry.boundary == "drop" else n for d, n in domain.dims.items()], float)
         side = near / math.sqrt(2)
-        board: dict[tuple[int, int], np.ndarray] = {}
-        key = lambda p: (int(p[0] // side), int(p[1] // side))
-
-        def free(p) -> bool:
-            a, b = key(p)
-            around = (board.get((i, j)) for i in range(a - 2, a + 3) for j in range(b - 2, b + 3))
-            return all(q is None or np.hypot(*(p - q)) >= near for q in around)
-
-        first = rng.uniform(0, high)
+        # plain floats, as an array for each dart costs more than all its sums; the same draws and anchors as with arrays
+        board: dict[tuple[int, int], tuple[float, float]] = {}
+        around = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+        (rows, cols), square, turn = high.tolist(), near * near, 2 * math.pi
+
+        def free(y: float, x: float, a: int, b: int) -> bool:
+            for i, j in around:
+                if q := board.get((a + i, b + j)):
+                    d = (y - q[0]) ** 2 + (x - q[1]) ** 2
+                    if d < square * (1 - 1e-12) or (d < square * (1 + 1e-12) and np.hypot(y - q[0], x - q[1]) < near):
+                        return False
+            return True
+
+        first = tuple(rng.uniform(0, high).tolist())
         placed, active = [first], [first]
-        board[key(first)] = first
+        board[int(first[0] // side), int(first[1] // side)] = first
         while active:
             at = int(rng.integers(len(active)))
+            own_y, own_x = active[at]
             for _ in range(self.max_tries):
-                angle, reach = rng.uniform(0, 2 * math.pi), near * math.sqrt(rng.uniform(1, 4))
-                p = active[at] + reach * np.array([math.sin(angle), math.cos(angle)])
-                if (p >= 0).all() and (p < high).all() and free(p):
-                    board[key(p)] = p
+                angle, reach = turn * rng.random(), near * math.sqrt(1 + 3 * rng.random())
+                y, x = own_y + reach * math.sin(angle), own_x + reach * math.cos(angle)
+                if 0 <= y < rows and 0 <= x < cols and free(y, x, a := int(y // side), b := int(x // side)):
+                    board[a, b] = p = (y, x)
                     placed.append(p)
                     active.append(p)
                     break

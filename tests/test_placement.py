@@ -358,3 +358,13 @@ def test_a_crowded_bucket_is_dealt_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, met.collect())) == sorted(map(tuple, here.join(there, "b").collect()))
     blocks = {k: v for k, v in geo._blocked(here, there, ["b"], ["seq"], ["pid"])[0].groupBy("b", "_i", "_j").count().select(F.concat_ws(":", "b", "_i", "_j"), "count").collect()}
     assert max(blocks.values()) < 30 and len([k for k in blocks if k.startswith("0:")]) > 100
+
+
+def test_darts_are_thrown_without_an_array_each(monkeypatch):
+    made = []
+    monkeypatch.setattr(smp.np, "array", lambda *a, f=np.array, **k: made.append(1) or f(*a, **k))
+    got = np.asarray(smp.PoissonDisk(6.0, seed=7).anchors(RasterDomain(40, 50), geo.Rectangular(4)), float)
+    assert len(made) < 5 < len(got)
+    # whole cells are up to a diagonal nearer than the places
+    apart = np.hypot(*(got[:, None] - got[None]).transpose(2, 0, 1))[np.triu_indices(len(got), 1)]
+    assert apart.min() >= 6 - 2**0.5
