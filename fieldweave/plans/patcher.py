@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from fieldweave.domains import Configured, PointDomain, VectorDomain
 from fieldweave.functions.windows import Boxcar, Window
 from fieldweave.operators.aggregations import Aggregation, OverlapAdd
-from fieldweave.operators.geometry import Neighbourhood, Rectangular, centroid
+from fieldweave.operators.geometry import Neighbourhood, RadiusGraph, Rectangular, centroid
 from fieldweave.operators.opaque import Opaque
 from fieldweave.operators.samplers import RegularStride, Sampler, anchor_name
-from fieldweave.plans.policy import ErrorPolicy, Hooks, Journal, MapResult, anchor_key, check_streaming, deal_by_bytes, map_patches, read_patches
+from fieldweave.plans.policy import ErrorPolicy, Hooks, Journal, MapResult, anchor_key, check_streaming, deal_by_bytes, map_gathered, map_patches, read_patches
 from fieldweave.sources.fields import Field
 from fieldweave.tables import written
 
@@ -155,12 +155,24 @@ class SpatialPatcher(Configured):
 
     # ------------------------------------------------------------ apply and merge
     def map(self, source: Field, operator: Callable, value: str | None = None, anchors: DataFrame | None = None) -> MapResult:
-        """Run an opaque operator on whole patches (see :func:`map_patches`)."""
+        """Run an opaque operator on whole patches (see :func:`map_patches`).
+
+        Points within a radius in the plane are cut out of blocks where the operator runs (see :func:`map_gathered`); other
+        neighbourhoods, and those with hooks or tasks of so many bytes, are packed first, a row of the shuffle for each pair.
+        """
+        if self._gathers(source):
+            name, places = value or source.values[0], self._places(source) if anchors is None else anchors
+            own = source.df.select(*source.keys, "x", "y", F.col(name).cast("double").alias("_v"))
+            return map_gathered(self.geometry.gathered(places, own), list(source.keys), "_v", self.geometry.radius, operator, self.errors, self.max_patch_bytes)
         packed = self.packed(source, value, anchors)
         if self.max_task_bytes:
             packed = deal_by_bytes(packed, self.max_task_bytes)
         return map_patches(packed, operator, self.errors, self.max_patch_bytes, self.hooks)
 
+    def _gathers(self, source: Field) -> bool:
+        near = self.geometry
+        return type(near) is RadiusGraph and near.metric == "euclidean" and near.radius > 0 and isinstance(source.domain, PointDomain) and not self.hooks and not self.max_task_bytes
+
     def read(self, source: Field, reader: Callable, anchors: DataFrame | None = None) -> MapResult:
         """Patches from an opaque ``reader(anchor)`` on the executors, for fields that Spark can't read itself.
 

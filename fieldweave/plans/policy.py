@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldweave.domains import Configured
@@ -227,6 +227,90 @@ def map_patches(packed: DataFrame, operator: Callable, policy: ErrorPolicy | Non
     return _run(packed, one, policy, hooks)
 
 
+#: Cells of a batch of patches that :func:`map_gathered` sends; a batch has one patch at least.
+CELLS = 1 << 17
+
+
+def map_gathered(gathered: DataFrame, keys: list[str], value: str, radius: float, operator: Callable, policy: ErrorPolicy | None = None, max_patch_bytes: int | None = None) -> MapResult:
+    """Run ``operator`` on the values within ``radius`` of each anchor of blocks that :meth:`RadiusGraph.gathered` made.
+
+    The result is that of :func:`map_patches` on packed patches, but a neighbourhood is cut out of its block's points where the
+    operator runs.  So no pair is shuffled, and a task holds the points of a block and ``CELLS`` cells of results.
+    """
+    policy = policy or ErrorPolicy()
+    picklable(operator)
+    one, schema = _mapper(operator, policy, max_patch_bytes), gathered.schema
+    import numpy as np
+    import pyarrow as pa
+
+    def sent(rows: list, kinds: list) -> pa.RecordBatch:
+        """Rows (seq, columns of keys, values or None, errors, seconds) as a batch."""
+        ends = lambda ns: pa.array(np.cumsum([0, *ns]), pa.int32())
+        n = [len(r[1][0]) for r in rows]
+        data = [np.empty(0) if r[2] is None else r[2] for r in rows]
+        flat = np.concatenate(data)
+        return pa.RecordBatch.from_arrays([
+            pa.array([r[0] for r in rows], pa.int64()), pa.ListArray.from_arrays(ends(n), pa.StructArray.from_arrays([pa.concat_arrays([r[1][k] for r in rows]) for k in range(len(keys))], fields=[pa.field(c, kind) for c, kind in zip(keys, kinds, strict=True)])),
+            pa.array([[k] for k in n], pa.list_(pa.int32())), pa.ListArray.from_arrays(ends(map(len, data)), pa.array(flat, pa.float64(), mask=np.isnan(flat)), mask=pa.array([r[2] is None for r in rows])),
+            pa.ListArray.from_arrays(ends(n), pa.array(np.ones(sum(n)))), pa.array([r[3] for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.float64())],
+            ["seq", "at", "shape", "data", "weights", "_errors", "runtime_s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, own, rows, cells, kinds = None, [], None, [], 0, None
+        for b in batches:
+            col = {c: b.column(c) for c in b.schema.names}
+            kinds = [col[k].type for k in keys]
+            at = np.stack([np.asarray(col[c].to_numpy(zero_copy_only=False), np.int64) for c in ("b0", "b1", "_i", "_anchor")], 1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1), len(at)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                if tuple(at[low, :3]) != block:
+                    block, held, own = tuple(at[low, :3]), [], None
+                if not at[low, 3]:
+                    held.append(b.slice(low, high - low).select([*keys, "x", "y", value]))
+                    continue
+                if not held:
+                    continue
+                if own is None:
+                    whole = pa.Table.from_batches(held).combine_chunks()
+                    named = [whole.column(k).chunk(0) for k in keys]
+                    own = named, *(whole.column(c).cast(pa.float64()).to_numpy() for c in ("x", "y", value))
+                named, x, y, v = own
+                for seq, ax, ay in zip(*(col[c].slice(low, high - low).to_pylist() for c in ("seq", "x", "y")), strict=True):
+                    hit = np.flatnonzero(np.sqrt((x - ax) ** 2 + (y - ay) ** 2) <= radius)
+                    if not len(hit):
+                        continue
+                    out, records, took = one(seq, v[hit])
+                    rows.append((seq, [k.take(pa.array(hit)) for k in named], out, records, took))
+                    cells += len(hit)
+                    if cells >= CELLS:
+                        yield sent(rows, kinds)
+                        rows, cells = [], 0
+        if rows:
+            yield sent(rows, kinds)
+
+    at = ",".join(f"`{k}`:{schema[k].dataType.simpleString()}" for k in keys)
+    done = gathered.mapInArrow(run, f"seq bigint, at array<struct<{at}>>, shape array<int>, data array<double>, weights array<double>, _errors string, runtime_s double")
+    return _result(done, policy)
+
+
+def _mapper(operator: Callable, policy: ErrorPolicy, max_patch_bytes: int | None) -> Callable:
+    import numpy as np
+
+    def one(seq, values):
+        """(the operator's values or None, failures as JSON or None, seconds)"""
+        began = time.perf_counter()
+        if max_patch_bytes and values.nbytes > max_patch_bytes:
+            raise ValueError(f"patch {seq} has {values.nbytes} bytes, the budget is {max_patch_bytes}")
+        out, records = policy.apply(operator, values, seq)
+        if out is None and policy.on_error == "mask":
+            out = np.full(values.shape, np.nan)
+        return None if out is None else np.asarray(out, float).ravel(), json.dumps(records) if records else None, time.perf_counter() - began
+
+    return one
+
+
 def read_patches(asked: DataFrame, reader: Callable, policy: ErrorPolicy | None = None, max_patch_bytes: int | None = None, hooks: Hooks | None = None) -> MapResult:
     """Packed patches from an opaque ``reader(dict of the row's columns) -> array``, run on the executors.
 
@@ -265,12 +349,17 @@ def _run(packed: DataFrame, one: Callable, policy: ErrorPolicy, hooks: Hooks | N
 
     schema = packed.schema.simpleString()[7:-1] + ",_errors:string,runtime_s:double"
     done = packed.mapInPandas(run, schema)
+    nulls = F.transform("data", lambda x: F.nanvl(x, F.lit(None).cast("double")))
+    return _result(done, policy, hooks, nulls)
+
+
+def _result(done: DataFrame, policy: ErrorPolicy, hooks: Hooks | None = None, data: Column | str = "data") -> MapResult:
+    """Patches and errors of rows that an operator made; where both are read or a hook is told, they are made once."""
     if policy.on_error != "raise" or hooks:
         done = written(done)
-    nulls = F.transform("data", lambda x: F.nanvl(x, F.lit(None).cast("double")))
     record = "array<struct<anchor: bigint, kind: string, message: string, traceback: string, retry_count: int>>"
     errors = done.where("_errors is not null").select(F.explode(F.from_json("_errors", record)).alias("e")).select("e.*")
-    result = MapResult(done.where("data is not null").drop("_errors").withColumn("data", nulls), errors)
+    result = MapResult(done.where("data is not null").drop("_errors").withColumn("data", F.col(data) if isinstance(data, str) else data), errors)
     if hooks:
         hooks.done(result)
     return result
