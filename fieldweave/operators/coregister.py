@@ -81,6 +81,26 @@ def resample(source: Field, target: Field, method: str = "bilinear", values: tup
     return replace(target, df=met.select(*target.keys, *[mixed(v_) for v_ in values]), values=values)
 
 
+#: Patches of which a task holds results before it sends them.
+PATCHES = 256
+
+
+def _mapped(fns: list[Callable]) -> Callable:
+    """Batches of ``shape, data`` with the secondaries after their functions: a batch is worked on and sent in parts of ``PATCHES`` patches."""
+    kind, most = pa.list_(pa.list_(pa.float64())), PATCHES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(k, most) for k in range(0, whole.num_rows, most)):
+                made = []
+                for shape, data in zip(b.column("shape").to_pylist(), b.column("data"), strict=True):
+                    first, *rest = (np.array(x.values.to_numpy(zero_copy_only=False), float).reshape(shape) for x in data)
+                    made.append([np.asarray(fn(x, first), float).reshape(shape).ravel() for fn, x in zip(fns, rest, strict=True)])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, kind)], schema=pa.schema([*list(b.schema)[:-1], pa.field("data", kind)]))
+
+    return run
+
+
 def on_patches(patch_cells: DataFrame, domain, coreg: dict[str, Callable], primary: str = "primary") -> DataFrame:
     """Secondaries of whole patches by opaque functions ``fn(secondary array, primary array) -> array of the primary's shape``.
 
@@ -100,15 +120,7 @@ def on_patches(patch_cells: DataFrame, domain, coreg: dict[str, Callable], prima
     cells = F.transform("_p", lambda x: F.struct(*[x[c].alias(c) for c in (*offsets, *dims, *others)]))
     packed = rows.select("seq", *anchors, "shape", cells.alias("cells"), arrays.alias("data"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = []
-            for shape, data in zip(b.column("shape").to_pylist(), b.column("data"), strict=True):
-                first, *rest = (np.array(x.values.to_numpy(zero_copy_only=False), float).reshape(shape) for x in data)
-                made.append([np.asarray(fn(x, first), float).reshape(shape).ravel() for fn, x in zip(coreg.values(), rest, strict=True)])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(made, pa.list_(pa.list_(pa.float64())))], schema=pa.schema([*list(b.schema)[:-1], pa.field("data", pa.list_(pa.list_(pa.float64())))]))
-
-    done = packed.mapInArrow(run, packed.schema)
+    done = packed.mapInArrow(_mapped(list(coreg.values())), packed.schema)
     out = done.select("seq", *anchors, "data", F.posexplode("cells").alias("_i", "_x"))
     value = lambda k, n: F.nanvl(F.get(F.get("data", F.lit(k)), F.col("_i")), F.lit(None).cast("double")).alias(n)
     return out.select("seq", *anchors, "_x.*", *[value(k, n) for k, n in enumerate(coreg)]).select(*patch_cells.columns)

@@ -1,8 +1,10 @@
 """Neighbourhoods of dense points: nothing that grows with their pairs is shuffled."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from fieldweave.operators import coregister
 from fieldweave.operators import geometry as geo
 from fieldweave.plans import policy
 from fieldweave.plans.patcher import SpatialPatcher
@@ -42,3 +44,13 @@ def test_maps_cut_neighbourhoods_out_of_blocks(dense, monkeypatch, on_error):
     assert sorted(map(str, near.errors.collect())) == sorted(map(str, packed.errors.collect()))
     if on_error == "raise":
         assert "collect_list" not in plan_of(near.patches)
+
+
+def test_a_batch_of_whole_patches_is_worked_on_in_parts(monkeypatch):
+    monkeypatch.setattr(coregister, "PATCHES", 3)
+    data = [[[1.0 * i, 2.0], [3.0, 4.0 * i]] for i in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([[1, 2]] * 10, pa.list_(pa.int32())), pa.array(data)], ["seq", "shape", "data"])
+    parts = list(coregister._mapped([lambda second, first: second - first])(iter([batch])))
+    assert [p.num_rows for p in parts] == [3, 3, 3, 1]
+    assert [x for p in parts for x in p.column("data").to_pylist()] == [[[3.0 - i, 4.0 * i - 2]] for i in range(10)]
+    assert [x for p in parts for x in p.column("seq").to_pylist()] == list(range(10))
