@@ -172,7 +172,8 @@ def well_spaced(candidates: DataFrame, near: float) -> DataFrame:
         """In all squares that may hold a point within the distance."""
         steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3) if abs(i * j) < 4])
         out = df.select(F.col("seq").alias("other"), F.col("rank").alias("other_rank"), F.col("x").alias("ox"), F.col("y").alias("oy"), "sx", "sy", F.explode(steps).alias("_s"))
-        return out.withColumns({"sx": F.col("sx") + F.col("_s.i"), "sy": F.col("sy") + F.col("_s.j")}).drop("_s")
+        # Spark takes the copies for no more bytes than the table they are made of, and would broadcast them
+        return out.withColumns({"sx": F.col("sx") + F.col("_s.i"), "sy": F.col("sy") + F.col("_s.j")}).drop("_s").hint("shuffle_merge")
 
     while not open_.isEmpty():
         first = written(open_.groupBy("sx", "sy").agg(F.min(F.struct("rank", "seq", "x", "y")).alias("b")).select("sx", "sy", "b.*"))

@@ -6,6 +6,7 @@ import pytest
 
 from fieldweave.operators import coregister
 from fieldweave.operators import geometry as geo
+from fieldweave.operators import samplers as smp
 from fieldweave.plans import policy
 from fieldweave.plans.patcher import SpatialPatcher
 from fieldweave.sources import fields as fld
@@ -54,3 +55,13 @@ def test_a_batch_of_whole_patches_is_worked_on_in_parts(monkeypatch):
     assert [p.num_rows for p in parts] == [3, 3, 3, 1]
     assert [x for p in parts for x in p.column("data").to_pylist()] == [[[3.0 - i, 4.0 * i - 2]] for i in range(10)]
     assert [x for p in parts for x in p.column("seq").to_pylist()] == list(range(10))
+
+
+def test_rounds_of_a_well_spaced_choice_broadcast_no_copies(spark, monkeypatch):
+    """A taken candidate is copied to the squares around; the copies would be a broadcast of many times the table's size."""
+    plans, write = [], smp.written
+    monkeypatch.setattr(smp, "written", lambda df: plans.append(plan_of(df)) or write(df))
+    rows = spark.range(200).selectExpr("id as seq", "rand(1) * 5 as x", "rand(2) * 5 as y", "xxhash64(id) as rank")
+    taken = [(r.x, r.y) for r in smp.well_spaced(rows, 1.0).collect()]
+    assert min(np.hypot(a - c, b - d) for i, (a, b) in enumerate(taken) for c, d in taken[:i]) >= 1.0
+    assert sum("Join" in p for p in plans) >= 2 and not any("BroadcastHashJoin" in p for p in plans)
