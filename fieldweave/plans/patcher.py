@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from fieldweave.domains import Configured, PointDomain, VectorDomain
 from fieldweave.functions.windows import Boxcar, Window
 from fieldweave.operators.aggregations import Aggregation, OverlapAdd
-from fieldweave.operators.geometry import Neighbourhood, RadiusGraph, Rectangular, centroid
+from fieldweave.operators.geometry import Neighbourhood, RadiusGraph, Rectangular, SphericalCap, centroid
 from fieldweave.operators.opaque import Opaque
 from fieldweave.operators.samplers import RegularStride, Sampler, anchor_name
 from fieldweave.plans.policy import ErrorPolicy, Hooks, Journal, MapResult, anchor_key, check_streaming, deal_by_bytes, map_gathered, map_patches, read_patches
@@ -89,7 +89,8 @@ class SpatialPatcher(Configured):
         domain = source.domain
         if isinstance(self.geometry, Neighbourhood):
             places = self._places(source) if anchors is None else anchors
-            if isinstance(domain, PointDomain) and len(source.keys) > 1:  # a cube: places first, then their times
+            # a cube: what is counted by places meets these first, then their times; a distance alone is each row's own
+            if isinstance(domain, PointDomain) and len(source.keys) > 1 and type(self.geometry) not in (RadiusGraph, SphericalCap):
                 key = source.keys[0]
                 own = Field(source.df.select(key, "x", "y").distinct(), domain, (key,), ())
                 out = self.geometry.patches(places, own).join(source.df.drop("x", "y"), key)

@@ -65,3 +65,16 @@ def test_rounds_of_a_well_spaced_choice_broadcast_no_copies(spark, monkeypatch):
     taken = [(r.x, r.y) for r in smp.well_spaced(rows, 1.0).collect()]
     assert min(np.hypot(a - c, b - d) for i, (a, b) in enumerate(taken) for c, d in taken[:i]) >= 1.0
     assert sum("Join" in p for p in plans) >= 2 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+@pytest.mark.parametrize("shape, metric", [(geo.RadiusGraph(0.2), "euclidean"), (geo.SphericalCap(30.0), "haversine")])
+def test_cells_of_a_cube_are_met_where_their_places_are(dense, shape, metric):
+    """No pair is shuffled to find its times, and pairs are made in as many tasks as there are."""
+    source, anchors = dense
+    cells = source.df.selectExpr("pid", "x", "y", "explode(sequence(0, 2)) as t").selectExpr("*", "pid * 10.0D + t as value")
+    near = SpatialPatcher(shape).split(fld.point_cube(cells, "pid"), anchors)
+    own = [tuple(r) for r in source.df.select("pid", "x", "y").collect()]
+    told = geo.SphericalCap(30.0).neighbours(anchors, source.df) if metric == "haversine" else None
+    pairs = {(r.seq, r.pid) for r in told.collect()} if told is not None else {(a[0], b[0]) for a in own if a[0] % 3 == 0 for b in own if np.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) <= 0.2}
+    assert sorted((r.seq, r.pid, r.t, r.value) for r in near.collect()) == sorted((s, p, t, p * 10.0 + t) for s, p in pairs for t in range(3))
+    assert "Join [pid" not in plan_of(near) and "SortMergeJoin [b0" in plan_of(near)
