@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from fieldweave import catalogue
 from fieldweave.operators import coregister
 from fieldweave.operators import geometry as geo
 from fieldweave.operators import samplers as smp
@@ -78,3 +79,26 @@ def test_cells_of_a_cube_are_met_where_their_places_are(dense, shape, metric):
     pairs = {(r.seq, r.pid) for r in told.collect()} if told is not None else {(a[0], b[0]) for a in own if a[0] % 3 == 0 for b in own if np.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) <= 0.2}
     assert sorted((r.seq, r.pid, r.t, r.value) for r in near.collect()) == sorted((s, p, t, p * 10.0 + t) for s, p in pairs for t in range(3))
     assert "Join [pid" not in plan_of(near) and "SortMergeJoin [b0" in plan_of(near)
+
+
+@pytest.mark.parametrize("metric, radius", [("euclidean", 0.2), ("euclidean", 0.0), ("haversine", 30.0), ("haversine", 30000.0)])
+def test_pairs_both_ways_are_all_points_neighbours(dense, monkeypatch, metric, radius):
+    """Crowded blocks, short runs, points in one place, ids that come twice, coordinates that are not known: the same rows, to the last bit."""
+    own = dense[0].df.select("pid", "x", "y")
+    odd = own.sparkSession.createDataFrame([(7, 0.1, 0.1), (7, 0.1, 0.1), (8, 0.1, 0.1), (9, -0.0, 0.0), (9, 0.0, -0.0), (400, 180.0, 89.9), (401, -180.0, 89.9), (402, 0.0, None), (403, 0.0, 90.0)], "pid long, x double, y double")
+    own = own.unionByName(odd)
+    shape, at = geo.RadiusGraph(radius, metric), own.selectExpr("pid as seq", "x as ax", "y as ay")
+    wanted = sorted(map(tuple, shape.neighbours(at, own).select("seq", "pid", "distance").collect()))
+    monkeypatch.setattr(geo, "BLOCK", 20)
+    monkeypatch.setattr(geo, "RUN", 3)
+    assert sorted(map(tuple, shape.pairs(own).collect())) == wanted and len(wanted) > 300
+
+
+@pytest.mark.parametrize("name, most", [("radius_haversine", 7)])
+def test_pairs_take_few_bytes_in_a_file(spark, tmp_path, name, most):
+    """All pairs within a radius are very many rows; a pair and its turn are kept as one distance."""
+    closer = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id", "transform(embedding, v -> v / 3) as embedding")
+    closer.write.parquet(str(tmp_path / "embeddings.parquet"))
+    catalogue.QUERIES[name](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < most * rows
