@@ -94,7 +94,7 @@ def test_pairs_both_ways_are_all_points_neighbours(dense, monkeypatch, metric, r
     assert sorted(map(tuple, shape.pairs(own).collect())) == wanted and len(wanted) > 300
 
 
-@pytest.mark.parametrize("name, most", [("radius_haversine", 7)])
+@pytest.mark.parametrize("name, most", [("radius_euclid", 5), ("radius_haversine", 7)])
 def test_pairs_take_few_bytes_in_a_file(spark, tmp_path, name, most):
     """All pairs within a radius are very many rows; a pair and its turn are kept as one distance."""
     closer = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id", "transform(embedding, v -> v / 3) as embedding")
