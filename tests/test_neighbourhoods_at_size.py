@@ -2,11 +2,13 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from fieldweave import catalogue
 from fieldweave.operators import coregister
 from fieldweave.operators import geometry as geo
+from fieldweave.operators import pairs
 from fieldweave.operators import samplers as smp
 from fieldweave.plans import policy
 from fieldweave.plans.patcher import SpatialPatcher
@@ -102,3 +104,28 @@ def test_pairs_take_few_bytes_in_a_file(spark, tmp_path, name, most):
     catalogue.QUERIES[name](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
     rows = spark.read.parquet(str(tmp_path / "out")).count()
     assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < most * rows
+
+
+def test_distances_back_are_kept_as_copies(spark, tmp_path):
+    """Packed numbers are the same bytes only in runs of whole eights: near half of the distances' bytes are left, with few of the ids'."""
+    at = np.random.default_rng(5).normal(0, 0.04, (1500, 2))
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "pid long, x double, y double")
+    geo.RadiusGraph(0.1).pairs(points).selectExpr("seq", "pid", "round(distance, 3) as distance").write.parquet(str(tmp_path / "out"))
+    groups = [pq.ParquetFile(f).metadata.row_group(0) for f in (tmp_path / "out").glob("*.parquet")]
+    kept, packed = ([sum(getattr(g.column(c), f"total_{k}_size") for g in groups) for c in range(3)] for k in ("compressed", "uncompressed"))
+    assert sum(g.num_rows for g in groups) == sum((np.sqrt(((at - p) ** 2).sum(1)) <= 0.1).sum() for p in at)
+    assert kept[2] < 0.65 * packed[2] and max(kept[:2]) < 0.5 * packed[0]
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_runs_of_pairs_are_whole_eights(own):
+    xy = np.random.default_rng(7).uniform(0, 0.2, (700, 2))
+    xy[10], xy[420] = xy[430], xy[430]
+    n, told, odd = 300, [], 0
+    for i, j, sizes, back in pairs.of_blocks(xy, xy, n, 0.1, own, 32):
+        assert sizes.sum() == len(i) == len(j) and (max(sizes, default=0) <= 32 or not back)
+        odd += back * int((sizes % pairs.EIGHT > 0).sum())
+        told += zip(i.tolist(), j.tolist(), [back] * len(i))
+    near = {(i, j) for i in range(n) for j in range(n, 700) if ((xy[i] - xy[j]) ** 2).sum() <= 0.1**2}
+    wanted = {(i, j, not own or tuple(xy[i]) < tuple(xy[j])) for i, j in near if not own or tuple(xy[i]) <= tuple(xy[j])}
+    assert sorted(told) == sorted(wanted) and len(told) > 10000 and odd == 1
